@@ -1,0 +1,48 @@
+"""Nested results whose arrays stay bounded however large a group is."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PART_ROWS = 10_000
+
+
+def list_parts(
+    rows: DataFrame, keys: Sequence[str], spread: Sequence[str], *, part_rows: int = PART_ROWS, weight: Column | None = None
+) -> DataFrame:
+    """Adds LIST_PART: 0 for ordinary groups, a hash part for groups above `part_rows` rows.
+
+    Collecting by `keys` and LIST_PART then gives lists of about `part_rows` elements, and no row
+    is left out. Only the oversized groups (at most rows / part_rows of them) enter the join.
+    `spread` must tell the rows of a group apart.
+    """
+    weight = F.lit(1) if weight is None else weight
+    oversized = (
+        rows.groupBy(*keys)
+        .agg(F.sum(weight).alias("_rows"))
+        .filter(F.col("_rows") > part_rows)
+        .select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts"))
+    )
+    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")))
+    return rows.join(oversized, list(keys), "left").withColumn("LIST_PART", part.cast("int")).drop("_parts")
+
+
+def collapse_copies(rows: DataFrame, *, part_rows: int = PART_ROWS) -> DataFrame:
+    """Equal rows as blocks: each row with COPIES (at most `part_rows`) and a COPY_BLOCK number.
+
+    Copies meet in the map-side aggregate, so a third of all rows being equal costs one small row
+    per task.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    last = F.floor((F.col("_n") - 1) / part_rows)
+    blocks = counted.withColumn("COPY_BLOCK", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    copies = F.least(F.lit(part_rows).cast("bigint"), F.col("_n") - F.col("COPY_BLOCK") * part_rows)
+    return blocks.withColumn("COPIES", copies.cast("int")).drop("_n")
+
+
+def repeat_copies(items: Column, fields: Sequence[str]) -> Column:
+    """An array of structs with a COPIES field, written out as that many structs of `fields`."""
+    return F.flatten(F.transform(items, lambda i: F.array_repeat(F.struct(*[i[f].alias(f) for f in fields]), i["COPIES"])))
