@@ -30,13 +30,32 @@ def single_match(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.filter("_n = 1").select(*rows.columns)
 
 
+def splittable(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose partitioning by the text column `key` is hidden from the planner.
+
+    AQE splits a hot join key only where both sides come straight from a shuffle. An aggregated or
+    ranked side is already partitioned by the key and gets none, so the other side's hot key stays
+    in one task. Rewriting the key as an equal expression makes the planner shuffle this (reduced)
+    side once more and the join becomes splittable. A side small enough is still broadcast.
+    """
+    return rows.withColumn(key, F.concat(F.col(key), F.lit("")))
+
+
+def distinct_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of rows, as the side that is only looked up in semi and anti joins.
+
+    Copies meet in the map-side aggregate, so a hot key on the looked-up side costs one row per task.
+    """
+    return splittable(rows.select(*keys).distinct(), keys[0])
+
+
 def restrict(rows: DataFrame, column: str, wanted: Keys) -> DataFrame:
     """Rows whose `column` is wanted: one value, a one-column frame of values, or None for all."""
     if wanted is None:
         return rows
     if isinstance(wanted, DataFrame):
         keys = wanted.select(F.col(wanted.columns[0]).alias(column))
-        return rows.join(keys, column, "left_semi")
+        return rows.join(distinct_keys(keys, [column]), column, "left_semi")
     return rows.filter(F.col(column) == F.lit(wanted))
 
 
@@ -58,7 +77,7 @@ def apply_changes(
         keys,
         [F.col(order).desc()] + [F.col(c).desc() for c in columns],
     ).select(*keys, F.struct(*columns).alias("_new"))
-    merged = base.join(latest, list(keys), "left")
+    merged = base.join(splittable(latest, keys[0]), list(keys), "left")
     return merged.select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
         for c in base.columns

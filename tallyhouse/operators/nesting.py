@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.keyed import splittable
+
 PART_ROWS = 10_000
 
 
@@ -17,7 +19,7 @@ def list_parts(
 
     Collecting by `keys` and LIST_PART then gives lists of about `part_rows` elements, and no row
     is left out. Only the oversized groups (at most rows / part_rows of them) enter the join.
-    `spread` must tell the rows of a group apart.
+    `spread` must tell the rows of a group apart; the first key is text.
     """
     weight = F.lit(1) if weight is None else weight
     oversized = (
@@ -27,7 +29,7 @@ def list_parts(
         .select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts"))
     )
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")))
-    return rows.join(oversized, list(keys), "left").withColumn("LIST_PART", part.cast("int")).drop("_parts")
+    return rows.join(splittable(oversized, keys[0]), list(keys), "left").withColumn("LIST_PART", part.cast("int")).drop("_parts")
 
 
 def collapse_copies(rows: DataFrame, *, part_rows: int = PART_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import color_after_first, color_tail
-from tallyhouse.operators.keyed import Keys, restrict
+from tallyhouse.operators.keyed import Keys, distinct_keys, restrict, splittable
 from tallyhouse.sources.tables import Tables
 
 PRODUCT_COLUMNS = ["PRODUCT_CODE", "PRODUCT_TITLE", "BRAND_CODE", "PACK_INFO", "ORDER_BY_SIZE", "MANUFACTURING_CODE"]
@@ -21,7 +21,7 @@ def brand_list(t: Tables) -> DataFrame:
 
 def brands_with_product(t: Tables) -> DataFrame:
     """Brands that have at least one product."""
-    return brand_list(t.with_tables(brands=t.brands.join(t.products, "BRAND_CODE", "left_semi")))
+    return brand_list(t.with_tables(brands=t.brands.join(distinct_keys(t.products, ["BRAND_CODE"]), "BRAND_CODE", "left_semi")))
 
 
 def vendor_list(t: Tables) -> DataFrame:
@@ -37,8 +37,8 @@ def _orderable(t: Tables, products: DataFrame) -> DataFrame:
     """Products that have SKUs, with each of their manufacturing codes or an empty text."""
     codes = t.manufacturing_map.select("PRODUCT_CODE", "MANUFACTURING_CODE").distinct()
     return (
-        products.join(t.product_map, "PRODUCT_CODE", "left_semi")
-        .join(codes, "PRODUCT_CODE", "left")
+        products.join(distinct_keys(t.product_map, ["PRODUCT_CODE"]), "PRODUCT_CODE", "left_semi")
+        .join(splittable(codes, "PRODUCT_CODE"), "PRODUCT_CODE", "left")
         .withColumn("MANUFACTURING_CODE", F.coalesce("MANUFACTURING_CODE", F.lit("")))
     )
 
@@ -107,4 +107,4 @@ def std_sku_by_size_color(t: Tables, wanted: DataFrame) -> DataFrame:
     """
     keys = ["PRODUCT_CODE", "SIZE_CODE", "COLOR"]
     variants = _variants(t, None).withColumn("COLOR", color_after_first(F.col("PRODUCT_COLOR")))
-    return variants.join(wanted.select(*keys), keys, "left_semi").select(*keys, "STD_SKU")
+    return variants.join(distinct_keys(wanted, keys), keys, "left_semi").select(*keys, "STD_SKU")

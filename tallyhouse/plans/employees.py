@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import is_blank
-from tallyhouse.operators.keyed import Keys, restrict, single_match
+from tallyhouse.operators.keyed import Keys, restrict, single_match, splittable
 from tallyhouse.sources.tables import Tables
 
 EMPLOYEE_COLUMNS = ["EMPLOYEE_ID", "FIRST_NAME", "LAST_NAME", "DEPARTMENT_NAME", "LAST_LOGIN_DTTM"]
@@ -51,7 +51,7 @@ def _nameless() -> Column:
 
 
 def _known(t: Tables) -> DataFrame:
-    return t.users.select("EMPLOYEE_ID", F.lit(True).alias("_known")).distinct()
+    return splittable(t.users.select("EMPLOYEE_ID", F.lit(True).alias("_known")).distinct(), "EMPLOYEE_ID")
 
 
 def _rejects(judged: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def add_employees(t: Tables, requests: DataFrame, now: str) -> NewEmployees:
         (F.col("_known"), EXISTS),
     ]))
     takers = judged.filter("_refused is null").groupBy("EMPLOYEE_ID").agg(F.min("REQUEST_SEQ").alias("_taker"))
-    judged = judged.join(takers, "EMPLOYEE_ID", "left").withColumn(
+    judged = judged.join(splittable(takers, "EMPLOYEE_ID"), "EMPLOYEE_ID", "left").withColumn(
         "_refused", F.coalesce("_refused", _refusal([(F.col("REQUEST_SEQ") > F.col("_taker"), EXISTS)]))
     )
     added = judged.filter("_refused is null").select(

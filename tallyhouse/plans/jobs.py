@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.dates import parse_stamp
 from tallyhouse.functions.text import color_tail
+from tallyhouse.operators.keyed import distinct_keys
 from tallyhouse.plans.listings import valid
 from tallyhouse.sources.tables import Tables
 
@@ -39,7 +40,7 @@ def extract_by_market(t: Tables, unlisted_only: bool = False) -> DataFrame:
     text so that the blanks fit, prices with two decimals; bad creation times are null.
     """
     sizes = t.sizes.select("SIZE_CODE", "SIZE_NAME")
-    listed_skus = t.listings.select("STD_SKU").distinct()
+    listed_skus = distinct_keys(t.listings, ["STD_SKU"])
     # STORE_NANE is spelt as in existing extracts.
     stores = t.markets.select("MARKET_ID", "CHANNEL_NAME", F.col("BRAND_NAME").alias("STORE_NANE"))
     listings = t.listings.drop("VALID_YN").join(stores, "MARKET_ID")

@@ -39,8 +39,8 @@ def label_rows(t: Tables, prefix: str) -> DataFrame:
             F.col("PRODUCT_NAME").alias("NAME"),
         )
         .join(images, sku == F.col("SKU"), "left")
-        .groupBy(*LABEL_COLUMNS)
-        .agg(F.first("IMAGE_PATH").alias("IMAGE_PATH"))
+        .select(*LABEL_COLUMNS, "IMAGE_PATH")
+        .distinct()
     )
 
 

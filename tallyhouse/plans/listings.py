@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.keyed import first_per_key
+from tallyhouse.operators.keyed import distinct_keys, first_per_key, splittable
 from tallyhouse.sources.tables import Tables
 
 LISTING_KEY = ["LISTING_SKU", "MARKET_ID"]
@@ -38,7 +38,7 @@ def sku_directory(t: Tables) -> DataFrame:
     mapped = linked_listings(t).select(*LISTING_KEY, "STD_SKU", "PRODUCT_NAME", F.lit("Y").alias("INVENTORY_YN"))
     unmapped = (
         valid(t.unlinked_listings)
-        .join(valid(t.listings).select(*LISTING_KEY), LISTING_KEY, "left_anti")
+        .join(distinct_keys(valid(t.listings), LISTING_KEY), LISTING_KEY, "left_anti")
         .select(
             *LISTING_KEY,
             F.col("LISTING_SKU").alias("STD_SKU"),
@@ -61,11 +61,12 @@ def sku_profile(t: Tables) -> DataFrame:
     """
     pick = [F.col("LISTING_ITEM_ID"), F.col("STD_SKU")]
     linked = first_per_key(linked_listings(t).drop("PRODUCT_NAME"), LISTING_KEY, pick)
-    linked = linked.join(first_images(t), F.col("STD_SKU") == F.col("SKU"), "left")
+    images = splittable(first_images(t), "SKU")
+    linked = linked.join(images, F.col("STD_SKU") == F.col("SKU"), "left")
     unlinked = first_per_key(
         valid(t.unlinked_listings).drop("VALID_YN"), LISTING_KEY, [F.col("LISTING_ITEM_ID"), F.col("LISTING_PRODUCT_NAME")]
-    ).join(linked_listings(t).select(*LISTING_KEY), LISTING_KEY, "left_anti")
-    return linked.unionByName(unlinked, allowMissingColumns=True)
+    ).join(distinct_keys(linked_listings(t), LISTING_KEY), LISTING_KEY, "left_anti")
+    return splittable(linked.unionByName(unlinked, allowMissingColumns=True), "LISTING_SKU")
 
 
 def market_names(t: Tables, unknown: bool = False) -> DataFrame:

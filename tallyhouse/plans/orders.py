@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import yn, zero_pad
-from tallyhouse.operators.keyed import Keys, first_per_key, restrict, single_match
+from tallyhouse.operators.keyed import Keys, distinct_keys, first_per_key, restrict, single_match, splittable
 from tallyhouse.operators.nesting import PART_ROWS, collapse_copies, list_parts, repeat_copies
 from tallyhouse.plans.listings import LISTING_KEY, linked_listings, market_names, sku_profile, valid
 from tallyhouse.sources.tables import Tables
@@ -48,7 +48,7 @@ def orders_by_tracking(t: Tables, tracking: Keys = None) -> DataFrame:
 
 def order_items(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Items with their price sum, of all orders or of the given (CHANNEL_ORDER_NO, MARKET_ID) keys."""
-    items = t.order_items if orders is None else t.order_items.join(orders.select(*ORDER_KEY), ORDER_KEY, "left_semi")
+    items = t.order_items if orders is None else t.order_items.join(distinct_keys(orders, ORDER_KEY), ORDER_KEY, "left_semi")
     return items.select(
         *ORDER_KEY, "LISTING_SKU", "UNIT_PRICE", "UNIT_QTY",
         (F.col("UNIT_PRICE") * F.col("UNIT_QTY")).alias("UNIT_PRICE_SUM"),
@@ -59,7 +59,7 @@ def order_items(t: Tables, orders: DataFrame | None = None) -> DataFrame:
 def listing_items(t: Tables, skus: DataFrame | None = None) -> DataFrame:
     """Valid listings of valid inventory, of all or of the given (LISTING_SKU, MARKET_ID) keys."""
     rows = linked_listings(t).drop("PRODUCT_NAME")
-    return rows if skus is None else rows.join(skus.select(*LISTING_KEY), LISTING_KEY, "left_semi")
+    return rows if skus is None else rows.join(distinct_keys(skus, LISTING_KEY), LISTING_KEY, "left_semi")
 
 
 def unlinked_listing_items(t: Tables, skus: DataFrame | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def unlinked_listing_items(t: Tables, skus: DataFrame | None = None) -> DataFram
         "LISTING_ITEM_ID", "MARKET_ID", "LISTING_SKU", "LISTING_PRODUCT_NAME",
         "LISTING_PRODUCT_SIZE", "LISTING_PRODUCT_COLOR", "LISTING_PRODUCT_DESIGN",
     )
-    return rows if skus is None else rows.join(skus.select(*LISTING_KEY), LISTING_KEY, "left_semi")
+    return rows if skus is None else rows.join(distinct_keys(skus, LISTING_KEY), LISTING_KEY, "left_semi")
 
 
 def brand_code_of(listing_sku: Column) -> Column:
@@ -95,7 +95,7 @@ def _document_items(t: Tables, headers: DataFrame | None) -> DataFrame:
     items = order_items(t, headers).withColumn("BRAND_CODE", brand_code_of(F.col("LISTING_SKU")))
     return (
         items.join(sku_profile(t), LISTING_KEY, "left")
-        .join(brands, "BRAND_CODE", "left")
+        .join(splittable(brands, "BRAND_CODE"), "BRAND_CODE", "left")
         .withColumn("NO_ITEM_YN", yn(F.col("NO_ITEM_YN")))
         .withColumn("TAG_CHANGE_YN", yn(F.col("TAG_CHANGE_YN")))
         .select(*ORDER_KEY, *ITEM_COLUMNS)
@@ -103,10 +103,15 @@ def _document_items(t: Tables, headers: DataFrame | None) -> DataFrame:
 
 
 def order_document_lines(t: Tables, tracking: Keys = None) -> DataFrame:
-    """Flat form of the order document: one row per item, null item columns for an order without items."""
+    """Flat form of the order document: one row per item, null item columns for an order without items.
+
+    Orders with and without items are joined apart: an outer join could not split a hot order's items.
+    """
     headers = _document_headers(t, tracking)
-    wanted = None if tracking is None else headers
-    return headers.join(_document_items(t, wanted), ORDER_KEY, "left")
+    items = _document_items(t, None if tracking is None else headers)
+    with_items = items.join(headers, ORDER_KEY)
+    without = headers.join(distinct_keys(t.order_items, ORDER_KEY), ORDER_KEY, "left_anti")
+    return with_items.unionByName(without, allowMissingColumns=True).select(*headers.columns, *ITEM_COLUMNS)
 
 
 def order_document(t: Tables, tracking: Keys = None, part_rows: int = PART_ROWS) -> DataFrame:

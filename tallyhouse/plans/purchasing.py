@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE
 from tallyhouse.functions.text import color_tail, lenient_name, or_default, shown, strip_whitespace, zero_pad
-from tallyhouse.operators.keyed import between_dates
+from tallyhouse.operators.keyed import between_dates, splittable
 from tallyhouse.operators.nesting import PART_ROWS, list_parts
 from tallyhouse.operators.ordering import running_total
 from tallyhouse.plans.catalog import distinct_sizes
@@ -185,7 +185,8 @@ def _color_rows(cells: DataFrame, *extra: str) -> DataFrame:
 def _size_lists(t: Tables) -> DataFrame:
     """Sizes of every product as an array in size order (at most one entry per known size)."""
     entry = F.struct("SIZE_ORDER", "SIZE_CODE", "SHORT_SIZE_CODE")
-    return distinct_sizes(t).groupBy("PRODUCT_CODE").agg(F.array_sort(F.collect_list(entry)).alias("SIZE_VARIANT"))
+    lists = distinct_sizes(t).groupBy("PRODUCT_CODE").agg(F.array_sort(F.collect_list(entry)).alias("SIZE_VARIANT"))
+    return splittable(lists, "PRODUCT_CODE")
 
 
 def order_detail_nested(

@@ -125,8 +125,8 @@ def _listings(part: DataFrame) -> DataFrame:
     listed = part.filter("p_partkey % 10 < 7").selectExpr("*", EACH_MARKET)
     kinds = "if(p_partkey % 30 = 3 and p_partkey % 20 <> 0, array(0, 1), array(0))"
     own = listed.selectExpr("*", f"explode({kinds}) as kind", f"{STD_SKU} as STD_SKU")
-    first_part = part.filter("p_partkey = 1").selectExpr("1 as kind", f"{STD_SKU} as STD_SKU")
-    bundles = listed.filter("p_partkey % 20 = 0").selectExpr("*", "1 as kind").join(first_part, "kind")
+    first_sku = part.filter("p_partkey = 1").selectExpr(f"{STD_SKU} as STD_SKU").scalar()
+    bundles = listed.filter("p_partkey % 20 = 0").selectExpr("*", "1 as kind").withColumn("STD_SKU", first_sku)
     return own.unionByName(bundles).selectExpr(
         "p_partkey * 100 + MARKET_ID * 10 + kind as LISTING_ITEM_ID", "STD_SKU", "MARKET_ID",
         f"{LISTING_SKU} as LISTING_SKU", "concat(p_name, ' listing') as LISTING_PRODUCT_NAME",
