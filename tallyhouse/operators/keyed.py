@@ -60,7 +60,14 @@ def restrict(rows: DataFrame, column: str, wanted: Keys) -> DataFrame:
 
 
 def between_dates(rows: DataFrame, column: str, start: str, end: str) -> DataFrame:
-    return rows.filter(F.col(column).between(F.lit(start), F.lit(end)))
+    """Rows of an inclusive range of text dates.
+
+    On a table partitioned by ORDER_MONTH a range of order dates also prunes directories.
+    """
+    rows = rows.filter(F.col(column).between(F.lit(start), F.lit(end)))
+    if column == "ORDER_DATE" and "ORDER_MONTH" in rows.columns:
+        rows = rows.filter(F.col("ORDER_MONTH").cast("int").between(int(start[:6]), int(end[:6])))
+    return rows
 
 
 def apply_changes(

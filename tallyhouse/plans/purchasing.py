@@ -99,11 +99,12 @@ def order_history(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> D
 
 def _detail_lines(t: Tables, order_date: str | None, order_seq: int | None) -> DataFrame:
     """Purchase-order lines with every name, plus their STD_SKU; the vendor falls back to the brand."""
-    lines = t.product_orders.select(
+    lines = t.product_orders
+    if order_date is not None:
+        lines = between_dates(lines, "ORDER_DATE", order_date, order_date)
+    lines = lines.select(
         "ORDER_DATE", "ORDER_SEQ", "STD_SKU", "PRODUCT_CODE", "BRAND_CODE", "VENDOR_CODE", "ORDER_QTY", "EMPLOYEE_ID"
     )
-    if order_date is not None:
-        lines = lines.filter(F.col("ORDER_DATE") == order_date)
     if order_seq is not None:
         lines = lines.filter(F.col("ORDER_SEQ") == order_seq)
     joined = (

@@ -1,0 +1,72 @@
+"""What the optimizer makes of the plans over stored tables."""
+
+import re
+
+import pytest
+from tests.conftest import SAMPLE
+
+from checks.queries import QUERIES
+from tallyhouse.plans import labels, packing, purchasing, sales
+from tallyhouse.sample.tables import tables
+from tallyhouse.sources.storage import append_rows, by_month
+from tallyhouse.sources.tables import Tables
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("stored")
+    sample = tables(spark, SAMPLE)
+    dated = {"orders", "product_orders"}
+
+    def load(name):
+        frame = getattr(sample, name)
+        if name in dated:
+            append_rows(by_month(frame), f"{root}/{name}", ["ORDER_MONTH"])
+        else:
+            append_rows(frame, f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    return Tables(load)
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(frame, *columns):
+    """Scan lines that read all the given columns."""
+    return [line for line in plan(frame).splitlines() if "FileScan" in line and all(f"{c}#" in line for c in columns)]
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_")])
+def test_no_products_and_no_python(spark, name):
+    text = plan(QUERIES[name](spark, SAMPLE))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
+        assert node not in text, node
+
+
+def test_date_range_reaches_the_scan(stored):
+    for frame in (
+        sales.sales_by_sku_long(stored, "19960101", "19961231"), packing.packing_status(stored, "19960101", "19961231"),
+        purchasing.order_history(stored, "19960101", "19961231"),
+    ):
+        (scan,) = scans(frame, "ORDER_DATE")
+        assert "GreaterThanOrEqual(ORDER_DATE,19960101)" in scan and "LessThanOrEqual(ORDER_DATE,19961231)" in scan
+        months = re.search(r"PartitionFilters: \[([^]]*)\]", scan)[1]
+        assert ">= 199601" in months and "<= 199612" in months
+
+
+def test_only_needed_columns_are_read(stored):
+    columns = {
+        re.sub(r"#\d+L?", "", c)
+        for line in scans(packing.no_item_tag_change_counts(stored)) for c in re.search(r"parquet \[([^]]*)\]", line)[1].split(",")
+    }
+    assert columns - {"ORDER_MONTH"} == {
+        "CHANNEL_ORDER_NO", "MARKET_ID", "NO_ITEM_YN", "TAG_CHANGE_YN", "PROC_DT"
+    }
+
+
+def test_label_prefix_reaches_both_scans(stored):
+    text = plan(labels.label_rows(stored, "P0"))
+    assert "StringStartsWith(STD_SKU,P0)" in text
+    assert "StringStartsWith(SKU,P0)" in text
