@@ -12,24 +12,24 @@ from tallyhouse.operators.keyed import splittable
 PART_ROWS = 10_000
 
 
-def list_parts(
-    rows: DataFrame, keys: Sequence[str], spread: Sequence[str], *, part_rows: int = PART_ROWS, weight: Column | None = None
-) -> DataFrame:
-    """Adds LIST_PART: 0 for ordinary groups, a hash part for groups above `part_rows` rows.
-
-    Collecting by `keys` and LIST_PART then gives lists of about `part_rows` elements, and no row
-    is left out. Only the oversized groups (at most rows / part_rows of them) enter the join.
-    `spread` must tell the rows of a group apart; the first key is text.
+def oversized_groups(rows: DataFrame, keys: Sequence[str], part_rows: int) -> DataFrame:
+    """Groups of more than `part_rows` rows, with the number of parts to cut them into.
+
+    There are at most rows / part_rows of them. Count them on the narrowest table that has a row
+    for every element; counting too many only makes parts smaller. The first key is text.
+    """
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > part_rows)
+    return splittable(counted.select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts")), keys[0])
+
+
+def list_parts(rows: DataFrame, oversized: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
+    """Adds LIST_PART: 0 for ordinary groups, a hash part of `spread` for oversized ones.
+
+    Collecting by `keys` and LIST_PART then gives bounded lists, and no row is left out. `spread`
+    must tell the rows of a group apart.
     """
-    weight = F.lit(1) if weight is None else weight
-    oversized = (
-        rows.groupBy(*keys)
-        .agg(F.sum(weight).alias("_rows"))
-        .filter(F.col("_rows") > part_rows)
-        .select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts"))
-    )
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")))
-    return rows.join(splittable(oversized, keys[0]), list(keys), "left").withColumn("LIST_PART", part.cast("int")).drop("_parts")
+    return rows.join(oversized, list(keys), "left").withColumn("LIST_PART", part.cast("int")).drop("_parts")
 
 
 def collapse_copies(rows: DataFrame, *, part_rows: int = PART_ROWS) -> DataFrame:

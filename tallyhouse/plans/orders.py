@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import yn, zero_pad
 from tallyhouse.operators.keyed import Keys, distinct_keys, first_per_key, restrict, single_match, splittable
-from tallyhouse.operators.nesting import PART_ROWS, collapse_copies, list_parts, repeat_copies
+from tallyhouse.operators.nesting import PART_ROWS, collapse_copies, list_parts, oversized_groups, repeat_copies
 from tallyhouse.plans.listings import LISTING_KEY, linked_listings, market_names, sku_profile, valid
 from tallyhouse.sources.tables import Tables
 
@@ -123,9 +123,8 @@ def order_document(t: Tables, tracking: Keys = None, part_rows: int = PART_ROWS)
     headers = _document_headers(t, tracking)
     items = _document_items(t, None if tracking is None else headers)
     blocks = collapse_copies(items, part_rows=part_rows)
-    parts = list_parts(
-        blocks, ORDER_KEY, [*ITEM_COLUMNS, "COPY_BLOCK"], part_rows=part_rows, weight=F.col("COPIES")
-    )
+    oversized = oversized_groups(t.order_items, ORDER_KEY, part_rows)
+    parts = list_parts(blocks, oversized, ORDER_KEY, [*ITEM_COLUMNS, "COPY_BLOCK"])
     lists = parts.groupBy(*ORDER_KEY, "LIST_PART").agg(
         repeat_copies(F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS, "COPIES"))), ITEM_COLUMNS).alias("ORDER_LIST")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE
 from tallyhouse.functions.text import color_tail, lenient_name, or_default, shown, strip_whitespace, zero_pad
 from tallyhouse.operators.keyed import between_dates, splittable
-from tallyhouse.operators.nesting import PART_ROWS, list_parts
+from tallyhouse.operators.nesting import PART_ROWS, list_parts, oversized_groups
 from tallyhouse.operators.ordering import running_total
 from tallyhouse.plans.catalog import distinct_sizes
 from tallyhouse.sources.tables import Tables
@@ -97,18 +97,22 @@ def order_history(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> D
     )
 
 
-def _detail_lines(t: Tables, order_date: str | None, order_seq: int | None) -> DataFrame:
-    """Purchase-order lines with every name, plus their STD_SKU; the vendor falls back to the brand."""
+def _ordered(t: Tables, order_date: str | None, order_seq: int | None) -> DataFrame:
+    """Stored lines of one order, or of all."""
     lines = t.product_orders
     if order_date is not None:
         lines = between_dates(lines, "ORDER_DATE", order_date, order_date)
-    lines = lines.select(
-        "ORDER_DATE", "ORDER_SEQ", "STD_SKU", "PRODUCT_CODE", "BRAND_CODE", "VENDOR_CODE", "ORDER_QTY", "EMPLOYEE_ID"
-    )
     if order_seq is not None:
         lines = lines.filter(F.col("ORDER_SEQ") == order_seq)
+    return lines.select(
+        "ORDER_DATE", "ORDER_SEQ", "STD_SKU", "PRODUCT_CODE", "BRAND_CODE", "VENDOR_CODE", "ORDER_QTY", "EMPLOYEE_ID"
+    )
+
+
+def _detail_lines(t: Tables, order_date: str | None, order_seq: int | None) -> DataFrame:
+    """Purchase-order lines with every name, plus their STD_SKU; the vendor falls back to the brand."""
     joined = (
-        lines.join(_brand_names(t), "BRAND_CODE", "left")
+        _ordered(t, order_date, order_seq).join(_brand_names(t), "BRAND_CODE", "left")
         .join(_vendor_names(t), "VENDOR_CODE", "left")
         .join(_staff_names(t), "EMPLOYEE_ID", "left")
         .join(t.manufacturing_map, ["PRODUCT_CODE", "STD_SKU"], "left")
@@ -157,30 +161,29 @@ def order_set_cells(t: Tables, order_date: str | None = None, order_seq: int | N
     )
 
 
+def _set_totals() -> list[Column]:
+    """Aggregates from which the fields of an order set are read; they add up over colours and parts."""
+    return [F.max("_last").alias("_last"), F.sum("QTY_SUM").alias("QTY_SUM"), F.min("_first").alias("_first")]
+
+
+def _set_columns(*keys: str) -> list[Column]:
+    return [
+        *[F.col(k) for k in keys], *[F.col(f"_last.{f}").alias(f) for f in SET_FIELDS],
+        F.coalesce("QTY_SUM", F.lit(0)).alias("TOTAL_QTY"), F.col("_first"),
+    ]
+
+
 def order_sets(cells: DataFrame) -> DataFrame:
     """One row per order and product: fields of its last line, total of all its lines."""
-    sets = cells.groupBy(*SET_KEY).agg(
-        F.max("_last").alias("_last"), F.sum("QTY_SUM").alias("TOTAL_QTY"), F.min("_first").alias("_first")
-    )
-    return sets.select(
-        *SET_KEY, *[F.col(f"_last.{f}").alias(f) for f in SET_FIELDS],
-        F.coalesce("TOTAL_QTY", F.lit(0)).alias("TOTAL_QTY"), "_first",
-    )
+    return cells.groupBy(*SET_KEY).agg(*_set_totals()).select(*_set_columns(*SET_KEY))
 
 
 def _color_rows(cells: DataFrame, *extra: str) -> DataFrame:
     """One row per order, product and colour with a map of size code to cell (at most one per known size)."""
     cell = F.struct("SHORT_SIZE_CODE", "ORDER_QTY")
-    return (
-        cells.groupBy(*SET_KEY, *extra, "PRODUCT_COLOR")
-        .agg(
-            F.max("_last").alias("_last"),
-            F.min("_first").alias("_first"),
-            F.map_from_entries(F.collect_list(F.struct("SIZE_CODE", cell))).alias("SIZES"),
-        )
-        .withColumn("MANUFACTURING_COLOR", F.col("_last.MANUFACTURING_COLOR"))
-        .drop("_last")
-    )
+    sizes = F.map_from_entries(F.collect_list(F.struct("SIZE_CODE", cell))).alias("SIZES")
+    colors = cells.groupBy(*SET_KEY, *extra, "PRODUCT_COLOR").agg(*_set_totals(), sizes)
+    return colors.withColumn("MANUFACTURING_COLOR", F.col("_last.MANUFACTURING_COLOR"))
 
 
 def _size_lists(t: Tables) -> DataFrame:
@@ -199,27 +202,45 @@ def order_detail_nested(
     in the order of their first SKU. A product with more than `part_rows` cells comes in several rows.
     """
     cells = order_set_cells(t, order_date, order_seq)
-    parts = list_parts(cells, SET_KEY, ["PRODUCT_COLOR"], part_rows=part_rows)
+    oversized = oversized_groups(_ordered(t, order_date, order_seq), SET_KEY, part_rows)
     color = F.struct("_first", "PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES")
-    # Maps cannot be sorted, so colours are sorted by a key and the map is carried along.
+    # Maps cannot be compared, so colours are compared by their first SKU and name.
+    place = lambda c: F.struct(c["_first"], c["PRODUCT_COLOR"])
     ordered = F.array_sort(
-        F.collect_list(color),
-        lambda a, b: F.when((a["_first"] < b["_first"]) | ((a["_first"] == b["_first"]) & (a["PRODUCT_COLOR"] < b["PRODUCT_COLOR"])), -1)
-        .when((a["_first"] == b["_first"]) & (a["PRODUCT_COLOR"] == b["PRODUCT_COLOR"]), 0)
-        .otherwise(1),
+        F.collect_list(color), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
     )
-    colors = _color_rows(parts, "LIST_PART").groupBy(*SET_KEY, "LIST_PART").agg(
-        F.transform(
-            ordered, lambda c: F.struct(c["PRODUCT_COLOR"].alias("PRODUCT_COLOR"),
-                                        c["MANUFACTURING_COLOR"].alias("MANUFACTURING_COLOR"), c["SIZES"].alias("SIZES"))
-        ).alias("COLOR_VARIANT")
+    shown_color = lambda c: F.struct(*[c[f].alias(f) for f in ("PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES")])
+    parts = (
+        _color_rows(list_parts(cells, oversized, SET_KEY, ["PRODUCT_COLOR"]), "LIST_PART")
+        .groupBy(*SET_KEY, "LIST_PART")
+        .agg(*_set_totals(), F.transform(ordered, shown_color).alias("COLOR_VARIANT"))
     )
+    whole = _whole_group(cells.join(oversized, SET_KEY, "left_semi"), SET_KEY, _set_totals())
     return (
-        order_sets(cells).drop("_first").join(colors, SET_KEY).join(_size_lists(t), "PRODUCT_CODE", "left")
+        _with_whole(parts, whole, SET_KEY, ["_last", "QTY_SUM"])
+        .select(*_set_columns(*SET_KEY), "LIST_PART", "COLOR_VARIANT")
+        .drop("_first")
+        .join(_size_lists(t), "PRODUCT_CODE", "left")
         .select(*SET_KEY, *SET_FIELDS, "TOTAL_QTY", "LIST_PART", "COLOR_VARIANT", "SIZE_VARIANT")
     )
 
 
+def _whole_group(rows: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
+    """Aggregates of oversized groups over all their parts, as one struct."""
+    whole = rows.groupBy(*keys).agg(*aggregates)
+    return splittable(whole.select(*keys, F.struct(*[c for c in whole.columns if c not in keys]).alias("_whole")), keys[0])
+
+
+def _with_whole(parts: DataFrame, whole: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Parts with `fields` of the whole group where the group has several parts.
+
+    Ordinary groups keep the values of their only part, so nothing is computed twice for them.
+    """
+    joined = parts.join(whole, keys, "left")
+    several = F.col("_whole").isNotNull()
+    return joined.withColumns({f: F.when(several, F.col(f"_whole.{f}")).otherwise(F.col(f)) for f in fields}).drop("_whole")
+
+
 def vendor_packets(
     t: Tables, now: str, default_company: str, order_date: str | None = None, order_seq: int | None = None,
     part_rows: int = PART_ROWS,
@@ -227,20 +248,25 @@ def vendor_packets(
     """Order sets grouped by order and vendor, with the texts of the mail to that vendor.
 
     Header fields are those of the vendor's first order set. `default_company` signs when the
-    vendor names no buyer; `now` dates the attachment. PRODUCT_CODES lists the order sets; a
+    vendor names no buyer; `now` dates the attachment. Without vendor and brand the code is blank. PRODUCT_CODES lists the order sets; a
     packet of more than `part_rows` sets comes in several rows.
     """
     packet = ["ORDER_DATE", "ORDER_SEQ", "VENDOR_CODE"]
     fields = ["VENDOR_NAME", "VENDOR_EMAIL", "ORDERS_FROM", "EMPLOYEE_ID", "EMPLOYEE_NAME"]
-    sets = order_sets(order_set_cells(t, order_date, order_seq)).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", F.lit("")))
-    heads = sets.groupBy(*packet).agg(F.min(F.struct("_first", "PRODUCT_CODE", *fields)).alias("_head"))
-    lists = list_parts(sets, packet, ["PRODUCT_CODE"], part_rows=part_rows).groupBy(*packet, "LIST_PART").agg(
-        F.array_sort(F.collect_list(F.struct("_first", "PRODUCT_CODE", "TOTAL_QTY"))).alias("_sets")
+    blank = F.lit("")
+    sets = order_sets(order_set_cells(t, order_date, order_seq)).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", blank))
+    # Every set of a vendor has a line of that vendor, so lines bound the number of sets.
+    lines = _ordered(t, order_date, order_seq).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", "BRAND_CODE", blank))
+    oversized = oversized_groups(lines, packet, part_rows)
+    head = [F.min(F.struct("_first", "PRODUCT_CODE", *fields)).alias("_head")]
+    lists = list_parts(sets, oversized, packet, ["PRODUCT_CODE"]).groupBy(*packet, "LIST_PART").agg(
+        *head, F.array_sort(F.collect_list(F.struct("_first", "PRODUCT_CODE"))).alias("_sets")
     )
+    whole = _whole_group(sets.join(oversized, packet, "left_semi"), packet, head)
     company = or_default(F.col("_head.ORDERS_FROM"), F.lit(default_company))
     number = zero_pad(F.col("ORDER_SEQ"), 10)
     file_date = f"{now[4:6]}-{now[6:8]}-{now[:4]}"
-    return heads.join(lists, packet).select(
+    return _with_whole(lists, whole, packet, ["_head"]).select(
         *packet,
         F.col("_head.VENDOR_NAME").alias("VENDOR_NAME"),
         F.split(F.coalesce("_head.VENDOR_EMAIL", F.lit("")), " ").alias("VENDOR_EMAILS"),
@@ -308,6 +334,7 @@ def order_print_grid(t: Tables, order_date: str | None = None, order_seq: int |
 
     return (
         _color_rows(cells)
+        .drop("_last", "QTY_SUM")
         .withColumnRenamed("SIZES", "_ordered")
         .join(sets, SET_KEY)
         .join(_size_lists(t), "PRODUCT_CODE", "left")

@@ -8,7 +8,7 @@ from tests.conftest import SAMPLE
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.keyed import apply_changes, first_per_key, restrict, single_match
-from tallyhouse.operators.nesting import collapse_copies, list_parts, repeat_copies
+from tallyhouse.operators.nesting import collapse_copies, list_parts, oversized_groups, repeat_copies
 from tallyhouse.operators.ordering import running_total, sorted_page
 from tallyhouse.plans import labels, orders, packing, purchasing, sales
 from tallyhouse.sample.tables import tables
@@ -76,7 +76,7 @@ def test_nested_parts_hold_every_copy_in_bounded_lists(spark):
     frame = spark.createDataFrame(rows, ITEM_SCHEMA)
     blocks = collapse_copies(frame, part_rows=50)
     assert blocks.agg(F.max("COPIES")).first()[0] <= 50
-    parts = list_parts(blocks, ["k"], ["v", "w", "COPY_BLOCK"], part_rows=50, weight=F.col("COPIES"))
+    parts = list_parts(blocks, oversized_groups(frame, ["k"], 50), ["k"], ["v", "w", "COPY_BLOCK"])
     lists = parts.groupBy("k", "LIST_PART").agg(
         repeat_copies(F.array_sort(F.collect_list(F.struct("v", "w", "COPIES"))), ["v", "w"]).alias("items")
     ).collect()
@@ -96,7 +96,7 @@ def hot(spark, tmp_path_factory):
     third = t.order_items.unionByName(t.order_items).withColumn("UNIT_QTY", F.lit(1))
     sku = t.listings.filter("VALID_YN = 'Y'").agg(F.min("LISTING_SKU")).first()[0]
     cases = {
-        "sku": third.withColumn("LISTING_SKU", F.lit(sku)),
+        "sku": third.filter("MARKET_ID = 1").withColumn("LISTING_SKU", F.lit(sku)).withColumn("UNIT_QTY", F.explode(F.sequence(F.lit(1), F.lit(8)))),
         "order": third.withColumn("CHANNEL_ORDER_NO", F.lit(order[0])).withColumn("MARKET_ID", F.lit(order[1])),
     }
     bundles = {}
@@ -161,6 +161,19 @@ def test_nested_order_detail_in_parts_is_whole(spark):
     cells = purchasing.order_set_cells(t).count()
     parts = purchasing.order_detail_nested(t, part_rows=1)
     assert parts.select(F.explode("COLOR_VARIANT").alias("c")).select(F.explode("c.SIZES")).count() == cells
+    header = [*purchasing.SET_KEY, *purchasing.SET_FIELDS, "TOTAL_QTY"]
+    assert parts.select(*header).distinct().exceptAll(purchasing.order_detail_nested(t).select(*header)).isEmpty()
+
+
+def test_vendor_packets_in_parts_are_whole(spark):
+    t = tables(spark, SAMPLE)
+
+    def flat(part_rows):
+        packets = purchasing.vendor_packets(t, "20240301123456", "Company", part_rows=part_rows)
+        return packets.withColumn("PRODUCT_CODE", F.explode("PRODUCT_CODES")).drop("LIST_PART", "PRODUCT_CODES")
+
+    one, many = flat(1), flat(10_000)
+    assert one.count() == many.count() and one.exceptAll(many).isEmpty()
 
 
 def test_properties(spark):
