@@ -70,9 +70,10 @@ def _grid_flat(t: Tables) -> DataFrame:
     return grid.withColumn("SIZES", _joined("SIZES")).withColumn("CELLS", _joined("CELLS"))
 
 
-def _sheet_flat(t: Tables) -> DataFrame:
-    rows = purchasing.order_sheet_cells(feeds.sheet_blocks(t))
-    return rows.withColumn("CELLS", _joined("CELLS"))
+def _sheet_flat(spark: SparkSession, folder: str) -> DataFrame:
+    stored = work_folder(spark, "sheet-blocks")
+    feeds.sheet_blocks(tables(spark, folder)).write.parquet(stored)
+    return purchasing.order_sheet_cells(spark.read.parquet(stored)).withColumn("CELLS", _joined("CELLS"))
 
 
 def _screen_dates(t: Tables) -> DataFrame:
@@ -186,7 +187,7 @@ QUERIES: dict[str, Query] = {
     "order_detail_rows": _over_tables(purchasing.order_detail_rows),
     "order_detail_nested": _over_tables(_nested_flat),
     "vendor_packets": _over_tables(_packets_flat),
-    "order_sheet_cells": _over_tables(_sheet_flat),
+    "order_sheet_cells": _sheet_flat,
     "order_print_grid": _over_tables(_grid_flat),
     # Labels
     "label_rows": _over_tables(lambda t: labels.label_rows(t, EVERY_SKU)),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Keys = str | int | DataFrame | None
 
@@ -30,15 +31,16 @@ def single_match(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.filter("_n = 1").select(*rows.columns)
 
 
-def splittable(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose partitioning by the text column `key` is hidden from the planner.
+def splittable(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose partitioning by the keys, at least one of them text, is hidden from the planner.
 
     AQE splits a hot join key only where both sides come straight from a shuffle. An aggregated or
     ranked side is already partitioned by the key and gets none, so the other side's hot key stays
     in one task. Rewriting the key as an equal expression makes the planner shuffle this (reduced)
     side once more and the join becomes splittable. A side small enough is still broadcast.
     """
-    return rows.withColumn(key, F.concat(F.col(key), F.lit("")))
+    text = next(k for k in keys if isinstance(rows.schema[k].dataType, StringType))
+    return rows.withColumn(text, F.concat(F.col(text), F.lit("")))
 
 
 def distinct_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,7 +48,7 @@ def distinct_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Copies meet in the map-side aggregate, so a hot key on the looked-up side costs one row per task.
     """
-    return splittable(rows.select(*keys).distinct(), keys[0])
+    return splittable(rows.select(*keys).distinct(), *keys)
 
 
 def restrict(rows: DataFrame, column: str, wanted: Keys) -> DataFrame:
@@ -84,7 +86,7 @@ def apply_changes(
         keys,
         [F.col(order).desc()] + [F.col(c).desc() for c in columns],
     ).select(*keys, F.struct(*columns).alias("_new"))
-    merged = base.join(splittable(latest, keys[0]), list(keys), "left")
+    merged = base.join(splittable(latest, *keys), list(keys), "left")
     return merged.select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
         for c in base.columns

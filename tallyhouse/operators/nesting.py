@@ -1,4 +1,8 @@
-"""Nested results whose arrays stay bounded however large a group is."""
+"""Nested results whose arrays stay bounded however large a group is.
+
+Callers first ask whether any group is oversized (one narrow aggregate). Ordinary data then takes
+the plain plan; the plan in parts scans and shuffles more and is used only where it is needed.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +20,10 @@ def oversized_groups(rows: DataFrame, keys: Sequence[str], part_rows: int) -> Da
     """Groups of more than `part_rows` rows, with the number of parts to cut them into.
 
     There are at most rows / part_rows of them. Count them on the narrowest table that has a row
-    for every element; counting too many only makes parts smaller. The first key is text.
+    for every element; counting too many only makes parts smaller. One key is text.
     """
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > part_rows)
-    return splittable(counted.select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts")), keys[0])
+    return splittable(counted.select(*keys, F.ceil(F.col("_rows") / part_rows).alias("_parts")), *keys)
 
 
 def list_parts(rows: DataFrame, oversized: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:

@@ -122,12 +122,15 @@ def order_document(t: Tables, tracking: Keys = None, part_rows: int = PART_ROWS)
     """
     headers = _document_headers(t, tracking)
     items = _document_items(t, None if tracking is None else headers)
-    blocks = collapse_copies(items, part_rows=part_rows)
     oversized = oversized_groups(t.order_items, ORDER_KEY, part_rows)
-    parts = list_parts(blocks, oversized, ORDER_KEY, [*ITEM_COLUMNS, "COPY_BLOCK"])
-    lists = parts.groupBy(*ORDER_KEY, "LIST_PART").agg(
-        repeat_copies(F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS, "COPIES"))), ITEM_COLUMNS).alias("ORDER_LIST")
-    )
+    if oversized.isEmpty():
+        parts = items.withColumn("LIST_PART", F.lit(0))
+        entries = F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS)))
+    else:
+        blocks = collapse_copies(items, part_rows=part_rows)
+        parts = list_parts(blocks, oversized, ORDER_KEY, [*ITEM_COLUMNS, "COPY_BLOCK"])
+        entries = repeat_copies(F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS, "COPIES"))), ITEM_COLUMNS)
+    lists = parts.groupBy(*ORDER_KEY, "LIST_PART").agg(entries.alias("ORDER_LIST"))
     empty = F.expr("array()").cast(lists.schema["ORDER_LIST"].dataType)
     return headers.join(lists, ORDER_KEY, "left").withColumns({
         "LIST_PART": F.coalesce("LIST_PART", F.lit(0)),

@@ -13,7 +13,8 @@ from tallyhouse.operators.ordering import running_total
 from tallyhouse.plans.catalog import distinct_sizes
 from tallyhouse.sources.tables import Tables
 
-SET_KEY = ["ORDER_DATE", "ORDER_SEQ", "PRODUCT_CODE"]
+# The number comes first because it tells orders apart: sorts compare it as one word.
+SET_KEY = ["ORDER_SEQ", "ORDER_DATE", "PRODUCT_CODE"]
 LINE_COLUMNS = [
     "ORDER_DATE", "ORDER_SEQ", "VENDOR_CODE", "VENDOR_NAME", "VENDOR_EMAIL", "ORDERS_FROM", "BRAND_CODE", "BRAND_NAME",
     "PRODUCT_CODE", "PRODUCT_TITLE", "PRODUCT_COLOR", "SHORT_SIZE_CODE", "SIZE_CODE", "ORDER_QTY", "EMPLOYEE_ID",
@@ -210,15 +211,18 @@ def order_detail_nested(
         F.collect_list(color), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
     )
     shown_color = lambda c: F.struct(*[c[f].alias(f) for f in ("PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES")])
+    whole_only = oversized.isEmpty()
+    divided = cells.withColumn("LIST_PART", F.lit(0)) if whole_only else list_parts(cells, oversized, SET_KEY, ["PRODUCT_COLOR"])
     parts = (
-        _color_rows(list_parts(cells, oversized, SET_KEY, ["PRODUCT_COLOR"]), "LIST_PART")
+        _color_rows(divided, "LIST_PART")
         .groupBy(*SET_KEY, "LIST_PART")
         .agg(*_set_totals(), F.transform(ordered, shown_color).alias("COLOR_VARIANT"))
     )
-    whole = _whole_group(cells.join(oversized, SET_KEY, "left_semi"), SET_KEY, _set_totals())
+    if not whole_only:
+        whole = _whole_group(cells.join(oversized, SET_KEY, "left_semi"), SET_KEY, _set_totals())
+        parts = _with_whole(parts, whole, SET_KEY, ["_last", "QTY_SUM"])
     return (
-        _with_whole(parts, whole, SET_KEY, ["_last", "QTY_SUM"])
-        .select(*_set_columns(*SET_KEY), "LIST_PART", "COLOR_VARIANT")
+        parts.select(*_set_columns(*SET_KEY), "LIST_PART", "COLOR_VARIANT")
         .drop("_first")
         .join(_size_lists(t), "PRODUCT_CODE", "left")
         .select(*SET_KEY, *SET_FIELDS, "TOTAL_QTY", "LIST_PART", "COLOR_VARIANT", "SIZE_VARIANT")
@@ -228,7 +232,7 @@ def order_detail_nested(
 def _whole_group(rows: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """Aggregates of oversized groups over all their parts, as one struct."""
     whole = rows.groupBy(*keys).agg(*aggregates)
-    return splittable(whole.select(*keys, F.struct(*[c for c in whole.columns if c not in keys]).alias("_whole")), keys[0])
+    return splittable(whole.select(*keys, F.struct(*[c for c in whole.columns if c not in keys]).alias("_whole")), *keys)
 
 
 def _with_whole(parts: DataFrame, whole: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -251,7 +255,7 @@ def vendor_packets(
     vendor names no buyer; `now` dates the attachment. Without vendor and brand the code is blank. PRODUCT_CODES lists the order sets; a
     packet of more than `part_rows` sets comes in several rows.
     """
-    packet = ["ORDER_DATE", "ORDER_SEQ", "VENDOR_CODE"]
+    packet = ["ORDER_SEQ", "ORDER_DATE", "VENDOR_CODE"]
     fields = ["VENDOR_NAME", "VENDOR_EMAIL", "ORDERS_FROM", "EMPLOYEE_ID", "EMPLOYEE_NAME"]
     blank = F.lit("")
     sets = order_sets(order_set_cells(t, order_date, order_seq)).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", blank))
@@ -259,14 +263,17 @@ def vendor_packets(
     lines = _ordered(t, order_date, order_seq).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", "BRAND_CODE", blank))
     oversized = oversized_groups(lines, packet, part_rows)
     head = [F.min(F.struct("_first", "PRODUCT_CODE", *fields)).alias("_head")]
-    lists = list_parts(sets, oversized, packet, ["PRODUCT_CODE"]).groupBy(*packet, "LIST_PART").agg(
+    whole_only = oversized.isEmpty()
+    divided = sets.withColumn("LIST_PART", F.lit(0)) if whole_only else list_parts(sets, oversized, packet, ["PRODUCT_CODE"])
+    lists = divided.groupBy(*packet, "LIST_PART").agg(
         *head, F.array_sort(F.collect_list(F.struct("_first", "PRODUCT_CODE"))).alias("_sets")
     )
-    whole = _whole_group(sets.join(oversized, packet, "left_semi"), packet, head)
+    if not whole_only:
+        lists = _with_whole(lists, _whole_group(sets.join(oversized, packet, "left_semi"), packet, head), packet, ["_head"])
     company = or_default(F.col("_head.ORDERS_FROM"), F.lit(default_company))
     number = zero_pad(F.col("ORDER_SEQ"), 10)
     file_date = f"{now[4:6]}-{now[6:8]}-{now[:4]}"
-    return _with_whole(lists, whole, packet, ["_head"]).select(
+    return lists.select(
         *packet,
         F.col("_head.VENDOR_NAME").alias("VENDOR_NAME"),
         F.split(F.coalesce("_head.VENDOR_EMAIL", F.lit("")), " ").alias("VENDOR_EMAILS"),
@@ -288,7 +295,8 @@ def order_sheet_cells(blocks: DataFrame) -> DataFrame:
     PRODUCT_TITLE, SIZES and COLORS (arrays of text), QTYS (one array of quantities per colour) and
     TOTAL_QTY. Each block gives a heading row and one row per colour, and is followed by an empty
     row. Quantities of zero are blank, and the product and the total stand on the first colour row.
-    Row numbers start at 1 in each batch.
+    Row numbers start at 1 in each batch. `blocks` is read three times, so it should be a stored
+    table rather than a long plan.
     """
     colors = F.size("QTYS")
     placed = running_total(blocks, ["BATCH_ID"], "BLOCK_KEY", colors + 2, "_offset")
