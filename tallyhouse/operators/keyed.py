@@ -32,15 +32,15 @@ def single_match(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def splittable(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose partitioning by the keys, at least one of them text, is hidden from the planner.
+    """Rows whose partitioning by the keys is hidden from the planner, given that one key is text.
 
     AQE splits a hot join key only where both sides come straight from a shuffle. An aggregated or
     ranked side is already partitioned by the key and gets none, so the other side's hot key stays
     in one task. Rewriting the key as an equal expression makes the planner shuffle this (reduced)
     side once more and the join becomes splittable. A side small enough is still broadcast.
     """
-    text = next(k for k in keys if isinstance(rows.schema[k].dataType, StringType))
-    return rows.withColumn(text, F.concat(F.col(text), F.lit("")))
+    text = next((k for k in keys if isinstance(rows.schema[k].dataType, StringType)), None)
+    return rows.withColumn(text, F.concat(F.col(text), F.lit(""))) if text else rows
 
 
 def distinct_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def restrict(rows: DataFrame, column: str, wanted: Keys) -> DataFrame:
     if wanted is None:
         return rows
     if isinstance(wanted, DataFrame):
-        keys = wanted.select(F.col(wanted.columns[0]).alias(column))
+        keys = wanted.select(F.col(wanted.columns[0]).cast(rows.schema[column].dataType).alias(column))
         return rows.join(distinct_keys(keys, [column]), column, "left_semi")
     return rows.filter(F.col(column) == F.lit(wanted))
 
