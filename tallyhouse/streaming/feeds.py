@@ -87,10 +87,13 @@ def stream_packing_alerts(t: Tables, requests: DataFrame) -> DataFrame:
 def stream_punches(t: Tables, punches: DataFrame, anchor: str, first_number: int = 1, dedupe: bool = False) -> DataFrame:
     """Accepted punches of a stream with event time and pay period.
 
+    The event time reads the clock as UTC, so that windows are whole days in any session zone.
     Every punch is kept unless `dedupe` drops repeats that arrive within a day. A time that is no
     valid date cannot have an event time and is left out.
     """
-    timed = accepted_punches(t, punches).withColumn("TS", F.try_to_timestamp("PUNCH_DTTM", F.lit("yyyyMMddHHmmss")))
+    timed = accepted_punches(t, punches).withColumn(
+        "TS", F.try_to_timestamp(F.concat("PUNCH_DTTM", F.lit("Z")), F.lit("yyyyMMddHHmmssX"))
+    )
     timed = timed.filter("TS is not null").withWatermark("TS", "1 day")
     if dedupe:
         timed = timed.dropDuplicatesWithinWatermark(["EMPLOYEE_ID", "PUNCH_DTTM"])
@@ -98,11 +101,12 @@ def stream_punches(t: Tables, punches: DataFrame, anchor: str, first_number: int
 
 
 def stream_punch_counts(punches: DataFrame, anchor: str) -> DataFrame:
-    """Punches per employee and pay period of `stream_punches`, as tumbling windows (session zone UTC)."""
+    """Punches per employee and pay period of `stream_punches`, as tumbling windows."""
     offset = (date.fromisoformat(anchor) - date(1970, 1, 1)).days % PERIOD_DAYS
     period = F.window("TS", f"{PERIOD_DAYS} days", startTime=f"{offset} days")
     return punches.groupBy(period.alias("_period"), "EMPLOYEE_ID").agg(F.count("*").alias("PUNCHES")).select(
-        F.col("_period.start").cast("date").alias("PERIOD_FROM"), "EMPLOYEE_ID", "PUNCHES"
+        F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("_period.start") / 86400).cast("int")).alias("PERIOD_FROM"),
+        "EMPLOYEE_ID", "PUNCHES",
     )
 
 
