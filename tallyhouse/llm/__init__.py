@@ -1 +1,10 @@
-"""Operations of a training-data pipeline. Nothing else in the library imports this package."""
+"""Operations of a training-data pipeline. Nothing else in the library imports this package.
+
+Its functions travel to the executors by value, so only the driver needs the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import mixing, sharding
+from tallyhouse.llm import chat, exact_search, mixing, neighbours, sharding
 from tallyhouse.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").where(exact_search.finite("embedding")).select(
+        F.col("vec_id").alias("id"), exact_search.whole_components("embedding", 256).alias("vec"))
+    return exact_search.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered_conversations(_table(spark, folder, "conversations"))
+
+
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return neighbours.nearest(vectors, vectors.where("id % 50 = 0"), 5)
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     records = _table(spark, folder, "documents").select(
         "doc_id", sharding.record_size("text").alias("size"), F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"))
@@ -31,8 +46,37 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_exact_search": op1_exact_search,
+    "op3_chat": op3_chat,
+    "op7_neighbours": op7_neighbours,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_search": """
+        with whole as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), pairs as (
+            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+            from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+        )
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+        from pairs qualify rank <= 5""",
+    "op3_chat": """
+        with turns as (
+            select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as position,
+                coalesce(role, '') as role, coalesce(text, '') as text
+            from conversations
+        ), prefixes as (
+            select conv_id, position, count(*) over (partition by conv_id) as n_turns,
+                string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over so_far as prefix,
+                string_agg('<|' || role || '|>\n' || text || '<|end|>\n', '') over so_far as text
+            from turns window so_far as (partition by conv_id order by position rows between unbounded preceding and current row)
+        ), whole as (
+            select n_turns, prefix, min(conv_id) as conv_id, min(text) as text from prefixes where position = n_turns group by all
+        )
+        select conv_id, n_turns, text from whole w
+        where not exists (select 1 from prefixes p where p.position < p.n_turns and p.position = w.n_turns and p.prefix = w.prefix)""",
+}
