@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, mixing, neighbours, sharding
+from tallyhouse.llm import chat, exact_search, mixing, neighbours, sharding, simhash
 from tallyhouse.llm.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op1_exact_search(spark: SparkSession, folder: str) -> DataFrame:
     return exact_search.exact_top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
+
+
 def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rendered_conversations(_table(spark, folder, "conversations"))
 
@@ -47,6 +52,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_search": op1_exact_search,
+    "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
     "op7_neighbours": op7_neighbours,
     "op8_sharding": op8_sharding,
