@@ -15,15 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyhouse.llm.storage import saved
+
 BLOCK = 64  # words
 SHARD = 4096  # slots of an output shard
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # the mix's words as a share of all words
 PASSES = 2  # no block is taken more often
 SEED = 20240229
-ROUNDS = 24
+ROUNDS = 16
 BUCKETS = 1024  # of a source's documents; a power of two
-RUN = 1 << 16  # slots that one row is unfolded into
+RUN = 1 << 13  # slots that one row is unfolded into
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,15 +106,17 @@ def slots(targets: DataFrame, block: int = BLOCK, passes: int = PASSES, shard: i
     dealt = targets.where("source_size > 0").select("source", blocks.cast("long").alias("blocks"), quota.alias("quota"))
     dealt = dealt.withColumn("first", F.coalesce(F.sum("quota").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     dealt = dealt.withColumn("all", F.sum("quota").over(W.partitionBy())).where("quota > 0")
-    runs = dealt.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / RUN)))).repartition("source", "run")
+    runs = dealt.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / RUN))))
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(tasks, "source", "run")  # a number that is not lowered: few rows unfold into many
     within = F.sequence(F.col("run") * RUN, F.least(F.col("quota"), (F.col("run") + 1) * RUN) - 1)
     numbered = runs.select("source", "blocks", "first", "all", F.explode(within).alias("n"))
     place = permuted(F.col("first") + F.col("n"), F.col("all"), F.lit(seed), inverse=True)
-    key = F.xxhash64(F.lit(seed), F.col("source"))
-    at = permuted(F.pmod(F.col("n"), F.col("blocks")), F.col("blocks"), F.xxhash64(key, F.floor(F.col("n") / F.col("blocks"))))
-    pass_ = F.floor(F.col("n") / F.col("blocks")).cast("int")
+    pass_ = F.floor(F.col("n") / F.col("blocks"))
+    at = permuted(F.pmod("n", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source", pass_))
     return numbered.withColumn("place", place).select(
-        F.floor(F.col("place") / shard).alias("output_shard"), F.pmod("place", F.lit(shard)).alias("slot"), "source", pass_.alias("pass"), at.alias("block"))
+        F.floor(F.col("place") / shard).alias("output_shard"), F.pmod("place", F.lit(shard)).alias("slot"),
+        "source", pass_.cast("int").alias("pass"), at.alias("block"))
 
 
 def shard_counts(plan: DataFrame) -> DataFrame:
@@ -121,27 +125,32 @@ def shard_counts(plan: DataFrame) -> DataFrame:
 
 
 def mixed_parts(documents: DataFrame, targets: DataFrame, source: str, size: str, order: list[str], block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """`block_parts` with `_uses`, how often the mix takes the part (0 to the number of passes). Whole documents are covered."""
+    """`block_parts` with `_uses`, how often the mix takes the part (0 to the number of passes), and `_shard`, the first output shard
+    that does. Whole documents are covered.
+    """
     parts = block_parts(documents, source, size, order, block)
-    uses = slots(targets, block, seed=seed).groupBy(F.col("source").alias("_of"), F.col("block").alias("_at")).agg(F.count("*").alias("_uses"))
+    plan = slots(targets, block, seed=seed)
+    uses = plan.groupBy(F.col("source").alias("_of"), F.col("block").alias("_at")).agg(F.count("*").alias("_uses"), F.min("output_shard").alias("_shard"))
+    uses = uses.hint("merge")  # its size is unknown before it runs, so it must not be broadcast
     same = parts[source].eqNullSafe(uses["_of"]) & (parts["_block"] == uses["_at"])
     return parts.join(uses, same, "left").drop("_of", "_at").withColumn("_uses", F.coalesce("_uses", F.lit(0)))
 
 
 def taken_words(documents: DataFrame, identity: list[str], source: str = "source", size: str = "size", block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """A row per document: identity, source, size, source_size, target and taken, the words the mix takes of it, repeats counted.
+    """A row per document: identity, source, size, source_size, target, taken (the words the mix takes of it, repeats counted)
+    and first_shard, the first output shard that holds some of them.
 
     `identity` orders a source's documents in its stream, whatever their partitions; rows equal in identity, source and size
     are interchangeable and are told apart by a number. Null sources are one source, null identities are values like any other. Documents
     without words take part with size 0 and taken 0. The same rows give the same mix.
     """
     same = documents.groupBy(*identity, source, size).agg(F.count("*").alias("_copies"))
-    told = same.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies")
+    told = saved(same.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies"), "sizes")
     targets = source_targets(told, source, size)
     order = [*identity, size, "_copy"]
     parts = mixed_parts(told, targets, source, size, order, block, seed)
-    taken = parts.groupBy(*order, source).agg(F.sum(F.col("_words") * F.col("_uses")).alias("taken"))
-    empty = told.where(F.col(size) == 0).withColumn("taken", F.lit(0).cast("long"))
+    taken = parts.groupBy(*order, source).agg(F.sum(F.col("_words") * F.col("_uses")).alias("taken"), F.min("_shard").alias("first_shard"))
+    empty = told.where(F.col(size) == 0).withColumns({"taken": F.lit(0).cast("long"), "first_shard": F.lit(None).cast("long")})
     every = taken.unionByName(empty.select(taken.columns)).drop("_copy")
     of = targets.withColumnRenamed("source", "_of")
     return every.join(of, every[source].eqNullSafe(of["_of"])).drop("_of")

@@ -47,7 +47,7 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
-    return mixing.taken_words(documents, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.taken_words(documents, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard")
 
 
 QUERIES: dict[str, Query] = {
