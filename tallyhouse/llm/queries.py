@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, mixing, neighbours, sharding, simhash
-from tallyhouse.llm.storage import new_folder
+from tallyhouse.llm import chat, exact_search, mixing, neighbours, packing, sharding, simhash
+from tallyhouse.llm.storage import new_folder, saved
+
+TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,18 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rendered_conversations(_table(spark, folder, "conversations"))
 
 
+def pieces(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents' pieces with the checksum of their ids in place of the ids, stored."""
+    import public_tokenizers
+
+    made = packing.tokenized(documents, columns, public_tokenizers.path(TOKENIZER))
+    return saved(made.withColumn("ids_crc32", packing.ids_crc32()).drop("ids"), "pieces")
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(pieces(_table(spark, folder, "documents"), ["doc_id"]))
+
+
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return neighbours.nearest(vectors, vectors.where("id % 50 = 0"), 5)
@@ -54,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_search": op1_exact_search,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op5_packing": op5_packing,
     "op7_neighbours": op7_neighbours,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
