@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, mixing, neighbours, packing, sharding, simhash
+from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, sharding, simhash
 from tallyhouse.llm.storage import new_folder, saved
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(pieces(_table(spark, folder, "documents"), ["doc_id"]))
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identified(_table(spark, folder, "documents"), ["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return neighbours.nearest(vectors, vectors.where("id % 50 = 0"), 5)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
     "op5_packing": op5_packing,
+    "op6_language": op6_language,
     "op7_neighbours": op7_neighbours,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
