@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, sharding, simhash
+from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, sharding, simhash
 from tallyhouse.llm.storage import new_folder, saved
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,12 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
                          F.col("_position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pages(spark: SparkSession, folder: str) -> DataFrame:
+    table = _table(spark, folder, "pages")
+    texts = pages.main_texts(table, pages.learned(table), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     return mixing.taken_words(documents, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard")
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op6_language": op6_language,
     "op7_neighbours": op7_neighbours,
     "op8_sharding": op8_sharding,
+    "op9_pages": op9_pages,
     "op10_mixing": op10_mixing,
 }
 
