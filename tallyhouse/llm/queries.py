@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, sharding, simhash
+from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, sharding, simhash, suffixes
 from tallyhouse.llm.storage import new_folder, saved
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,13 @@ def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rendered_conversations(_table(spark, folder, "conversations"))
 
 
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    found = suffixes.without_repeats(documents, ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pieces(documents: DataFrame, columns: list[str]) -> DataFrame:
     """The documents' pieces with the checksum of their ids in place of the ids, stored."""
     import public_tokenizers
@@ -79,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_search": op1_exact_search,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op4_suffixes": op4_suffixes,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_neighbours": op7_neighbours,
