@@ -30,6 +30,9 @@ RUN = 1 << 13  # slots that one row is unfolded into
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+WORD_AND_BLANKS = WORD + r"[\x20\x09-\x0D]*"
+
+
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -154,3 +157,31 @@ def taken_words(documents: DataFrame, identity: list[str], source: str = "source
     every = taken.unionByName(empty.select(taken.columns)).drop("_copy")
     of = targets.withColumnRenamed("source", "_of")
     return every.join(of, every[source].eqNullSafe(of["_of"])).drop("_of")
+
+
+def mixed_documents(documents: DataFrame, identity: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix as documents: a row for each document and pass of the mix that takes words of it, with these words as its text.
+
+    A text that a pass takes whole stays as it is; otherwise its words stand with the white space after them. The words add
+    up to `taken_words`. Null texts and texts without words yield no row. Other columns are repeated.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")  # so that no column's name can clash
+    keyed = documents.select(row, word_count(text).alias("_size"), F.xxhash64(text).alias("_digest"), F.xxhash64(identity).alias("_id"),
+                             F.col(identity).isNull().alias("_none"), F.xxhash64(source).alias("_of"))
+    keys = ["_digest", "_id", "_none", "_of"]  # never null, so joins and windows on them share one shuffle
+    told = keyed.select(*keys, F.col("_row")[source].alias("_kind"), "_size").groupBy(*keys, "_kind", "_size").agg(F.count("*").alias("_copies"))
+    told = saved(told.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies"), "sizes")
+    targets = source_targets(told, "_kind", "_size")
+    parts = mixed_parts(told.withColumnRenamed("_of", "_kind_hash"), targets, "_kind", "_size", ["_id", "_digest", "_none", "_size", "_copy"], block, seed)
+    part = F.struct(F.col("_from").cast("int").alias("first"), F.col("_words").cast("int").alias("words"), F.col("_uses").cast("int").alias("uses"))
+    plans = parts.withColumnRenamed("_kind_hash", "_of").groupBy(*keys, "_copy").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    copy = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))).cast("long")  # rows equal in the keys are interchangeable
+    joined = keyed.withColumn("_copy", copy).join(plans, [*keys, "_copy"])
+    passes = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["uses"]))))))
+    passes = passes.withColumn("_taken", F.filter("_parts", lambda p: p["uses"] >= F.col("_pass"))).where(F.size("_taken") > 0)
+    words = F.regexp_extract_all(F.col("_row")[text], F.lit(WORD_AND_BLANKS), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("_taken", lambda p: F.slice(F.col("_every"), p["first"] + 1, p["words"]))), "")
+    whole = F.size("_taken") == F.size("_parts")
+    passes = passes.withColumn("_every", F.when(~whole, words))
+    own = F.when(whole, F.col("_row")[text]).otherwise(some)
+    return passes.select(*((own if c == text else F.col("_row")[c]).alias(c) for c in documents.columns))

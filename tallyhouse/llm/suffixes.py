@@ -367,9 +367,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
     return reached.groupBy("doc", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = CLASS) -> DataFrame:
+def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = CLASS,
+                    as_text: bool = False) -> DataFrame:
     """The given columns of every document with kept (binary), the text's bytes less the removed ones, and spans, the maximal
-    removed runs as (start, end), in order.
+    removed runs as (start, end), in order. With `as_text`, kept is a string without the rest of characters that were cut through.
 
     A null text counts as empty. Texts below `length` bytes lose nothing. All copies of a text lose the same; none is spared.
     Documents may share an id or have none.
@@ -396,7 +397,8 @@ def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 spans.append([{"start": a, "end": b} for a, b in runs])
-            made = [pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            whole = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            made = [whole, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], [*columns, "kept", "spans"])
 
-    return joined.mapInArrow(run, f"{types}, kept binary, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(run, f"{types}, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
