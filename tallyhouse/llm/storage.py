@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}  # application -> the folder made for it
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where the setting is absent, as in tests, one is made and set for the session."""
+    """The cluster's shared folder. Where the setting is absent, as in tests, one is made and kept for the application."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set(SETTING, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
+        folder = _own[application]
     return folder.rstrip("/")
 
 
