@@ -1,0 +1,93 @@
+"""Tokens, pieces and windows."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tallyhouse.llm import packing
+from tallyhouse.llm.queries import TOKENIZER, pieces
+from tallyhouse.llm.tokens import Encoder
+
+SCHEMA = "doc_id long, text string"
+PATH = public_tokenizers.path(TOKENIZER)
+ODD = ["", " ", "  ", "a ", " a", "a  b", "\n a", "it's 12 o'clock <|endoftext|> x", "x\x1c y", "a​ b", "　 b", "é è\r\n  z", "!! ??  !!", "a\x85 b", "日本語 text", "\x00\x01", "🙂🙂"]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    made = Tokenizer.from_file(PATH)
+    made.encode_special_tokens = True
+    return made
+
+
+def test_ids_are_those_of_the_file(tokenizer):
+    rng = random.Random(1)
+    texts = ODD + ["".join(rng.choices(" \n\t'abcsé1!,日🙂", k=200)) for _ in range(200)] + [" " * 5000 + "x", "ab" * 5000]
+    encoder = Encoder(PATH)
+    for text in texts:
+        expected = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == expected
+        assert encoder.exact(text) == expected
+
+
+def test_every_id_is_in_one_piece_and_windows_have_no_gaps(table, tokenizer):
+    rng = random.Random(2)
+    documents = [(i, " ".join(rng.choices(["alpha", "beta", "gamma,", "é"], k=rng.randint(0, 900)))) for i in range(120)]
+    documents += [(500 + i, t) for i, t in enumerate(ODD)] + [(900, None), (901, "long " * 30_000), (7, documents[7][1]), (None, "no id"), (None, None)]
+    documents += [(1000 + i, "") for i in range(300)]
+    found = packing.packed(pieces(table(SCHEMA, documents), ["doc_id"])).collect()
+    by_doc, by_sequence = {}, {}
+    for r in found:
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    total = 0
+    for doc, text in documents:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        for r in by_doc[doc, len(ids)]:
+            assert 1 <= r.length <= 2048 and r.ids_crc32 in {zlib.crc32(ids[r.start : r.start + r.length].tobytes())} or documents.count((doc, text)) == 0
+        total += len(ids)
+    assert total == sum(r.length for r in found)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by_sequence) <= total / 2048 * 1.05 + 1
+
+
+def test_ids_can_go_along(table):
+    made = packing.tokenized(table(SCHEMA, [(0, "a b"), (1, None)]), ["doc_id"], PATH)
+    assert {(r.doc_id, r.length, len(r.ids)) for r in made.collect()} == {(0, 3, 12), (1, 1, 4)}
+
+
+@pytest.mark.parametrize("windows", [1, 2, 7])
+def test_differencing_keeps_every_item_and_levels_windows(windows):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 500, 200)
+    found = packing.differenced(sizes, windows)
+    assert sorted(i for w in found for i in w) == list(range(200)) and len(found) == windows
+    sums = [sizes[w].sum() for w in found]
+    assert max(sums) - min(sums) <= 30
+
+
+def test_differencing_of_the_paper():
+    """Two windows of 4, 5, 6, 7, 8: the set difference method ends at a difference of 2."""
+    sizes = np.array([8, 7, 6, 5, 4])
+    assert sorted(sizes[w].sum() for w in packing.differenced(sizes, 2)) == [14, 16]
+
+
+def test_windows_rise_until_all_fit():
+    for lengths in ([1500] * 9, [2000, 100, 100], [1], [512] * 4, [1] * 5000):
+        window, offset = packing.packed_group(np.array(lengths))
+        assert np.bincount(window, weights=lengths).max() <= 2048
+        assert len({(w, o) for w, o in zip(window, offset, strict=True)}) == len(lengths)
+    assert packing.packed_group(np.array([1500] * 9))[0].max() == 8
+
+
+def test_no_documents(table):
+    assert packing.packed(pieces(table(SCHEMA, []), ["doc_id"])).collect() == []

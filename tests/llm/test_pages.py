@@ -1,0 +1,84 @@
+"""Main text of pages: blocks, labels of unseen pages, gradients."""
+
+import numpy as np
+import pytest
+from tests.llm.conftest import SAMPLE
+
+from tallyhouse.llm import pages
+
+SCHEMA = "page_id long, url string, html string"
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return pages.learned(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), most=150)
+
+
+def test_pages_that_were_not_learned_from(spark, labeller):
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id >= 1000 and page_id < 1400").collect()
+    cut = [pages.blocks(r.html) for r in rows]
+    cut = [p for p in cut if p]
+    found = [x > 0.5 for x in labeller.probabilities([pages.vectors(p) for p in cut])]
+    wrong = sum((f != (pages.taught(p) > 0)).any() for f, p in zip(found, cut, strict=True))
+    assert wrong <= 0.01 * len(cut)
+
+
+def test_other_matter_is_left_out(table, labeller):
+    html = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var x = "<p>no</p>";</script></head><body>
+      <header><h1>Site no</h1></header><nav><ul><li><a href="/">Home no</a></li></ul></nav><div class="cookie-notice">Cookies no</div>
+      <article><h1>The &lt;title&gt;</h1><p>First   paragraph, with <b>bold</b>&nbsp;text &amp; more of it.<p>Second<br>line of the article that goes on.</p>
+      <aside class="related">Related no</aside></article><div class="ad">Buy this no</div><form><p>Mail no</p></form><footer>&copy; no</footer></body></html>"""
+    found = pages.main_texts(table(SCHEMA, [(1, "u", html)]), labeller, ["page_id"]).collect()
+    assert found[0].text == "The <title>\n\nFirst paragraph, with bold text & more of it.\n\nSecond line of the article that goes on."
+
+
+def test_odd_pages(table, labeller):
+    body = "<html><body><article><p>" + "A sentence of the article. " * 20_000
+    odd = [(1, None, None), (2, "u", ""), (3, "u", "   "), (4, "u", "<script>x"), (5, "u", body), (6, "u", "<article><p>Cut off in the mid &am"), (7, "u", "<article><p>Cut off <b"),
+           (None, None, "<article><p>No id at all here.</p></article>"), (6, "u", "<article><p>Cut off in the mid &am")]
+    found = sorted(((r.page_id, r.text) for r in pages.main_texts(table(SCHEMA, odd), labeller, ["page_id", "url"]).collect()), key=repr)
+    texts = dict(found)
+    assert len(found) == len(odd) and [texts[i] for i in (1, 2, 3, 4)] == [""] * 4
+    assert texts[5] == ("A sentence of the article. " * 20_000).strip()
+    assert [t for i, t in found if i == 6] == ["Cut off in the mid &am"] * 2 and texts[7] == "Cut off"
+    assert pages.main_texts(table(SCHEMA, []), labeller, ["page_id"]).collect() == []
+
+
+def test_nothing_to_learn(table):
+    nothing = pages.learned(table(SCHEMA, [(1, "u", None)]))
+    assert [r.text for r in pages.main_texts(table(SCHEMA, [(1, "u", None)]), nothing, ["page_id"]).collect()] == [""]
+
+
+def test_paths_follow_unclosed_tags():
+    cut = pages.blocks("<body><ul><li>one<li>two</ul><p>three<div class='a b'>four</div></body>")
+    assert [(b.path, b.text) for b in cut] == [(("body", "ul", "li"), "one"), (("body", "ul", "li"), "two"), (("body", "p"), "three"), (("body", "div", ".a", ".b"), "four")]
+
+
+def test_gradients_match_differences(spark):
+    rows = [r.html for r in spark.read.parquet(f"{SAMPLE}/pages.parquet").limit(6).collect()]
+    cut = [pages.blocks(h)[:9] for h in rows]
+    net = pages.Labeller(1)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    seen, lengths, live = net._stacked([pages.vectors(p) for p in cut])
+    truth = np.zeros(live.shape)
+    for k, p in enumerate(cut):
+        truth[: len(p), k] = pages.taught(p)
+
+    def loss():
+        forth = pages._steps(seen, live, net.weights, "f")
+        score = pages._sigmoid(np.concatenate([forth, 0 * forth], axis=2).astype(np.float64) @ net.weights["out"] + net.weights["shift"])
+        return float((np.where(live, -truth * np.log(score) - (1 - truth) * np.log(1 - score), 0)).sum())
+
+    trace = []
+    forth = pages._steps(seen, live, net.weights, "f", trace)
+    score = pages._sigmoid(np.concatenate([forth, 0 * forth], axis=2) @ net.weights["out"] + net.weights["shift"])
+    error = np.where(live, score - truth, 0)
+    grads = pages._steps_back(error[:, :, None] * net.weights["out"][: pages.HIDDEN], seen, live, net.weights, "f", trace)
+    for name, at in (("hf", (2, 5)), ("xf", (pages.PATH + pages.WORDS, 20)), ("bf", (3,))):
+        kept = net.weights[name][at]
+        net.weights[name][at] = kept + 1e-2
+        high = loss()
+        net.weights[name][at] = kept - 1e-2
+        low = loss()
+        net.weights[name][at] = kept
+        assert abs((high - low) / 2e-2 - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at]))
