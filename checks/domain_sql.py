@@ -14,21 +14,30 @@ _BRAND = "lpad(substr(p_brand, 7), 2, '0')"
 _VENDOR = "'V' || " + _padded("s_suppkey", 4)
 _LISTING_SKU = f"'1' || {_BRAND} || '-' || cast(p_partkey as varchar)"
 
+# Names that the clean-up leaves alone.
+KEPT = """['HC Womens Sleeveless T-Shirts, Round-Bottom', 'MP Instant Hand Saniziter (70% Ethanol, 500ml (16.9oz))',
+    'WO Hand Gel Sanitizer (72% Ethanol, 500ml (16.9oz))', 'Reusable Cotton/Spandex Mask - Black, 3P',
+    'PI Mens Super Slim Stretch Jeans PMD040023R, PMD029023R', 'SM Mens Premium Cargo Shorts (30-42), blue',
+    'Mens Crew Neck Short Sleeve T Shirts, blue', 'Unisex Fleece Sweat Shorts, blue', 'Mens Twill Cargo Shorts with Belt (30-40), blue',
+    'Womens Fur Lined Belted Coat (GJ1133), blue']"""
+
 VIEWS: dict[str, str] = {
     "inv_market": """
         select n_nationkey + 1 as MARKET_ID, n_name as BRAND_NAME, r_name as CHANNEL_NAME,
                'market_' || cast(n_nationkey + 1 as varchar) as MARKET_IMAGE_PATH
-        from nation join region on n_regionkey = r_regionkey where n_nationkey < 8""",
+        from nation join region on n_regionkey = r_regionkey""",
     "inv_inventory": f"""
         select p_partkey as PARTKEY,
                case when p_partkey % 13 = 0 then 'N' || cast(p_partkey as varchar)
                     else {_PART_CODE} || '-C' || cast(p_partkey % 4 as varchar) || '-S' || cast(p_size as varchar) end as STD_SKU,
                case p_partkey % 5 when 0 then p_name || ' Size: ' || cast(p_size as varchar)
-                    when 1 then p_name || ' (blue, L), extra' when 2 then p_name || ', no paren' else p_name end as PRODUCT_NAME,
+                    when 1 then p_name || ' (blue, L), extra' when 2 then p_name || ', no paren'
+                    when 3 then if(p_partkey % 25 = 3, {KEPT}[cast((p_partkey - 3) // 25 % 10 as int) + 1], p_name)
+                    else p_name end as PRODUCT_NAME,
                p_brand as PRODUCT_SUPPLIER, 'RAW' || cast(p_size as varchar) as PRODUCT_SIZE,
                case when p_partkey % 9 = 0 then null else cast(p_size as varchar) end as SIZE_CODE,
                case p_partkey % 4 when 0 then 'RED' when 1 then p_type || '_dark navy' when 2 then 'A_B_' || p_type
-                    else p_type || '_ green ' end as PRODUCT_COLOR,
+                    else p_type || if(p_partkey % 20 = 3, '_ ', '_ green ') end as PRODUCT_COLOR,
                p_type as PRODUCT_DESIGN, case when p_partkey % 17 = 0 then 'N' else 'Y' end as VALID_YN
         from part""",
     "inv_std_size": """
@@ -54,14 +63,14 @@ VIEWS: dict[str, str] = {
         select {_PART_CODE.replace('p_partkey', 'PARTKEY')} as PRODUCT_CODE, STD_SKU
         from inv_inventory where PARTKEY % 40 < 32""",
     "inv_manufacturing_map": """
-        select PRODUCT_CODE, STD_SKU, 'M' || PRODUCT_CODE as MANUFACTURING_CODE, 'Mfg ' || PRODUCT_CODE as MANUFACTURING_TITLE,
+        select PRODUCT_CODE, STD_SKU, 'M' || PRODUCT_CODE || if(STD_SKU like '%-C3-%', 'B', '') as MANUFACTURING_CODE, 'Mfg ' || PRODUCT_CODE as MANUFACTURING_TITLE,
                case when STD_SKU like '%-C1-%' then '' else 'mfg ' || STD_SKU end as MANUFACTURING_COLOR
         from inv_product_map
         where STD_SKU like 'P%' and substr(PRODUCT_CODE, 6, 2) in ('00','04','20','44','60')""",
     "inv_image": """
         select PARTKEY * 100 + n_nationkey as IMAGE_ID, STD_SKU as SKU,
                'http://img.example.test/' || cast(PARTKEY * 100 + n_nationkey as varchar) as IMAGE_PATH, 'src' as IMAGE_SOURCE
-        from inv_inventory join nation on n_nationkey < PARTKEY % 13""",
+        from inv_inventory join nation on n_nationkey < if(PARTKEY % 7 = 0, 0, PARTKEY % 13)""",
     "inv_listing": f"""
         select p_partkey * 100 + MARKET_ID * 10 + b.r_regionkey as LISTING_ITEM_ID, i.STD_SKU, MARKET_ID,
                {_LISTING_SKU} as LISTING_SKU, p_name || ' listing' as LISTING_PRODUCT_NAME,
@@ -101,7 +110,8 @@ VIEWS: dict[str, str] = {
                c_mktsegment as DEPARTMENT_NAME, '20240101000000' as LAST_LOGIN_DTTM
         from customer where c_custkey % 3 <> 0""",
     "inv_product_order": f"""
-        select replace(cast(cast(l_shipdate as date) as varchar), '-', '') as ORDER_DATE, l_orderkey as ORDER_SEQ, i.STD_SKU,
+        select case when l_orderkey % 97 <> 0 then strftime(l_shipdate, '%Y') || lpad(cast(i.PARTKEY // 4 % 12 + 1 as varchar), 2, '0') || '15' end as ORDER_DATE,
+               case when l_orderkey % 89 <> 0 then (year(l_shipdate) - 1990) * 12 + i.PARTKEY // 4 % 12 + 1 end as ORDER_SEQ, i.STD_SKU,
                m.PRODUCT_CODE,
                case when l_linenumber % 2 = 0 then lpad(substr(i.PRODUCT_SUPPLIER, 7), 2, '0') else null end as BRAND_CODE,
                case when l_linenumber % 2 = 0 then null else {_VENDOR.replace('s_suppkey', 'l_suppkey')} end as VENDOR_CODE,
@@ -128,8 +138,8 @@ VIEWS: dict[str, str] = {
         from customer""",
     "req_punch": """
         select cast(user_id as varchar) as EMPLOYEE_ID,
-               substr(strftime(ts, '%Y%m%d%H%M%S'), 1, case when event_id % 50 = 0 then 13 else 14 end) as PUNCH_DTTM
-        from events where event_type = 'click'""",
+               substr(strftime(ts, '%Y%m%d%H%M%S'), 1, case when event_id % 50 = 0 or event_type = 'error' then 13 else 14 end) as PUNCH_DTTM
+        from events""",
     "req_order_line": f"""
         select '20240201' as ORDER_DATE, i.STD_SKU, m.PRODUCT_CODE, {_BRAND} as BRAND_CODE, cast(null as varchar) as VENDOR_CODE,
                cast(p_partkey % 10 + 1 as int) as ORDER_QTY, '101500' as ORDER_TM, cast(p_partkey % 150 as varchar) as EMPLOYEE_ID

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tallyhouse.operators.ordering import sorted_page
 from tallyhouse.plans import catalog, employees, jobs, labels, orders, packing, punches, purchasing, sales
 from tallyhouse.sample import feeds
 from tallyhouse.sample.tables import load, tables
-from tallyhouse.sources.storage import work_folder
+from tallyhouse.sources.storage import SHARED_SETTINGS, work_folder
 from tallyhouse.sources.tables import Tables
 from tallyhouse.streaming import feeds as streams
 
@@ -36,6 +37,17 @@ def _from(name: str, feed: Callable[[DataFrame], DataFrame], plan: Callable[[Tab
     return lambda spark, folder: plan(tables(spark, folder), feed(load(spark, folder, name)))
 
 
+def _shared(query: Query) -> Query:
+    """The query in a session that names a shared folder; where none is named, these checks run on one machine and use a local one."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        if not any(spark.conf.get(setting, None) for setting in SHARED_SETTINGS):
+            spark.conf.set(SHARED_SETTINGS[-1], f"file://{tempfile.mkdtemp(prefix='checks-')}")
+        return query(spark, folder)
+
+    return run
+
+
 def _joined(column: str) -> F.Column:
     return F.array_join(column, "|", "null").alias(column)
 
@@ -44,25 +56,16 @@ def _tracking(t: Tables) -> DataFrame:
     return orders.orders_by_tracking(t, t.orders.select(F.col("CHANNEL_ORDER_NO")))
 
 
-def _document_flat(t: Tables) -> DataFrame:
-    document = orders.order_document(t)
-    header = [c for c in document.columns if c not in ("LIST_PART", "ORDER_LIST")]
-    return document.select(*header, F.explode_outer("ORDER_LIST").alias("i")).select(*header, "i.*")
-
-
 def _nested_flat(t: Tables) -> DataFrame:
-    sets = purchasing.order_detail_nested(t)
-    header = [*purchasing.SET_KEY, *purchasing.SET_FIELDS, "TOTAL_QTY"]
-    colors = sets.select(*header, F.array_join(F.transform("SIZE_VARIANT", lambda s: s["SHORT_SIZE_CODE"]), "|").alias("ALL_SIZES"),
-                         F.posexplode("COLOR_VARIANT").alias("COLOR_NO", "c"))
-    return colors.select(*header, "ALL_SIZES", "COLOR_NO", "c.PRODUCT_COLOR", "c.MANUFACTURING_COLOR",
-                         F.explode("c.SIZES").alias("SIZE_CODE", "v")).select("*", "v.SHORT_SIZE_CODE", "v.ORDER_QTY").drop("v")
+    rows = purchasing.order_detail_nested(t)
+    rows = rows.withColumn("ALL_SIZES", F.array_join(F.transform("SIZE_VARIANT", lambda s: s["SHORT_SIZE_CODE"]), "|"))
+    header = [c for c in rows.columns if c not in ("SIZES", "SIZE_VARIANT")]
+    return rows.select(*header, F.explode("SIZES").alias("SIZE_CODE", "v")).select("*", "v.SHORT_SIZE_CODE", "v.ORDER_QTY").drop("v")
 
 
 def _packets_flat(t: Tables) -> DataFrame:
     packets = purchasing.vendor_packets(t, NOW, COMPANY)
-    return packets.withColumn("VENDOR_EMAILS", _joined("VENDOR_EMAILS")).withColumn(
-        "PRODUCT_CODE", F.explode("PRODUCT_CODES")).drop("PRODUCT_CODES", "LIST_PART")
+    return packets.withColumn("VENDOR_EMAILS", _joined("VENDOR_EMAILS"))
 
 
 def _grid_flat(t: Tables) -> DataFrame:
@@ -70,10 +73,8 @@ def _grid_flat(t: Tables) -> DataFrame:
     return grid.withColumn("SIZES", _joined("SIZES")).withColumn("CELLS", _joined("CELLS"))
 
 
-def _sheet_flat(spark: SparkSession, folder: str) -> DataFrame:
-    stored = work_folder(spark, "sheet-blocks")
-    feeds.sheet_blocks(tables(spark, folder)).write.parquet(stored)
-    return purchasing.order_sheet_cells(spark.read.parquet(stored)).withColumn("CELLS", _joined("CELLS"))
+def _sheet_flat(t: Tables) -> DataFrame:
+    return purchasing.order_sheet_cells(purchasing.sheet_lines(t), NOW).withColumn("CELLS", _joined("CELLS"))
 
 
 def _screen_dates(t: Tables) -> DataFrame:
@@ -131,7 +132,7 @@ def _ids(t: Tables) -> DataFrame:
     return t.orders.select("EMPLOYEE_ID").filter("EMPLOYEE_ID is not null")
 
 
-QUERIES: dict[str, Query] = {
+_QUERIES: dict[str, Query] = {
     # Orders and fulfilment
     "market_meta": _over_tables(lambda t: orders.market_meta(t, unknown=True)),
     "orders_by_tracking": _over_tables(_tracking),
@@ -142,7 +143,7 @@ QUERIES: dict[str, Query] = {
         lambda t: orders.brand_by_code(t, t.listings.select(orders.brand_code_of(F.col("LISTING_SKU"))))
     ),
     "images_by_sku": _over_tables(lambda t: orders.images_by_sku(t, t.product_map.select("STD_SKU"))),
-    "order_document": _over_tables(_document_flat),
+    "order_document": _over_tables(orders.order_document),
     "order_document_lines": _over_tables(orders.order_document_lines),
     "packing_update_orders": _requests(lambda t, r: packing.packing_update(r, NOW).order_changes),
     "packing_update_items": _requests(lambda t, r: packing.packing_update(r, NOW).item_changes),
@@ -187,7 +188,7 @@ QUERIES: dict[str, Query] = {
     "order_detail_rows": _over_tables(purchasing.order_detail_rows),
     "order_detail_nested": _over_tables(_nested_flat),
     "vendor_packets": _over_tables(_packets_flat),
-    "order_sheet_cells": _sheet_flat,
+    "order_sheet_cells": _over_tables(_sheet_flat),
     "order_print_grid": _over_tables(_grid_flat),
     # Labels
     "label_rows": _over_tables(lambda t: labels.label_rows(t, EVERY_SKU)),
@@ -218,3 +219,5 @@ QUERIES: dict[str, Query] = {
     "stream_punch_counts": _stream_punch_counts,
     "stream_purchase_orders": _stream_orders,
 }
+
+QUERIES: dict[str, Query] = {name: _shared(query) for name, query in _QUERIES.items()}

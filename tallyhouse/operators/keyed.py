@@ -68,7 +68,7 @@ def between_dates(rows: DataFrame, column: str, start: str, end: str) -> DataFra
     """
     rows = rows.filter(F.col(column).between(F.lit(start), F.lit(end)))
     if column == "ORDER_DATE" and "ORDER_MONTH" in rows.columns:
-        rows = rows.filter(F.col("ORDER_MONTH").cast("int").between(int(start[:6]), int(end[:6])))
+        rows = rows.filter(F.col("ORDER_MONTH").cast("string").between(start[:6], end[:6]))
     return rows
 
 

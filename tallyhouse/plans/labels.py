@@ -13,6 +13,7 @@ from tallyhouse.sources.tables import Tables
 
 LABELS_PER_PAGE = 4
 LABEL_COLUMNS = ["STD_SKU", "PRODUCT_CODE", "SIZE", "COLOR", "NAME"]
+LABEL_ORDER = ["STD_SKU", "SIZE", "COLOR", "NAME", "IMAGE_PATH"]
 
 
 def _matching(t: Tables, prefix: str) -> DataFrame:
@@ -64,9 +65,9 @@ def label_split(t: Tables, prefix: str) -> LabelSplit:
 
 
 def label_pages(t: Tables, prefix: str) -> DataFrame:
-    """Printable labels with page and slot, four to a page, in STD_SKU order."""
+    """Printable labels with page and slot, four to a page, in STD_SKU order; other columns settle equal SKUs."""
     printable = label_split(t, prefix).printable
-    numbered = running_total(printable, [], "STD_SKU", F.lit(1), "_position", keys_from=_matching(t, prefix))
+    numbered = running_total(printable, [], LABEL_ORDER, F.lit(1), "_position")
     return numbered.select(
         F.floor(F.col("_position") / LABELS_PER_PAGE).alias("PAGE"),
         (F.col("_position") % LABELS_PER_PAGE).alias("SLOT"),

@@ -59,14 +59,13 @@ def sku_profile(t: Tables) -> DataFrame:
 
     Several listings of one SKU have no order of their own; the lowest LISTING_ITEM_ID is taken.
     """
-    pick = [F.col("LISTING_ITEM_ID"), F.col("STD_SKU")]
-    linked = first_per_key(linked_listings(t).drop("PRODUCT_NAME"), LISTING_KEY, pick)
+    linked = linked_listings(t).drop("PRODUCT_NAME").withColumn("_kind", F.lit(0))
+    unlinked = valid(t.unlinked_listings).drop("VALID_YN").withColumn("_kind", F.lit(1))
+    offers = linked.unionByName(unlinked, allowMissingColumns=True)
+    pick = [F.col(c) for c in ("_kind", "LISTING_ITEM_ID", "STD_SKU", "LISTING_PRODUCT_NAME")]
+    first = first_per_key(offers, LISTING_KEY, pick).drop("_kind")
     images = splittable(first_images(t), "SKU")
-    linked = linked.join(images, F.col("STD_SKU") == F.col("SKU"), "left")
-    unlinked = first_per_key(
-        valid(t.unlinked_listings).drop("VALID_YN"), LISTING_KEY, [F.col("LISTING_ITEM_ID"), F.col("LISTING_PRODUCT_NAME")]
-    ).join(distinct_keys(linked_listings(t), LISTING_KEY), LISTING_KEY, "left_anti")
-    return splittable(linked.unionByName(unlinked, allowMissingColumns=True), "LISTING_SKU")
+    return splittable(first.join(images, F.col("STD_SKU") == F.col("SKU"), "left"), "LISTING_SKU")
 
 
 def market_names(t: Tables, unknown: bool = False) -> DataFrame:

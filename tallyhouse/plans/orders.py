@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import yn, zero_pad
 from tallyhouse.operators.keyed import Keys, distinct_keys, first_per_key, restrict, single_match, splittable
-from tallyhouse.operators.nesting import PART_ROWS, collapse_copies, list_parts, oversized_groups, repeat_copies
 from tallyhouse.plans.listings import LISTING_KEY, linked_listings, market_names, sku_profile, valid
 from tallyhouse.sources.tables import Tables
 
@@ -114,25 +113,23 @@ def order_document_lines(t: Tables, tracking: Keys = None) -> DataFrame:
     return with_items.unionByName(without, allowMissingColumns=True).select(*headers.columns, *ITEM_COLUMNS)
 
 
-def order_document(t: Tables, tracking: Keys = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """Order header with the array ORDER_LIST of enriched items, sorted by listing SKU.
+def order_document(t: Tables, tracking: Keys = None) -> DataFrame:
+    """Order headers with their enriched items: a row per order and different item, with the number of its COPIES.
 
-    An order of more than `part_rows` items comes as several rows (LIST_PART 0, 1, ...), so that
-    no array grows without bound; together they hold every item.
+    Equal items are counted before they meet, so an order with very many of them is no hot key. An order without items
+    has one row with null item columns and no copies.
     """
     headers = _document_headers(t, tracking)
     items = _document_items(t, None if tracking is None else headers)
-    oversized = oversized_groups(t.order_items, ORDER_KEY, part_rows)
-    if oversized.isEmpty():
-        parts = items.withColumn("LIST_PART", F.lit(0))
-        entries = F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS)))
-    else:
-        blocks = collapse_copies(items, part_rows=part_rows)
-        parts = list_parts(blocks, oversized, ORDER_KEY, [*ITEM_COLUMNS, "COPY_BLOCK"])
-        entries = repeat_copies(F.array_sort(F.collect_list(F.struct(*ITEM_COLUMNS, "COPIES"))), ITEM_COLUMNS)
-    lists = parts.groupBy(*ORDER_KEY, "LIST_PART").agg(entries.alias("ORDER_LIST"))
-    empty = F.expr("array()").cast(lists.schema["ORDER_LIST"].dataType)
-    return headers.join(lists, ORDER_KEY, "left").withColumns({
-        "LIST_PART": F.coalesce("LIST_PART", F.lit(0)),
-        "ORDER_LIST": F.coalesce("ORDER_LIST", empty),
-    })
+    counted = items.groupBy(*ORDER_KEY, *ITEM_COLUMNS).agg(F.count("*").alias("COPIES"))
+    with_items = counted.join(headers, ORDER_KEY)
+    without = headers.join(distinct_keys(t.order_items, ORDER_KEY), ORDER_KEY, "left_anti").withColumn("COPIES", F.lit(0).cast("bigint"))
+    return with_items.unionByName(without, allowMissingColumns=True).select(*headers.columns, *ITEM_COLUMNS, "COPIES")
+
+
+def order_document_list(t: Tables, tracking: Keys) -> DataFrame:
+    """The look-up of scanned orders: each header with the array ORDER_LIST of its different items and their COPIES, by listing SKU."""
+    rows = order_document(t, tracking)
+    header = [c for c in rows.columns if c not in (*ITEM_COLUMNS, "COPIES")]
+    item = F.when(F.col("COPIES") > 0, F.struct(*ITEM_COLUMNS, "COPIES"))
+    return rows.groupBy(*header).agg(F.array_sort(F.collect_list(item)).alias("ORDER_LIST"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE
+from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE, sheet_title
 from tallyhouse.functions.text import color_tail, lenient_name, or_default, shown, strip_whitespace, zero_pad
 from tallyhouse.operators.keyed import between_dates, splittable
-from tallyhouse.operators.nesting import PART_ROWS, list_parts, oversized_groups
 from tallyhouse.operators.ordering import running_total
 from tallyhouse.plans.catalog import distinct_sizes
 from tallyhouse.sources.tables import Tables
@@ -73,12 +72,18 @@ def order_history(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> D
     (product, SKU) key in the manufacturing map counts the line once per repetition.
     """
     made = t.manufacturing_map.select("PRODUCT_CODE", "STD_SKU", "MANUFACTURING_CODE")
-    return (
+    codes = [*SET_KEY, "BRAND_CODE", "VENDOR_CODE", "EMPLOYEE_ID"]
+    # Lines are summed by codes before any name is joined; names then come to the sums.
+    by_code = (
         between_dates(t.product_orders, "ORDER_DATE", start, end)
-        .join(_brand_names(t), "BRAND_CODE", "left")
-        .join(_vendor_names(t), "VENDOR_CODE", "left")
-        .join(_staff_names(t), "EMPLOYEE_ID", "left")
         .join(made, ["PRODUCT_CODE", "STD_SKU"], "left")
+        .groupBy(*codes)
+        .agg(F.sum("ORDER_QTY").alias("_qty"), F.min(F.coalesce("MANUFACTURING_CODE", F.lit(""))).alias("_made"))
+    )
+    return (
+        by_code.join(splittable(_brand_names(t), "BRAND_CODE"), "BRAND_CODE", "left")
+        .join(splittable(_vendor_names(t), "VENDOR_CODE"), "VENDOR_CODE", "left")
+        .join(splittable(_staff_names(t), "EMPLOYEE_ID"), "EMPLOYEE_ID", "left")
         .join(t.products.select("PRODUCT_CODE", "PRODUCT_TITLE"), "PRODUCT_CODE")
         .groupBy(
             *SET_KEY, "PRODUCT_TITLE",
@@ -87,8 +92,8 @@ def order_history(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> D
         )
         .agg(
             F.min(F.coalesce("VENDOR_NAME", "BRAND_NAME")).alias("VENDOR_NAME"),
-            F.sum("ORDER_QTY").alias("TOTAL_QTY"),
-            F.min(F.coalesce("MANUFACTURING_CODE", F.lit(""))).alias("MANUFACTURING_CODE"),
+            F.sum("_qty").alias("TOTAL_QTY"),
+            F.min("_made").alias("MANUFACTURING_CODE"),
         )
         .select(
             "ORDER_DATE", "ORDER_SEQ", "VENDOR_NAME", "PRODUCT_CODE", "PRODUCT_TITLE", "TOTAL_QTY", "STAFF",
@@ -141,50 +146,85 @@ def order_detail_rows(t: Tables, order_date: str | None = None, order_seq: int |
 
 
 def order_set_cells(t: Tables, order_date: str | None = None, order_seq: int | None = None) -> DataFrame:
-    """One row per order, product, colour and size.
+    """One row per order, product, colour and size, with codes only.
 
-    ORDER_QTY is the last line's quantity, QTY_SUM that of all lines. `_last` keeps the last line
+    ORDER_QTY is the last line's quantity, QTY_SUM that of all lines. `_last` keeps the codes of the last line
     and `_first` the first SKU, from which the coarser levels are built without a second scan.
     """
-    lines = _detail_lines(t, order_date, order_seq).withColumn(
-        "PRODUCT_COLOR", strip_whitespace(color_tail(F.col("PRODUCT_COLOR")))
+    blank = F.lit("")
+    lines = (
+        _ordered(t, order_date, order_seq)
+        .join(t.manufacturing_map.drop("MANUFACTURING_TITLE"), ["PRODUCT_CODE", "STD_SKU"], "left")
+        .join(t.inventory.select("STD_SKU", "PRODUCT_COLOR", "SIZE_CODE"), "STD_SKU")
+        .join(t.sizes.select("SIZE_CODE", "SHORT_SIZE_CODE"), "SIZE_CODE")
+        .withColumns({
+            "_vendor": F.col("VENDOR_CODE"),
+            "VENDOR_CODE": F.coalesce("VENDOR_CODE", "BRAND_CODE"),
+            "MANUFACTURING_CODE": F.coalesce("MANUFACTURING_CODE", blank),
+            "MANUFACTURING_COLOR": F.coalesce("MANUFACTURING_COLOR", blank),
+            "PRODUCT_COLOR": strip_whitespace(color_tail(F.col("PRODUCT_COLOR"))),
+        })
     )
-    rest = [c for c in (*SET_FIELDS, "SHORT_SIZE_CODE") if c not in LINE_ORDER]
     return (
         lines.groupBy(*SET_KEY, "PRODUCT_COLOR", "SIZE_CODE")
         .agg(
-            F.max(F.struct(*LINE_ORDER, *rest)).alias("_last"),
+            F.max(F.struct(*LINE_ORDER, "_vendor")).alias("_last"),
+            F.max("SHORT_SIZE_CODE").alias("SHORT_SIZE_CODE"),
             F.sum("ORDER_QTY").alias("QTY_SUM"),
             F.min("STD_SKU").alias("_first"),
         )
-        .withColumn("SHORT_SIZE_CODE", F.col("_last.SHORT_SIZE_CODE"))
         .withColumn("ORDER_QTY", F.col("_last.ORDER_QTY"))
     )
 
 
-def _set_totals() -> list[Column]:
-    """Aggregates from which the fields of an order set are read; they add up over colours and parts."""
-    return [F.max("_last").alias("_last"), F.sum("QTY_SUM").alias("QTY_SUM"), F.min("_first").alias("_first")]
-
-
-def _set_columns(*keys: str) -> list[Column]:
-    return [
-        *[F.col(k) for k in keys], *[F.col(f"_last.{f}").alias(f) for f in SET_FIELDS],
-        F.coalesce("QTY_SUM", F.lit(0)).alias("TOTAL_QTY"), F.col("_first"),
-    ]
+def _named(t: Tables, sets: DataFrame) -> DataFrame:
+    """Adds the header fields of the set's last line, whose codes are in `_last`; sets of unknown products are left out."""
+    coded = sets.select(
+        "*", F.col("_last._vendor").alias("_vendor"),
+        *[F.col(f"_last.{c}").alias(c) for c in ("VENDOR_CODE", "BRAND_CODE", "EMPLOYEE_ID", "MANUFACTURING_CODE")],
+    )
+    vendors = _vendor_names(t).withColumnRenamed("VENDOR_CODE", "_vendor")
+    named = (
+        coded.join(_brand_names(t), "BRAND_CODE", "left")
+        .join(vendors, "_vendor", "left")
+        .join(_staff_names(t), "EMPLOYEE_ID", "left")
+        .join(t.products.select("PRODUCT_CODE", "PRODUCT_TITLE"), "PRODUCT_CODE")
+    )
+    return named.withColumns({
+        "VENDOR_NAME": F.coalesce("VENDOR_NAME", "BRAND_NAME"),
+        "VENDOR_EMAIL": F.coalesce("VENDOR_EMAIL", "EMAIL"),
+        "ORDERS_FROM": F.coalesce("_vendor_from", "_brand_from"),
+        "EMPLOYEE_NAME": _staff(),
+    })
 
 
-def order_sets(cells: DataFrame) -> DataFrame:
+def order_sets(t: Tables, cells: DataFrame) -> DataFrame:
     """One row per order and product: fields of its last line, total of all its lines."""
-    return cells.groupBy(*SET_KEY).agg(*_set_totals()).select(*_set_columns(*SET_KEY))
+    sets = cells.groupBy(*SET_KEY).agg(
+        F.max("_last").alias("_last"), F.coalesce(F.sum("QTY_SUM"), F.lit(0)).alias("TOTAL_QTY"), F.min("_first").alias("_first")
+    )
+    return _named(t, sets).select(*SET_KEY, *SET_FIELDS, "TOTAL_QTY", "_first")
+
 
+def _color_rows(t: Tables, cells: DataFrame) -> DataFrame:
+    """One row per order, product and colour: the set's fields and total, the colour's number and a map of size code to cell.
 
-def _color_rows(cells: DataFrame, *extra: str) -> DataFrame:
-    """One row per order, product and colour with a map of size code to cell (at most one per known size)."""
+    The map has at most one entry per known size. Set values come from a window over the colours, so cells are read once.
+    """
     cell = F.struct("SHORT_SIZE_CODE", "ORDER_QTY")
-    sizes = F.map_from_entries(F.collect_list(F.struct("SIZE_CODE", cell))).alias("SIZES")
-    colors = cells.groupBy(*SET_KEY, *extra, "PRODUCT_COLOR").agg(*_set_totals(), sizes)
-    return colors.withColumn("MANUFACTURING_COLOR", F.col("_last.MANUFACTURING_COLOR"))
+    colors = cells.groupBy(*SET_KEY, "PRODUCT_COLOR").agg(
+        F.max("_last").alias("_own"), F.sum("QTY_SUM").alias("_qty"), F.min("_first").alias("FIRST_SKU"),
+        F.map_from_entries(F.collect_list(F.struct("SIZE_CODE", cell))).alias("SIZES"),
+    )
+    whole = Window.partitionBy(*SET_KEY)
+    colors = colors.withColumns({
+        "_last": F.max("_own").over(whole),
+        "TOTAL_QTY": F.coalesce(F.sum("_qty").over(whole), F.lit(0)),
+        "COLORS": F.count("*").over(whole),
+        "COLOR_NO": F.row_number().over(whole.orderBy("FIRST_SKU", "PRODUCT_COLOR")) - 1,
+        "MANUFACTURING_COLOR": F.col("_own.MANUFACTURING_COLOR"),
+    })
+    return _named(t, colors)
 
 
 def _size_lists(t: Tables) -> DataFrame:
@@ -194,86 +234,52 @@ def _size_lists(t: Tables) -> DataFrame:
     return splittable(lists, "PRODUCT_CODE")
 
 
-def order_detail_nested(
-    t: Tables, order_date: str | None = None, order_seq: int | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Per order and product: header, total, the array COLOR_VARIANT of colours with their size maps, product sizes.
+def _with_sizes(t: Tables, rows: DataFrame) -> DataFrame:
+    """Adds SIZE_VARIANT, empty for a product without sizes."""
+    none = F.expr("cast(array() as array<struct<SIZE_ORDER:int,SIZE_CODE:string,SHORT_SIZE_CODE:string>>)")
+    return rows.join(_size_lists(t), "PRODUCT_CODE", "left").withColumn("SIZE_VARIANT", F.coalesce("SIZE_VARIANT", none))
 
-    A colour and size ordered twice shows the last line, while the total counts both. Colours come
-    in the order of their first SKU. A product with more than `part_rows` cells comes in several rows.
-    """
-    cells = order_set_cells(t, order_date, order_seq)
-    oversized = oversized_groups(_ordered(t, order_date, order_seq), SET_KEY, part_rows)
-    color = F.struct("_first", "PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES")
-    # Maps cannot be compared, so colours are compared by their first SKU and name.
-    place = lambda c: F.struct(c["_first"], c["PRODUCT_COLOR"])
-    ordered = F.array_sort(
-        F.collect_list(color), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
-    )
-    shown_color = lambda c: F.struct(*[c[f].alias(f) for f in ("PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES")])
-    whole_only = oversized.isEmpty()
-    divided = cells.withColumn("LIST_PART", F.lit(0)) if whole_only else list_parts(cells, oversized, SET_KEY, ["PRODUCT_COLOR"])
-    parts = (
-        _color_rows(divided, "LIST_PART")
-        .groupBy(*SET_KEY, "LIST_PART")
-        .agg(*_set_totals(), F.transform(ordered, shown_color).alias("COLOR_VARIANT"))
-    )
-    if not whole_only:
-        whole = _whole_group(cells.join(oversized, SET_KEY, "left_semi"), SET_KEY, _set_totals())
-        parts = _with_whole(parts, whole, SET_KEY, ["_last", "QTY_SUM"])
-    return (
-        parts.select(*_set_columns(*SET_KEY), "LIST_PART", "COLOR_VARIANT")
-        .drop("_first")
-        .join(_size_lists(t), "PRODUCT_CODE", "left")
-        .select(*SET_KEY, *SET_FIELDS, "TOTAL_QTY", "LIST_PART", "COLOR_VARIANT", "SIZE_VARIANT")
-    )
 
+def order_detail_nested(t: Tables, order_date: str | None = None, order_seq: int | None = None) -> DataFrame:
+    """Per order, product and colour: header, total of the product, the colour's size map, the product's sizes.
 
-def _whole_group(rows: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
-    """Aggregates of oversized groups over all their parts, as one struct."""
-    whole = rows.groupBy(*keys).agg(*aggregates)
-    return splittable(whole.select(*keys, F.struct(*[c for c in whole.columns if c not in keys]).alias("_whole")), *keys)
+    A colour and size ordered twice shows the last line, while the total counts both. COLOR_NO counts the colours of a set
+    from 0 in the order of their first SKU.
+    """
+    rows = _with_sizes(t, _color_rows(t, order_set_cells(t, order_date, order_seq)))
+    return rows.select(
+        *SET_KEY, *SET_FIELDS, "TOTAL_QTY", "COLOR_NO", "PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES", "SIZE_VARIANT"
+    )
 
 
-def _with_whole(parts: DataFrame, whole: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Parts with `fields` of the whole group where the group has several parts.
-
-    Ordinary groups keep the values of their only part, so nothing is computed twice for them.
-    """
-    joined = parts.join(whole, keys, "left")
-    several = F.col("_whole").isNotNull()
-    return joined.withColumns({f: F.when(several, F.col(f"_whole.{f}")).otherwise(F.col(f)) for f in fields}).drop("_whole")
+def order_detail_lists(t: Tables, order_date: str, order_seq: int) -> DataFrame:
+    """The look-up of one order: a row per product with its colours as the array COLOR_VARIANT, in COLOR_NO order."""
+    rows = order_detail_nested(t, order_date, order_seq)
+    header = [*SET_KEY, *SET_FIELDS, "TOTAL_QTY", "SIZE_VARIANT"]
+    color = F.struct("COLOR_NO", "PRODUCT_COLOR", "MANUFACTURING_COLOR", "SIZES")
+    # Maps cannot be compared, so colours are compared by number.
+    by_number = lambda a, b: F.when(a["COLOR_NO"] < b["COLOR_NO"], -1).when(a["COLOR_NO"] > b["COLOR_NO"], 1).otherwise(0)
+    return rows.groupBy(*header).agg(F.array_sort(F.collect_list(color), by_number).alias("COLOR_VARIANT"))
 
 
 def vendor_packets(
-    t: Tables, now: str, default_company: str, order_date: str | None = None, order_seq: int | None = None,
-    part_rows: int = PART_ROWS,
+    t: Tables, now: str, default_company: str, order_date: str | None = None, order_seq: int | None = None
 ) -> DataFrame:
-    """Order sets grouped by order and vendor, with the texts of the mail to that vendor.
+    """Order sets by order and vendor, with the texts of the mail to that vendor: a row per packet and product.
 
-    Header fields are those of the vendor's first order set. `default_company` signs when the
-    vendor names no buyer; `now` dates the attachment. Without vendor and brand the code is blank. PRODUCT_CODES lists the order sets; a
-    packet of more than `part_rows` sets comes in several rows.
+    POSITION counts the products of a packet from 0 in the order of their first SKU. Header fields are those of the packet's first
+    product. `default_company` signs when the vendor names no buyer; `now` dates the attachment. Without vendor and brand
+    the code is blank.
     """
     packet = ["ORDER_SEQ", "ORDER_DATE", "VENDOR_CODE"]
     fields = ["VENDOR_NAME", "VENDOR_EMAIL", "ORDERS_FROM", "EMPLOYEE_ID", "EMPLOYEE_NAME"]
-    blank = F.lit("")
-    sets = order_sets(order_set_cells(t, order_date, order_seq)).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", blank))
-    # Every set of a vendor has a line of that vendor, so lines bound the number of sets.
-    lines = _ordered(t, order_date, order_seq).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", "BRAND_CODE", blank))
-    oversized = oversized_groups(lines, packet, part_rows)
-    head = [F.min(F.struct("_first", "PRODUCT_CODE", *fields)).alias("_head")]
-    whole_only = oversized.isEmpty()
-    divided = sets.withColumn("LIST_PART", F.lit(0)) if whole_only else list_parts(sets, oversized, packet, ["PRODUCT_CODE"])
-    lists = divided.groupBy(*packet, "LIST_PART").agg(
-        *head, F.array_sort(F.collect_list(F.struct("_first", "PRODUCT_CODE"))).alias("_sets")
-    )
-    if not whole_only:
-        lists = _with_whole(lists, _whole_group(sets.join(oversized, packet, "left_semi"), packet, head), packet, ["_head"])
+    sets = order_sets(t, order_set_cells(t, order_date, order_seq)).withColumn("VENDOR_CODE", F.coalesce("VENDOR_CODE", F.lit("")))
+    in_order = Window.partitionBy(*packet).orderBy("_first", "PRODUCT_CODE")
+    placed = sets.withColumn("POSITION", F.row_number().over(in_order) - 1).withColumn("_head", F.first(F.struct(*fields)).over(in_order))
     company = or_default(F.col("_head.ORDERS_FROM"), F.lit(default_company))
     number = zero_pad(F.col("ORDER_SEQ"), 10)
     file_date = f"{now[4:6]}-{now[6:8]}-{now[:4]}"
-    return lists.select(
+    return placed.select(
         *packet,
         F.col("_head.VENDOR_NAME").alias("VENDOR_NAME"),
         F.split(F.coalesce("_head.VENDOR_EMAIL", F.lit("")), " ").alias("VENDOR_EMAILS"),
@@ -283,45 +289,55 @@ def vendor_packets(
         number.alias("ORDER_NO"),
         F.concat(company, F.lit("_"), shown(F.col("_head.VENDOR_NAME")), F.lit("_"), number, F.lit(f" {file_date}.pdf"))
         .alias("ATTACHMENT_NAME"),
-        "LIST_PART",
-        F.transform("_sets", lambda s: s["PRODUCT_CODE"]).alias("PRODUCT_CODES"),
+        "POSITION", "PRODUCT_CODE",
+    )
+
+
+def sheet_lines(t: Tables) -> DataFrame:
+    """The lines of order sheets: every colour of every order set; the orders of a day form a batch."""
+    quantity = lambda s: F.coalesce(F.try_element_at(F.col("_ordered"), s["SIZE_CODE"])["ORDER_QTY"], F.lit(0))
+    rows = _with_sizes(t, _color_rows(t, order_set_cells(t)).withColumnRenamed("SIZES", "_ordered"))
+    return rows.select(
+        F.col("ORDER_DATE").alias("BATCH_ID"),
+        F.concat_ws("/", zero_pad(F.col("ORDER_SEQ"), 12), "PRODUCT_CODE").alias("BLOCK_KEY"),
+        "COLOR_NO", "COLORS", "BRAND_NAME", "PRODUCT_CODE", "PRODUCT_TITLE", F.col("PRODUCT_COLOR").alias("COLOR"),
+        F.transform("SIZE_VARIANT", lambda s: s["SHORT_SIZE_CODE"]).alias("SIZES"),
+        F.transform("SIZE_VARIANT", quantity).alias("QTYS"),
+        "TOTAL_QTY",
     )
 
 
-def order_sheet_cells(blocks: DataFrame) -> DataFrame:
-    """Sheet rows of a batch of order blocks.
+def order_sheet_cells(lines: DataFrame, now: str) -> DataFrame:
+    """Sheet rows of batches of order blocks.
 
-    `blocks` has BATCH_ID, BLOCK_KEY (order within the batch), BRAND_NAME, PRODUCT_CODE,
-    PRODUCT_TITLE, SIZES and COLORS (arrays of text), QTYS (one array of quantities per colour) and
-    TOTAL_QTY. Each block gives a heading row and one row per colour, and is followed by an empty
-    row. Quantities of zero are blank, and the product and the total stand on the first colour row.
-    Row numbers start at 1 in each batch. `blocks` is read three times, so it should be a stored
-    table rather than a long plan.
+    `lines` has a row per block and colour: BATCH_ID (the day), BLOCK_KEY (order within the batch), COLOR_NO from 0, COLORS (their number,
+    0 for a block without colours, which has one line), BRAND_NAME, PRODUCT_CODE, PRODUCT_TITLE, SIZES (array of text), COLOR, QTYS (a
+    quantity per size) and TOTAL_QTY. Each block gives a heading row and one row per colour, and is followed by an empty
+    row. Quantities of zero are blank, and the product and the total stand on the first colour row. Row numbers start at 1 in each
+    batch. A batch belongs to the book of its month; its sheet has the title of the time of export.
     """
-    colors = F.size("QTYS")
-    placed = running_total(blocks, ["BATCH_ID"], "BLOCK_KEY", colors + 2, "_offset")
+    first = F.col("COLOR_NO") == 0
+    last = F.col("COLOR_NO") + 1 >= F.col("COLORS")
+    taken = 1 + F.when(first, 1).otherwise(0) + F.when(last, 1).otherwise(0)  # with the heading and the empty row
+    placed = running_total(lines, ["BATCH_ID"], ["BLOCK_KEY", "COLOR_NO"], taken, "_offset")
     blank = F.lit("")
     # Headings of the order sheet.
     heading = F.concat(
         F.array(*[F.lit(h) for h in ("VENDOR", "ITEM", "NAME", "COLOR")]), F.col("SIZES"), F.array(F.lit("TOTAL QTY"))
     )
-    labels = [F.coalesce(c, blank) for c in ("BRAND_NAME", "PRODUCT_CODE", "PRODUCT_TITLE")]
-
-    def color_row(quantities: Column, i: Column) -> Column:
-        first = i == 0
-        shown_qty = F.transform(quantities, lambda q: F.when(q > 0, q.cast("string")).otherwise(""))
-        return F.concat(
-            F.array(*[F.when(first, c).otherwise("") for c in labels], F.coalesce(F.get(F.col("COLORS"), i), blank)),
-            shown_qty,
-            F.array(F.when(first, F.col("TOTAL_QTY").cast("string")).otherwise("")),
-        )
-
-    without_colors = F.array(F.concat(
-        F.array(*labels, blank), F.transform("SIZES", lambda _: blank), F.array(F.col("TOTAL_QTY").cast("string"))
-    ))
-    body = F.when(colors > 0, F.transform("QTYS", color_row)).otherwise(without_colors)
-    rows = placed.select("BATCH_ID", "_offset", F.posexplode(F.concat(F.array(heading), body)).alias("_i", "CELLS"))
-    return rows.select("BATCH_ID", (F.col("_offset") + F.col("_i") + 1).alias("ROW_NO"), "CELLS")
+    quantities = F.transform("QTYS", lambda q: F.when(q > 0, q.cast("string")).otherwise(""))
+    body = F.concat(
+        F.array(*[F.when(first, F.coalesce(c, blank)).otherwise("") for c in ("BRAND_NAME", "PRODUCT_CODE", "PRODUCT_TITLE")],
+                F.coalesce("COLOR", blank)),
+        F.when(F.col("COLORS") > 0, quantities).otherwise(F.transform("SIZES", lambda _: blank)),
+        F.array(F.when(first, F.col("TOTAL_QTY").cast("string")).otherwise("")),
+    )
+    shown_rows = F.when(first, F.array(heading, body)).otherwise(F.array(body))
+    rows = placed.select("BATCH_ID", "_offset", F.posexplode(shown_rows).alias("_i", "CELLS"))
+    return rows.select(
+        F.substring("BATCH_ID", 1, 6).alias("BOOK"), "BATCH_ID", sheet_title(F.lit(now)).alias("SHEET_TITLE"),
+        (F.col("_offset") + F.col("_i") + 1).alias("ROW_NO"), "CELLS",
+    )
 
 
 def order_print_grid(t: Tables, order_date: str | None = None, order_seq: int | None = None) -> DataFrame:
@@ -330,28 +346,18 @@ def order_print_grid(t: Tables, order_date: str | None = None, order_seq: int |
     SIZES lists all sizes of the product and CELLS the quantity for each, a dot where nothing or
     zero was ordered. The colour shown is the manufacturer's where there is one.
     """
-    cells = order_set_cells(t, order_date, order_seq)
-    sets = order_sets(cells).select(*SET_KEY, "VENDOR_NAME", "PRODUCT_TITLE", "MANUFACTURING_CODE", "TOTAL_QTY")
     code = F.col("MANUFACTURING_CODE")
     item = F.concat(F.col("PRODUCT_CODE"), F.when(code != "", F.concat(F.lit(" ("), code, F.lit(")"))).otherwise(""))
-    sizes = F.coalesce("SIZE_VARIANT", F.expr("cast(array() as array<struct<SIZE_ORDER:int,SIZE_CODE:string,SHORT_SIZE_CODE:string>>)"))
 
     def cell(size: Column) -> Column:
         quantity = F.try_element_at(F.col("_ordered"), size["SIZE_CODE"])["ORDER_QTY"]
         return F.when(quantity != 0, quantity.cast("string")).otherwise(".")
 
-    return (
-        _color_rows(cells)
-        .drop("_last", "QTY_SUM")
-        .withColumnRenamed("SIZES", "_ordered")
-        .join(sets, SET_KEY)
-        .join(_size_lists(t), "PRODUCT_CODE", "left")
-        .select(
-            *SET_KEY, "VENDOR_NAME", item.alias("ITEM"), "PRODUCT_TITLE",
-            F.col("_first").alias("FIRST_SKU"),
-            or_default(F.col("MANUFACTURING_COLOR"), F.col("PRODUCT_COLOR")).alias("COLOR"),
-            F.transform(sizes, lambda s: s["SHORT_SIZE_CODE"]).alias("SIZES"),
-            F.transform(sizes, cell).alias("CELLS"),
-            "TOTAL_QTY",
-        )
+    rows = _with_sizes(t, _color_rows(t, order_set_cells(t, order_date, order_seq)).withColumnRenamed("SIZES", "_ordered"))
+    return rows.select(
+        *SET_KEY, "VENDOR_NAME", item.alias("ITEM"), "PRODUCT_TITLE", "FIRST_SKU",
+        or_default(F.col("MANUFACTURING_COLOR"), F.col("PRODUCT_COLOR")).alias("COLOR"),
+        F.transform("SIZE_VARIANT", lambda s: s["SHORT_SIZE_CODE"]).alias("SIZES"),
+        F.transform("SIZE_VARIANT", cell).alias("CELLS"),
+        "TOTAL_QTY",
     )

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import color_after_first, zero_pad
-from tallyhouse.plans.purchasing import order_detail_nested
+from tallyhouse.functions.text import color_after_first
 from tallyhouse.sample.tables import BRAND_CODE, LISTING_SKU, MARKET_ID, PRODUCT_CODE, STD_SKU, load, sold_lines
 from tallyhouse.sources.tables import Tables
 
@@ -50,10 +49,10 @@ def employee_requests(customer: DataFrame) -> DataFrame:
 
 
 def punches(events: DataFrame) -> DataFrame:
-    """Click events as clock punches; the time of every fiftieth event lacks its last character."""
-    return events.filter("event_type = 'click'").selectExpr(
+    """Events as clock punches; the time of every fiftieth event, and of every error, lacks its last character."""
+    return events.selectExpr(
         "cast(user_id as string) as EMPLOYEE_ID",
-        "left(date_format(ts, 'yyyyMMddHHmmss'), if(event_id % 50 = 0, 13, 14)) as PUNCH_DTTM",
+        "left(date_format(ts, 'yyyyMMddHHmmss'), if(event_id % 50 = 0 or event_type = 'error', 13, 14)) as PUNCH_DTTM",
     )
 
 
@@ -81,19 +80,3 @@ def lookups(t: Tables) -> DataFrame:
     return t.product_map.join(t.inventory, "STD_SKU").select(
         "PRODUCT_CODE", "SIZE_CODE", color_after_first(F.col("PRODUCT_COLOR")).alias("COLOR")
     )
-
-
-def sheet_blocks(t: Tables) -> DataFrame:
-    """Every order set as a sheet block; the orders of a day form a batch."""
-    quantity = lambda c, s: F.coalesce(F.try_element_at(c["SIZES"], s["SIZE_CODE"])["ORDER_QTY"], F.lit(0))
-    sizes = F.coalesce("SIZE_VARIANT", F.expr("cast(array() as array<struct<SIZE_ORDER:int,SIZE_CODE:string,SHORT_SIZE_CODE:string>>)"))
-    nested = order_detail_nested(t).withColumn("SIZE_VARIANT", sizes)
-    return nested.select(
-        F.col("ORDER_DATE").alias("BATCH_ID"),
-        F.concat_ws("/", zero_pad(F.col("ORDER_SEQ"), 12), "PRODUCT_CODE", zero_pad(F.col("LIST_PART"), 6)).alias("BLOCK_KEY"),
-        "BRAND_NAME", "PRODUCT_CODE", "PRODUCT_TITLE",
-        F.transform("SIZE_VARIANT", lambda s: s["SHORT_SIZE_CODE"]).alias("SIZES"),
-        F.transform("COLOR_VARIANT", lambda c: c["PRODUCT_COLOR"]).alias("COLORS"),
-        F.transform("COLOR_VARIANT", lambda c: F.transform("SIZE_VARIANT", lambda s: quantity(c, s))).alias("QTYS"),
-        "TOTAL_QTY",
-    )

@@ -11,9 +11,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.plans.jobs import KEEP_NAMES, KEEP_PATTERNS
 from tallyhouse.sources.tables import Tables
 
-MARKET_COUNT = 8
+MARKET_COUNT = 8  # marketplaces that sell; the others only have a name
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,11 +37,14 @@ STD_SKU = f"""
     if(p_partkey % 13 = 0, concat('N', p_partkey), concat({PRODUCT_CODE}, '-C', p_partkey % 4, '-S', p_size))"""
 LISTING_SKU = f"concat('1', {BRAND_CODE}, '-', p_partkey)"
 MARKET_ID = f"cast(o_custkey % {MARKET_COUNT} + 1 as int)"
+# Names that the clean-up leaves alone, with a comma so that it would not do so otherwise.
+KEPT_NAMES = [*KEEP_NAMES, *(pattern.replace("%", ", blue") for pattern in KEEP_PATTERNS)]
+KEPT_NAME = f"""element_at(array('{"', '".join(KEPT_NAMES)}'), cast((p_partkey - 3) div 25 % {len(KEPT_NAMES)} as int) + 1)"""
 EACH_MARKET = f"explode(sequence(1, {MARKET_COUNT})) as MARKET_ID"
 
 
 def _markets(nation: DataFrame, region: DataFrame) -> DataFrame:
-    named = nation.filter(f"n_nationkey < {MARKET_COUNT}").withColumnRenamed("n_regionkey", "r_regionkey")
+    named = nation.withColumnRenamed("n_regionkey", "r_regionkey")
     return named.join(region, "r_regionkey").selectExpr(
         "n_nationkey + 1 as MARKET_ID", "n_name as BRAND_NAME", "r_name as CHANNEL_NAME",
         "concat('market_', n_nationkey + 1) as MARKET_IMAGE_PATH",
@@ -53,12 +57,13 @@ def _inventory(part: DataFrame) -> DataFrame:
         f"{PRODUCT_CODE} as PRODUCT_CODE",
         f"{STD_SKU} as STD_SKU",
         """case p_partkey % 5 when 0 then concat(p_name, ' Size: ', p_size) when 1 then concat(p_name, ' (blue, L), extra')
-           when 2 then concat(p_name, ', no paren') else p_name end as PRODUCT_NAME""",
+           when 2 then concat(p_name, ', no paren')
+           when 3 then if(p_partkey % 25 = 3, """ + KEPT_NAME + """, p_name) else p_name end as PRODUCT_NAME""",
         "p_brand as PRODUCT_SUPPLIER",
         "concat('RAW', p_size) as PRODUCT_SIZE",
         "if(p_partkey % 9 = 0, null, cast(p_size as string)) as SIZE_CODE",
         """case p_partkey % 4 when 0 then 'RED' when 1 then concat(p_type, '_dark navy') when 2 then concat('A_B_', p_type)
-           else concat(p_type, '_ green ') end as PRODUCT_COLOR""",
+           else if(p_partkey % 20 = 3, concat(p_type, '_ '), concat(p_type, '_ green ')) end as PRODUCT_COLOR""",
         "p_type as PRODUCT_DESIGN",
         "if(p_partkey % 17 = 0, 'N', 'Y') as VALID_YN",
     )
@@ -105,14 +110,14 @@ def _product_map(inventory: DataFrame) -> DataFrame:
 def _manufacturing_map(product_map: DataFrame) -> DataFrame:
     made = product_map.filter("STD_SKU like 'P%' and substr(PRODUCT_CODE, 6, 2) in ('00', '04', '20', '44', '60')")
     return made.selectExpr(
-        "PRODUCT_CODE", "STD_SKU", "concat('M', PRODUCT_CODE) as MANUFACTURING_CODE",
+        "PRODUCT_CODE", "STD_SKU", "concat('M', PRODUCT_CODE, if(STD_SKU like '%-C3-%', 'B', '')) as MANUFACTURING_CODE",
         "concat('Mfg ', PRODUCT_CODE) as MANUFACTURING_TITLE",
         "if(STD_SKU like '%-C1-%', '', concat('mfg ', STD_SKU)) as MANUFACTURING_COLOR",
     )
 
 
 def _images(inventory: DataFrame) -> DataFrame:
-    numbered = inventory.filter("PARTKEY % 13 > 0").selectExpr(
+    numbered = inventory.filter("PARTKEY % 13 > 0 and PARTKEY % 7 > 0").selectExpr(
         "STD_SKU as SKU", "explode(transform(sequence(0, PARTKEY % 13 - 1), n -> PARTKEY * 100 + n)) as IMAGE_ID"
     )
     return numbered.selectExpr(
@@ -183,9 +188,13 @@ def _users(customer: DataFrame) -> DataFrame:
 
 
 def _product_orders(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """One order a month, with the products of that month; a product's lines of a year fall into one order."""
     mapped = part.filter("p_partkey % 40 < 32").selectExpr("p_partkey as l_partkey", "p_partkey", "p_size", "p_brand")
+    month = "cast((p_partkey - p_partkey % 4) / 4 as bigint) % 12 + 1"
     return lineitem.withColumnRenamed("l_suppkey", "s_suppkey").join(mapped, "l_partkey").selectExpr(
-        f"{text_date('l_shipdate')} as ORDER_DATE", "l_orderkey as ORDER_SEQ", f"{STD_SKU} as STD_SKU",
+        f"if(l_orderkey % 97 = 0, null, concat(year(l_shipdate), lpad(cast({month} as string), 2, '0'), '15')) as ORDER_DATE",
+        f"if(l_orderkey % 89 = 0, null, cast((year(l_shipdate) - 1990) * 12 + {month} as bigint)) as ORDER_SEQ",
+        f"{STD_SKU} as STD_SKU",
         f"{PRODUCT_CODE} as PRODUCT_CODE", f"if(l_linenumber % 2 = 0, {BRAND_CODE}, null) as BRAND_CODE",
         f"if(l_linenumber % 2 = 0, null, {VENDOR_CODE}) as VENDOR_CODE", "cast(l_quantity as int) as ORDER_QTY",
         "'101500' as ORDER_TM", "cast(l_orderkey % 150 as string) as EMPLOYEE_ID",

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The cluster's setting, and one for sessions without it, as it cannot be set later.
+SHARED_SETTINGS = ("spark.checkpoint.dir", "spark.tallyhouse.shared.dir")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder for intermediate tables and stream state.
+    """A new folder for intermediate tables and stream state, in the shared folder that the session names.
 
-    It lies in the folder the cluster names in spark.checkpoint.dir; only where that is unset, as
-    in tests, is a local one made.
+    Driver and executors must see the same files, so there is no local stand-in.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="tallyhouse-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    shared = next(filter(None, (spark.conf.get(setting, None) for setting in SHARED_SETTINGS)), None)
+    if not shared:
+        raise ValueError(f"set {' or '.join(SHARED_SETTINGS)} to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_tsv(rows: DataFrame, path: str, *, mode: str = "error", header: bool = True, null_text: str = "null") -> None:
@@ -87,12 +91,19 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={max(_complete_versions(spark, root))}")
 
 
-def read_grids(spark: SparkSession, path: str, columns: int, sep: str = ",") -> DataFrame:
-    """Exported sheets (one delimited file each) as rows of cells.
+def read_grids(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Exported sheets (one delimited file each) as rows of cells; a row has all its cells, however many.
 
-    Ragged rows are allowed: missing cells are null. The sheet is the file name; rows have no
-    number because a large file is read in splits.
+    Quoted cells may hold separators, doubled quotes and line ends, so one task reads a file: in the middle of a file
+    no line end is known to end a row. Sheets are bounded by the program that makes them. An empty cell is null, empty
+    lines are left out. The sheet is the file's path.
     """
-    names = [f"c{i}" for i in range(columns)]
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, sep=sep)
-    return raw.select(F.col("_metadata.file_name").alias("SHEET_ID"), F.array(*names).alias("CELLS"))
+    mark = re.escape(sep)
+    cell = rf'{mark}("(?:[^"]++|"")*+"|[^"{mark}][^{mark}]*+|)'
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("SHEET_ID"), "value")
+    lines = F.regexp_extract_all("value", F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), F.lit(0))
+    each = rows.select("SHEET_ID", F.explode(lines).alias("value"))
+    plain = lambda c: F.when(c == "", F.lit(None)).when(
+        c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    ).otherwise(c)
+    return each.select("SHEET_ID", F.transform(F.regexp_extract_all(F.concat(F.lit(sep), "value"), F.lit(cell), F.lit(1)), plain).alias("CELLS"))

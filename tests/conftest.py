@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         "spark.shuffle.compress": "false",  # so that hot partitions show in the small data
         "spark.sql.maxMetadataStringLength": "2000",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
     })
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

@@ -1,14 +1,13 @@
 """Operators against brute force, and results that stay whole when one key is hot."""
 
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from tests.conftest import SAMPLE
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.keyed import apply_changes, first_per_key, restrict, single_match
-from tallyhouse.operators.nesting import collapse_copies, list_parts, oversized_groups, repeat_copies
 from tallyhouse.operators.ordering import running_total, sorted_page
 from tallyhouse.plans import labels, orders, packing, purchasing, sales
 from tallyhouse.sample.tables import tables
@@ -16,32 +15,36 @@ from tallyhouse.sample.tables import tables
 ITEM_SCHEMA = "k string, v int, w string"
 
 
-@pytest.mark.parametrize("side", [1, 2, 3, 8])
-def test_running_total_equals_brute_force(spark, side):
-    rng = random.Random(side)
-    rows = [("hot" if rng.random() < 0.5 else f"g{rng.randrange(5)}", f"{i:04d}", rng.randrange(9)) for i in range(400)]
-    frame = spark.createDataFrame(rows, "g string, k string, n int")
-    result = {(r.g, r.k): r.before for r in running_total(frame, ["g"], "k", F.col("n"), "before", side=side).collect()}
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_running_total_equals_brute_force(spark, ranges):
+    """Null groups, repeated keys told apart by a second column, and a hot group."""
+    rng = random.Random(ranges)
+    rows = [(rng.choice(["hot"] * 5 + [None, "a", "b"]), rng.choice([None, "x", "y", "z"]), i, rng.randrange(9)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "g string, k string, i int, n int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    result = {r.i: r.before for r in running_total(frame, ["g"], ["k", "i"], F.col("n"), "before").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     totals, expected = defaultdict(int), {}
-    for g, k, n in sorted(rows):
-        expected[g, k] = totals[g]
+    for g, k, i, n in sorted(rows, key=lambda r: (r[0] or "", r[1] or "", r[2])):
+        expected[i] = totals[g]
         totals[g] += n
     assert result == expected
 
 
-def test_running_total_without_groups_and_with_foreign_sample(spark):
+def test_running_total_of_one_group_and_of_nothing(spark):
     frame = spark.range(200).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("k"))
-    placed = running_total(frame, [], "k", F.lit(1), "pos", keys_from=frame.filter("k < '0100'"), side=4)
-    assert [r.pos for r in placed.orderBy("k").collect()] == list(range(200))
-    assert running_total(frame.filter("k < ''"), [], "k", F.lit(1), "pos").isEmpty()
+    assert [r.pos for r in running_total(frame, [], ["k"], F.lit(1), "pos").orderBy("k").collect()] == list(range(200))
+    assert running_total(frame.filter("k < ''"), [], ["k"], F.lit(1), "pos").isEmpty()
 
 
 def test_running_total_spreads_one_hot_group(spark):
     frame = spark.range(20_000).select(F.lit("hot").alias("g"), F.lpad(F.col("id").cast("string"), 6, "0").alias("k"))
-    from tallyhouse.operators.ordering import _bounds, _with_bucket
-
-    sizes = [r["count"] for r in _with_bucket(frame, "k", _bounds(frame, "k", 4), 4).groupBy("_bucket").count().collect()]
-    assert len(sizes) == 16 and sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 16
+    placed = running_total(frame, ["g"], ["k"], F.lit(1), "pos")
+    shuffles = placed._jdf.queryExecution().analyzed().toString()
+    assert "_range" in shuffles
+    sizes = [r["count"] for r in frame.repartitionByRange(4, "g", "k").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 20_000 / 4
 
 
 def test_sorted_page(spark):
@@ -71,20 +74,6 @@ def test_apply_changes_takes_the_latest(spark, got):
     assert got(apply_changes(base, changes, ["k"], ["w"], "seq")) == [("a", 1, None), ("b", 1, "old")]
 
 
-def test_nested_parts_hold_every_copy_in_bounded_lists(spark):
-    rows = [("hot", 1, "copy")] * 250 + [("hot", i, f"w{i}") for i in range(300)] + [("cold", 1, "a")] * 3
-    frame = spark.createDataFrame(rows, ITEM_SCHEMA)
-    blocks = collapse_copies(frame, part_rows=50)
-    assert blocks.agg(F.max("COPIES")).first()[0] <= 50
-    parts = list_parts(blocks, oversized_groups(frame, ["k"], 50), ["k"], ["v", "w", "COPY_BLOCK"])
-    lists = parts.groupBy("k", "LIST_PART").agg(
-        repeat_copies(F.array_sort(F.collect_list(F.struct("v", "w", "COPIES"))), ["v", "w"]).alias("items")
-    ).collect()
-    assert Counter((r["k"], i["v"], i["w"]) for r in lists for i in r["items"]) == Counter(rows)
-    assert [len(r["items"]) for r in lists if r["k"] == "cold"] == [3]
-    assert len([r for r in lists if r["k"] == "hot"]) > 5
-
-
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
     """Stored sample tables in which one listing SKU, or one order, has a third of all items."""
@@ -149,31 +138,70 @@ def test_hot_join_key_is_split(hot, shuffled_joins, case, i):
 
 
 def test_hot_order_document_is_whole(hot):
+    """A third of all items in one order: counted copies, one row per different item, no item lost."""
     t = hot["order"]
-    parts = orders.order_document(t, part_rows=500)
-    sizes = [r[0] for r in parts.select(F.size("ORDER_LIST")).collect()]
-    assert sum(sizes) == t.order_items.count()
-    assert max(sizes) < 2_000
+    rows = orders.order_document(t)
+    assert rows.agg(F.sum("COPIES")).first()[0] == t.order_items.count()
+    flat = orders.order_document_lines(t)
+    again = rows.filter("COPIES > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("COPIES").cast("int"))))
+    assert flat.filter("LISTING_SKU is not null").count() == again.count()
 
 
-def test_nested_order_detail_in_parts_is_whole(spark):
+@pytest.fixture(scope="module")
+def hot_purchases(spark, tmp_path_factory):
+    """Stored purchase-order lines in which a third have one SKU, or no vendor and no brand."""
+    root = tmp_path_factory.mktemp("purchases")
     t = tables(spark, SAMPLE)
-    cells = purchasing.order_set_cells(t).count()
-    parts = purchasing.order_detail_nested(t, part_rows=1)
-    assert parts.select(F.explode("COLOR_VARIANT").alias("c")).select(F.explode("c.SIZES")).count() == cells
-    header = [*purchasing.SET_KEY, *purchasing.SET_FIELDS, "TOTAL_QTY"]
-    assert parts.select(*header).distinct().exceptAll(purchasing.order_detail_nested(t).select(*header)).isEmpty()
+    sku = t.product_orders.join(t.inventory.join(t.sizes, "SIZE_CODE").select("STD_SKU"), "STD_SKU", "left_semi").select("STD_SKU", "PRODUCT_CODE").first()
+    cases = {
+        "sku": t.product_orders.withColumn("STD_SKU", F.lit(sku[0])).withColumn("PRODUCT_CODE", F.lit(sku[1])),
+        "codes": t.product_orders.withColumn("VENDOR_CODE", F.lit(None).cast("string")),
+    }
+    bundles = {}
+    for name, extra in cases.items():
+        many = extra.withColumn("ORDER_QTY", F.explode(F.sequence(F.lit(1), F.lit(8))))
+        t.product_orders.unionByName(many).repartition(16).write.parquet(f"{root}/{name}")
+        bundles[name] = t.with_tables(product_orders=spark.read.parquet(f"{root}/{name}"))
+    return bundles
 
 
-def test_vendor_packets_in_parts_are_whole(spark):
-    t = tables(spark, SAMPLE)
+@pytest.mark.parametrize("case", ["sku", "codes"])
+def test_hot_purchase_order_lines_are_whole(hot_purchases, shuffled_joins, case):
+    t = hot_purchases[case]
+    known = t.inventory.join(t.sizes, "SIZE_CODE").select("STD_SKU")
+    lines = t.product_orders.join(t.products, "PRODUCT_CODE", "left_semi").join(known, "STD_SKU")
+    total = lines.agg(F.sum("ORDER_QTY")).first()[0]
+    nested = purchasing.order_detail_nested(t)
+    assert nested.filter("COLOR_NO = 0").agg(F.sum("TOTAL_QTY")).first()[0] == total
+    dated = t.product_orders.join(t.products, "PRODUCT_CODE", "left_semi").filter("ORDER_DATE is not null")
+    assert purchasing.order_history(t).agg(F.sum("TOTAL_QTY")).first()[0] == dated.agg(F.sum("ORDER_QTY")).first()[0]
 
-    def flat(part_rows):
-        packets = purchasing.vendor_packets(t, "20240301123456", "Company", part_rows=part_rows)
-        return packets.withColumn("PRODUCT_CODE", F.explode("PRODUCT_CODES")).drop("LIST_PART", "PRODUCT_CODES")
 
-    one, many = flat(1), flat(10_000)
-    assert one.count() == many.count() and one.exceptAll(many).isEmpty()
+def test_a_hot_sku_of_purchase_orders_is_split(hot_purchases, shuffled_joins):
+    frame = purchasing.order_detail_rows(hot_purchases["sku"])
+    assert frame.collect()
+    assert any("SortMergeJoin(skew=true)" in line and "STD_SKU" in line for line in final_plan(frame).splitlines())
+
+
+def test_colors_of_a_large_set_equal_brute_force(spark):
+    """A set with very many colours: the same rows and order as a plain grouping of its lines."""
+    t = tables(spark, SAMPLE)
+    lines = [(i % 700, i % 3, i) for i in range(2_100)]
+    sku = lambda c, z: f"K{c:04d}-{z}"
+    stock = spark.createDataFrame([(sku(c, z), f"x_col{c % 350}", str(z + 1)) for c, z, _ in lines], "STD_SKU string, PRODUCT_COLOR string, SIZE_CODE string").distinct()
+    inventory = t.inventory.limit(0).unionByName(stock, allowMissingColumns=True)
+    bought = spark.createDataFrame([("20240101", 1, sku(c, z), "P", q) for c, z, q in lines], "ORDER_DATE string, ORDER_SEQ long, STD_SKU string, PRODUCT_CODE string, ORDER_QTY int")
+    product = t.products.limit(1).withColumn("PRODUCT_CODE", F.lit("P"))
+    big = t.with_tables(inventory=inventory, products=product, product_orders=t.product_orders.limit(0).unionByName(bought, allowMissingColumns=True))
+    expected = {}
+    for c, z, q in lines:
+        own = expected.setdefault(f"col{c % 350}", [sku(c, z), {}])
+        own[0] = min(own[0], sku(c, z))
+        own[1][str(z + 1)] = max(own[1].get(str(z + 1), ("", 0)), (sku(c, z), q))
+    rows = purchasing.order_detail_nested(big).orderBy("COLOR_NO").collect()
+    assert [r.PRODUCT_COLOR for r in rows] == sorted(expected, key=lambda c: (expected[c][0], c)) and [r.COLOR_NO for r in rows] == list(range(350))
+    known = {r[0] for r in t.sizes.select("SIZE_CODE").collect()}
+    assert all({s: v.ORDER_QTY for s, v in r.SIZES.items()} == {s: q for s, (_, q) in expected[r.PRODUCT_COLOR][1].items() if s in known} for r in rows)
 
 
 def test_properties(spark):

@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+import pytest
 from tests.conftest import SAMPLE
 from pyspark.sql import functions as F
 
@@ -74,11 +75,26 @@ def test_tables_load_lazily_and_by_contract(spark, tmp_path, make):
     assert read_parquet(spark, str(tmp_path)).markets.schema == TABLES["markets"]
 
 
-def test_grids_are_ragged(spark, tmp_path, got):
-    (tmp_path / "one.csv").write_text("a-b-c,x\nd\n")
-    (tmp_path / "two.csv").write_text("a-b-c,,p-q-r\n")
-    grids = storage.read_grids(spark, str(tmp_path), 3)
-    assert got(grids) == [("one.csv", ["a-b-c", "x", None]), ("one.csv", ["d", None, None]), ("two.csv", ["a-b-c", None, "p-q-r"])]
+def test_grids_keep_every_cell(spark, tmp_path):
+    wide = ",".join(f"c{i}" for i in range(300))
+    long = "x" * 50_000
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "same.csv").write_text(f'a-b-c,x,,d,e\n{wide}\n"say ""hi"", all","two\nlines"\n\n,last\r\n"{long}",z\n')
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "same.csv").write_text("a-b-c,,p-q-r")
+    rows = storage.read_grids(spark, f"{tmp_path}/*").collect()
+    cells = {k: [r.CELLS for r in rows if f"/{k}/" in r.SHEET_ID] for k in ("one", "two")}
+    assert cells["one"] == [["a-b-c", "x", None, "d", "e"], [f"c{i}" for i in range(300)], ['say "hi", all', "two\nlines"], [None, "last"], [long, "z"]]
+    assert cells["two"] == [["a-b-c", None, "p-q-r"]] and len({r.SHEET_ID for r in rows}) == 2
+
+
+def test_work_folder_needs_a_shared_one():
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        storage.work_folder(Bare, "x")
 
 
 def test_work_folder_uses_the_shared_setting():

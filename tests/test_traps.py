@@ -247,10 +247,13 @@ def test_order_document(shop, got):
     ]
     assert got(lines, *columns) == expected
     document = orders.order_document(t)
-    assert got(document.select("CHANNEL_ORDER_NO", F.size("ORDER_LIST"), "LIST_PART")) == [("1", 4, 0), ("4", 0, 0)]
-    flat = document.select("*", F.explode_outer("ORDER_LIST").alias("i")).select("*", "i.*")
-    assert got(flat, *columns) == expected
-    assert got(orders.order_document(t, "1").select(F.size("ORDER_LIST"))) == [(4,)]
+    assert got(document.select("CHANNEL_ORDER_NO", "LISTING_SKU", "COPIES")) == [
+        ("1", "1AB-linked", 1), ("1", "1AB-none", 2), ("1", "1AC-unlinked", 1), ("4", None, 0)
+    ]
+    assert got(document, *columns) == sorted(set(expected), key=repr)
+    listed = orders.order_document_list(t, "1").collect()
+    assert [[(i.LISTING_SKU, i.COPIES) for i in r.ORDER_LIST] for r in listed] == [[("1AB-linked", 1), ("1AB-none", 2), ("1AC-unlinked", 1)]]
+    assert [r.ORDER_LIST for r in orders.order_document_list(t, "4").collect()] == [[]]
 
 
 def test_add_employees(shop, make, got):
@@ -335,13 +338,14 @@ def order_detail(shop):
 
 
 def test_order_detail_nested(shop):
-    (row,) = purchasing.order_detail_nested(order_detail(shop), "20240101", 12).collect()
-    assert (row.TOTAL_QTY, row.VENDOR_CODE, row.VENDOR_NAME, row.MANUFACTURING_CODE) == (7, "V", "Vendor", "M")
-    assert [(c.PRODUCT_COLOR, c.MANUFACTURING_COLOR, {k: v.ORDER_QTY for k, v in c.SIZES.items()}) for c in row.COLOR_VARIANT] == [
-        ("red", "", {"1": 2}), ("blue", "navy", {"2": 0})
-    ]
-    assert [s.SHORT_SIZE_CODE for s in row.SIZE_VARIANT] == ["S3", "S2", "S1"]
+    rows = purchasing.order_detail_nested(order_detail(shop), "20240101", 12).orderBy("COLOR_NO").collect()
+    assert {(r.TOTAL_QTY, r.VENDOR_CODE, r.VENDOR_NAME, r.MANUFACTURING_CODE) for r in rows} == {(7, "V", "Vendor", "M")}
+    colors = [("red", "", {"1": 2}), ("blue", "navy", {"2": 0})]
+    assert [(r.PRODUCT_COLOR, r.MANUFACTURING_COLOR, {k: v.ORDER_QTY for k, v in r.SIZES.items()}) for r in rows] == colors
+    assert all([s.SHORT_SIZE_CODE for s in r.SIZE_VARIANT] == ["S3", "S2", "S1"] for r in rows)
     assert purchasing.order_detail_nested(order_detail(shop), "20240101", 13).isEmpty()
+    (row,) = purchasing.order_detail_lists(order_detail(shop), "20240101", 12).collect()
+    assert [(c.PRODUCT_COLOR, c.MANUFACTURING_COLOR, {k: v.ORDER_QTY for k, v in c.SIZES.items()}) for c in row.COLOR_VARIANT] == colors
 
 
 def test_print_grid(shop, got):
@@ -353,22 +357,27 @@ def test_print_grid(shop, got):
 
 def test_vendor_packets(shop, got):
     packets = purchasing.vendor_packets(order_detail(shop), NOW, "Company")
-    assert got(packets, "VENDOR_CODE", "VENDOR_EMAILS", "ORDERS_FROM", "EMPLOYEE_NAME", "ORDER_NO", "ATTACHMENT_NAME", "PRODUCT_CODES") == [
+    assert got(packets, "VENDOR_CODE", "VENDOR_EMAILS", "ORDERS_FROM", "EMPLOYEE_NAME", "ORDER_NO", "ATTACHMENT_NAME", "POSITION", "PRODUCT_CODE") == [
         ("V", ["a@example.test", "b@example.test"], "Company", "Company", "0000000012",
-         "Company_Vendor_0000000012 03-01-2024.pdf", ["P"])
+         "Company_Vendor_0000000012 03-01-2024.pdf", 0, "P")
     ]
 
 
 def test_order_sheet_rows_and_offsets(spark):
-    schema = ("BATCH_ID string, BLOCK_KEY string, BRAND_NAME string, PRODUCT_CODE string, PRODUCT_TITLE string, "
-              "SIZES array<string>, COLORS array<string>, QTYS array<array<int>>, TOTAL_QTY bigint")
-    blocks = spark.createDataFrame([
+    blocks = [
         ("a", "1", "B", "P1", "one", ["S", "M"], ["red"], [[1, 0]], 1),
         ("a", "2", "B", "P2", "two", ["S"], ["red", "blue"], [[2], [3]], 5),
         ("a", "3", "B", "P3", "three", ["S"], [], [], 0),
         ("b", "2", "C", "P4", "four", ["S"], ["x", "y", "z"], [[1], [1], [1]], 3),
-    ], schema)
-    rows = {(r.BATCH_ID, r.ROW_NO): r.CELLS for r in purchasing.order_sheet_cells(blocks).collect()}
+    ]
+    lines = spark.createDataFrame([
+        (*b[:5], b[5], i, len(b[6]), color, quantities, b[8])
+        for b in blocks for i, (color, quantities) in enumerate(zip(b[6], b[7]) if b[6] else [(None, None)])
+    ], "BATCH_ID string, BLOCK_KEY string, BRAND_NAME string, PRODUCT_CODE string, PRODUCT_TITLE string, SIZES array<string>, "
+       "COLOR_NO int, COLORS int, COLOR string, QTYS array<int>, TOTAL_QTY bigint")
+    cells = purchasing.order_sheet_cells(lines, NOW).collect()
+    assert {(r.BOOK, r.SHEET_TITLE) for r in cells} == {("a", "1st 12:34:56"), ("b", "1st 12:34:56")}
+    rows = {(r.BATCH_ID, r.ROW_NO): r.CELLS for r in cells}
     assert rows == {
         ("a", 1): ["VENDOR", "ITEM", "NAME", "COLOR", "S", "M", "TOTAL QTY"],
         ("a", 2): ["B", "P1", "one", "red", "1", "", "1"],
