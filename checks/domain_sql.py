@@ -141,7 +141,7 @@ VIEWS: dict[str, str] = {
                substr(strftime(ts, '%Y%m%d%H%M%S'), 1, case when event_id % 50 = 0 or event_type = 'error' then 13 else 14 end) as PUNCH_DTTM
         from events""",
     "req_order_line": f"""
-        select '20240201' as ORDER_DATE, i.STD_SKU, m.PRODUCT_CODE, {_BRAND} as BRAND_CODE, cast(null as varchar) as VENDOR_CODE,
+        select PARTKEY % 3 as BATCH, '20240201' as ORDER_DATE, i.STD_SKU, m.PRODUCT_CODE, {_BRAND} as BRAND_CODE, cast(null as varchar) as VENDOR_CODE,
                cast(p_partkey % 10 + 1 as int) as ORDER_QTY, '101500' as ORDER_TM, cast(p_partkey % 150 as varchar) as EMPLOYEE_ID
         from part join inv_inventory i on PARTKEY = p_partkey join inv_product_map m on m.STD_SKU = i.STD_SKU""",
 }

@@ -88,14 +88,14 @@ def _page(t: Tables) -> DataFrame:
 
 def _stream_updates(spark: SparkSession, folder: str) -> Tables:
     work = work_folder(spark, "packing-updates")
-    requests = feeds.packing_requests(spark, folder, feeds.stream_of(spark, folder, "lineitem"))
+    requests = feeds.packing_requests(spark, folder, feeds.stream_of(spark, folder, "lineitem", "l_orderkey", work))
     streams.stream_packing_updates(requests, f"{work}/log", f"{work}/state", lambda: NOW).awaitTermination()
     return streams.packing_state(tables(spark, folder), f"{work}/log")
 
 
 def _stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "packing-alerts")
-    requests = feeds.packing_requests(spark, folder, feeds.stream_of(spark, folder, "lineitem"))
+    requests = feeds.packing_requests(spark, folder, feeds.stream_of(spark, folder, "lineitem", "l_orderkey", work))
     alerts = streams.stream_packing_alerts(tables(spark, folder), requests)
     streams.run_append(alerts, f"{work}/alerts", f"{work}/state").awaitTermination()
     return spark.read.schema(alerts.schema).parquet(f"{work}/alerts")
@@ -103,7 +103,7 @@ def _stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream_punches(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "punches")
-    feed = feeds.punches(feeds.stream_of(spark, folder, "events"))
+    feed = feeds.punches(feeds.stream_of(spark, folder, "events", "event_id", work))
     rows = streams.stream_punches(tables(spark, folder), feed, ANCHOR, FIRST_PERIOD)
     streams.run_append(rows, f"{work}/punches", f"{work}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{work}/punches").drop("TS")
@@ -111,7 +111,7 @@ def _stream_punches(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream_punch_counts(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "punch-counts")
-    feed = feeds.punches(feeds.stream_of(spark, folder, "events"))
+    feed = feeds.punches(feeds.stream_of(spark, folder, "events", "event_id", work))
     rows = streams.stream_punches(tables(spark, folder), feed, ANCHOR, FIRST_PERIOD)
     counts = streams.stream_punch_counts(rows, ANCHOR)
     streams.run_punch_counts(counts, f"{work}/counts", f"{work}/state").awaitTermination()
@@ -120,7 +120,7 @@ def _stream_punch_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "purchase-orders")
-    lines = feeds.order_lines(feeds.stream_of(spark, folder, "part"))
+    lines = feeds.order_lines(feeds.stream_of(spark, folder, "part", "p_partkey", work))
     placed = streams.stream_purchase_orders(
         tables(spark, folder).product_orders, lines, f"{work}/placed", f"{work}/ledger", f"{work}/state"
     )

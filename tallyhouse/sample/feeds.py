@@ -13,9 +13,12 @@ from tallyhouse.sample.tables import BRAND_CODE, LISTING_SKU, MARKET_ID, PRODUCT
 from tallyhouse.sources.tables import Tables
 
 
-def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table as a file stream. The pattern admits a single file, which a plain path would not."""
-    return spark.readStream.schema(load(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet*")
+def stream_of(spark: SparkSession, folder: str, name: str, key: str, work: str, batches: int = 3) -> DataFrame:
+    """A test table as a stream of several micro-batches: its rows by `key` modulo `batches`, a file each, in this order."""
+    table = load(spark, folder, name)
+    for i in range(batches):
+        table.filter(F.pmod(F.col(key), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(f"{work}/{name}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/{name}")
 
 
 def packing_requests(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:

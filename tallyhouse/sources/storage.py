@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 # The cluster's setting, and one for sessions without it, as it cannot be set later.
@@ -66,29 +67,45 @@ def by_month(rows: DataFrame, date_column: str = "ORDER_DATE") -> DataFrame:
     return rows.withColumn("ORDER_MONTH", F.substring(date_column, 1, 6))
 
 
-def _complete_versions(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+def _versions(spark: SparkSession, root: str, marker: str = "") -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*{marker}")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+    return sorted(int(re.search(r"version=(\d+)", s.getPath().toString())[1]) for s in found)
+
+
+def _complete_versions(spark: SparkSession, root: str) -> list[int]:
+    return _versions(spark, root, "/_SUCCESS")
 
 
 def write_snapshot(rows: DataFrame, root: str, by: list[str] | None = None) -> int:
     """Writes a new version of a table next to the old one and returns its number.
 
     The new version becomes the current one only when its success marker is there, so `rows` may
-    read the version it replaces, and a lost job leaves the old version in force.
+    read the version it replaces, and a lost job leaves the old version in force. A folder that is there already, of a lost job or
+    of another writer, is never written into: its number is passed over, or the write fails.
     """
-    version = max(_complete_versions(rows.sparkSession, root), default=0) + 1
-    writer = rows.write.mode("overwrite")
+    version = max(_versions(rows.sparkSession, root), default=0) + 1
+    writer = rows.write.mode("error")
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(f"{root}/version={version}")
     return version
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The current version of a table written by `write_snapshot`."""
-    return spark.read.parquet(f"{root}/version={max(_complete_versions(spark, root))}")
+def drop_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Deletes all but the newest complete versions of a table written by `write_snapshot`."""
+    for version in _complete_versions(spark, root)[:-keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={version}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame | None:
+    """The current version of a table written by `write_snapshot`, or None if there is none. An empty version needs its schema."""
+    versions = _complete_versions(spark, root)
+    if not versions:
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{root}/version={versions[-1]}")
 
 
 def read_grids(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

@@ -20,7 +20,7 @@ from tallyhouse.plans.packing import (
 )
 from tallyhouse.plans.punches import PERIOD_DAYS, accepted_punches, with_pay_period
 from tallyhouse.plans.purchasing import next_order_seq
-from tallyhouse.sources.storage import replace_partitions
+from tallyhouse.sources.storage import drop_versions, read_snapshot, write_snapshot
 from tallyhouse.sources.tables import Tables
 
 
@@ -38,7 +38,15 @@ def run_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def _put(rows: DataFrame, path: str, batch_id: int) -> None:
-    replace_partitions(rows.withColumn("BATCH_ID", F.lit(batch_id).cast("bigint")), path, ["BATCH_ID"])
+    """Writes a micro-batch's rows into a folder of its own. A replay replaces it, also by nothing."""
+    rows.write.mode("overwrite").parquet(f"{path}/BATCH_ID={batch_id}")
+
+
+def _recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `_put` has written so far; the schema is given, as batches may be empty."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, BATCH_ID long")
+    return spark.read.schema(f"{schema}, BATCH_ID long").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,37 +54,75 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+STAMP = "STAMP string"
+CHANGE_LOGS = {
+    "orders": "REQUEST_SEQ long, CHANNEL_ORDER_NO string, MARKET_ID int, SHIPPING_STATUS string, EMPLOYEE_ID string, PROC_DT string, PROC_TM string",
+    "order_items": "REQUEST_SEQ long, CHANNEL_ORDER_NO string, MARKET_ID int, LISTING_SKU string, NO_ITEM_YN string, TAG_CHANGE_YN string",
+}
+_LOG_KEYS = {"orders": (ORDER_KEY, STATUS_COLUMNS), "order_items": (ITEM_KEY, FLAG_COLUMNS)}
+
+
+def _batch_stamp(spark: SparkSession, log: str, batch_id: int, clock: Callable[[], str]) -> str:
+    """The time of a micro-batch, read from the clock once and kept, so that a replay writes the same rows."""
+    known = _recorded(spark, f"{log}/stamps", STAMP).filter(F.col("BATCH_ID") == batch_id).first()
+    if known is None:
+        _put(spark.createDataFrame([(clock(),)], STAMP), f"{log}/stamps", batch_id)
+        known = _recorded(spark, f"{log}/stamps", STAMP).filter(F.col("BATCH_ID") == batch_id).first()
+    return known[0]
+
+
+def _latest(rows: DataFrame, name: str) -> DataFrame:
+    """The newest change of each key; equal numbers are settled by the changed values."""
+    keys, columns = _LOG_KEYS[name]
+    return first_per_key(rows, keys, [F.col("REQUEST_SEQ").desc()] + [F.col(c).desc() for c in columns])
+
+
 def stream_packing_updates(requests: DataFrame, log: str, checkpoint: str, clock: Callable[[], str]) -> StreamingQuery:
     """Records the latest change per order and per item of every micro-batch in a change log.
 
-    A micro-batch writes only its own changes. `packing_state` reads the tables with the log
-    applied; writing that result as a snapshot now and then keeps the log short.
+    A micro-batch writes only its own changes. `packing_state` reads the tables with the log applied; `compact_log` keeps that cheap.
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        changes = packing_update(batch, clock())
-        for rows, keys, columns, name in (
-            (changes.order_changes, ORDER_KEY, STATUS_COLUMNS, "orders"),
-            (changes.item_changes, ITEM_KEY, FLAG_COLUMNS, "order_items"),
-        ):
-            latest = [F.col("REQUEST_SEQ").desc()] + [F.col(c).desc() for c in columns]
-            _put(first_per_key(rows, keys, latest), f"{log}/{name}", batch_id)
+        changes = packing_update(batch, _batch_stamp(batch.sparkSession, log, batch_id, clock))
+        for rows, name in ((changes.order_changes, "orders"), (changes.item_changes, "order_items")):
+            _put(_latest(rows, name), f"{log}/{name}", batch_id)
         _put(changes.rejects, f"{log}/rejects", batch_id)
         batch.unpersist()
 
     return run_per_batch(requests, record, checkpoint)
 
 
+def _logged(spark: SparkSession, log: str, name: str) -> DataFrame:
+    """The changes to apply: the folded ones and those of later batches."""
+    rows = _recorded(spark, f"{log}/{name}", CHANGE_LOGS[name])
+    folded = read_snapshot(spark, f"{log}/{name}-folded", rows.schema)
+    if folded is None:
+        return rows
+    return rows.join(folded.agg(F.max("BATCH_ID").alias("_last")), F.col("BATCH_ID") > F.col("_last"), "left_semi").unionByName(folded)
+
+
+def compact_log(spark: SparkSession, log: str) -> None:
+    """Folds the recorded batches into one change per key. Later reads take the folded changes and the batches after them.
+
+    BATCH_ID of the folded changes is that of the newest folded batch. The batches' own folders stay, for replays.
+    """
+    for name in CHANGE_LOGS:
+        rows = _logged(spark, log, name)
+        newest = rows.agg(F.max("BATCH_ID")).first()[0]
+        if newest is not None:
+            write_snapshot(_latest(rows, name).withColumn("BATCH_ID", F.lit(newest)), f"{log}/{name}-folded")
+            drop_versions(spark, f"{log}/{name}-folded")
+
+
 def packing_state(t: Tables, log: str) -> Tables:
     """The tables with the change log applied."""
     spark = t.orders.sparkSession
-    state = {}
-    if _exists(spark, f"{log}/orders"):
-        state["orders"] = update_order_status(t.orders, spark.read.parquet(f"{log}/orders"))
-    if _exists(spark, f"{log}/order_items"):
-        state["order_items"] = update_order_item_flags(t.order_items, spark.read.parquet(f"{log}/order_items"))
-    return t.with_tables(**state)
+    return t.with_tables(
+        orders=update_order_status(t.orders, _logged(spark, log, "orders")),
+        order_items=update_order_item_flags(t.order_items, _logged(spark, log, "order_items")),
+    )
 
 
 def stream_packing_alerts(t: Tables, requests: DataFrame) -> DataFrame:
@@ -120,7 +166,7 @@ def run_punch_counts(counts: DataFrame, path: str, checkpoint: str) -> Streaming
 
 def punch_counts(spark: SparkSession, path: str) -> DataFrame:
     """The newest recorded count of every employee and pay period."""
-    rows = spark.read.parquet(path)
+    rows = _recorded(spark, path, "PERIOD_FROM date, EMPLOYEE_ID string, PUNCHES long")
     return first_per_key(rows, ["PERIOD_FROM", "EMPLOYEE_ID"], [F.col("BATCH_ID").desc()]).drop("BATCH_ID")
 
 
@@ -129,21 +175,26 @@ def stream_purchase_orders(
 ) -> StreamingQuery:
     """Places the lines of every micro-batch as one order with its own sequence number.
 
-    The ledger keeps the number given to each micro-batch, which a replay reuses. Its first row
-    holds the highest number of the existing table, read once. Empty micro-batches take no number.
+    The ledger keeps the number given to each micro-batch, which a replay reuses. Its first row holds the highest number of the existing
+    table, read once. It is rewritten with every new number, a row of two numbers each, and only its newest versions are kept.
+    Empty micro-batches take no number.
     """
     spark = product_orders.sparkSession
-    if not _exists(spark, ledger):
-        _put(next_order_seq(product_orders, "").select((F.col("ORDER_SEQ") - 1).alias("ORDER_SEQ")), ledger, -1)
+    if read_snapshot(spark, ledger) is None:
+        start = next_order_seq(product_orders, "").select(F.lit(-1).cast("long").alias("BATCH_ID"), (F.col("ORDER_SEQ") - 1).alias("ORDER_SEQ"))
+        write_snapshot(start, ledger)
 
     def place(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         if not batch.isEmpty():
-            given = spark.read.parquet(ledger)
-            if given.filter(F.col("BATCH_ID") == batch_id).isEmpty():
-                _put(given.agg((F.max("ORDER_SEQ") + 1).alias("ORDER_SEQ")), ledger, batch_id)
-            seq = spark.read.parquet(ledger).filter(F.col("BATCH_ID") == batch_id).select("ORDER_SEQ").scalar()
-            _put(batch.withColumn("ORDER_SEQ", seq), target, batch_id)
+            given = read_snapshot(spark, ledger).select("BATCH_ID", "ORDER_SEQ")
+            seq = given.filter(F.col("BATCH_ID") == batch_id).first()
+            if seq is None:
+                following = given.agg(F.lit(batch_id).cast("long").alias("BATCH_ID"), (F.max("ORDER_SEQ") + 1).alias("ORDER_SEQ"))
+                write_snapshot(given.union(following).coalesce(1), ledger)
+                drop_versions(spark, ledger)
+                seq = read_snapshot(spark, ledger).filter(F.col("BATCH_ID") == batch_id).first()
+            _put(batch.withColumn("ORDER_SEQ", F.lit(seq["ORDER_SEQ"]).cast("bigint")), target, batch_id)
         batch.unpersist()
 
     return run_per_batch(lines, place, checkpoint)

@@ -24,21 +24,45 @@ def arriving(spark, tmp_path, make):
 
 
 def test_packing_updates_and_replay(spark, shop, arriving, got, tmp_path):
+    """The clock moves between the runs, the first batch has refusals only, and folding the log changes nothing."""
     t = shop(orders=[order("1"), order("2")], order_items=[item("L", no="1"), item("M", no="2")], markets=[MARKET])
     stream, batch = arriving(
         PACKING_REQUEST,
-        [packing_request(1, "1", "Y", items=[("L", 1, "Y", "N")]), packing_request(2, "2", "N")],
+        [packing_request(2, "2", "N")],
+        [packing_request(1, "1", "Y", items=[("L", 1, "Y", "N")])],
         [packing_request(3, "1", "N", "Y", items=[("L", 1, "N", "Y")])],
     )
-    for run in ("first", "replay"):  # a lost checkpoint replays every batch into the same log
-        feeds.stream_packing_updates(stream, f"{tmp_path}/log", f"{tmp_path}/{run}", lambda: NOW).awaitTermination()
+    ticks = iter(range(100))
+    results = []
+    for run in ("first", "replay", "folded"):  # a lost checkpoint replays every batch into the same log
+        if run == "folded":
+            feeds.compact_log(spark, f"{tmp_path}/log")
+            feeds.compact_log(spark, f"{tmp_path}/log")
+        else:
+            feeds.stream_packing_updates(stream, f"{tmp_path}/log", f"{tmp_path}/{run}", lambda: f"202403011234{next(ticks):02d}").awaitTermination()
         after, expected = feeds.packing_state(t, f"{tmp_path}/log"), packing.apply_packing(t, batch, NOW)
-        assert got(after.orders) == got(expected.orders)
+        assert got(after.orders.drop("PROC_TM")) == got(expected.orders.drop("PROC_TM"))
         assert got(after.order_items) == got(expected.order_items)
         assert got(spark.read.parquet(f"{tmp_path}/log/rejects"), "REQUEST_SEQ") == [(2,)]
+        results.append(got(after.orders))
+    assert results[0] == results[1] == results[2]
     assert got(after.orders, "CHANNEL_ORDER_NO", "SHIPPING_STATUS") == [("1", "02"), ("2", None)]
 
 
+def test_a_log_of_refusals_only(spark, shop, arriving, got, tmp_path):
+    t = shop(orders=[order("1")], order_items=[item("L", no="1")])
+    stream, _ = arriving(PACKING_REQUEST, [packing_request(1, "1", "N")])
+    feeds.stream_packing_updates(stream, f"{tmp_path}/log", f"{tmp_path}/state", lambda: NOW).awaitTermination()
+    feeds.compact_log(spark, f"{tmp_path}/log")
+    assert got(feeds.packing_state(t, f"{tmp_path}/log").orders) == got(t.orders)
+
+
+def test_a_replay_without_rows_clears_its_batch(spark, tmp_path):
+    feeds._put(spark.range(3), f"{tmp_path}/log", 4)
+    feeds._put(spark.range(0), f"{tmp_path}/log", 4)
+    assert feeds._recorded(spark, f"{tmp_path}/log", "id long").isEmpty()
+
+
 def test_state_without_a_log_is_unchanged(shop, got, tmp_path):
     t = shop(orders=[order("1")])
     assert got(feeds.packing_state(t, f"{tmp_path}/none").orders, "CHANNEL_ORDER_NO") == [("1",)]
