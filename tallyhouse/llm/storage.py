@@ -32,5 +32,5 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written once as Parquet and read back. It cuts the lineage and outlives lost executors."""
     spark = frame.sparkSession
     path = new_folder(spark, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
