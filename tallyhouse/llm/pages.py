@@ -290,8 +290,10 @@ def trained(htmls: list[str], seed: int = SEED) -> Labeller:
 
 def learned(pages: DataFrame, key: str = "page_id", html: str = "html", most: int = TRAIN_PAGES) -> Labeller:
     """A labeller trained on the `most` pages with the lowest hashes of their key."""
-    short = pages.where(F.octet_length(html) <= TRAIN_BYTES).select(F.xxhash64(key).alias("_at"), key, html)
-    return trained([r[2] for r in short.orderBy("_at", key, html).limit(most).collect()])
+    short = pages.where(F.octet_length(html) <= TRAIN_BYTES).withColumn("_at", F.xxhash64(key))
+    chosen = [r[0] for r in short.select("_at", key).orderBy("_at", key).limit(most).collect()]  # keys first, so that few texts travel
+    own = short.where(F.col("_at").isin(chosen)).select("_at", key, html)
+    return trained([r[2] for r in own.orderBy("_at", key, html).limit(most).collect()])
 
 
 def main_texts(pages: DataFrame, labeller: Labeller, columns: list[str], html: str = "html") -> DataFrame:
