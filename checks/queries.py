@@ -13,7 +13,7 @@ from tallyhouse.operators.ordering import sorted_page
 from tallyhouse.plans import catalog, employees, jobs, labels, orders, packing, punches, purchasing, sales
 from tallyhouse.sample import feeds
 from tallyhouse.sample.tables import load, tables
-from tallyhouse.sources.storage import SHARED_SETTINGS, work_folder
+from tallyhouse.sources.storage import SHARED_SETTINGS, read_grids, read_snapshot, work_folder, write_json, write_snapshot, write_tsv
 from tallyhouse.sources.tables import Tables
 from tallyhouse.streaming import feeds as streams
 
@@ -52,8 +52,63 @@ def _joined(column: str) -> F.Column:
     return F.array_join(column, "|", "null").alias(column)
 
 
+def _some(rows: DataFrame, condition: str, key: str | F.Column) -> DataFrame:
+    """Keys to look up: those of the rows that meet a condition on their values, and one that no table has."""
+    keys = rows.filter(condition).select((F.col(key) if isinstance(key, str) else key).alias("KEY"))
+    return keys.union(rows.sparkSession.sql("select 'no such key'"))
+
+
+def _read_back(frame: DataFrame, path: str) -> DataFrame:
+    """A text export as it stands in the files; nulls are the word null."""
+    names = ", ".join(f"`{c}` string" for c in frame.columns)
+    return frame.sparkSession.read.schema(names).csv(path, sep="\t", header=True, quote="", nullValue="null", emptyValue="")
+
+
+def _tsv_export(plan: Callable[[Tables], DataFrame]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        frame, path = plan(tables(spark, folder)), work_folder(spark, "export")
+        write_tsv(frame, path)
+        return _read_back(frame, path)
+
+    return run
+
+
+def _rejects_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Refused labels appended to the same text table twice, without header."""
+    rejects, path = labels.label_split(tables(spark, folder), EVERY_SKU).rejects, work_folder(spark, "rejects")
+    for _ in range(2):
+        write_tsv(rejects, path, mode="append", header=False)
+    names = ", ".join(f"{c} string" for c in rejects.columns)
+    return spark.read.schema(names).csv(path, sep="\t", quote="", nullValue="null", emptyValue="")
+
+
+def _alerts_as_json(spark: SparkSession, folder: str) -> DataFrame:
+    alerts, path = packing.packing_alerts(tables(spark, folder), feeds.packing_requests(spark, folder)), work_folder(spark, "alerts")
+    write_json(alerts, path)
+    return spark.read.schema(alerts.schema).json(path)
+
+
+def _orders_as_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders as a first version, then the updated ones as the next, read back."""
+    t, path = tables(spark, folder), work_folder(spark, "orders")
+    write_snapshot(t.orders, path)
+    stored = t.with_tables(orders=read_snapshot(spark, path))
+    write_snapshot(packing.apply_packing(stored, feeds.packing_requests(spark, folder), NOW).orders, path)
+    return read_snapshot(spark, path)
+
+
+def _skus_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """SKUs harvested from sheets that were written as delimited files, one folder per sheet."""
+    path = work_folder(spark, "sheets")
+    grids = feeds.sheet_grids(load(spark, folder, "part"))
+    cells = F.array_join(F.transform("CELLS", lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))), ",", "")
+    grids.select("SHEET_ID", cells.alias("value")).repartition("SHEET_ID").write.partitionBy("SHEET_ID").text(path)
+    found = jobs.harvest_skus(read_grids(spark, f"{path}/*"))
+    return found.withColumn("SHEET_ID", F.regexp_extract("SHEET_ID", "SHEET_ID=([^/]+)", 1)).distinct()
+
+
 def _tracking(t: Tables) -> DataFrame:
-    return orders.orders_by_tracking(t, t.orders.select(F.col("CHANNEL_ORDER_NO")))
+    return orders.orders_by_tracking(t, _some(t.orders, "SHIPPING_STATUS = '01'", "CHANNEL_ORDER_NO"))
 
 
 def _nested_flat(t: Tables) -> DataFrame:
@@ -137,10 +192,11 @@ _QUERIES: dict[str, Query] = {
     "market_meta": _over_tables(lambda t: orders.market_meta(t, unknown=True)),
     "orders_by_tracking": _over_tables(_tracking),
     "order_items": _over_tables(orders.order_items),
+    "order_items_of_held": _over_tables(lambda t: orders.order_items(t, t.orders.filter("SHIPPING_STATUS = '02'"))),
     "listing_items": _over_tables(lambda t: orders.listing_items(t, t.order_items)),
     "unlinked_listing_items": _over_tables(lambda t: orders.unlinked_listing_items(t, t.order_items)),
     "brand_by_code": _over_tables(
-        lambda t: orders.brand_by_code(t, t.listings.select(orders.brand_code_of(F.col("LISTING_SKU"))))
+        lambda t: orders.brand_by_code(t, _some(t.listings, "CREATED_DTTM = 'bad'", orders.brand_code_of(F.col("LISTING_SKU"))))
     ),
     "images_by_sku": _over_tables(lambda t: orders.images_by_sku(t, t.product_map.select("STD_SKU"))),
     "order_document": _over_tables(orders.order_document),
@@ -172,14 +228,15 @@ _QUERIES: dict[str, Query] = {
     "brand_list": _over_tables(catalog.brand_list),
     "brands_with_product": _over_tables(catalog.brands_with_product),
     "vendor_list": _over_tables(catalog.vendor_list),
-    "vendor_map": _over_tables(lambda t: catalog.vendor_map(t, t.vendors.select("VENDOR_CODE"))),
-    "product_list": _over_tables(lambda t: catalog.product_list(t, t.brands.select("BRAND_CODE"))),
+    "vendor_map": _over_tables(lambda t: catalog.vendor_map(t, _some(t.vendors, "ORDERS_FROM = ''", "VENDOR_CODE"))),
+    "product_list": _over_tables(lambda t: catalog.product_list(t, _some(t.brands, "EMAIL is not null and BRAND_CODE > '10'", "BRAND_CODE"))),
     "all_product_list": _over_tables(catalog.all_product_list),
-    "vendor_product_list": _over_tables(lambda t: catalog.vendor_product_list(t, t.vendors.select("VENDOR_CODE"))),
+    "vendor_product_list": _over_tables(lambda t: catalog.vendor_product_list(t, _some(t.vendors, "ORDERS_FROM = ''", "VENDOR_CODE"))),
     "all_vendor_product_list": _over_tables(catalog.all_vendor_product_list),
-    "product_variants": _over_tables(lambda t: catalog.product_variants(t, t.products.select("PRODUCT_CODE"))),
+    "product_variants": _over_tables(lambda t: catalog.product_variants(t, _some(t.products, "ORDER_BY_SIZE = 'Y'", "PRODUCT_CODE"))),
     "all_product_variants": _over_tables(catalog.all_product_variants),
-    "product_sizes": _over_tables(catalog.product_sizes),
+    "product_sizes": _over_tables(lambda t: catalog.product_sizes(t, _some(t.products, "ORDER_BY_SIZE = 'Y'", "PRODUCT_CODE"))),
+    "all_product_sizes": _over_tables(catalog.product_sizes),
     "std_sku_by_size_color": _over_tables(lambda t: catalog.std_sku_by_size_color(t, feeds.lookups(t))),
     # Purchase orders
     "next_order_seq": _over_tables(lambda t: purchasing.next_order_seq(t.product_orders, NOW[:8])),
@@ -211,6 +268,13 @@ _QUERIES: dict[str, Query] = {
     # Screen queries
     "sorted_page": _over_tables(_page),
     "display_date": _over_tables(_screen_dates),
+    # Outputs, written and read back
+    "export_sales": _tsv_export(sales.sales_by_sku_tsv),
+    "export_packing": _tsv_export(packing.packing_status_tsv),
+    "append_label_rejects": _rejects_twice,
+    "alerts_as_json": _alerts_as_json,
+    "orders_as_snapshot": _orders_as_snapshot,
+    "harvest_sheet_files": _skus_of_files,
     # Streams
     "stream_packing_updates": lambda spark, folder: _stream_updates(spark, folder).orders,
     "stream_packing_item_updates": lambda spark, folder: _stream_updates(spark, folder).order_items,

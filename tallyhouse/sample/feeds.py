@@ -79,7 +79,7 @@ def order_lines(part: DataFrame) -> DataFrame:
 
 
 def lookups(t: Tables) -> DataFrame:
-    """Product, size and colour of every mapped SKU, as a client would look it up."""
-    return t.product_map.join(t.inventory, "STD_SKU").select(
+    """Product, size and colour of every mapped SKU of valid inventory, as a client would look it up."""
+    return t.product_map.join(t.inventory.filter("VALID_YN = 'Y'"), "STD_SKU").select(
         "PRODUCT_CODE", "SIZE_CODE", color_after_first(F.col("PRODUCT_COLOR")).alias("COLOR")
     )
