@@ -129,8 +129,7 @@ def sampled_suffixes(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places), pa.array(lead, pa.binary()), pa.array(whole, pa.binary()),
                      pa.array(before, pa.int32()), pa.array(after, pa.int32())], ["doc", "digest", "place", "lead", "whole", "before", "after"])
 
-    doc = dict(keyed.dtypes)["doc"]
-    return keyed.select("doc", "digest", "text").mapInArrow(run, f"doc {doc}, digest long, place long, lead binary, whole binary, before int, after int")
+    return keyed.select("doc", "digest", "text").mapInArrow(run, "doc long, digest long, place long, lead binary, whole binary, before int, after int")
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -341,9 +340,10 @@ def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) -> DataFrame:
-    """(doc, digest, spans): for the texts with repeats, unmerged (start, end) of strings that occur elsewhere too.
+    """(digest, doc, spans): for the texts with repeats, unmerged (start, end) of strings that occur elsewhere too.
 
-    `keyed` has doc, digest (of the text) and text. Rows equal in doc and digest count as two texts and share one result.
+    `keyed` has digest (a hash of the text), doc (one of the document's id) and text. Neither is null, so that joins and groupings on
+    them share a shuffle. Rows equal in both count as two texts and share one result.
     """
     suffixes = saved(sampled_suffixes(keyed, length), "sampled")
     places = saved(repeated_leads(suffixes), "repeated")
@@ -353,8 +353,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
     merged = saved(merged.join(sizes, "lead"), "contexts")
     full = merged.where((F.col("n") > 1) & (F.col("before") + F.col("after") >= length)).select("whole", F.col("before").alias("left"), F.col("after").alias("right"))
     asked = merged.where("size > 1").select("at.digest", "at.doc", F.struct("at.place", "lead", "whole", "n", "size").alias("cut"))
-    asked = asked.groupBy("digest", "doc").agg(F.collect_list("cut").alias("cuts")).select(F.col("digest").alias("_digest"), F.col("doc").alias("_doc"), "cuts")
-    once = keyed.join(asked, keyed["digest"].eqNullSafe(asked["_digest"]) & keyed["doc"].eqNullSafe(asked["_doc"])).select("text", "cuts")
+    asked = asked.groupBy("digest", "doc").agg(F.collect_list("cut").alias("cuts"))
+    once = keyed.join(asked, ["digest", "doc"]).select("text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,10 +379,11 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
     hot = solved.where("left is null").select("whole", "class", "n", "prior", "rest").dropDuplicates(["class", "whole"])
     if not hot.isEmpty():
         spans = spans.union(_hot_spans(hot, most, length))
-    by_context = spans.groupBy("whole").agg(F.collect_set(F.struct("left", "right")).alias("reach"))
-    reached = places.select("doc", "digest", "place", "whole").join(by_context, "whole").select(
-        "doc", "digest", F.transform("reach", lambda r: F.struct((F.col("place") - r["left"]).alias("start"), (F.col("place") + r["right"]).alias("end"))).alias("spans"))
-    return reached.groupBy("doc", "digest").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    # Spans of one context all hold its place, so together they are one span.
+    by_context = spans.groupBy("whole").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    own = F.struct((F.col("place") - F.col("left")).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
+    reached = places.select("doc", "digest", "place", "whole").join(by_context, "whole").select("digest", "doc", own.alias("span"))
+    return reached.groupBy("digest", "doc").agg(F.collect_list("span").alias("spans"))
 
 
 def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = CLASS,
@@ -394,10 +395,10 @@ def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id
     Documents may share an id or have none.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    keyed = documents.select(F.col(doc).alias("doc"), F.xxhash64(content).alias("digest"), content.alias("text"))
-    found = repeated_spans(keyed, length, most)
-    told = documents.select(*columns, F.col(doc).alias("_doc"), F.xxhash64(content).alias("_digest"), content.alias("_text"))
-    joined = told.join(found, told["_doc"].eqNullSafe(found["doc"]) & (told["_digest"] == found["digest"]), "left").select(*columns, "_text", "spans")
+    keys = {"digest": F.xxhash64(content), "doc": F.xxhash64(doc, F.col(doc).isNull())}
+    found = repeated_spans(documents.select(*(h.alias(name) for name, h in keys.items()), content.alias("text")), length, most)
+    told = documents.select(*columns, *(h.alias(f"_{name}") for name, h in keys.items()), content.alias("_text"))
+    joined = told.join(found, (told["_digest"] == found["digest"]) & (told["_doc"] == found["doc"]), "left").select(*columns, "_text", found["spans"])
     types = ", ".join(f"`{name}` {kind}" for name, kind in joined.drop("_text", "spans").dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
