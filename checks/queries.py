@@ -183,6 +183,12 @@ def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{work}/placed").drop("BATCH_ID")
 
 
+def _next_periods(t: Tables, feed: DataFrame) -> DataFrame:
+    periods = punches.punch_pay_periods(t, feed, ANCHOR, FIRST_PERIOD).select("PERIOD_LABEL", "PERIOD_FROM").distinct()
+    following = punches.next_period(F.col("PERIOD_LABEL"), F.year(F.date_add("PERIOD_FROM", punches.PERIOD_DAYS - 1)))
+    return periods.select("PERIOD_LABEL", following.alias("n")).select("PERIOD_LABEL", F.col("n.PERIOD_FROM").alias("NEXT_FROM"), F.col("n.PERIOD_LABEL").alias("NEXT_LABEL"))
+
+
 def _ids(t: Tables) -> DataFrame:
     return t.orders.select("EMPLOYEE_ID").filter("EMPLOYEE_ID is not null")
 
@@ -210,6 +216,7 @@ _QUERIES: dict[str, Query] = {
     "sales_by_sku_long": _over_tables(sales.sales_by_sku_long),
     "sales_by_sku_wide": _over_tables(sales.sales_by_sku_wide),
     "sales_by_sku_tsv": _over_tables(sales.sales_by_sku_tsv),
+    "sales_of_two_markets": _over_tables(lambda t: sales.sales_by_sku_wide(t, markets=[5, 2])),
     "packing_status": _over_tables(packing.packing_status),
     "packing_status_tsv": _over_tables(packing.packing_status_tsv),
     "no_item_tag_change_counts": _over_tables(packing.no_item_tag_change_counts),
@@ -249,6 +256,7 @@ _QUERIES: dict[str, Query] = {
     "order_print_grid": _over_tables(_grid_flat),
     # Labels
     "label_rows": _over_tables(lambda t: labels.label_rows(t, EVERY_SKU)),
+    "label_rows_in_any_case": _over_tables(lambda t: labels.label_rows(t, "p000", ignore_case=True)),
     "label_split": _over_tables(lambda t: labels.label_split(t, EVERY_SKU).printable),
     "label_split_rejects": _over_tables(lambda t: labels.label_split(t, EVERY_SKU).rejects),
     "label_pages": _over_tables(lambda t: labels.label_pages(t, EVERY_SKU)),
@@ -265,6 +273,7 @@ _QUERIES: dict[str, Query] = {
     "punches_valid": _from("events", feeds.punches, lambda t, p: punches.punches_valid(t, p).accepted),
     "punches_valid_rejects": _from("events", feeds.punches, lambda t, p: punches.punches_valid(t, p).rejects),
     "punch_pay_periods": _from("events", feeds.punches, lambda t, p: punches.punch_pay_periods(t, p, ANCHOR, FIRST_PERIOD)),
+    "next_pay_periods": _from("events", feeds.punches, _next_periods),
     # Screen queries
     "sorted_page": _over_tables(_page),
     "display_date": _over_tables(_screen_dates),

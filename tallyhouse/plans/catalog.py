@@ -108,3 +108,8 @@ def std_sku_by_size_color(t: Tables, wanted: DataFrame) -> DataFrame:
     keys = ["PRODUCT_CODE", "SIZE_CODE", "COLOR"]
     variants = _variants(t, None).withColumn("COLOR", color_after_first(F.col("PRODUCT_COLOR")))
     return variants.join(distinct_keys(wanted, keys), keys, "left_semi").select(*keys, "STD_SKU")
+
+
+def repeated_manufacturing_keys(t: Tables) -> DataFrame:
+    """Keys that occur more than once in the manufacturing map, with their number: each repetition counts an order line again."""
+    return t.manufacturing_map.groupBy("PRODUCT_CODE", "STD_SKU").agg(F.count("*").alias("ROWS")).filter("ROWS > 1")

@@ -16,21 +16,22 @@ LABEL_COLUMNS = ["STD_SKU", "PRODUCT_CODE", "SIZE", "COLOR", "NAME"]
 LABEL_ORDER = ["STD_SKU", "SIZE", "COLOR", "NAME", "IMAGE_PATH"]
 
 
-def _matching(t: Tables, prefix: str) -> DataFrame:
+def _matching(t: Tables, prefix: str, ignore_case: bool) -> DataFrame:
     """SKUs with a dash that match the prefix; `%` and `_` in it are wildcards."""
     sku = F.col("STD_SKU")
-    return t.inventory.filter(sku.like(f"{prefix}%") & sku.contains("-"))
+    matches = sku.ilike(f"{prefix}%") if ignore_case else sku.like(f"{prefix}%")
+    return t.inventory.filter(matches & sku.contains("-"))
 
 
-def label_rows(t: Tables, prefix: str) -> DataFrame:
+def label_rows(t: Tables, prefix: str, ignore_case: bool = False) -> DataFrame:
     """Label texts of the matching SKUs with the image of the lowest IMAGE_ID.
 
-    Images are reduced to one per SKU before the join.
+    Text compares by binary value; `ignore_case` is for stores that compare SKUs in any case. Images are reduced to one per SKU before the join.
     """
     images = t.images.groupBy("SKU").agg(F.min_by("IMAGE_PATH", "IMAGE_ID").alias("IMAGE_PATH"))
     sku = F.col("STD_SKU")
     return (
-        _matching(t, prefix)
+        _matching(t, prefix, ignore_case)
         .join(t.sizes.select("SIZE_CODE", "SIZE_NAME"), "SIZE_CODE", "left")
         .select(
             sku,

@@ -72,6 +72,19 @@ def with_pay_period(punches: DataFrame, anchor: str, first_number: int = 1) -> D
     )
 
 
+def next_period(title: Column, year: Column) -> Column:
+    """The period after the one a table's title names, as (PERIOD_FROM, PERIOD_LABEL).
+
+    A title has no year; `year` is that of its last day. The new period starts the day after and has the next number, two digits of it.
+    Null for a title without two days.
+    """
+    days = F.regexp_extract_all(title, F.lit(r"[0-9]{2}/[0-9]{2}"), F.lit(0))
+    last_day = F.try_to_timestamp(F.concat(year.cast("string"), F.lit("/"), F.get(days, F.lit(1))), F.lit("yyyy/MM/dd")).cast("date")
+    first = F.date_add(last_day, 1)
+    number = F.trim(F.substring(title, 1, 2)).try_cast("int") + 1
+    return F.when(last_day.isNotNull(), F.struct(first.alias("PERIOD_FROM"), period_label(number, first).alias("PERIOD_LABEL")))
+
+
 def punch_pay_periods(t: Tables, punches: DataFrame, anchor: str, first_number: int = 1) -> DataFrame:
     """Accepted punches with their pay period."""
     return with_pay_period(accepted_punches(t, punches), anchor, first_number)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def sales_by_sku_long(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE)
     return _sales_lines(t, start, end).orderBy("ORDER_DATE", "MARKET_ID", "STD_SKU")
 
 
-def _spread(t: Tables, start: str, end: str) -> DataFrame:
+def _spread(t: Tables, start: str, end: str, markets: Sequence[int]) -> DataFrame:
     """One row per date and standard SKU.
 
     Texts are the first non-empty ones in (MARKET_ID, LISTING_SKU) order. Where one marketplace
@@ -63,7 +65,7 @@ def _spread(t: Tables, start: str, end: str) -> DataFrame:
     quantity = F.coalesce("ORDER_QTY", F.lit(0))
     cells = [
         F.max_by(F.when(F.col("MARKET_ID") == m, quantity), F.when(F.col("MARKET_ID") == m, F.col("LISTING_SKU"))).alias(f"MARKET_{m}")
-        for m in MARKET_ORDER
+        for m in markets
     ]
     spread = _sales_lines(t, start, end).groupBy("ORDER_DATE", F.col("STD_SKU").alias("_sku")).agg(
         first_text("LISTING_SKU").alias("_listing_sku"),
@@ -78,20 +80,21 @@ def _spread(t: Tables, start: str, end: str) -> DataFrame:
         F.coalesce(F.nullif(F.col("_sku"), F.lit("")), listing).alias("STD_SKU"),
         listing.alias("LISTING_SKU"),
         "PRODUCT_NAME", "TOTAL_ORDER_CNT", "INVENTORY_YN",
-        *[f"MARKET_{m}" for m in MARKET_ORDER],
+        *[f"MARKET_{m}" for m in markets],
     )
 
 
-def sales_by_sku_wide(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> DataFrame:
-    """Sales per date and standard SKU with one column per marketplace, sorted by date and SKU.
+def sales_by_sku_wide(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE, markets: Sequence[int] = MARKET_ORDER) -> DataFrame:
+    """Sales per date and standard SKU with one column per marketplace of `markets`, sorted by date and SKU.
 
-    TOTAL_ORDER_CNT is a quantity, as its source column name suggests otherwise.
+    TOTAL_ORDER_CNT is a quantity, as its source column name suggests otherwise, and counts all marketplaces.
     """
-    return _spread(t, start, end).orderBy("ORDER_DATE", "STD_SKU")
+    return _spread(t, start, end, markets).orderBy("ORDER_DATE", "STD_SKU")
 
 
 def sales_by_sku_tsv(
-    t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE, market_titles: dict[int, str] | None = None
+    t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE, market_titles: dict[int, str] | None = None,
+    markets: Sequence[int] = MARKET_ORDER,
 ) -> DataFrame:
     """Rows of the sales export; write them with `write_tsv`.
 
@@ -99,12 +102,12 @@ def sales_by_sku_tsv(
     used for those left out.
     """
     titles = market_titles or {}
-    wide = _spread(t, start, end).orderBy("ORDER_DATE", "STD_SKU")
+    wide = _spread(t, start, end, markets).orderBy("ORDER_DATE", "STD_SKU")
     return wide.select(
         dashed_date(F.col("ORDER_DATE")).alias("Order Date"),
         F.col("STD_SKU").alias("Standard SKU"),
         F.col("PRODUCT_NAME").alias("Product Name"),
         F.col("TOTAL_ORDER_CNT").alias("total"),
-        *[F.coalesce(f"MARKET_{m}", F.lit(0)).alias(titles.get(m, f"Market {m}")) for m in MARKET_ORDER],
+        *[F.coalesce(f"MARKET_{m}", F.lit(0)).alias(titles.get(m, f"Market {m}")) for m in markets],
         F.col("INVENTORY_YN").alias("Inventory Y/N"),
     )

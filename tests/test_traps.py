@@ -477,3 +477,17 @@ def test_market_meta(shop, got):
     assert got(orders.market_meta(shop(markets=[MARKET]), unknown=True), "MARKET_ID", "MARKETPLACE_NM") == [
         (1, "Brand Channel"), (99, "Unknown")
     ]
+
+
+def test_next_period_of_a_title(spark):
+    titles = [("07 [01/05 - 01/18] Employee Clock In Table", 2024), ("99 [12/20 - 12/31] Employee Clock In Table", 2023), ("no days", 2024), (None, 2024)]
+    frame = spark.createDataFrame(titles, "t string, y int").select(punches.next_period(F.col("t"), F.col("y")).alias("n"))
+    assert [r.n and (str(r.n.PERIOD_FROM), r.n.PERIOD_LABEL) for r in frame.collect()] == [
+        ("2024-01-19", "08 [01/19 - 02/01] Employee Clock In Table"), ("2024-01-01", "00 [01/01 - 01/14] Employee Clock In Table"), None, None
+    ]
+
+
+def test_repeated_manufacturing_keys(shop, got):
+    key = {"PRODUCT_CODE": "P", "STD_SKU": "s"}
+    t = shop(manufacturing_map=[key, key, {"PRODUCT_CODE": "P", "STD_SKU": "t"}])
+    assert got(catalog.repeated_manufacturing_keys(t)) == [("P", "s", 2)]
