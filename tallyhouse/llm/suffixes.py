@@ -33,7 +33,7 @@ from tallyhouse.llm.storage import saved
 LENGTH = 400
 GRAM = 32
 CLASS = 1024
-SPLIT = 8
+SPLIT = (2, 8)  # parts of a range of starts, at first and later
 GROUP = 1 << 19  # bytes of text whose suffixes are sampled at once
 SMALL = 32
 END = 0xFF  # no byte of UTF-8
@@ -290,14 +290,14 @@ def class_spans(contexts: DataFrame, most: int = CLASS, length: int = LENGTH) ->
     return dealt.mapInArrow(run, SOLVED)
 
 
-def _ranges(rows: DataFrame, length: int) -> DataFrame:
+def _ranges(rows: DataFrame, split: int, length: int) -> DataFrame:
     """Rows (whole, n, low, high, prior, rest) for each part of their range of starts: class, part and the bytes its strings touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for whole, n, low, high, prior, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                step = -(-(high - low + 1) // SPLIT)
+                step = -(-(high - low + 1) // split)
                 for a in range(low, high + 1, step):
                     b = min(high, a + step - 1)
                     if len(prior) < a or len(rest) < length - b:  # no string of this range fits
@@ -320,11 +320,14 @@ def _ranges(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
-    """(whole, left, right) for rows (whole, n, prior, rest) of classes above `most`, by ranges of starts."""
-    level = rows.withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
-    every = None
+    """(whole, left, right) for rows (whole, n, prior, rest) of classes above `most`, by ranges of starts.
+
+    The first cut in two tells lines that are merely common from long passages: strings of either half share half of `length`.
+    """
+    level, every, split = rows.withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)}), None, SPLIT[0]
     while True:
-        ranged = saved(_ranges(level, length), "ranges")
+        ranged = saved(_ranges(level, split, length), "ranges")
+        split = SPLIT[1]
         parts = ranged.groupBy("class", "part", "low", "high").agg(F.sum("n").alias("n"), F.first("prior").alias("prior"), F.first("rest").alias("rest"))
         sizes = ranged.select("class", "part").distinct().groupBy("class").agg(F.count("*").alias("size"))
         parts = saved(parts.join(sizes, "class"), "parts")
@@ -334,7 +337,8 @@ def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
         mine = ranged.select("whole", "part").join(spans, "part").select("whole", "left", "right")
         every = mine if every is None else every.union(mine)
         large = parts.where(F.col("size") > most).select("class").distinct()
-        level = saved(ranged.join(large, "class", "left_semi").where("high > low"), "levels")
+        left = ranged.join(large, "class", "left_semi").where("high > low")
+        level = saved(left.repartition("whole", "low"), "levels")  # a class is in one task here, its rows go on in many
         if level.isEmpty():
             return every
 
@@ -381,6 +385,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
         spans = spans.union(_hot_spans(hot, most, length))
     # Spans of one context all hold its place, so together they are one span.
     by_context = spans.groupBy("whole").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    # As an expression the key is shuffled anew, and Spark can split the many suffixes of one context in the join.
+    by_context = by_context.withColumn("whole", F.concat("whole", F.lit(b"")))
     own = F.struct((F.col("place") - F.col("left")).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
     reached = places.select("doc", "digest", "place", "whole").join(by_context, "whole").select("digest", "doc", own.alias("span"))
     return reached.groupBy("digest", "doc").agg(F.collect_list("span").alias("spans"))
