@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
                b.r_regionkey + 1 as LISTING_PRODUCT_QTY, p_retailprice as LISTING_PRODUCT_PRICE, 'N' as LISTING_PRODUCT_FBM,
                case when p_partkey % 50 = 6 then 'bad' else '20240131235959' end as CREATED_DTTM,
                case when p_partkey % 11 = 0 then 'N' else 'Y' end as VALID_YN
-        from part cross join inv_market cross join region b
+        from part cross join (from inv_market where MARKET_ID <= 8) cross join region b
         join inv_inventory i on i.PARTKEY = case when p_partkey % 20 = 0 and b.r_regionkey = 1 then 1 else p_partkey end
         where p_partkey % 10 < 7
           and (b.r_regionkey = 0 or (b.r_regionkey = 1 and (p_partkey % 20 = 0 or p_partkey % 30 = 3)))""",
@@ -86,7 +86,7 @@ VIEWS: dict[str, str] = {
                p_name || ' unlinked' as LISTING_PRODUCT_NAME, cast(p_size as varchar) as LISTING_PRODUCT_SIZE,
                p_type as LISTING_PRODUCT_COLOR, p_type as LISTING_PRODUCT_DESIGN,
                case when p_partkey % 19 = 0 then 'N' else 'Y' end as VALID_YN
-        from part cross join inv_market where p_partkey % 10 >= 6""",
+        from part cross join (from inv_market where MARKET_ID <= 8) where p_partkey % 10 >= 6""",
     "inv_order": """
         select cast(o_orderkey as varchar) as CHANNEL_ORDER_NO, cast(o_custkey % 8 + 1 as int) as MARKET_ID,
                replace(cast(cast(o_orderdate as date) as varchar), '-', '') as ORDER_DATE, 1 as ORDER_QTY,

@@ -17,7 +17,7 @@ def stream_of(spark: SparkSession, folder: str, name: str, key: str, work: str,
     """A test table as a stream of several micro-batches: its rows by `key` modulo `batches`, a file each, in this order."""
     table = load(spark, folder, name)
     for i in range(batches):
-        table.filter(F.pmod(F.col(key), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(f"{work}/{name}")
+        table.filter(F.pmod(F.expr(key), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(f"{work}/{name}")
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/{name}")
 
 
