@@ -328,17 +328,18 @@ def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
     while True:
         ranged = saved(_ranges(level, split, length), "ranges")
         split = SPLIT[1]
-        parts = ranged.groupBy("class", "part", "low", "high").agg(F.sum("n").alias("n"), F.first("prior").alias("prior"), F.first("rest").alias("rest"))
+        parts = ranged.groupBy("class", "part", "low", "high").agg(
+            F.sum("n").alias("n"), F.first("whole").alias("whole"), F.first("prior").alias("prior"), F.first("rest").alias("rest"))
         sizes = ranged.select("class", "part").distinct().groupBy("class").agg(F.count("*").alias("size"))
         parts = saved(parts.join(sizes, "class"), "parts")
         full = parts.where("n > 1").select("part", F.octet_length("prior").alias("left"), F.octet_length("rest").alias("right"))
         some = class_spans(parts.where((F.col("size") > 1) & (F.col("size") <= most)).withColumn("whole", F.col("part")), most, length)
         spans = full.unionByName(some.select(F.col("whole").alias("part"), "left", "right")).where(F.col("left") + F.col("right") >= length)
-        mine = ranged.select("whole", "part").join(spans, "part").select("whole", "left", "right")
+        mine = ranged.where("whole is not null").select("whole", "part").join(spans, "part").select("whole", "left", "right")
         every = mine if every is None else every.union(mine)
-        large = parts.where(F.col("size") > most).select("class").distinct()
-        left = ranged.join(large, "class", "left_semi").where("high > low")
-        level = saved(left.repartition("whole", "low"), "levels")  # a class is in one task here, its rows go on in many
+        # A part that occurs more than once is a repeat as a whole: one row of it goes on, without a name, for the others to meet.
+        left = parts.where((F.col("size") > most) & (F.col("high") > F.col("low"))).withColumn("whole", F.when(F.col("n") == 1, F.col("whole")))
+        level = saved(left.repartition("part"), "levels")  # a class is in one task here, its rows go on in many
         if level.isEmpty():
             return every
 
