@@ -177,11 +177,13 @@ def mixed_documents(documents: DataFrame, identity: str = "doc_id", text: str =
     plans = parts.withColumnRenamed("_kind_hash", "_of").groupBy(*keys, "_copy").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
     copy = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1))).cast("long")  # rows equal in the keys are interchangeable
     joined = keyed.withColumn("_copy", copy).join(plans, [*keys, "_copy"])
-    passes = joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.array_max(F.transform("_parts", lambda p: p["uses"]))))))
-    passes = passes.withColumn("_taken", F.filter("_parts", lambda p: p["uses"] >= F.col("_pass"))).where(F.size("_taken") > 0)
+    uses = F.transform("_parts", lambda p: p["uses"])
     words = F.regexp_extract_all(F.col("_row")[text], F.lit(WORD_AND_BLANKS), F.lit(0))
+    # Below the explode, so that a text is cut into words once and not for every part taken of it.
+    cut = joined.withColumns({"_most": F.array_max(uses), "_every": F.when(F.array_min(uses) < F.array_max(uses), words)}).where("_most > 0")
+    passes = cut.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_most"))))
+    passes = passes.withColumn("_taken", F.filter("_parts", lambda p: p["uses"] >= F.col("_pass"))).where(F.size("_taken") > 0)
     some = F.array_join(F.flatten(F.transform("_taken", lambda p: F.slice(F.col("_every"), p["first"] + 1, p["words"]))), "")
     whole = F.size("_taken") == F.size("_parts")
-    passes = passes.withColumn("_every", F.when(~whole, words))
     own = F.when(whole, F.col("_row")[text]).otherwise(some)
     return passes.select(*((own if c == text else F.col("_row")[c]).alias(c) for c in documents.columns))
