@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each SimHash component: the one with the smallest doc_id, of repeated rows one."""
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_digest"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
     keys = ["_digest", "_id", "_none"]
-    found = simhash.near_duplicates(keyed, keys)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("_none"), "_id", "_digest")).alias("kept")).select("kept.*")
+    found = simhash.rooted_duplicates(keyed, keys)
+    first = found.groupBy("component_root").agg(F.min(F.struct(F.col("_none"), "_id", "_digest")).alias("kept")).select("kept.*")
     return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(COLUMNS)
 
 

@@ -126,11 +126,12 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     return every
 
 
-def near_duplicates(documents: DataFrame, columns: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, the other given columns, fingerprint and component_id, the smallest doc_id of the component, for every row.
+def rooted_duplicates(documents: DataFrame, columns: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, the other given columns, fingerprint, component_id, the smallest doc_id of the component, and component_root, for every row.
 
     Rows equal in all columns stay apart and share a component, as do all rows without words. Null ids count only where a component
-    has no other. No documents: no rows.
+    has no other, so component_id may be null, and components that share an id may share it. component_root, a fingerprint of the
+    component, names it: it is never null and no other component has it. No documents: no rows.
     """
     columns = ["doc_id", *(columns or [])]
     prints = saved(fingerprints(documents, columns, shingle=shingle), "fingerprints")
@@ -139,8 +140,13 @@ def near_duplicates(documents: DataFrame, columns: list[str] | None = None, shin
     placed = nodes.join(joined, nodes["fingerprint"] == joined["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     placed = saved(placed, "placed-fingerprints")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = placed.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(component, "fingerprint").select(*columns, "fingerprint", "component_id")
+    component = placed.join(smallest, "root").select("fingerprint", "component_id", F.col("root").alias("component_root"))
+    return prints.join(component, "fingerprint").select(*columns, "fingerprint", "component_id", "component_root")
+
+
+def near_duplicates(documents: DataFrame, columns: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """`rooted_duplicates` without the root."""
+    return rooted_duplicates(documents, columns, shingle, radius).drop("component_root")
 
 
 def hexadecimal(column: str) -> Column:

@@ -76,6 +76,14 @@ def test_near_duplicate_stage_keeps_one_of_each_component(stages):
     assert sorted((r[0] for r in stages[2]), key=repr) == sorted(components, key=repr)
 
 
+def test_near_duplicate_stage_tells_components_apart_without_ids(spark):
+    texts = [" ".join(f"{word}{i}" for i in range(60)) for word in ("apple", "stone", "river", "cloud")]
+    rows = [(None, texts[0], "en", "a", 1), (None, texts[1], "en", "a", 1), (7, texts[2], "en", "a", 1), (7, texts[3], "en", "a", 1), (None, texts[0], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SAMPLE).collect()]
+    assert sorted(found, key=repr) == sorted(zip([None, None, 7, 7], texts, strict=True), key=repr)
+
+
 def test_repeat_stage_removes_repeats_of_its_input(stages):
     expected = {(doc, kept.decode("utf-8", "ignore")) for doc, kept, _ in plain([(r[0], r[1]) for r in stages[2]], 400)}
     assert {(r[0], r[1]) for r in stages[3]} == expected and len(stages[3]) == len(stages[2])
