@@ -85,7 +85,8 @@ def tree_search(k: int, first_leaf_only: bool, leaf: int = LEAF) -> Callable:
         def answer(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray) -> pd.DataFrame:
             out = []
             for query, q, bound, floor in zip(query_ids, queries, tree.bounds(queries), floors, strict=True):
-                top: list[tuple[int, int]] = []  # the k best (score, minus id), the worst first
+                top: list[tuple[int, int]] = []  # the k best (score, minus id), the worst first, each id once
+                held: dict[int, int] = {}  # id -> its score in top
 
                 def kth() -> float:
                     own = top[0][0] if len(top) == k else -np.inf  # noqa: B023
@@ -96,12 +97,20 @@ def tree_search(k: int, first_leaf_only: bool, leaf: int = LEAF) -> Callable:
                     scores = points[lo:hi].astype(np.int64) @ q.astype(np.int64) if wide else (points[lo:hi] @ q).astype(np.int64)
                     for i in np.flatnonzero(scores >= kth()):
                         for own in owners[lo + i]:
-                            if own != query:
-                                entry = (int(scores[i]), -int(own))
-                                if len(top) < k:
-                                    heapq.heappush(top, entry)
-                                elif entry > top[0]:
-                                    heapq.heapreplace(top, entry)
+                            own, score = int(own), int(scores[i])
+                            if own == query or held.get(own, score - 1) >= score:
+                                continue
+                            entry = (score, -own)
+                            if own in held:
+                                top[top.index((held[own], -own))] = entry
+                                heapq.heapify(top)
+                            elif len(top) < k:
+                                heapq.heappush(top, entry)
+                            elif entry > top[0]:
+                                del held[-heapq.heapreplace(top, entry)[1]]
+                            else:
+                                continue
+                            held[own] = score
                     if first_leaf_only and len(top) >= k:
                         break
                 out += [(query, -minus, score) for score, minus in top]

@@ -7,7 +7,8 @@ directions. Scores are the cosines of the original vectors in double precision;
 
 Rows whose id or vector is null, or whose vector is zero or holds a null or non-finite component, take no part. Vectors of different
 lengths are not compared. Equal vectors are one point with several ids; rows with a query's id are never its neighbours. A shard
-with no more points than a search keeps is compared in full, so few rows are found whole. No vectors: no rows.
+with no more points than a search keeps is compared in full, so few rows are found whole. Where the vectors of few ids fill a search's view,
+it is widened until k ids are found or the shard is compared in full. No vectors: no rows.
 """
 
 from __future__ import annotations
@@ -144,14 +145,25 @@ def graph_search(k: int, width: int = WIDTH) -> Callable:
     def index(ids: list, vectors: np.ndarray) -> Callable:
         graph = Graph(vectors)
 
+        def scored(query: int, q: np.ndarray, found: np.ndarray) -> list[tuple[int, float]]:
+            """The k best ids of the points found, each with its best score."""
+            near = found[found >= 0]
+            highest: dict[int, float] = {}
+            for score, at in zip(cosines(q, vectors[near]), near, strict=True):
+                for own in ids[at]:
+                    if own != query and score > highest.get(own, -np.inf):
+                        highest[own] = score
+            return sorted(highest.items(), key=lambda hit: (-hit[1], hit[0]))[:k]
+
         def answer(query_ids: np.ndarray, queries: np.ndarray, _: np.ndarray) -> pd.DataFrame:
             out = []
             for lo in range(0, len(queries), BATCH):
                 for query, q, found in zip(query_ids[lo : lo + BATCH], queries[lo : lo + BATCH], graph.search(queries[lo : lo + BATCH], width), strict=True):
-                    near = found[found >= 0]
-                    scores = cosines(q, vectors[near])
-                    hits = sorted((-score, own) for score, at in zip(scores, near, strict=True) for own in ids[at] if own != query)
-                    out += [(query, own, -score) for score, own in hits[:k]]
+                    hits, wide = scored(query, q, found), width
+                    while len(hits) < k and wide < len(vectors):  # the vectors of few ids fill the view
+                        wide *= 4
+                        hits = scored(query, q, graph.search(q[None], wide)[0])
+                    out += [(query, own, score) for own, score in hits]
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
         return answer

@@ -22,12 +22,12 @@ def finite(vector: str) -> Column:
 
 
 def merged(vectors: DataFrame, k: int) -> DataFrame:
-    """(vec, ids): one row per distinct vector with its k + 1 smallest ids, in order.
+    """(vec, ids): one row per distinct vector with its k + 1 smallest distinct ids, in order.
 
-    A search for k neighbours never needs more ids of one vector, the query's own included. The ids are cut before the shuffle,
-    so a vector with very many copies is no hot key.
+    A search for k neighbours never needs more ids of one vector, the query's own included. Repeated rows go first, as they would take
+    other ids' places. The ids are cut before the shuffle by vector, so a vector with very many copies is no hot key.
     """
-    ranked = vectors.withColumn("_rank", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("_rank") <= k + 1)
+    ranked = vectors.select("id", "vec").distinct().withColumn("_rank", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("_rank") <= k + 1)
     return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 

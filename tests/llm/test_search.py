@@ -98,3 +98,27 @@ def test_few_neighbours_are_found_whole(table):
     got = {(q, r, c, round(s, 9)) for q, r, c, s in map(tuple, found.collect())}
     expected = brute(points, queries, 5, lambda q, c: round(cosine(q, c), 12))
     assert got == {(q, r, c, round(s, 9)) for q, r, c, s in expected}
+
+
+@pytest.mark.parametrize("shard_rows", [16, 1000])
+def test_repeated_rows_take_no_places(table, shard_rows):
+    points = whole(60, 3, low=1) * 2 + [(1, [9.0, 9.0, 9.0])] * 9 + [(100 + i, [9.0, 9.0, 9.0]) for i in range(9)]
+    queries = [p for p in points if p[0] % 10 == 0]
+    frame = table(SCHEMA, points)
+    found = exact_top_k(frame, frame.where("id % 10 = 0"), 5, shard_rows)
+    assert {tuple(r) for r in found.collect()} == brute(points, queries, 5, lambda q, c: int(np.dot(q, c)))
+    near = neighbours.nearest(frame, frame.where("id % 10 = 0"), 5, shard_rows)
+    expected = brute(points, queries, 5, lambda q, c: round(cosine(q, c), 12))
+    assert {(q, r, c, round(s, 9)) for q, r, c, s in map(tuple, near.collect())} == {(q, r, c, round(s, 9)) for q, r, c, s in expected}
+
+
+def test_vectors_of_one_id_take_one_place(table):
+    rng = np.random.default_rng(4)
+    many = [(500, [float(40 + i % 20), float(40 + i // 20), 40.0]) for i in range(300)]  # one id fills any view of the nearest points
+    points = [(0, [50.0, 48.0, 40.0]), *many, *((i, [float(x) for x in rng.integers(-9, 10, 3)]) for i in range(1, 30))]
+    points = [p for p in points if any(p[1])]
+    frame = table(SCHEMA, points)
+    found = exact_top_k(frame, frame.where("id = 0"), 5, 1000)
+    assert {tuple(r) for r in found.collect()} == brute(points, points[:1], 5, lambda q, c: int(np.dot(q, c)))
+    near = neighbours.nearest(frame, frame.where("id = 0"), 5, 1000).collect()
+    assert len(near) == 5 and len({r.vec_id for r in near}) == 5
