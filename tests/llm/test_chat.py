@@ -41,3 +41,23 @@ def test_template_and_empty_table(table):
     found = chat.rendered_conversations(table(SCHEMA, [(1, 1, "user", "hi")]), ("[", "] ", "\n")).collect()
     assert [tuple(r) for r in found] == [(1, 1, "[user] hi\n")]
     assert chat.rendered_conversations(table(SCHEMA, [])).collect() == []
+
+
+def test_segments_make_the_conversations(table, rows):
+    turns = log()
+    whole = {r[0]: r for r in plain(turns)}
+    found = rows(chat.rendered_segments(table(SCHEMA, turns), most=40), "conv_id", "segment", "n_turns", "text")
+    texts = {}
+    for conv, _, n_turns, text in sorted(found, key=lambda r: (repr(r[0]), r[1])):
+        assert len(text.encode()) < 40 + max(len(f"<|{r or ''}|>\n{t or ''}<|end|>\n".encode()) for c, _, r, t in turns if c == conv)
+        texts[conv] = (conv, n_turns, texts.get(conv, (0, 0, ""))[2] + text)
+    assert texts == whole and len(found) > len(whole)
+
+
+def test_a_long_conversation_lies_in_many_ranges(spark, table, rows):
+    """Two thirds of the turns are one conversation, with or without an id."""
+    turns = [(conv, i, "user", f"turn {i % 7}") for conv in (None, 5) for i in range(400)] + [(5, 400, "user", "end")] + [(10 + i, 0, "user", f"other {i}") for i in range(200)]
+    frame = table(SCHEMA, turns)
+    ranges = chat.turn_ranges(chat.stored_turns(frame)).collect()
+    assert len([r for r in ranges if r.conv_id == 5]) > 1 and len([r for r in ranges if r.conv_id is None]) > 1
+    assert rows(chat.rendered_conversations(frame)) == plain(turns)
