@@ -30,9 +30,12 @@ PATH, WORDS, MEASURES, HIDDEN = 96, 48, 6, 16
 BATCH = 64  # pages
 
 # What the elements of a page are.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
+                   " math annotation annotation-xml maction menclose merror mfenced mfrac mglyph mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms"
+                   " mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style noscript template textarea select option button svg math iframe object canvas audio video".split())
+UNSEEN = frozenset("head title script style noscript template textarea select option button svg iframe object canvas audio video".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 
 MAIN = ("article", "main")
@@ -62,7 +65,14 @@ class _Page:
     linked: int = 0
     unseen: int = 0
 
+    def leave_head(self) -> None:
+        """An open head ends where something begins that cannot stand in it."""
+        while self.stack and self.stack[-1][0] == "head":
+            self.close("head")
+
     def text(self, part: str) -> None:
+        if part and not part.isspace():
+            self.leave_head()
         if self.unseen or not part:
             return
         if self.path is None and not part.isspace():
@@ -99,7 +109,9 @@ class _Page:
 
 
 def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page in order. A tag that the page's end cuts off is no text; open elements end with the page."""
+    """The leaf blocks of a page in order. A tag that the page's end cuts off is no text; open elements end with the page, and a head
+    before text or a tag that cannot stand in it. Formulas are text of the block they stand in.
+    """
     page, at = _Page(), 0
     while at < len(html):
         found = TAG.search(html, at)
@@ -109,6 +121,8 @@ def blocks(html: str) -> list[Block]:
         at, tag = found.end(), (found[2] or "").lower()
         if not tag:
             continue
+        if tag not in IN_HEAD and not found[1]:
+            page.leave_head()
         if tag == "br":
             page.text(" ")
         elif tag not in INLINE:

@@ -54,6 +54,23 @@ def test_paths_follow_unclosed_tags():
     assert [(b.path, b.text) for b in cut] == [(("body", "ul", "li"), "one"), (("body", "ul", "li"), "two"), (("body", "p"), "three"), (("body", "div", ".a", ".b"), "four")]
 
 
+def test_a_head_without_its_end_hides_nothing(table, labeller):
+    article = "<article><p>The first sentence of the article.</p><p>And its second sentence.</p></article>"
+    whole = pages.blocks(f"<html><head><title>t</title><meta charset=x></head><body>{article}</body></html>")
+    heads = ["<html><head><title>t</title><meta charset=x><body>", "<html><head><head><title>t</title><script>var x = 1;</script>\n<link rel=x><body>"]
+    for start in heads:
+        assert pages.blocks(f"{start}{article}</body></html>") == whole and len(whole) == 2
+    assert [b.text for b in pages.blocks(f"<head><title>t</title><style>p</style>{article}")] == [b.text for b in whole]
+    assert [b.text for b in pages.blocks("<head><title>t</title>Bare text<p>and more")] == ["Bare text", "and more"]
+    html = f"{heads[0]}{article}</body></html>"
+    assert pages.main_texts(table(SCHEMA, [(1, "u", html)]), labeller, ["page_id"]).first().text == "\n\n".join(b.text for b in whole)
+
+
+def test_formulas_are_text():
+    cut = pages.blocks("<article><p>Here <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds.</p></article>")
+    assert [(b.path[:2], b.text) for b in cut] == [(("article", "p"), "Here x=2 holds.")]
+
+
 def test_gradients_match_differences(spark):
     rows = [r.html for r in spark.read.parquet(f"{SAMPLE}/pages.parquet").limit(6).collect()]
     cut = [pages.blocks(h)[:9] for h in rows]
