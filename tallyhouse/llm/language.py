@@ -137,15 +137,18 @@ def has_letter(text: str) -> Column:
 
 def training_windows(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, per_document: int = TRAIN_WINDOWS) -> DataFrame:
     """(lang, window): windows spread over the texts of up to `documents` documents per language, those with the lowest hashes of
-    doc_id. Ids are chosen before a text is read. Texts without a letter and rows without a label teach nothing.
+    doc_id. Ids are chosen before a text is read. Of several texts with one id the one with the lowest hash is read. Texts
+    without a letter and rows without a label teach nothing.
     """
     at = F.xxhash64("doc_id")
-    ids = labelled.where("lang is not null").select("lang", "doc_id", at.alias("_at"), F.pmod(at, F.lit(64)).alias("_part"))
+    ids = labelled.where("lang is not null").select("lang", "doc_id").distinct()
+    ids = ids.select("lang", "doc_id", at.alias("_at"), F.pmod(at, F.lit(64)).alias("_part"))
     for keys in (["lang", "_part"], ["lang"]):  # first within parts of a language, so that no task ranks a whole one
         order = W.partitionBy(*keys).orderBy("_at", "doc_id")
         ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= documents).drop("_n")
-    few = F.broadcast(ids.select("lang", "doc_id").distinct())  # `documents` for each language at most
-    chosen = labelled.join(few, ["lang", "doc_id"], "left_semi").where(has_letter("text")).select("lang", "text")
+    few = F.broadcast(ids.select("lang", "doc_id"))  # `documents` for each language at most
+    found = labelled.join(few, ["lang", "doc_id"], "left_semi").where(has_letter("text"))
+    chosen = found.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_least")).select("lang", F.col("_least.text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,12 @@ def test_odd_texts(table):
     assert found[-6].lang_pred in ("aa", "bb")
 
 
+def test_repeated_ids_teach_once(table):
+    repeated = [(1, f"word number {i} of many", "aa", None) for i in range(200)] + [(i, f"other {i}", "aa", None) for i in range(2, 6)]
+    found = language.training_windows(table(SCHEMA, repeated), documents=5).collect()
+    assert len(found) == len({bytes(r.window) for r in found}) == 5
+
+
 def test_nothing_to_learn(table):
     assert language.identified(table(SCHEMA, []), ["doc_id"]).collect() == []
     found = language.identified(table(SCHEMA, [(1, "text", None, None)]), ["doc_id"]).collect()
