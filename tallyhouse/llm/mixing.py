@@ -7,6 +7,7 @@ through a pseudorandom permutation of its block numbers, once per pass, and slot
 
 The permutations are swap-or-not shuffles (Hoang, Morris and Rogaway, 2012): each round pairs x with k - x (mod n) and a hash of
 the pair says whether the two change places. They hold for any n, are inverted by running the rounds backwards, and need no sort.
+The rounds grow with log2 n, since r rounds let a place reach 2^r others at most.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # the mix's words as a share of all words
 PASSES = 2  # no block is taken more often
 SEED = 20240229
-ROUNDS = 16
+ROUNDS = 24  # of a permutation, at least
+ROUNDS_A_BIT = 3  # for each bit of n
 BUCKETS = 1024  # of a source's documents; a power of two
 RUN = 1 << 13  # slots that one row is unfolded into
 
@@ -37,6 +39,10 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def rounds(n: Column) -> Column:
+    return F.greatest(F.lit(ROUNDS), ROUNDS_A_BIT * F.ceil(F.log2(n.cast("double"))).cast("int"))
+
+
 def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
     """The place of x under a pseudorandom permutation of 0 .. n-1 that `key` names."""
 
@@ -44,8 +50,8 @@ def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column
         other = F.pmod(F.pmod(F.xxhash64(key, r), n) - at, n)
         return F.when(F.xxhash64(r, key, F.greatest(at, other)) % 2 == 0, other).otherwise(at)
 
-    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(F.reverse(rounds) if inverse else rounds, x.cast("long"), turn)
+    turns = F.sequence(F.lit(0), rounds(n) - 1)
+    return F.aggregate(F.reverse(turns) if inverse else turns, x.cast("long"), turn)
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS,

@@ -1,5 +1,6 @@
 """Targets, permutations, blocks and the mix."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -78,6 +79,12 @@ def test_permutations(spark, n):
     assert n < 64 or sum(r.to == r.id for r in back) < n / 8
 
 
+def test_rounds_grow_with_the_places(spark):
+    sizes = [1, 1000, 10**6, 10**8, 10**10]
+    found = [r.rounds for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", mixing.rounds(F.col("n")).alias("rounds")).orderBy("n").collect()]
+    assert found == sorted(found) and found[0] == 24 and all(r >= 2 * math.log2(n) for r, n in zip(found, sizes, strict=True))
+
+
 def test_slots_use_blocks_evenly(spark):
     targets = spark.createDataFrame([("a", 1000, 2000.0), ("b", 6400, 3000.0), (None, 10, 20.0)], "source string, source_size long, target double")
     plan = mixing.slots(targets, shard=16).collect()
