@@ -248,46 +248,41 @@ def shared_spans(classes: np.ndarray, before: list[bytes], after: list[bytes], l
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-SOLVED = "whole binary, left int, right int, class binary, n long, prior binary, rest binary"
+def class_spans(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The spans (whole, left, right) of contexts (class, whole, prior, rest) in classes that a task can hold.
 
-
-def class_spans(contexts: DataFrame, most: int = CLASS, length: int = LENGTH) -> DataFrame:
-    """The spans (whole, left, right) of contexts (class, whole, n, size, prior, rest) in classes of up to `most` rows.
-
-    Rows of larger classes come back as they are, with class, n, prior and rest filled instead of left and right. A context that is
-    there twice counts once. A class lies in one range of Spark's range partitioner.
+    A context that is there twice counts once. A class lies in one range of Spark's range partitioner.
     """
     tasks = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.select("class", "whole", "n", "size", "prior", "rest").repartitionByRange(tasks, "class").sortWithinPartitions("class", "whole")
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-    names = [field.split()[0] for field in SOLVED.split(", ")]
+    dealt = contexts.select("class", "whole", "prior", "rest").repartitionByRange(tasks, "class").sortWithinPartitions("class", "whole")
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         number = {c: i for i, c in enumerate(dict.fromkeys(r[0] for r in rows))}
         row, left, right = shared_spans(np.array([number[r[0]] for r in rows]), [r[2] for r in rows], [r[3] for r in rows], length)
         whole = pa.array([rows[i][1] for i in row.tolist()], pa.binary())
-        none = [pa.nulls(len(row), kind) for kind in kinds[3:]]
-        return pa.RecordBatch.from_arrays([whole, pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *none], names)
+        return pa.RecordBatch.from_arrays([whole, pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], ["whole", "left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         for batch in batches:
-            large = []
-            for group, whole, n, size, prior, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > most:
-                    large.append((whole, None, None, group, n, prior, rest))
-                    continue
-                if len(waiting) >= 4 * CLASS and group != waiting[-1][0]:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(waiting) >= 4 * CLASS and row[0] != waiting[-1][0]:
                     yield solve(waiting)
                     waiting = []
-                if not waiting or waiting[-1][:2] != (group, whole):
-                    waiting.append((group, whole, prior, rest))
-            if large:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in large], kind) for i, kind in enumerate(kinds)], names)
+                if not waiting or waiting[-1][:2] != row[:2]:
+                    waiting.append(row)
         if waiting:
             yield solve(waiting)
 
-    return dealt.mapInArrow(run, SOLVED)
+    return dealt.mapInArrow(run, "whole binary, left int, right int")
+
+
+def _solved(contexts: DataFrame, most: int, length: int) -> DataFrame:
+    """`class_spans` of the classes of up to `most` rows, and the rows of larger ones as they are, with class, n, prior and rest filled instead
+    of left and right. These are told by their size before the shuffle by class, so none of its tasks gets them.
+    """
+    some = class_spans(contexts.where(F.col("size") <= most), length)
+    return some.unionByName(contexts.where(F.col("size") > most).select("whole", "class", "n", "prior", "rest"), allowMissingColumns=True)
 
 
 def _ranges(rows: DataFrame, split: int, length: int) -> DataFrame:
@@ -333,7 +328,7 @@ def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
         sizes = ranged.select("class", "part").distinct().groupBy("class").agg(F.count("*").alias("size"))
         parts = saved(parts.join(sizes, "class"), "parts")
         full = parts.where("n > 1").select("part", F.octet_length("prior").alias("left"), F.octet_length("rest").alias("right"))
-        some = class_spans(parts.where((F.col("size") > 1) & (F.col("size") <= most)).withColumn("whole", F.col("part")), most, length)
+        some = class_spans(parts.where((F.col("size") > 1) & (F.col("size") <= most)).withColumn("whole", F.col("part")), length)
         spans = full.unionByName(some.select(F.col("whole").alias("part"), "left", "right")).where(F.col("left") + F.col("right") >= length)
         mine = ranged.where("whole is not null").select("whole", "part").join(spans, "part").select("whole", "left", "right")
         every = mine if every is None else every.union(mine)
@@ -379,7 +374,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
         return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)], ["class", "whole", "n", "size", "prior", "rest"])
 
     contexts = once.mapInArrow(cut, "class binary, whole binary, n long, size long, prior binary, rest binary")
-    solved = saved(class_spans(contexts, most, length), "spans")
+    solved = saved(_solved(contexts, most, length), "spans")
     spans = full.union(solved.where("left is not null").select("whole", "left", "right"))
     hot = solved.where("left is null").select("whole", "class", "n", "prior", "rest").dropDuplicates(["class", "whole"])
     if not hot.isEmpty():

@@ -93,3 +93,14 @@ def test_equal_strings_sample_the_same_place():
         at = [one.index(common), other.index(common)]
         inside = [{p - at[w] for w, p in zip(which, places, strict=True) if w == side and 0 <= p - at[w] <= 400 - suffixes.GRAM} for side in (0, 1)]
         assert inside[0] & inside[1]
+
+
+def test_large_classes_are_not_shuffled_by_class(spark, monkeypatch):
+    dealt = []
+    solve = suffixes.class_spans
+    monkeypatch.setattr(suffixes, "class_spans", lambda contexts, *rest: dealt.append(contexts) or solve(contexts, *rest))
+    rows = [(c, f"{c}{i}".encode(), 1, n, b"p", b"r" * 32) for c, n in ((b"a", 3), (b"b", 50)) for i in range(n)]
+    contexts = spark.createDataFrame(rows, "class binary, whole binary, n long, size long, prior binary, rest binary")
+    found = suffixes._solved(contexts, 10, 400).collect()
+    assert dealt[0].groupBy("class").count().collect() == [(bytearray(b"a"), 3)]
+    assert sorted(bytes(r.whole) for r in found if r["class"] is not None) == sorted(r[1] for r in rows if r[0] == b"b")
