@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, sharding, simhash, suffixes
+from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, sharding, simhash, suffixes, whitening
 from tallyhouse.llm.storage import new_folder, saved
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,6 +82,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(documents, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = whitening.usable(_table(spark, folder, "embeddings"), "vec_id", "embedding", 256)
+    return whitening.whitened(vectors).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_search": op1_exact_search,
     "op2_simhash": op2_simhash,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_pages": op9_pages,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLES: dict[str, str] = {
