@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, sharding, simhash, suffixes, whitening
+from tallyhouse.llm import chat, exact_search, language, mixing, neighbours, packing, pages, phrases, quality, sharding, simhash, suffixes, whitening
 from tallyhouse.llm.storage import new_folder, saved
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,6 +87,17 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(vectors).withColumnRenamed("id", "vec_id")
 
 
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    forest = quality.learned(documents, labels.select("doc_id", F.col("quality").alias("label")))
+    found = quality.scored(documents, forest, ["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_search": op1_exact_search,
     "op2_simhash": op2_simhash,
@@ -99,6 +110,8 @@ QUERIES: dict[str, Query] = {
     "op9_pages": op9_pages,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_quality": op12_quality,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,4 +140,39 @@ ORACLES: dict[str, str] = {
         )
         select conv_id, n_turns, text from whole w
         where not exists (select 1 from prefixes p where p.position < p.n_turns and p.position = w.n_turns and p.prefix = w.prefix)""",
+    "op13_phrases": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang,
+                unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ), worded as (
+            select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+        ), grams as (
+            select lang, 1 as size, unnest(w) as phrase from worded
+            union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from worded
+            union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from worded
+        ), counts as (
+            select lang, size, phrase, count(*)::hugeint as f from grams group by all
+        ), candidates as (
+            select lang, size, phrase, f as a, string_split(phrase, ' ') as w from counts where size > 1 and f >= 10
+        ), cuts as (
+            select lang, size, phrase, a, 1 as k, w[1] as head, array_to_string(w[2:], ' ') as tail from candidates
+            union all select lang, size, phrase, a, 2, w[1] || ' ' || w[2], w[3] from candidates where size = 3
+        ), scores as (
+            select c.lang, c.size, c.phrase, c.a, k, x.f as l, y.f as r, (1000000::hugeint * a * a) // (x.f * y.f) as score
+            from cuts c join counts x on x.lang = c.lang and x.phrase = c.head join counts y on y.lang = c.lang and y.phrase = c.tail
+        ), worst as (
+            select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        ), longer as (
+            select lang, phrase, max(a) as most from (
+                select lang, a, w[1] || ' ' || w[2] as phrase from candidates where size = 3
+                union all select lang, a, w[2] || ' ' || w[3] from candidates where size = 3) group by all
+        ), totals as (
+            select lang, sum(f) as n from counts where size = 1 group by lang
+        )
+        select w.lang, row_number() over (partition by w.lang order by score desc, a desc, w.phrase) as rank,
+            w.phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+        from worst w join totals using (lang) left join longer o on o.lang = w.lang and o.phrase = w.phrase
+        where most is null or 100 * most < 50 * a
+        qualify rank <= 2000""",
 }
