@@ -5,9 +5,9 @@ output shards; a slot holds one block. Which source a slot belongs to is drawn b
 shard's counts of the sources are a multinomial draw, given that every source's total is its quota. A source's slots run
 through a pseudorandom permutation of its block numbers, once per pass, and slots and blocks meet by block number.
 
-The permutations are swap-or-not shuffles (Hoang, Morris and Rogaway, 2012): each round pairs x with k - x (mod n) and a hash of
-the pair says whether the two change places. They hold for any n, are inverted by running the rounds backwards, and need no sort.
-The rounds grow with log2 n, since r rounds let a place reach 2^r others at most.
+The permutations are generalized Feistel networks with cycle walking (Black and Rogaway, 2002). A number below n is a pair (x div b, x mod b)
+with a * b little above n; each round adds a hash of one half to the other, so eight rounds reach every place whatever n is, and
+each is a column of its own that generated code computes. What ends at n or beyond, a few in the square root of n, goes through again until it does not.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # the mix's words as a share of all words
 PASSES = 2  # no block is taken more often
 SEED = 20240229
-ROUNDS = 24  # of a permutation, at least
-ROUNDS_A_BIT = 3  # for each bit of n
+ROUNDS = 8  # of a permutation
+FACTORS = 64  # pairs of factors to choose from
 BUCKETS = 1024  # of a source's documents; a power of two
 RUN = 1 << 13  # slots that one row is unfolded into
 
@@ -39,19 +39,45 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rounds(n: Column) -> Column:
-    return F.greatest(F.lit(ROUNDS), ROUNDS_A_BIT * F.ceil(F.log2(n.cast("double"))).cast("int"))
+def factors(n: Column) -> Column:
+    """(a, b) with a * b at or above n, by as little as the factors around its root allow."""
+    root = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    every = F.transform(F.sequence(root, root + F.least(F.lit(FACTORS - 1), F.floor(root / 2))), lambda a: F.struct(a.alias("a"), F.ceil(n / a).cast("long").alias("b")))
+    best = F.array_min(F.transform(every, lambda f: F.struct((f["a"] * f["b"] - n).alias("above"), f["a"].alias("a"), f["b"].alias("b"))))
+    return F.struct(best["a"].alias("a"), best["b"].alias("b"))
 
 
-def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
-    """The place of x under a pseudorandom permutation of 0 .. n-1 that `key` names."""
+def _added(half: Column, other: Column, key: Column, step: Column, size: Column, inverse: bool) -> Column:
+    """One half of a pair after a round."""
+    hashed = F.pmod(F.xxhash64(key, step, other), size)
+    return F.pmod(half - hashed if inverse else half + hashed, size)
 
-    def turn(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - at, n)
-        return F.when(F.xxhash64(r, key, F.greatest(at, other)) % 2 == 0, other).otherwise(at)
 
-    turns = F.sequence(F.lit(0), rounds(n) - 1)
-    return F.aggregate(F.reverse(turns) if inverse else turns, x.cast("long"), turn)
+def permuted(frame: DataFrame, into: str, x: str, n: str, pair: str, key: str, inverse: bool = False) -> DataFrame:
+    """The frame with `into`, the place of x under the pseudorandom permutation of 0 .. n-1 that `key` names.
+
+    All are names of columns: x and n long, `pair` the `factors` of n, `key` long. No name may start with `_half`.
+    """
+    key_, a, b = F.col(key), F.col(pair)["a"], F.col(pair)["b"]
+    steps = list(range(ROUNDS))[:: -1 if inverse else 1]
+    held = frame.withColumns({"_half0": F.expr(f"`{x}` div `{pair}`.b"), "_half1": F.expr(f"`{x}` % `{pair}`.b")})
+    for i in steps:  # a column each, so that no half is worked out twice
+        held = held.withColumn(f"_half{i % 2}", _added(F.col(f"_half{i % 2}"), F.col(f"_half{1 - i % 2}"), key_, F.lit(i), b if i % 2 else a, inverse))
+    held = held.withColumn(into, F.col("_half0") * b + F.col("_half1")).drop("_half0", "_half1")
+
+    def again(at: Column) -> Column:
+        first = F.floor((at - F.pmod(at, b)) / b)
+        first = first + F.when(first * b > at, -1).when((first + 1) * b <= at, 1).otherwise(0)  # the quotient is rounded
+
+        def step(state: Column, i: Column) -> Column:
+            return F.when(i % 2 == 0, F.struct(_added(state["l"], state["r"], key_, i, a, inverse).alias("l"), state["r"].alias("r"))).otherwise(
+                F.struct(state["l"].alias("l"), _added(state["r"], state["l"], key_, i, b, inverse).alias("r")))
+
+        start = F.struct(first.alias("l"), F.pmod(at, b).alias("r"))
+        return F.aggregate(F.array(*(F.lit(i) for i in steps)), start, step, lambda state: state["l"] * b + state["r"])
+
+    walk = F.aggregate(F.sequence(F.lit(0).cast("long"), a * b - F.col(n)), F.col(into), lambda at, _: F.when(at < F.col(n), at).otherwise(again(at)))
+    return held.withColumn(into, F.when(F.col(into) < F.col(n), F.col(into)).otherwise(walk))
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS,
@@ -115,17 +141,18 @@ def slots(targets: DataFrame, block: int = BLOCK, passes: int = PASSES, shard: i
     dealt = targets.where("source_size > 0").select("source", blocks.cast("long").alias("blocks"), quota.alias("quota"))
     dealt = dealt.withColumn("first", F.coalesce(F.sum("quota").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     dealt = dealt.withColumn("all", F.sum("quota").over(W.partitionBy())).where("quota > 0")
+    dealt = dealt.withColumns({"of_all": factors(F.col("all")), "of_blocks": factors(F.col("blocks"))})
     runs = dealt.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / RUN))))
     tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = runs.repartition(tasks, "source", "run")  # a number that is not lowered: few rows unfold into many
     within = F.sequence(F.col("run") * RUN, F.least(F.col("quota"), (F.col("run") + 1) * RUN) - 1)
-    numbered = runs.select("source", "blocks", "first", "all", F.explode(within).alias("n"))
-    place = permuted(F.col("first") + F.col("n"), F.col("all"), F.lit(seed), inverse=True)
-    pass_ = F.floor(F.col("n") / F.col("blocks"))
-    at = permuted(F.pmod("n", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source", pass_))
-    return numbered.withColumn("place", place).select(
-        F.floor(F.col("place") / shard).alias("output_shard"), F.pmod("place", F.lit(shard)).alias("slot"),
-        "source", pass_.cast("int").alias("pass"), at.alias("block"))
+    numbered = runs.select("source", "blocks", "first", "all", "of_all", "of_blocks", F.explode(within).alias("n"))
+    pass_ = F.expr("n div blocks").cast("int")
+    numbered = numbered.select("source", "blocks", "all", "of_all", "of_blocks", (F.col("first") + F.col("n")).alias("at"), pass_.alias("pass"),
+                               F.pmod("n", "blocks").alias("own"), F.lit(seed).cast("long").alias("seed"), F.xxhash64(F.lit(seed), "source", pass_).alias("own_seed"))
+    placed = permuted(numbered, "place", "at", "all", "of_all", "seed", inverse=True)
+    placed = permuted(placed, "block", "own", "blocks", "of_blocks", "own_seed")
+    return placed.select(F.expr(f"place div {shard}").alias("output_shard"), F.pmod("place", F.lit(shard)).alias("slot"), "source", "pass", "block")
 
 
 def shard_counts(plan: DataFrame) -> DataFrame:

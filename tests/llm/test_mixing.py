@@ -71,18 +71,59 @@ def test_the_mix_keeps_targets_and_limits(table, case):
     assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, again), key=repr)
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
-def test_permutations(spark, n):
-    frame = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit(5).cast("long")).alias("to"))
-    back = frame.select("id", "to", mixing.permuted(F.col("to"), F.lit(n), F.lit(5).cast("long"), inverse=True).alias("back")).collect()
-    assert sorted(r.to for r in back) == list(range(n)) and all(r.back == r.id for r in back)
-    assert n < 64 or sum(r.to == r.id for r in back) < n / 8
-
-
-def test_rounds_grow_with_the_places(spark):
-    sizes = [1, 1000, 10**6, 10**8, 10**10]
-    found = [r.rounds for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", mixing.rounds(F.col("n")).alias("rounds")).orderBy("n").collect()]
-    assert found == sorted(found) and found[0] == 24 and all(r >= 2 * math.log2(n) for r, n in zip(found, sizes, strict=True))
+def numbered(spark, sizes, key=5):
+    """(n, x) for all x below each n, with what `permuted` needs."""
+    each = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("pair", mixing.factors(F.col("n")))
+    return each.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("key", F.lit(key).cast("long"))
+
+
+def test_permutations_of_every_size(spark):
+    there = mixing.permuted(numbered(spark, range(1, 1001)), "to", "x", "n", "pair", "key")
+    back = mixing.permuted(there, "back", "to", "n", "pair", "key", inverse=True)
+    found = back.groupBy("n").agg(F.count_distinct("to").alias("places"), F.min("to").alias("least"), F.max("to").alias("most"), F.sum((F.col("back") != F.col("x")).cast("int")).alias("wrong"),
+                                  F.sum((F.col("to") == F.col("x")).cast("int")).alias("stay")).collect()
+    assert len(found) == 1000 and all((r.places, r.least, r.most, r.wrong) == (r.n, 0, r.n - 1, 0) for r in found)
+    assert all(r.stay < r.n / 8 for r in found if r.n >= 100)
+
+
+@pytest.mark.parametrize("n", [1 << 20, (1 << 20) + 7, 1_299_709])
+def test_large_permutations_spread(spark, n):
+    """All places once, and neighbours far apart: steps between them are even over sixteen ranges."""
+    to = [r.to for r in mixing.permuted(numbered(spark, [n]), "to", "x", "n", "pair", "key").orderBy("x").select("to").collect()]
+    assert len(set(to)) == n and min(to) == 0 and max(to) == n - 1
+    for distance in (1, 2, 1024):
+        steps = Counter((b - a) % n * 16 // n for a, b in zip(to, to[distance:], strict=False))
+        assert all(abs(c - n / 16) < 6 * math.sqrt(n / 16) for c in steps.values()) and len(steps) == 16
+    first = Counter(t * 16 // n for t in to[: n // 16])
+    assert all(abs(c - n / 256) < 6 * math.sqrt(n / 256) for c in first.values())
+
+
+def test_factors_lie_close(spark):
+    sizes = [1, 2, 3, 97, 1000, 10**6 + 3, 10**9 + 7, 10**12 + 39]
+    for n, f in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", mixing.factors(F.col("n")).alias("f")).collect():
+        assert n <= f["a"] * f["b"] <= n + math.isqrt(n) + 1 and (n < 10 or f["b"] >= f["a"] / 4)
+
+
+def test_keys_name_different_permutations(spark):
+    every = [[r.to for r in mixing.permuted(numbered(spark, [500], key), "to", "x", "n", "pair", "key").orderBy("x").collect()] for key in range(4)]
+    assert all(sum(a == b for a, b in zip(one, other, strict=True)) < 15 for i, one in enumerate(every) for other in every[:i])
+
+
+def test_taken_words_equal_a_plain_mix(spark, table):
+    """The plan's blocks laid over the streams by hand: every document gets the words of its blocks, as often as the plan uses them."""
+    documents = corpus(7, {"a": 40, "b": 15, None: 6}) + [(5, "a", "same row"), (5, "a", "same row")]
+    frame = table(SCHEMA, documents).withColumn("size", mixing.word_count("text"))
+    found = mixing.taken_words(frame, ["doc_id"])
+    targets = mixing.source_targets(frame)
+    uses = Counter((r.source, r.block) for r in mixing.slots(targets).collect())
+    hashed = frame.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+    ordered = hashed.withColumn("bucket", F.xxhash64("doc_id", "size", "_copy").bitwiseAND(mixing.BUCKETS - 1)).collect()
+    place, expected = Counter(), []
+    for r in sorted(ordered, key=lambda r: (r.source or "", r.bucket, r.doc_id, r.size, r._copy)):
+        words_ = range(place[r.source], place[r.source] + r.size)
+        place[r.source] += r.size
+        expected.append((r.doc_id, r.size, sum(uses[r.source, w // mixing.BLOCK] for w in words_)))
+    assert sorted((r.doc_id, r.size, r.taken) for r in found.collect()) == sorted(expected)
 
 
 def test_slots_use_blocks_evenly(spark):
