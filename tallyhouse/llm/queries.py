@@ -120,8 +120,8 @@ ORACLES: dict[str, str] = {
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
             where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), pairs as (
-            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-            from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+            select q.vec_id as query_id, c.vec_id, max(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])))::bigint as score
+            from whole q join whole c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v) group by all
         )
         select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
         from pairs qualify rank <= 5""",

@@ -1,9 +1,11 @@
 """Exact and approximate search against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
+from tests.llm.conftest import SAMPLE
 
-from tallyhouse.llm import exact_search, neighbours
+from tallyhouse.llm import exact_search, neighbours, queries
 from tallyhouse.llm.exact_search import BallTree, exact_top_k
 
 SCHEMA = "id long, vec array<double>"
@@ -61,10 +63,24 @@ def test_tree_bounds_hold_and_balls_are_left_out():
     scores, bound = (points[tree.order] @ q[0]), tree.bounds(q)[0]
     for node, (lo, hi) in enumerate(zip(tree.start, tree.stop, strict=True)):
         assert scores[lo:hi].max() <= bound[node]
-    opened = sum(1 for _ in exact_search._leaves(tree, bound, lambda: np.sort(scores)[-5]))
+    opened = sum(1 for _ in exact_search._opened(tree, bound[None], np.sort(scores)[-5:-4]))
     assert opened < 0.3 * sum(c[0] < 0 for c in tree.children)
 
 
+def test_sql_and_operator_agree_on_repeated_rows(spark, tmp_path):
+    rows = spark.read.parquet(f"{SAMPLE}/embeddings.parquet").limit(150)
+    other = rows.withColumn("vec_id", (rows.vec_id + 1).cast("long"))  # ids with two vectors
+    rows.union(rows).union(other).coalesce(1).write.parquet(str(tmp_path / "out"))
+    file = next((tmp_path / "out").glob("*.parquet"))
+    file.rename(tmp_path / "embeddings.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view embeddings as select * from read_parquet('{tmp_path / 'embeddings.parquet'}')")
+    cursor = connection.execute(queries.ORACLES["op1_exact_search"])
+    columns = [d[0] for d in cursor.description]
+    expected = sorted(cursor.fetchall())
+    assert sorted(tuple(r) for r in queries.op1_exact_search(spark, str(tmp_path)).select(columns).collect()) == expected and expected
+
+
 def test_components_are_floored(table):
     frame = table("id long, vec array<float>", [(0, [0.1, -0.1, None])]).select(exact_search.whole_components("vec", 256).alias("v"))
     assert frame.first()[0][:2] == [25.0, -26.0]
