@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.dates import screen_date
-from tallyhouse.operators.ordering import sorted_page
+from tallyhouse.operators.ordering import sorted_page, store_order, stored_page
 from tallyhouse.plans import catalog, employees, jobs, labels, orders, packing, punches, purchasing, sales
 from tallyhouse.sample import feeds
 from tallyhouse.sample.tables import load, tables
+from tallyhouse.sources import layouts
 from tallyhouse.sources.storage import SHARED_SETTINGS, read_grids, read_snapshot, work_folder, write_json, write_snapshot, write_tsv
 from tallyhouse.sources.tables import Tables
 from tallyhouse.streaming import feeds as streams
@@ -108,6 +109,45 @@ def _skus_of_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("SHEET_ID", F.regexp_extract("SHEET_ID", "SHEET_ID=([^/]+)", 1)).distinct()
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the ten newest orders, scanned at tables that are laid out for look-ups."""
+    t, path = tables(spark, folder), work_folder(spark, "lookups")
+    layouts.store_for_lookups(t, path)
+    stored = Tables(lambda name: spark.read.parquet(f"{path}/{name}"))
+    newest = sorted_page(stored.orders.select("CHANNEL_ORDER_NO", "ORDER_DATE"), "ORDER_DATE", "desc", size=10, tiebreak=["CHANNEL_ORDER_NO"])
+    return orders.scanned_documents(stored, newest.select("CHANNEL_ORDER_NO"))
+
+
+def _in_buckets(plan: Callable[[Tables], DataFrame], hot: int) -> Query:
+    """A plan over orders and items in buckets; the items of orders with more than `hot` of them are stored apart."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = work_folder(spark, "buckets")
+        buckets = layouts.Buckets(path, int(spark.conf.get("spark.sql.shuffle.partitions")), f"buckets_{path.rsplit('-', 1)[-1]}")
+        layouts.store_bucketed(tables(spark, folder), buckets, hot)
+        return plan(layouts.open_bucketed(spark, buckets))
+
+    return run
+
+
+def _updated_months(spark: SparkSession, folder: str) -> str:
+    """The folder of orders and items stored by month, after the packing requests changed some of them, twice."""
+    t, path = tables(spark, folder), work_folder(spark, "months")
+    layouts.store_by_month(t, path)
+    changes = packing.packing_update(feeds.packing_requests(spark, folder), NOW)
+    for _ in range(2):  # a repeated update finds nothing to change
+        layouts.update_months(spark, f"{path}/orders", changes.order_changes, orders.ORDER_KEY, packing.STATUS_COLUMNS, "REQUEST_SEQ")
+        layouts.update_months(spark, f"{path}/order_items", changes.item_changes, packing.ITEM_KEY, packing.FLAG_COLUMNS, "REQUEST_SEQ")
+    return path
+
+
+def _deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The last full page of all orders, read from an order that is stored once."""
+    rows, path = tables(spark, folder).orders.select("CHANNEL_ORDER_NO", "MARKET_ID", "ORDER_DATE", "SHIPPING_STATUS"), work_folder(spark, "order")
+    store_order(rows, path, "ORDER_DATE", "desc", ["CHANNEL_ORDER_NO"])
+    return stored_page(spark, path, rows.schema, rows.count() // 25 - 1, 25)
+
+
 def _tracking(t: Tables) -> DataFrame:
     return orders.orders_by_tracking(t, _some(t.orders, "SHIPPING_STATUS = '01'", "CHANNEL_ORDER_NO"))
 
@@ -285,6 +325,13 @@ _QUERIES: dict[str, Query] = {
     "alerts_as_json": _alerts_as_json,
     "orders_as_snapshot": _orders_as_snapshot,
     "harvest_sheet_files": _skus_of_files,
+    # Stored layouts
+    "scanned_documents": _scanned,
+    "sales_in_buckets": _in_buckets(sales.sales_by_sku_long, 6),
+    "packing_in_buckets": _in_buckets(packing.packing_status, 6),
+    "orders_updated_by_month": lambda spark, folder: layouts.read_months(spark, f"{_updated_months(spark, folder)}/orders").drop("ORDER_MONTH"),
+    "items_updated_by_month": lambda spark, folder: layouts.read_months(spark, f"{_updated_months(spark, folder)}/order_items").drop("ORDER_MONTH"),
+    "deep_page": _deep_page,
     # Streams
     "stream_packing_updates": lambda spark, folder: _stream_updates(spark, folder).orders,
     "stream_packing_item_updates": lambda spark, folder: _stream_updates(spark, folder).order_items,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,35 @@ def restrict(rows: DataFrame, column: str, wanted: Keys) -> DataFrame:
     return rows.filter(F.col(column) == F.lit(wanted))
 
 
+def _any_of(conditions: Sequence[Column]) -> Column:
+    """True where one of them is; as a tree of little depth."""
+    if len(conditions) < 3:
+        return conditions[0] if len(conditions) == 1 else conditions[0] | conditions[1]
+    half = len(conditions) // 2
+    return _any_of(conditions[:half]) | _any_of(conditions[half:])
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, columns: Sequence[str], most: int = 200) -> DataFrame:
+    """Rows whose `columns` are among those of `keys`, as a semi join gives them.
+
+    Up to `most` different keys are read first and become equality filters, which reach the files: row groups without the keys are
+    left out by their bounds and bloom filters. More keys are joined. Null keys match nothing.
+    """
+    typed = keys.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in columns]).dropna(subset=list(columns))
+    wanted = typed.distinct().limit(most + 1).collect()  # `most` + 1 rows at most
+    if len(wanted) > most:
+        return rows.join(distinct_keys(typed, columns), list(columns), "left_semi")
+    if not wanted:
+        return rows.filter(F.lit(False))
+    matches = []
+    for key in sorted(wanted):
+        match = F.col(columns[0]) == F.lit(key[0])
+        for column, value in zip(columns[1:], key[1:], strict=True):
+            match = match & (F.col(column) == F.lit(value))
+        matches.append(match)
+    return rows.filter(_any_of(matches))
+
+
 def between_dates(rows: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """Rows of an inclusive range of text dates.
 
@@ -72,21 +102,35 @@ def between_dates(rows: DataFrame, column: str, start: str, end: str) -> DataFra
     return rows
 
 
-def apply_changes(
-    base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str
-) -> DataFrame:
-    """`base` with `columns` replaced from the latest change of each key; other rows unchanged.
+class Changed(NamedTuple):
+    """What an update of a stored table did."""
 
-    `order` numbers the changes. Equal numbers are settled by the changed values, so that the
-    result does not depend on row order. Changes are reduced to one row per key before the join;
-    a small batch is then broadcast by size and the base table is not shuffled.
-    """
-    latest = first_per_key(
+    partitions: list
+    rows: int
+
+
+def _latest_changes(changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+    """The keys with `_new`, the values of the latest change. `order` numbers the changes; equal numbers are settled by the values, so
+    that the result does not depend on row order."""
+    return first_per_key(
         changes.select(*keys, order, *columns),
         keys,
         [F.col(order).desc()] + [F.col(c).desc() for c in columns],
     ).select(*keys, F.struct(*columns).alias("_new"))
-    merged = base.join(splittable(latest, *keys), list(keys), "left")
+
+
+def changed_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+    """The rows of `base` that `apply_changes` would give other values."""
+    same = F.struct(*columns).eqNullSafe(F.col("_new"))
+    return base.join(splittable(_latest_changes(changes, keys, columns, order), *keys), list(keys)).filter(~same).select(*base.columns)
+
+
+def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+    """`base` with `columns` replaced from the latest change of each key; other rows unchanged.
+
+    Changes are reduced to one row per key before the join; a small batch is then broadcast by size and the base table is not shuffled.
+    """
+    merged = base.join(splittable(_latest_changes(changes, keys, columns, order), *keys), list(keys), "left")
     return merged.select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
         for c in base.columns

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import yn, zero_pad
-from tallyhouse.operators.keyed import Keys, distinct_keys, first_per_key, restrict, single_match, splittable
+from tallyhouse.operators.keyed import Keys, distinct_keys, first_per_key, looked_up, restrict, single_match, splittable
 from tallyhouse.plans.listings import LISTING_KEY, linked_listings, market_names, sku_profile, valid
 from tallyhouse.sources.tables import Tables
 
@@ -55,6 +55,23 @@ def order_items(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     )
 
 
+def items_of_orders(t: Tables, columns: list[str], orders: DataFrame, *conditions: Column) -> DataFrame:
+    """Columns of the items that meet the conditions, joined with their orders, part by part of the stored items.
+
+    The first part lies as the orders do. The items of the others, orders with very many of them, meet the orders they belong to by a
+    shuffle that can be split.
+    """
+    joined = None
+    for place, part in enumerate(t.item_parts()):
+        for condition in conditions:
+            part = part.filter(condition)
+        part = part.select(*columns)
+        own = orders if place == 0 else splittable(orders.join(distinct_keys(part, ORDER_KEY), ORDER_KEY, "left_semi"), *ORDER_KEY)
+        rows = part.join(own, ORDER_KEY)
+        joined = rows if joined is None else joined.unionByName(rows)
+    return joined
+
+
 def listing_items(t: Tables, skus: DataFrame | None = None) -> DataFrame:
     """Valid listings of valid inventory, of all or of the given (LISTING_SKU, MARKET_ID) keys."""
     rows = linked_listings(t).drop("PRODUCT_NAME")
@@ -133,3 +150,25 @@ def order_document_list(t: Tables, tracking: Keys) -> DataFrame:
     header = [c for c in rows.columns if c not in (*ITEM_COLUMNS, "COPIES")]
     item = F.when(F.col("COPIES") > 0, F.struct(*ITEM_COLUMNS, "COPIES"))
     return rows.groupBy(*header).agg(F.array_sort(F.collect_list(item)).alias("ORDER_LIST"))
+
+
+def around_scans(t: Tables, tracking: DataFrame) -> Tables:
+    """The bundle with only those rows of the large tables that scanned orders need, looked up step by step.
+
+    Each step's keys are few for a few scans and reach the files of the next table as filters (`looked_up`); the plans over the
+    result are those over whole tables.
+    """
+    wanted = tracking.select(full_tracking_no(F.col(tracking.columns[0])).alias("TRACKING_NO"))
+    orders = looked_up(t.orders, wanted, ["TRACKING_NO"])
+    items = looked_up(t.order_items, orders, ORDER_KEY)
+    listings = looked_up(t.listings, items, LISTING_KEY)
+    skus = listings.select("STD_SKU", F.col("STD_SKU").alias("SKU"))
+    return t.with_tables(
+        orders=orders, order_items=items, listings=listings, unlinked_listings=looked_up(t.unlinked_listings, items, LISTING_KEY),
+        inventory=looked_up(t.inventory, skus, ["STD_SKU"]), images=looked_up(t.images, skus, ["SKU"]),
+    )
+
+
+def scanned_documents(t: Tables, tracking: DataFrame) -> DataFrame:
+    """`order_document` of scanned tracking numbers over tables stored for look-ups."""
+    return order_document(around_scans(t, tracking), tracking)

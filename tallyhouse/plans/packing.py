@@ -11,7 +11,7 @@ from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE, dashed_date, reada
 from tallyhouse.functions.text import shown, strict_name
 from tallyhouse.operators.keyed import apply_changes, between_dates
 from tallyhouse.plans.listings import LISTING_KEY, market_names, sku_directory
-from tallyhouse.plans.orders import ORDER_KEY
+from tallyhouse.plans.orders import ORDER_KEY, items_of_orders
 from tallyhouse.sources.tables import Tables
 
 # Shipping status codes.
@@ -24,11 +24,10 @@ FLAG_COLUMNS = ["NO_ITEM_YN", "TAG_CHANGE_YN"]
 
 def _packing_rows(t: Tables, start: str, end: str) -> DataFrame:
     orders = between_dates(t.orders, "ORDER_DATE", start, end).select(*ORDER_KEY, "ORDER_DATE", *STATUS_COLUMNS)
-    items = t.order_items.select(*ITEM_KEY, *FLAG_COLUMNS)
     names = market_names(t).select("MARKET_ID", F.col("MARKETPLACE_NM").alias("MARKET_NAME"))
     staff = t.users.select("EMPLOYEE_ID", strict_name(F.col("FIRST_NAME"), F.col("LAST_NAME")).alias("EMPLOYEE_NAME"))
     return (
-        items.join(orders, ORDER_KEY)
+        items_of_orders(t, [*ITEM_KEY, *FLAG_COLUMNS], orders)
         .join(sku_directory(t), LISTING_KEY)
         .join(names, "MARKET_ID")
         .join(staff, "EMPLOYEE_ID", "left")
@@ -74,10 +73,9 @@ def no_item_tag_change_counts(t: Tables, start: str = FIRST_DATE, end: str = LAS
     Unflagged items count nothing and cannot make a date appear, so they are filtered at the scan.
     """
     no_item, tag_change = F.col("NO_ITEM_YN") == "Y", F.col("TAG_CHANGE_YN") == "Y"
-    flagged = t.order_items.filter(no_item | tag_change).select(*ORDER_KEY, *FLAG_COLUMNS)
     processed = between_dates(t.orders, "PROC_DT", start, end).select(*ORDER_KEY, "PROC_DT")
     return (
-        flagged.join(processed, ORDER_KEY)
+        items_of_orders(t, [*ORDER_KEY, *FLAG_COLUMNS], processed, no_item | tag_change)
         .groupBy("PROC_DT")
         .agg(
             F.sum(F.when(no_item, 1).otherwise(0)).alias("NO_ITEM"),

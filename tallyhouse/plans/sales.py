@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE, dashed_date
 from tallyhouse.operators.keyed import between_dates
 from tallyhouse.plans.listings import LISTING_KEY, market_names, sku_directory
-from tallyhouse.plans.orders import ORDER_KEY
+from tallyhouse.plans.orders import ORDER_KEY, items_of_orders
 from tallyhouse.sources.tables import Tables
 
 # Marketplace ids in the column order of the report.
@@ -25,8 +25,7 @@ def _sales_lines(t: Tables, start: str, end: str) -> DataFrame:
     """
     orders = between_dates(t.orders, "ORDER_DATE", start, end).select(*ORDER_KEY, "ORDER_DATE")
     sold = (
-        t.order_items.select(*ORDER_KEY, "LISTING_SKU", "UNIT_QTY")
-        .join(orders, ORDER_KEY)
+        items_of_orders(t, [*ORDER_KEY, "LISTING_SKU", "UNIT_QTY"], orders)
         .groupBy("ORDER_DATE", *LISTING_KEY)
         .agg(F.sum("UNIT_QTY").alias("ORDER_QTY"), F.count("*").alias("ORDER_CNT"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -108,19 +108,74 @@ def read_snapshot(spark: SparkSession, root: str, schema: StructType | None = No
     return reader.parquet(f"{root}/version={versions[-1]}")
 
 
+def _quoted_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(SHEET_ID, _block, _at, value, _starts, _even): every line of the files, whether a row starts with it, and whether its quotes are even.
+
+    A block is what one task reads of a file. A line starts a row if an even number of quotes comes before it in the file: that of the
+    blocks before, summed per file, and that of the lines before in its block. A last quote without a partner is no quote; the line ends there.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("SHEET_ID"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), "value", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes"),
+    )
+    place = ["SHEET_ID", "_block"]
+    in_file = Window.partitionBy("SHEET_ID").orderBy("_block")
+    blocks = text.groupBy(*place).agg(F.sum("_quotes").alias("_own"))
+    whole = Window.partitionBy("SHEET_ID")
+    blocks = blocks.select(
+        *place, "_own", F.coalesce(F.sum("_own").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        (F.sum("_own").over(whole) % 2 == 1).alias("_odd"), F.max(F.when(F.col("_own") > 0, F.col("_block"))).over(whole).alias("_last"),
+    )
+    in_block = Window.partitionBy(*place).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = text.join(blocks, place).withColumn("_seen", F.coalesce(F.sum("_quotes").over(in_block), F.lit(0)))
+    unmatched = F.col("_odd") & (F.col("_block") == F.col("_last")) & (F.col("_quotes") > 0) & (F.col("_seen") + F.col("_quotes") == F.col("_own"))
+    starts = (F.col("_before") + F.col("_seen")) % 2 == 0
+    # Behind the last quote of a file all quotes are matched, or the last one does not count.
+    starts = starts | (F.col("_odd") & ((F.col("_block") > F.col("_last")) | ((F.col("_block") == F.col("_last")) & (F.col("_seen") == F.col("_own")))))
+    return lines.select(
+        *place, "_at", F.when(unmatched, F.regexp_replace("value", '"([^"]*)$', "\n$1")).otherwise(F.col("value")).alias("value"),
+        starts.alias("_starts"), ((F.col("_quotes") - unmatched.cast("int")) % 2 == 0).alias("_even"),
+    )
+
+
 def read_grids(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Exported sheets (one delimited file each) as rows of cells; a row has all its cells, however many.
 
-    Quoted cells may hold separators, doubled quotes and line ends, so one task reads a file: in the middle of a file
-    no line end is known to end a row. Sheets are bounded by the program that makes them. An empty cell is null, empty
-    lines are left out. The sheet is the file's path.
+    Quoted cells may hold separators, doubled quotes and line ends; these read as a line feed. A file is read by many tasks: whether a line
+    end stands in quotes follows from the quotes before it, which are counted by block and summed in order. Rows that run over several lines are
+    put together, also across blocks. An empty cell is null, empty lines are left out. The sheet is the file's path; ROW_NO counts a
+    sheet's rows from 1, empty ones included. Rows come in order; a plan that does not need it drops the sort.
     """
+    aside = work_folder(spark, "lines")
+    flagged = _quoted_lines(spark, path)
+    flagged.write.parquet(aside)
+    lines = spark.read.schema(flagged.schema).parquet(aside)
+    block = ["SHEET_ID", "_block"]
+    # A row is named by the line it starts with. Lines before the first start of a block go on with the last row that started before.
+    so_far = Window.partitionBy(*block).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumns({
+        "_row": F.max(F.when(F.col("_starts"), F.col("_at"))).over(so_far), "_nth": F.sum(F.col("_starts").cast("int")).over(so_far)})
+    per_block = lines.groupBy(*block).agg(F.sum(F.col("_starts").cast("int")).alias("_rows"))
+    earlier = Window.partitionBy("SHEET_ID").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = per_block.select(*block, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_above"))
+    numbered = numbered.join(per_block, block).withColumn("ROW_NO", F.col("_above") + F.coalesce("_nth", F.lit(0)))
+    single = F.col("_starts") & F.col("_even")
+    alone = numbered.filter(single).select("SHEET_ID", "ROW_NO", "value")
+    several = numbered.filter(~single).groupBy("SHEET_ID", "ROW_NO").agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "value"))).alias("_lines"))
+    several = several.select("SHEET_ID", "ROW_NO", F.array_join(F.transform("_lines", lambda line: line["value"]), "\n").alias("value"))
+    rows = alone.unionByName(several).select("SHEET_ID", "ROW_NO", F.explode(_rows_of("value")).alias("value"))
+    return rows.select("SHEET_ID", "ROW_NO", _cells_of("value", sep).alias("CELLS")).orderBy("SHEET_ID", "ROW_NO")
+
+
+def _rows_of(text: str) -> Column:
+    """The rows of a text whose quotes are matched; empty ones are left out."""
+    return F.regexp_extract_all(text, F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), F.lit(0))
+
+
+def _cells_of(row: str, sep: str) -> Column:
     mark = re.escape(sep)
     cell = rf'{mark}("(?:[^"]++|"")*+"|[^"{mark}][^{mark}]*+|)'
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("SHEET_ID"), "value")
-    lines = F.regexp_extract_all("value", F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), F.lit(0))
-    each = rows.select("SHEET_ID", F.explode(lines).alias("value"))
     plain = lambda c: F.when(c == "", F.lit(None)).when(
         c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
     ).otherwise(c)
-    return each.select("SHEET_ID", F.transform(F.regexp_extract_all(F.concat(F.lit(sep), "value"), F.lit(cell), F.lit(1)), plain).alias("CELLS"))
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(sep), row), F.lit(cell), F.lit(1)), plain)

@@ -29,8 +29,9 @@ class Tables:
     images: DataFrame
     product_orders: DataFrame
 
-    def __init__(self, load: Callable[[str], DataFrame], **loaded: DataFrame) -> None:
+    def __init__(self, load: Callable[[str], DataFrame], item_parts: list[DataFrame] | None = None, **loaded: DataFrame) -> None:
         self._load = load
+        self._item_parts = item_parts
         vars(self).update(loaded)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -41,7 +42,11 @@ class Tables:
 
     def with_tables(self, **changed: DataFrame) -> "Tables":
         """The same bundle with some tables replaced, as after a batch update."""
-        return Tables(lambda name: getattr(self, name), **changed)
+        return Tables(lambda name: getattr(self, name), None if "order_items" in changed else self._item_parts, **changed)
+
+    def item_parts(self) -> list[DataFrame]:
+        """The order items as the parts they are stored in, which join orders in their own ways; one part as a rule."""
+        return self._item_parts or [self.order_items]
 
 
 def read_parquet(spark: SparkSession, root: str) -> Tables:
