@@ -14,6 +14,7 @@ from tallyhouse.llm.queries import pieces
 from tallyhouse.llm.storage import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REPEAT = 256  # bytes of a repeated string that goes: passages of some 50 words and more
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of strings that occur elsewhere too."""
-    kept = suffixes.without_repeats(docs, ["doc_id", "lang", "source"], as_text=True).withColumnRenamed("kept", "text")
+    """All documents, without the bytes of strings of REPEAT bytes that occur elsewhere too."""
+    kept = suffixes.without_repeats(docs, ["doc_id", "lang", "source"], length=REPEAT, as_text=True).withColumnRenamed("kept", "text")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
