@@ -314,6 +314,11 @@ def _ranges(rows: DataFrame, split: int, length: int) -> DataFrame:
     return chosen.mapInArrow(run, "whole binary, n long, low int, high int, class binary, part binary, prior binary, rest binary")
 
 
+def _apart(rows: DataFrame, key: str) -> DataFrame:
+    """Aggregated rows with their binary key as an expression: it is shuffled anew, so Spark can split the other side's hot keys in a join."""
+    return rows.withColumn(key, F.concat(key, F.lit(b"")))
+
+
 def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
     """(whole, left, right) for rows (whole, n, prior, rest) of classes above `most`, by ranges of starts.
 
@@ -326,7 +331,7 @@ def _hot_spans(rows: DataFrame, most: int, length: int) -> DataFrame:
         parts = ranged.groupBy("class", "part", "low", "high").agg(
             F.sum("n").alias("n"), F.first("whole").alias("whole"), F.first("prior").alias("prior"), F.first("rest").alias("rest"))
         sizes = ranged.select("class", "part").distinct().groupBy("class").agg(F.count("*").alias("size"))
-        parts = saved(parts.join(sizes, "class"), "parts")
+        parts = saved(parts.join(_apart(sizes, "class"), "class"), "parts")
         full = parts.where("n > 1").select("part", F.octet_length("prior").alias("left"), F.octet_length("rest").alias("right"))
         some = class_spans(parts.where((F.col("size") > 1) & (F.col("size") <= most)).withColumn("whole", F.col("part")), length)
         spans = full.unionByName(some.select(F.col("whole").alias("part"), "left", "right")).where(F.col("left") + F.col("right") >= length)
@@ -350,7 +355,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
     first = F.min(F.struct("digest", "doc", "place")).alias("at")
     merged = places.groupBy("lead", "whole", "before", "after").agg(F.count("*").alias("n"), first)
     sizes = merged.groupBy("lead").agg(F.count("*").alias("size"))
-    merged = saved(merged.join(sizes, "lead"), "contexts")
+    merged = saved(merged.join(_apart(sizes, "lead"), "lead"), "contexts")
     full = merged.where((F.col("n") > 1) & (F.col("before") + F.col("after") >= length)).select("whole", F.col("before").alias("left"), F.col("after").alias("right"))
     asked = merged.where("size > 1").select("at.digest", "at.doc", F.struct("at.place", "lead", "whole", "n", "size").alias("cut"))
     asked = asked.groupBy("digest", "doc").agg(F.collect_list("cut").alias("cuts"))
@@ -381,10 +386,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most: int = CLASS) ->
         spans = spans.union(_hot_spans(hot, most, length))
     # Spans of one context all hold its place, so together they are one span.
     by_context = spans.groupBy("whole").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    # As an expression the key is shuffled anew, and Spark can split the many suffixes of one context in the join.
-    by_context = by_context.withColumn("whole", F.concat("whole", F.lit(b"")))
     own = F.struct((F.col("place") - F.col("left")).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
-    reached = places.select("doc", "digest", "place", "whole").join(by_context, "whole").select("digest", "doc", own.alias("span"))
+    reached = places.select("doc", "digest", "place", "whole").join(_apart(by_context, "whole"), "whole").select("digest", "doc", own.alias("span"))
     return reached.groupBy("digest", "doc").agg(F.collect_list("span").alias("spans"))
 
 

@@ -85,7 +85,7 @@ def test_near_duplicate_stage_tells_components_apart_without_ids(spark):
 
 
 def test_repeat_stage_removes_repeats_of_its_input(stages):
-    expected = {(doc, kept.decode("utf-8", "ignore")) for doc, kept, _ in plain([(r[0], r[1]) for r in stages[2]], 400)}
+    expected = {(doc, kept.decode("utf-8", "ignore")) for doc, kept, _ in plain([(r[0], r[1]) for r in stages[2]], pipeline.REPEAT)}
     assert {(r[0], r[1]) for r in stages[3]} == expected and len(stages[3]) == len(stages[2])
     assert all(r[4] == len(r[1]) for r in stages[3])
 
