@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.dates import screen_date
+from tallyhouse.operators.keyed import apply_counted
 from tallyhouse.operators.ordering import sorted_page, store_order, stored_page
 from tallyhouse.plans import catalog, employees, jobs, labels, orders, packing, punches, purchasing, sales
 from tallyhouse.sample import feeds
 from tallyhouse.sample.tables import load, tables
+from tallyhouse.schemas import KEY_TEXTS, TABLES, in_any_case
 from tallyhouse.sources import layouts
-from tallyhouse.sources.storage import SHARED_SETTINGS, read_grids, read_snapshot, work_folder, write_json, write_snapshot, write_tsv
+from tallyhouse.sources.storage import SHARED_SETTINGS, read_grids, read_snapshot, work_folder, write_grid, write_json, write_judged, write_range, write_snapshot, write_tsv
+from tallyhouse.sources.sums import Sums, apply_deltas, read_sums, store_sums
 from tallyhouse.sources.tables import Tables
 from tallyhouse.streaming import feeds as streams
 
 NOW = "20240301123456"
 ANCHOR, FIRST_PERIOD = "2024-01-05", 1
 COMPANY = "The Company"
-DECADE = "least((day(ts) - 1) div 10, 2)"  # punches arrive in the order of time, or a watermark would leave late ones out
 EVERY_SKU = "%"  # a label prefix may hold wildcards; this one matches the whole table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,9 +199,14 @@ def _stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(alerts.schema).parquet(f"{work}/alerts")
 
 
+def _punches_in_order(spark: SparkSession, folder: str, work: str) -> DataFrame:
+    """Punches that arrive in the order of time, or a watermark would leave late ones out."""
+    return feeds.punches(feeds.stream_of(spark, folder, "events", feeds.part_of_time(load(spark, folder, "events"), "ts"), work))
+
+
 def _stream_punches(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "punches")
-    feed = feeds.punches(feeds.stream_of(spark, folder, "events", DECADE, work))
+    feed = _punches_in_order(spark, folder, work)
     rows = streams.stream_punches(tables(spark, folder), feed, ANCHOR, FIRST_PERIOD)
     streams.run_append(rows, f"{work}/punches", f"{work}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{work}/punches").drop("TS")
@@ -207,13 +214,95 @@ def _stream_punches(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream_punch_counts(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "punch-counts")
-    feed = feeds.punches(feeds.stream_of(spark, folder, "events", DECADE, work))
+    feed = _punches_in_order(spark, folder, work)
     rows = streams.stream_punches(tables(spark, folder), feed, ANCHOR, FIRST_PERIOD)
     counts = streams.stream_punch_counts(rows, ANCHOR)
     streams.run_punch_counts(counts, f"{work}/counts", f"{work}/state").awaitTermination()
     return streams.punch_counts(spark, f"{work}/counts")
 
 
+def _late_counts(spark: SparkSession, folder: str) -> str:
+    """The folder of counts and late punches of a feed whose later parts come first."""
+    work = work_folder(spark, "late-punches")
+    backwards = f"2 - {feeds.part_of_time(load(spark, folder, 'events'), 'ts')}"
+    feed = feeds.punches(feeds.stream_of(spark, folder, "events", backwards, work))
+    rows = streams.stream_punches(tables(spark, folder), feed, ANCHOR, FIRST_PERIOD)
+    streams.run_counts_with_late(rows, f"{work}/out", f"{work}/state").awaitTermination()
+    return f"{work}/out"
+
+
+def _stream_latest(spark: SparkSession, folder: str) -> Tables:
+    work = work_folder(spark, "latest")
+    requests = feeds.packing_requests(spark, folder, feeds.stream_of(spark, folder, "lineitem", "2 - l_orderkey", work))
+    latest = streams.stream_latest_changes(requests, F.lit(NOW))
+    streams.run_latest_changes(latest, f"{work}/latest", f"{work}/state").awaitTermination()
+    return streams.current_state(tables(spark, folder), f"{work}/latest")
+
+
+def _kept_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the sales of even orders, then a batch with the odd ones' items and one that withdraws and adds the larger items again."""
+    t, kept = tables(spark, folder), Sums(work_folder(spark, "sums"), sales.SUM_KEY, "UNIT_QTY", "ORDER_DATE", 6)
+    odd = F.right("CHANNEL_ORDER_NO", F.lit(1)).cast("int") % 2 == 1
+    some = lambda condition: sales.sold_items(t.with_tables(orders=t.orders.filter(condition)))
+    large = sales.sold_items(t).filter("UNIT_QTY > 25")
+    store_sums(some(~odd), kept)
+    for batch, (added, gone) in enumerate([(some(odd), large.limit(0)), (large.limit(0), large), (large, large.limit(0))]):
+        apply_deltas(spark, kept, batch, added, gone)
+    return sales.sales_by_sku_long(t, sums=read_sums(spark, kept, "ORDER_QTY", "ORDER_CNT"))
+
+
+def _kept_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The history of purchase orders over kept sums of their lines, those of brands and those of vendors in two batches."""
+    t, kept = tables(spark, folder), Sums(work_folder(spark, "sums"), purchasing.LINE_KEY, "ORDER_QTY", "ORDER_DATE", 6)
+    lines = t.product_orders
+    store_sums(lines.limit(0), kept)
+    for batch, condition in enumerate(["BRAND_CODE is null", "BRAND_CODE is not null"]):
+        apply_deltas(spark, kept, batch, lines.filter(condition), lines.limit(0))
+    return purchasing.order_history(t.with_tables(product_orders=read_sums(spark, kept, "ORDER_QTY", "LINES")))
+
+
+def _sales_in_any_case(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales where the listings spell some standard SKUs in lower case, which the inventory does not."""
+    t, path = tables(spark, folder), work_folder(spark, "any-case")
+    spelled = F.when(F.col("STD_SKU").like("%-C1-%"), F.lower("STD_SKU")).otherwise(F.col("STD_SKU"))
+    t = t.with_tables(listings=t.listings.withColumn("STD_SKU", spelled))
+    loose = {}
+    for name in TABLES:
+        rows = getattr(t, name)
+        rows.write.parquet(f"{path}/{name}")
+        loose[name] = spark.read.schema(in_any_case(rows.schema)).parquet(f"{path}/{name}")
+    found = sales.sales_by_sku_long(Tables(loose.__getitem__))
+    return found.select(*[F.col(c).cast("string").alias(c) if c in KEY_TEXTS else F.col(c) for c in found.columns])
+
+
+def _employee_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many additions were accepted and refused, counted while they were written."""
+    requests = feeds.employee_requests(load(spark, folder, "customer"))
+    counts = write_judged(employees.judged_additions(tables(spark, folder), requests, NOW), work_folder(spark, "judged"))
+    return spark.createDataFrame([(counts["accepted"], counts["refused"])], "ACCEPTED long, REFUSED long")
+
+
+def _status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders, those that a packing request matched, and those it changed, counted while the updated orders were written."""
+    t = tables(spark, folder)
+    changes = packing.packing_update(feeds.packing_requests(spark, folder), NOW).order_changes
+    after, seen = apply_counted(t.orders, changes, orders.ORDER_KEY, packing.STATUS_COLUMNS, "REQUEST_SEQ")
+    after.write.parquet(work_folder(spark, "orders"))
+    return spark.createDataFrame([(seen.get["rows"], seen.get["matched"], seen.get["changed"])], "ORDERS long, MATCHED long, CHANGED long")
+
+
+def _range_in_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """Sheets with a block of brands and types written into them from row 3 and column 4 on, as files and read back."""
+    part, path = load(spark, folder, "part"), work_folder(spark, "ranges")
+    block = part.selectExpr("concat('sheet_', p_partkey % 20) as SHEET_ID", "p_partkey div 20 + 1 as ROW_NO", "array(p_brand, null, p_type) as CELLS")
+    sheet = part.selectExpr("concat('sheet_', p_partkey % 20) as SHEET_ID", "p_partkey div 20 + 1 as ROW_NO",
+                            "if(p_partkey % 3 = 0, array(p_name), array(p_name, 'b', concat('say \"', p_size, '\", all'), 'd', null, 'f', 'g')) as CELLS")
+    write_grid(write_range(sheet, block, 3, 4), path)
+    found = read_grids(spark, f"{path}/*")
+    cells = F.array_join("CELLS", "|", "null").alias("CELLS")
+    return found.select(F.regexp_extract("SHEET_ID", "SHEET_ID=([^/]+)", 1).alias("SHEET_ID"), "ROW_NO", cells)
+
+
 def _stream_orders(spark: SparkSession, folder: str) -> DataFrame:
     work = work_folder(spark, "purchase-orders")
     lines = feeds.order_lines(feeds.stream_of(spark, folder, "part", "p_partkey", work))
@@ -339,6 +428,17 @@ _QUERIES: dict[str, Query] = {
     "stream_punches": _stream_punches,
     "stream_punch_counts": _stream_punch_counts,
     "stream_purchase_orders": _stream_orders,
+    "stream_latest_orders": lambda spark, folder: _stream_latest(spark, folder).orders,
+    "stream_latest_items": lambda spark, folder: _stream_latest(spark, folder).order_items,
+    "stream_late_punches": lambda spark, folder: streams.late_punches(spark, _late_counts(spark, folder)).select("EMPLOYEE_ID", "PUNCH_DTTM", "PERIOD_FROM"),
+    "stream_counts_with_late": lambda spark, folder: streams.fold_late(spark, _late_counts(spark, folder)),
+    # Kept sums, keys in any case, counts of a write, ranges of a sheet
+    "kept_sales": _kept_sales,
+    "kept_history": _kept_history,
+    "sales_in_any_case": _sales_in_any_case,
+    "added_employee_counts": _employee_counts,
+    "status_update_counts": _status_counts,
+    "range_in_sheet": _range_in_sheet,
 }
 
 QUERIES: dict[str, Query] = {name: _shared(query) for name, query in _QUERIES.items()}

@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def filled(value: Column) -> Column:
+    """`value`, null where it is the empty string. Also for texts with a collation, which `nullif` cannot take."""
+    return F.when(value != F.lit(""), value)
+
+
 def or_default(value: Column, default: Column) -> Column:
     """`value`, or `default` where it is null or the empty string."""
-    return F.coalesce(F.nullif(value, F.lit("")), default)
+    return F.coalesce(filled(value), default)
 
 
 def yn(flag: Column) -> Column:

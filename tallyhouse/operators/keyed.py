@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -125,13 +125,42 @@ def changed_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str], colum
     return base.join(splittable(_latest_changes(changes, keys, columns, order), *keys), list(keys)).filter(~same).select(*base.columns)
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
-    """`base` with `columns` replaced from the latest change of each key; other rows unchanged.
+def _with_new(base: DataFrame, latest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return base.join(splittable(latest, *keys), list(keys), "left")
 
-    Changes are reduced to one row per key before the join; a small batch is then broadcast by size and the base table is not shuffled.
-    """
-    merged = base.join(splittable(_latest_changes(changes, keys, columns, order), *keys), list(keys), "left")
+
+def _taken(merged: DataFrame, base: DataFrame, columns: Sequence[str]) -> DataFrame:
     return merged.select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
         for c in base.columns
     ])
+
+
+def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+    """`base` with `columns` replaced from the latest change of each key; other rows unchanged.
+
+    Changes are reduced to one row per key before the join; a small batch is then broadcast by size and the base table is not shuffled.
+    """
+    return _taken(_with_new(base, _latest_changes(changes, keys, columns, order), keys), base, columns)
+
+
+def apply_unique(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`apply_changes` with changes that are one per key already."""
+    return _taken(_with_new(base, changes.select(*keys, F.struct(*columns).alias("_new")), keys), base, columns)
+
+
+def apply_counted(
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str
+) -> tuple[DataFrame, Observation]:
+    """`apply_changes` and an observation with the number of rows, those a change matched, and those it gave other values.
+
+    The counts come with the write of the result, from the same scan; `Observation.get` has them after it.
+    """
+    merged = _with_new(base, _latest_changes(changes, keys, columns, order), keys)
+    matched = F.col("_new").isNotNull()
+    seen = Observation()
+    merged = merged.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(matched).alias("matched"),
+        F.count_if(matched & ~F.struct(*columns).eqNullSafe(F.col("_new"))).alias("changed"),
+    )
+    return _taken(merged, base, columns), seen

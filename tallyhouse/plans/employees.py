@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import is_blank
+from tallyhouse.functions.text import filled, is_blank
 from tallyhouse.operators.keyed import Keys, restrict, single_match, splittable
 from tallyhouse.sources.tables import Tables
 
@@ -63,25 +63,39 @@ class NewEmployees(NamedTuple):
     rejects: DataFrame
 
 
-def add_employees(t: Tables, requests: DataFrame, now: str) -> NewEmployees:
-    """Rows to append to the employee table, and refused requests.
+def judged_additions(t: Tables, requests: DataFrame, now: str) -> DataFrame:
+    """Every addition request with CODE and STATUS of its refusal, which are null where it is accepted, and the row it adds.
 
-    An empty id, a request without any name, and an id that exists are refused. Within a batch the
-    request with the lowest REQUEST_SEQ takes the id and later ones find it taken.
+    An empty id, a request without any name, and an id that exists are refused. Within a batch the request with the lowest REQUEST_SEQ takes
+    the id and later ones find it taken; a missing number comes last. Equal numbers are settled by the names, and of requests equal in
+    all of that one takes the id. Requests are counted before they meet, so very many for one id are no hot key.
     """
     judged = requests.join(_known(t), "EMPLOYEE_ID", "left").withColumn("_refused", _refusal([
         (is_blank(F.col("EMPLOYEE_ID")), EMPTY_ID),
         (_nameless(), EMPTY_NAME),
         (F.col("_known"), EXISTS),
     ]))
-    takers = judged.filter("_refused is null").groupBy("EMPLOYEE_ID").agg(F.min("REQUEST_SEQ").alias("_taker"))
-    judged = judged.join(splittable(takers, "EMPLOYEE_ID"), "EMPLOYEE_ID", "left").withColumn(
-        "_refused", F.coalesce("_refused", _refusal([(F.col("REQUEST_SEQ") > F.col("_taker"), EXISTS)]))
-    )
-    added = judged.filter("_refused is null").select(
-        "EMPLOYEE_ID", *PATCH_COLUMNS, F.lit(now).alias("LAST_LOGIN_DTTM")
+    own = ["REQUEST_SEQ", "EMPLOYEE_ID", *PATCH_COLUMNS]
+    place = F.struct(F.col("REQUEST_SEQ").isNull(), "REQUEST_SEQ", *PATCH_COLUMNS)
+    counted = judged.groupBy(*own, "_refused").agg(F.count("*").alias("_copies"))
+    takers = counted.filter("_refused is null").groupBy("EMPLOYEE_ID").agg(F.min(place).alias("_taker"))
+    counted = counted.join(splittable(takers, "EMPLOYEE_ID"), "EMPLOYEE_ID", "left")
+    # The first copy of the taker is accepted; all that is left is refused.
+    taker = F.col("_refused").isNull() & place.eqNullSafe(F.col("_taker"))
+    first = F.when(taker, 1).otherwise(0)
+    each = counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    refused = F.when(F.col("_nth") > first, F.coalesce("_refused", _refusal([(F.lit(True), EXISTS)])))
+    return each.withColumn("_refused", refused).select(
+        *own, F.lit(now).alias("LAST_LOGIN_DTTM"), F.col("_refused.CODE").alias("CODE"), F.col("_refused.STATUS").alias("STATUS"))
+
+
+def add_employees(t: Tables, requests: DataFrame, now: str) -> NewEmployees:
+    """Rows to append to the employee table, and refused requests: `judged_additions` in two."""
+    judged = judged_additions(t, requests, now)
+    return NewEmployees(
+        judged.filter("CODE is null").select("EMPLOYEE_ID", *PATCH_COLUMNS, "LAST_LOGIN_DTTM"),
+        judged.filter("CODE is not null").select("REQUEST_SEQ", "EMPLOYEE_ID", "CODE", "STATUS"),
     )
-    return NewEmployees(added, _rejects(judged))
 
 
 class ModifiedEmployees(NamedTuple):
@@ -102,7 +116,7 @@ def modify_employees(t: Tables, requests: DataFrame, now: str) -> ModifiedEmploy
     ]))
 
     def last_given(column: str) -> Column:
-        given = F.nullif(F.col(column), F.lit(""))
+        given = filled(F.col(column))
         return F.max_by(given, F.when(given.isNotNull(), F.struct("REQUEST_SEQ", given))).alias(column)
 
     patches = judged.filter("_refused is null").groupBy("EMPLOYEE_ID").agg(*[last_given(c) for c in PATCH_COLUMNS])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE, dashed_date, readable_stamp
-from tallyhouse.functions.text import shown, strict_name
+from tallyhouse.functions.text import filled, shown, strict_name
 from tallyhouse.operators.keyed import apply_changes, between_dates
 from tallyhouse.plans.listings import LISTING_KEY, market_names, sku_directory
 from tallyhouse.plans.orders import ORDER_KEY, items_of_orders
@@ -116,18 +116,19 @@ def _status_of_request():
     return F.when(F.col("COMPLETE_YN") == "Y", COMPLETE).when(F.col("HOLD_YN") == "Y", ON_HOLD)
 
 
-def packing_update(requests: DataFrame, now: str) -> PackingChanges:
+def packing_update(requests: DataFrame, now: str | Column) -> PackingChanges:
     """Changes asked for by a batch of packing requests, and the refused requests.
 
-    `now` is the processing time as `yyyyMMddHHmmss`.
+    `now` is the processing time as `yyyyMMddHHmmss`, a text or a column.
     """
+    day, time = (F.lit(now[:8]), F.lit(now[-6:])) if isinstance(now, str) else (F.left(now, F.lit(8)), F.right(now, F.lit(6)))
     judged = requests.withColumn("SHIPPING_STATUS", _status_of_request())
     accepted = judged.filter("SHIPPING_STATUS is not null")
     order_changes = accepted.select(
         "REQUEST_SEQ", *ORDER_KEY, "SHIPPING_STATUS",
-        F.nullif(F.col("EMPLOYEE_ID"), F.lit("")).alias("EMPLOYEE_ID"),
-        F.lit(now[:8]).alias("PROC_DT"),
-        F.lit(now[-6:]).alias("PROC_TM"),
+        filled(F.col("EMPLOYEE_ID")).alias("EMPLOYEE_ID"),
+        day.alias("PROC_DT"),
+        time.alias("PROC_TM"),
     )
     item_changes = accepted.select("REQUEST_SEQ", F.explode("ORDER_LIST").alias("i")).select(
         "REQUEST_SEQ", *[F.col(f"i.{c}") for c in (*ITEM_KEY, *FLAG_COLUMNS)]

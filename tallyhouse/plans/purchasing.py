@@ -64,12 +64,16 @@ def _staff() -> Column:
     return F.coalesce("_staff", F.lit(""))
 
 
+# What lines can be summed by before the history is taken.
+LINE_KEY = ["ORDER_DATE", "ORDER_SEQ", "STD_SKU", "PRODUCT_CODE", "BRAND_CODE", "VENDOR_CODE", "EMPLOYEE_ID"]
+
+
 def order_history(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> DataFrame:
     """Quantity per date, sequence, brand or vendor, product and staff, newest first.
 
     Lines are grouped by brand name before vendor name but show vendor name before brand name. Of
     several shown names or manufacturing codes in a group the smallest is given. A repeated
-    (product, SKU) key in the manufacturing map counts the line once per repetition.
+    (product, SKU) key in the manufacturing map counts the line once per repetition. Lines may be kept sums by LINE_KEY.
     """
     made = t.manufacturing_map.select("PRODUCT_CODE", "STD_SKU", "MANUFACTURING_CODE")
     codes = [*SET_KEY, "BRAND_CODE", "VENDOR_CODE", "EMPLOYEE_ID"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.dates import FIRST_DATE, LAST_DATE, dashed_date
+from tallyhouse.functions.text import filled, or_default
 from tallyhouse.operators.keyed import between_dates
 from tallyhouse.plans.listings import LISTING_KEY, market_names, sku_directory
 from tallyhouse.plans.orders import ORDER_KEY, items_of_orders
@@ -17,21 +18,31 @@ from tallyhouse.sources.tables import Tables
 MARKET_ORDER = [1, 8, 2, 3, 4, 5, 6, 7]
 
 
-def _sales_lines(t: Tables, start: str, end: str) -> DataFrame:
+SUM_KEY = ["ORDER_DATE", *LISTING_KEY]
+
+
+def sold_items(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> DataFrame:
+    """Marketplace SKU, quantity and order date of every item of the orders in a range of dates."""
+    orders = between_dates(t.orders, "ORDER_DATE", start, end).select(*ORDER_KEY, "ORDER_DATE")
+    return items_of_orders(t, [*ORDER_KEY, "LISTING_SKU", "UNIT_QTY"], orders).select(*SUM_KEY, "UNIT_QTY")
+
+
+def _sold(t: Tables, start: str, end: str, sums: DataFrame | None) -> DataFrame:
+    """Sums per date and marketplace SKU: of the items, or the kept ones."""
+    if sums is not None:
+        return between_dates(sums, "ORDER_DATE", start, end).select(*SUM_KEY, "ORDER_QTY", "ORDER_CNT")
+    return sold_items(t, start, end).groupBy(*SUM_KEY).agg(F.sum("UNIT_QTY").alias("ORDER_QTY"), F.count("*").alias("ORDER_CNT"))
+
+
+def _sales_lines(t: Tables, start: str, end: str, sums: DataFrame | None) -> DataFrame:
     """Sales per date, marketplace SKU and standard SKU, unsorted.
 
     Items are summed before any dimension join; the directory is distinct, so its join keeps
     rows distinct and the result needs no DISTINCT over the facts.
     """
-    orders = between_dates(t.orders, "ORDER_DATE", start, end).select(*ORDER_KEY, "ORDER_DATE")
-    sold = (
-        items_of_orders(t, [*ORDER_KEY, "LISTING_SKU", "UNIT_QTY"], orders)
-        .groupBy("ORDER_DATE", *LISTING_KEY)
-        .agg(F.sum("UNIT_QTY").alias("ORDER_QTY"), F.count("*").alias("ORDER_CNT"))
-    )
     names = market_names(t).select("MARKET_ID", F.col("MARKETPLACE_NM").alias("MARKET_NAME")).distinct()
     return (
-        sold.join(sku_directory(t), LISTING_KEY)
+        _sold(t, start, end, sums).join(sku_directory(t), LISTING_KEY)
         .join(names, "MARKET_ID")
         .select(
             "ORDER_DATE", "STD_SKU", "LISTING_SKU", "PRODUCT_NAME", "MARKET_ID", "MARKET_NAME",
@@ -40,15 +51,16 @@ def _sales_lines(t: Tables, start: str, end: str) -> DataFrame:
     )
 
 
-def sales_by_sku_long(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE) -> DataFrame:
+def sales_by_sku_long(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE, sums: DataFrame | None = None) -> DataFrame:
     """Sales per date, marketplace and standard SKU, sorted by date, marketplace and standard SKU.
 
-    A listing with several standard SKUs repeats its quantity for each.
+    A listing with several standard SKUs repeats its quantity for each. `sums` are kept sums of `sold_items` by SUM_KEY
+    (ORDER_QTY, ORDER_CNT); the items are not read then.
     """
-    return _sales_lines(t, start, end).orderBy("ORDER_DATE", "MARKET_ID", "STD_SKU")
+    return _sales_lines(t, start, end, sums).orderBy("ORDER_DATE", "MARKET_ID", "STD_SKU")
 
 
-def _spread(t: Tables, start: str, end: str, markets: Sequence[int]) -> DataFrame:
+def _spread(t: Tables, start: str, end: str, markets: Sequence[int], sums: DataFrame | None = None) -> DataFrame:
     """One row per date and standard SKU.
 
     Texts are the first non-empty ones in (MARKET_ID, LISTING_SKU) order. Where one marketplace
@@ -58,15 +70,15 @@ def _spread(t: Tables, start: str, end: str, markets: Sequence[int]) -> DataFram
     place = F.struct("MARKET_ID", "LISTING_SKU")
 
     def first_text(column: str):
-        filled = F.nullif(F.col(column), F.lit(""))
-        return F.min_by(filled, F.when(filled.isNotNull(), place))
+        text = filled(F.col(column))
+        return F.min_by(text, F.when(text.isNotNull(), place))
 
     quantity = F.coalesce("ORDER_QTY", F.lit(0))
     cells = [
         F.max_by(F.when(F.col("MARKET_ID") == m, quantity), F.when(F.col("MARKET_ID") == m, F.col("LISTING_SKU"))).alias(f"MARKET_{m}")
         for m in markets
     ]
-    spread = _sales_lines(t, start, end).groupBy("ORDER_DATE", F.col("STD_SKU").alias("_sku")).agg(
+    spread = _sales_lines(t, start, end, sums).groupBy("ORDER_DATE", F.col("STD_SKU").alias("_sku")).agg(
         first_text("LISTING_SKU").alias("_listing_sku"),
         F.coalesce(first_text("PRODUCT_NAME"), F.lit("")).alias("PRODUCT_NAME"),
         F.sum(quantity).alias("TOTAL_ORDER_CNT"),
@@ -76,19 +88,21 @@ def _spread(t: Tables, start: str, end: str, markets: Sequence[int]) -> DataFram
     listing = F.coalesce("_listing_sku", F.lit(""))
     return spread.select(
         "ORDER_DATE",
-        F.coalesce(F.nullif(F.col("_sku"), F.lit("")), listing).alias("STD_SKU"),
+        or_default(F.col("_sku"), listing).alias("STD_SKU"),
         listing.alias("LISTING_SKU"),
         "PRODUCT_NAME", "TOTAL_ORDER_CNT", "INVENTORY_YN",
         *[f"MARKET_{m}" for m in markets],
     )
 
 
-def sales_by_sku_wide(t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE, markets: Sequence[int] = MARKET_ORDER) -> DataFrame:
+def sales_by_sku_wide(
+    t: Tables, start: str = FIRST_DATE, end: str = LAST_DATE, markets: Sequence[int] = MARKET_ORDER, sums: DataFrame | None = None
+) -> DataFrame:
     """Sales per date and standard SKU with one column per marketplace of `markets`, sorted by date and SKU.
 
     TOTAL_ORDER_CNT is a quantity, as its source column name suggests otherwise, and counts all marketplaces.
     """
-    return _spread(t, start, end, markets).orderBy("ORDER_DATE", "STD_SKU")
+    return _spread(t, start, end, markets, sums).orderBy("ORDER_DATE", "STD_SKU")
 
 
 def sales_by_sku_tsv(

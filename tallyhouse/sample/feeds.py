@@ -14,11 +14,18 @@ from tallyhouse.sources.tables import Tables
 
 
 def stream_of(spark: SparkSession, folder: str, name: str, key: str, work: str, batches: int = 3) -> DataFrame:
-    """A test table as a stream of several micro-batches: its rows by `key` modulo `batches`, a file each, in this order."""
-    table = load(spark, folder, name)
+    """A test table as a stream of several micro-batches: its rows by `key` modulo `batches`, in this order, each in as many files as the
+    session has shuffle partitions."""
+    table, files = load(spark, folder, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     for i in range(batches):
-        table.filter(F.pmod(F.expr(key), F.lit(batches)) == i).coalesce(1).write.mode("append").parquet(f"{work}/{name}")
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/{name}")
+        table.filter(F.pmod(F.expr(key), F.lit(batches)) == i).repartition(files).write.mode("append").parquet(f"{work}/{name}")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{work}/{name}")
+
+
+def part_of_time(table: DataFrame, moment: str, parts: int = 3) -> str:
+    """An expression for the part of its table's span of time that a row lies in, from 0."""
+    first, last = table.selectExpr(f"min(unix_micros(cast({moment} as timestamp)))", f"max(unix_micros(cast({moment} as timestamp))) + 1").first()
+    return f"cast(least((unix_micros(cast({moment} as timestamp)) - {first or 0}) * {parts} div {max((last or 1) - (first or 0), 1)}, {parts - 1}) as int)"
 
 
 def packing_requests(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:

@@ -56,6 +56,24 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
+# Texts that name a thing; other texts are only shown or dated.
+KEY_TEXTS = {
+    "CHANNEL_ORDER_NO", "TRACKING_NO", "LISTING_SKU", "STD_SKU", "SKU", "PRODUCT_CODE", "MANUFACTURING_CODE", "BRAND_CODE", "VENDOR_CODE", "SIZE_CODE", "EMPLOYEE_ID",
+}
+ANY_CASE = "UTF8_LCASE"
+
+
+def in_any_case(schema: T.StructType, collation: str = ANY_CASE) -> T.StructType:
+    """The schema with its key texts compared under a collation: in joins, groupings, DISTINCT, filters and sorts of every plan.
+
+    A joined or grouped key shows one of its spellings. Text filters on such keys do not reach the files.
+    """
+    return T.StructType([
+        T.StructField(f.name, T.StringType(collation) if f.name in KEY_TEXTS and isinstance(f.dataType, T.StringType) else f.dataType, f.nullable, f.metadata)
+        for f in schema
+    ])
+
+
 # Feeds: request bodies and clock punches, as they arrive.
 PACKING_REQUEST = T.StructType([
     T.StructField("REQUEST_SEQ", _LONG),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,6 +62,17 @@ def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_judged(judged: DataFrame, path: str, refusal: str = "CODE") -> dict[str, int]:
+    """Writes judged requests once, accepted and refused ones in folders of their own (ACCEPTED=true, false), and returns how many there are of each.
+
+    A request is refused where `refusal` is not null. The counts are observed while the rows are written, in the same scan.
+    """
+    seen, accepted = Observation(), F.col(refusal).isNull()
+    rows = judged.observe(seen, F.count_if(accepted).alias("accepted"), F.count_if(~accepted).alias("refused"))
+    rows.withColumn("ACCEPTED", accepted).write.partitionBy("ACCEPTED").parquet(path)
+    return seen.get
+
+
 def by_month(rows: DataFrame, date_column: str = "ORDER_DATE") -> DataFrame:
     """Adds ORDER_MONTH, the partition column of the order tables."""
     return rows.withColumn("ORDER_MONTH", F.substring(date_column, 1, 6))
@@ -179,3 +190,34 @@ def _cells_of(row: str, sep: str) -> Column:
         c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
     ).otherwise(c)
     return F.transform(F.regexp_extract_all(F.concat(F.lit(sep), row), F.lit(cell), F.lit(1)), plain)
+
+
+def write_range(sheet: DataFrame, block: DataFrame, row: int = 1, column: int = 1) -> DataFrame:
+    """The sheet (SHEET_ID, ROW_NO, CELLS) after a block of cells was written into it with its upper left cell at `row` and `column`, from 1.
+
+    `block` has SHEET_ID, ROW_NO (from 1 within the block) and CELLS. Its cells replace what is there, a null one too; rows and cells
+    beyond the sheet's ends are added, and what lies between is null. Rows of a sheet meet by number, so neither is gathered. The ROW_NO
+    of a sheet is unique; sheets that only the block names are new.
+    """
+    placed = block.select("SHEET_ID", (F.col("ROW_NO") + (row - 1)).alias("ROW_NO"), F.col("CELLS").alias("_new"))
+    both = sheet.select("SHEET_ID", "ROW_NO", "CELLS").join(placed, ["SHEET_ID", "ROW_NO"], "full")
+    old, new = F.coalesce("CELLS", F.array().cast("array<string>")), F.col("_new")
+    width = F.greatest(F.size(old), F.size(new) + (column - 1))
+    cell = lambda i: F.when((i >= column) & (i < column + F.size(new)), F.get(new, i - column)).otherwise(F.get(old, i - 1))
+    cells = F.when(new.isNull() | (F.size(new) == 0), old).otherwise(F.transform(F.sequence(F.lit(1), width), cell))
+    return both.select("SHEET_ID", "ROW_NO", cells.alias("CELLS"))
+
+
+def write_grid(rows: DataFrame, path: str, sep: str = ",", mode: str = "error") -> None:
+    """A grid (SHEET_ID, ROW_NO, CELLS) as one delimited file per sheet, in a folder of its name, for `read_grids`.
+
+    A file has its rows in order, so one task writes a sheet. Cells with separators, quotes or line ends are
+    quoted; null cells are empty. Rows without cells and gaps in ROW_NO are empty lines.
+    """
+    special = rf'[{re.escape(sep)}"\r\n]'
+    quoted = lambda c: F.when(c.rlike(special), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.array_join(F.transform("CELLS", lambda c: F.coalesce(quoted(c), F.lit(""))), sep)
+    before = Window.partitionBy("SHEET_ID").orderBy("ROW_NO")
+    gap = F.col("ROW_NO") - F.coalesce(F.lag("ROW_NO").over(before), F.lit(0)) - 1
+    text = rows.select("SHEET_ID", "ROW_NO", F.concat(F.repeat(F.lit("\n"), gap.cast("int")), F.coalesce(line, F.lit(""))).alias("value"))
+    text.repartition("SHEET_ID").sortWithinPartitions("SHEET_ID", "ROW_NO").select("SHEET_ID", "value").write.mode(mode).partitionBy("SHEET_ID").text(path)

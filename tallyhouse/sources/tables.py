@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.schemas import TABLES
+from tallyhouse.schemas import TABLES, in_any_case
 
 
 class Tables:
@@ -49,9 +49,13 @@ class Tables:
         return self._item_parts or [self.order_items]
 
 
-def read_parquet(spark: SparkSession, root: str) -> Tables:
-    """Tables stored as `<root>/<table>`; partition columns are found from the directories."""
-    return Tables(lambda name: spark.read.schema(TABLES[name]).parquet(f"{root}/{name}"))
+def read_parquet(spark: SparkSession, root: str, any_case: bool = False) -> Tables:
+    """Tables stored as `<root>/<table>`; partition columns are found from the directories.
+
+    With `any_case` keys that differ in case only are the same in every plan (`schemas.in_any_case`); by default they differ.
+    """
+    schema = in_any_case if any_case else lambda contract: contract
+    return Tables(lambda name: spark.read.schema(schema(TABLES[name])).parquet(f"{root}/{name}"))
 
 
 def read_jdbc(spark: SparkSession, url: str, names: dict[str, str] | None = None, **options: str) -> Tables:

@@ -9,18 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyhouse.operators.keyed import first_per_key
+from tallyhouse.operators.keyed import apply_unique, first_per_key
 from tallyhouse.plans.orders import ORDER_KEY
 from tallyhouse.plans.packing import (
     FLAG_COLUMNS, ITEM_KEY, STATUS_COLUMNS, packing_alerts, packing_update, update_order_item_flags, update_order_status,
 )
 from tallyhouse.plans.punches import PERIOD_DAYS, accepted_punches, with_pay_period
 from tallyhouse.plans.purchasing import next_order_seq
-from tallyhouse.sources.storage import drop_versions, read_snapshot, write_snapshot
+from tallyhouse.sources.storage import drop_versions, read_snapshot, replace_partitions, write_snapshot
 from tallyhouse.sources.tables import Tables
 
 
@@ -198,3 +198,117 @@ def stream_purchase_orders(
         batch.unpersist()
 
     return run_per_batch(lines, place, checkpoint)
+
+
+LATEST = "KIND string, CHANNEL_ORDER_NO string, MARKET_ID int, LISTING_SKU string, REQUEST_SEQ long, CHANGE struct<" + ", ".join(
+    f"{c}: string" for c in (*STATUS_COLUMNS, *FLAG_COLUMNS)) + ">"
+_CHANGE_KEY = ["KIND", *ITEM_KEY]
+STATE_PARTS = 64  # folders of the table of latest changes; a micro-batch rewrites those it meets
+
+
+def stream_latest_changes(requests: DataFrame, now: Column | None = None) -> DataFrame:
+    """The latest change of every order and item as a streaming aggregation: `LATEST`, a row per changed key and trigger (update mode).
+
+    The state holds one change per key, by REQUEST_SEQ and then by the changed values, so the order in which requests arrive does not
+    matter. `now` is a text column `yyyyMMddHHmmss`, by default the time of the micro-batch, which a replay of it keeps.
+    """
+    stamp = F.date_format(F.current_timestamp(), "yyyyMMddHHmmss") if now is None else now
+    changes = packing_update(requests, stamp)
+    null = F.lit(None).cast("string")
+
+    def as_change(rows: DataFrame, kind: str, own: list[str]) -> DataFrame:
+        values = [F.col(c) if c in own else null.alias(c) for c in (*STATUS_COLUMNS, *FLAG_COLUMNS)]
+        sku = F.col("LISTING_SKU") if "LISTING_SKU" in rows.columns else null
+        return rows.select(F.lit(kind).alias("KIND"), *ORDER_KEY, sku.alias("LISTING_SKU"), "REQUEST_SEQ", F.struct(*values).alias("CHANGE"))
+
+    both = as_change(changes.order_changes, "orders", STATUS_COLUMNS).unionByName(as_change(changes.item_changes, "order_items", FLAG_COLUMNS))
+    newest = both.groupBy(*_CHANGE_KEY).agg(F.max(F.struct("REQUEST_SEQ", "CHANGE")).alias("_newest"))
+    return newest.select(*_CHANGE_KEY, "_newest.REQUEST_SEQ", "_newest.CHANGE")
+
+
+def run_latest_changes(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the result of `stream_latest_changes` as a table with one row per key, in STATE_PARTS folders by key.
+
+    A micro-batch reads and rewrites the folders of its keys only. The newer of stored and new change stays, so a query that starts over with a lost
+    checkpoint leaves the same table.
+    """
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        named = rows.withColumn("PART", F.pmod(F.xxhash64(*_CHANGE_KEY), F.lit(STATE_PARTS)).cast("int"))
+        aside = f"{path}/aside/BATCH_ID={batch_id}"
+        named.write.mode("overwrite").parquet(aside)
+        fresh = spark.read.schema(named.schema).parquet(aside)
+        parts = [r[0] for r in fresh.select("PART").distinct().collect()]  # STATE_PARTS at most
+        if not parts:
+            return
+        known = latest_changes(spark, path).filter(F.col("PART").isin(parts))
+        merged = known.unionByName(fresh).groupBy("PART", *_CHANGE_KEY).agg(F.max(F.struct("REQUEST_SEQ", "CHANGE")).alias("_newest"))
+        merged.select(*_CHANGE_KEY, "_newest.REQUEST_SEQ", "_newest.CHANGE", "PART").write.mode("overwrite").parquet(f"{aside}-merged")
+        replace_partitions(spark.read.schema(f"{LATEST}, PART int").parquet(f"{aside}-merged"), f"{path}/current", ["PART"])
+
+    return (
+        latest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The table kept by `run_latest_changes`."""
+    if not _exists(spark, f"{path}/current"):
+        return spark.createDataFrame([], f"{LATEST}, PART int")
+    return spark.read.schema(f"{LATEST}, PART int").parquet(f"{path}/current")
+
+
+def current_state(t: Tables, path: str) -> Tables:
+    """The tables with the latest changes applied. They are one per key, so nothing is ranked."""
+    rows = latest_changes(t.orders.sparkSession, path)
+    of = {kind: rows.filter(F.col("KIND") == kind).select(*ITEM_KEY, "CHANGE.*") for kind in ("orders", "order_items")}
+    return t.with_tables(
+        orders=apply_unique(t.orders, of["orders"].select(*ORDER_KEY, *STATUS_COLUMNS), ORDER_KEY, STATUS_COLUMNS),
+        order_items=apply_unique(t.order_items, of["order_items"].select(*ITEM_KEY, *FLAG_COLUMNS), ITEM_KEY, FLAG_COLUMNS),
+    )
+
+
+PERIOD_COUNT = "PERIOD_FROM date, EMPLOYEE_ID string, PUNCHES long"
+LATE_PUNCH = "EMPLOYEE_ID string, PUNCH_DTTM string, TS timestamp, PERIOD_FROM date"
+
+
+def run_counts_with_late(punches: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Counts punches per employee and pay period while a period is open, and keeps those that come after it apart.
+
+    `punches` are rows of `stream_punches`. The watermark of a micro-batch is the latest time of all earlier ones less `delay`. A
+    period that ends at or before it is closed: its punches go to the late rows, all others are counted with their micro-batch. What a micro-batch writes
+    depends on itself and earlier ones only, so a replay writes the same.
+    """
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        spark, batch = batch.sparkSession, batch.persist()
+        earlier = _recorded(spark, f"{path}/times", "LATEST_TS timestamp").filter(F.col("BATCH_ID") < batch_id)
+        mark = earlier.agg(F.expr(f"max(LATEST_TS) - interval {delay}").alias("m")).select(F.coalesce("m", F.lit("0001-01-01").cast("timestamp")).alias("_mark"))
+        judged = batch.crossJoin(F.broadcast(mark))  # one row
+        closed = F.date_add("PERIOD_FROM", PERIOD_DAYS).cast("timestamp") <= F.col("_mark")
+        counts = judged.filter(~closed).groupBy("PERIOD_FROM", "EMPLOYEE_ID").agg(F.count("*").alias("PUNCHES"))
+        _put(counts, f"{path}/counts", batch_id)
+        _put(judged.filter(closed).select("EMPLOYEE_ID", "PUNCH_DTTM", "TS", "PERIOD_FROM"), f"{path}/late", batch_id)
+        _put(batch.agg(F.max("TS").alias("LATEST_TS")), f"{path}/times", batch_id)
+        batch.unpersist()
+
+    return run_per_batch(punches, record, checkpoint)
+
+
+def late_punches(spark: SparkSession, path: str) -> DataFrame:
+    """The punches that came when their period was closed."""
+    return _recorded(spark, f"{path}/late", LATE_PUNCH)
+
+
+def counts_in_time(spark: SparkSession, path: str) -> DataFrame:
+    """Punches per employee and period that came while the period was open."""
+    rows = _recorded(spark, f"{path}/counts", PERIOD_COUNT)
+    return rows.groupBy("PERIOD_FROM", "EMPLOYEE_ID").agg(F.sum("PUNCHES").alias("PUNCHES"))
+
+
+def fold_late(spark: SparkSession, path: str) -> DataFrame:
+    """All punches per employee and period: those counted in time and the late ones, which equals a count over the whole feed."""
+    late = late_punches(spark, path).groupBy("PERIOD_FROM", "EMPLOYEE_ID").agg(F.count("*").alias("PUNCHES"))
+    both = counts_in_time(spark, path).unionByName(late)
+    return both.groupBy("PERIOD_FROM", "EMPLOYEE_ID").agg(F.sum("PUNCHES").alias("PUNCHES"))

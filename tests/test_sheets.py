@@ -89,3 +89,33 @@ def test_a_file_is_read_by_many_tasks(spark, tmp_path, small_blocks):
     assert lines.select("_block").distinct().count() > 20
     rows = storage.read_grids(spark, str(tmp_path)).collect()
     assert sorted(r.ROW_NO for r in rows) == list(range(1, 401)) and all(r.CELLS == ["a", "b", "c"] for r in rows)
+
+
+GRID = "SHEET_ID string, ROW_NO long, CELLS array<string>"
+
+
+def plain_range(sheet, block, row, column):
+    out = {(s, n): list(c or []) for s, n, c in sheet}
+    for s, n, cells in block:
+        own = out.setdefault((s, n + row - 1), [])
+        if cells:
+            own += [None] * (column - 1 + len(cells) - len(own))
+            own[column - 1 : column - 1 + len(cells)] = cells
+    return sorted(((s, n, c) for (s, n), c in out.items()), key=repr)
+
+
+@pytest.mark.parametrize("row, column", [(1, 1), (2, 3), (4, 1), (9, 7)])
+def test_a_range_is_written_into_a_sheet(spark, row, column):
+    """Overlaps, growth to the right and below, ragged rows, null and missing cells, a new sheet."""
+    sheet = [("s", 1, ["a", "b", "c"]), ("s", 2, ["d"]), ("s", 3, None), ("s", 4, ["e", None, "f", "g"]), ("t", 1, ["z"])]
+    block = [("s", 1, ["1", None]), ("s", 2, []), ("s", 3, ["2", "3", "4"]), ("u", 1, ["n"]), ("s", 4, None)]
+    found = storage.write_range(spark.createDataFrame(sheet, GRID), spark.createDataFrame(block, GRID), row, column)
+    assert sorted(map(tuple, found.collect()), key=repr) == plain_range(sheet, block, row, column)
+
+
+def test_a_written_grid_reads_the_same(spark, tmp_path, small_blocks):
+    rows = [("one", 1, ["a", None, 'say "hi"', "x,y"]), ("one", 2, ["two\nlines", "é"]), ("one", 5, ["after a gap"]), ("two", 3, ["b", "c"]), ("one", 7, None)]
+    storage.write_grid(spark.createDataFrame(rows, GRID), f"{tmp_path}/out")
+    found = storage.read_grids(spark, f"{tmp_path}/out/*").collect()
+    got = sorted((re.search("SHEET_ID=([^/]+)", r.SHEET_ID)[1], r.ROW_NO, r.CELLS) for r in found)
+    assert got == sorted(r for r in rows if r[2] and r[0] == "one") + [("two", 3, ["b", "c"])]

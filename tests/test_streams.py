@@ -1,6 +1,9 @@
 """Streams over files that arrive one by one, against the batch results; replays change nothing."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.plans import packing, punches
 from tallyhouse.schemas import ORDER_LINE, PACKING_REQUEST, PUNCH
@@ -114,3 +117,62 @@ def test_purchase_orders_and_replay(spark, shop, arriving, got, tmp_path):
         placed = got(spark.read.parquet(f"{tmp_path}/placed"), "STD_SKU", "ORDER_SEQ")
         assert sorted(s for _, s in placed) in ([8, 8, 9], [8, 9, 9])
         assert len({s for sku, s in placed if sku in "ab"}) == 1 and [sku for sku, _ in placed] == ["a", "b", "c"]
+
+
+def test_latest_changes_kept_by_the_stream(spark, shop, arriving, got, tmp_path):
+    """Requests out of order across micro-batches, equal and missing numbers, a restart, and a start with a lost checkpoint."""
+    t = shop(orders=[order("1"), order("2"), order("3")], order_items=[item("L", no="1"), item("M", no="2"), item("L", no="3")], markets=[MARKET])
+    first = [packing_request(5, "1", "Y", items=[("L", 1, "Y", "N")]), packing_request(None, "2", "Y", items=[("M", 1, "Y", "Y")])]
+    later = [packing_request(3, "1", "N", "Y", items=[("L", 1, "N", "Y")]), packing_request(1, "2", "N", "Y", items=[("M", 1, "N", "N")])]
+    last = [packing_request(7, "3", "Y", items=[("L", 1, None, "Y")]), packing_request(7, "3", "N", "Y", items=[("L", 1, "Y", None)])]
+    stream, _ = arriving(PACKING_REQUEST, first, later)
+    start = lambda rows, state: feeds.run_latest_changes(feeds.stream_latest_changes(rows, F.lit(NOW)), f"{tmp_path}/latest", f"{tmp_path}/{state}").awaitTermination()
+    start(stream, "state")
+    stream, batch = arriving(PACKING_REQUEST, last)
+    start(stream, "state")  # goes on where it stopped
+    expected = packing.apply_packing(t, batch, NOW)
+    for lost in (False, True):
+        if lost:
+            start(stream, "other")  # reads every file again
+        after = feeds.current_state(t, f"{tmp_path}/latest")
+        assert got(after.orders) == got(expected.orders) and got(after.order_items) == got(expected.order_items)
+        rows = feeds.latest_changes(spark, f"{tmp_path}/latest")
+        assert rows.count() == rows.select(*feeds._CHANGE_KEY).distinct().count() == 5  # items name their order, the first one by default
+    assert got(after.orders, "CHANNEL_ORDER_NO", "SHIPPING_STATUS") == [("1", "01"), ("2", "02"), ("3", "02")]
+
+
+def test_the_stream_reads_only_the_parts_it_changes(spark, arriving, tmp_path):
+    stream, _ = arriving(PACKING_REQUEST, [packing_request(1, str(i), "Y") for i in range(40)])
+    run = lambda s: feeds.run_latest_changes(feeds.stream_latest_changes(s, F.lit(NOW)), f"{tmp_path}/latest", f"{tmp_path}/state").awaitTermination()
+    run(stream)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "latest" / "current").rglob("*.parquet")}
+    stream, _ = arriving(PACKING_REQUEST, [packing_request(2, "7", "Y")])
+    run(stream)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "latest" / "current").rglob("*.parquet")}
+    assert len(before) > 20 and len(set(before.items()) - set(after.items())) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_late_punches_are_kept_and_folded_in(spark, shop, arriving, got, tmp_path, seed):
+    """Punches of seven months in any order: what comes in time and what comes late are all punches."""
+    rng = random.Random(seed)
+    t = shop(users=[{"EMPLOYEE_ID": str(i)} for i in range(3)])
+    stamp = lambda: f"2024{rng.randrange(1, 8):02d}{rng.randrange(1, 29):02d}{rng.randrange(24):02d}3000"
+    batches = [[{"EMPLOYEE_ID": str(rng.randrange(4)), "PUNCH_DTTM": stamp()} for _ in range(60)] for _ in range(4)]
+    stream, batch = arriving(PUNCH, *batches)
+    timed = feeds.stream_punches(t, stream, "2024-01-05")
+    for run in ("first", "replay"):
+        feeds.run_counts_with_late(timed, f"{tmp_path}/out", f"{tmp_path}/{run}").awaitTermination()
+        whole = punches.punch_pay_periods(t, batch, "2024-01-05", 1).groupBy("PERIOD_FROM", "EMPLOYEE_ID").agg(F.count("*").alias("PUNCHES"))
+        late, in_time = feeds.late_punches(spark, f"{tmp_path}/out"), feeds.counts_in_time(spark, f"{tmp_path}/out")
+        assert got(feeds.fold_late(spark, f"{tmp_path}/out")) == got(whole)
+        assert late.count() > 10 and in_time.agg(F.sum("PUNCHES")).first()[0] > 30
+        assert late.count() + in_time.agg(F.sum("PUNCHES")).first()[0] == whole.agg(F.sum("PUNCHES")).first()[0]
+
+
+def test_punches_in_order_are_never_late(spark, shop, arriving, tmp_path):
+    t = shop(users=[{"EMPLOYEE_ID": "1"}])
+    days = ["20240105080000", "20240118235959", "20240119000000", "20240118120000", "20240301080000", "20240118120000"]
+    stream, _ = arriving(PUNCH, *[[{"EMPLOYEE_ID": "1", "PUNCH_DTTM": d}] for d in days])
+    feeds.run_counts_with_late(feeds.stream_punches(t, stream, "2024-01-05"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert [r.PUNCH_DTTM for r in feeds.late_punches(spark, f"{tmp_path}/out").collect()] == ["20240118120000"]  # the second one, after March began

@@ -5,8 +5,11 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import dates, text
+from tallyhouse.operators.keyed import apply_counted
 from tallyhouse.plans import catalog, employees, jobs, labels, orders, packing, punches, purchasing, sales
 from tallyhouse.schemas import EMPLOYEE_REQUEST, ORDER_LINE, PACKING_REQUEST, PUNCH, SHEET_GRID, TABLES
+from tallyhouse.sources import storage
+from tallyhouse.sources.tables import read_parquet
 
 NOW = "20240301123456"
 
@@ -268,6 +271,57 @@ def test_add_employees(shop, make, got):
     assert got(rejects, "REQUEST_SEQ", "CODE") == [(1, 400), (2, 400), (3, 100), (4, 400), (6, 100)]
 
 
+def test_keys_in_any_case(spark, shop, got, tmp_path):
+    """With the option spellings of a key are one key in joins, groupings and DISTINCT; without it they are not."""
+    t = shop(
+        orders=[order("ab1"), order("AB1", market=2)], markets=[MARKET, {**MARKET, "MARKET_ID": 2, "CHANNEL_NAME": "Other"}],
+        order_items=[item("sku-a", 2, "AB1"), item("SKU-A", 3, "ab1"), item("sku-b", 5, "Ab1"), item("SKU-a", 7, "aB1", market=2)],
+        listings=[listing("Sku-A", "std1"), listing("SKU-A", "std1", market=2), listing("sku-B", "gone")], inventory=[stock("STD1", "name")], unlinked_listings=[unlinked("SKU-B", "u")],
+    )
+    for name in TABLES:
+        getattr(t, name).write.parquet(f"{tmp_path}/{name}")
+    strict, loose = (read_parquet(spark, str(tmp_path), any_case) for any_case in (False, True))
+    assert got(sales.sales_by_sku_long(strict)) == []
+    rows = sales.sales_by_sku_long(loose).selectExpr("upper(STD_SKU)", "upper(LISTING_SKU)", "MARKET_ID", "ORDER_QTY", "ORDER_CNT")
+    assert got(rows) == [("STD1", "SKU-A", 1, 5, 2), ("STD1", "SKU-A", 2, 7, 1)]
+    assert got(sales.sales_by_sku_wide(loose), "TOTAL_ORDER_CNT", "MARKET_1", "MARKET_2") == [(12, 5, 7)]
+    assert packing.packing_status(loose).count() == 2 and orders.order_document(loose).count() == 0  # no tracking numbers
+    plan = sales.sales_by_sku_long(loose)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan and "upper(" not in plan
+
+
+def test_add_employees_settles_equal_numbers(spark, shop, make, got):
+    """Requests with equal or missing numbers, and equal ones, add an id once; every other request is refused."""
+    t = shop(users=[])
+    same = {"REQUEST_SEQ": 5, "EMPLOYEE_ID": "2", "LAST_NAME": "b"}
+    requests = make(EMPLOYEE_REQUEST, [
+        same, same, same, {**same, "LAST_NAME": "a"}, {**same, "LAST_NAME": None, "FIRST_NAME": "z"}, {"EMPLOYEE_ID": "2", "LAST_NAME": "0"},
+        {"EMPLOYEE_ID": "3", "LAST_NAME": "x"}, {"EMPLOYEE_ID": "3", "LAST_NAME": "y"}, {"EMPLOYEE_ID": None, "LAST_NAME": "y"}, {"EMPLOYEE_ID": None, "LAST_NAME": "y"},
+    ])
+    added, rejects = employees.add_employees(t, requests, NOW)
+    assert got(added, "EMPLOYEE_ID", "LAST_NAME") == [("2", "a"), ("3", "x")]
+    assert got(rejects, "EMPLOYEE_ID", "REQUEST_SEQ", "CODE") == sorted([("2", 5, 100)] * 4 + [("2", None, 100), ("3", None, 100)] + [(None, None, 400)] * 2, key=repr)
+
+
+def test_counts_come_with_the_write(spark, shop, make, got, tmp_path):
+    """Accepted, refused, matched and changed rows are observed while rows are written: equal to counts of the result, from one scan."""
+    t = shop(users=[{"EMPLOYEE_ID": "1"}], orders=[order(str(i), SHIPPING_STATUS="01") for i in range(9)])
+    requests = make(EMPLOYEE_REQUEST, [{"REQUEST_SEQ": i, "EMPLOYEE_ID": str(i % 4), "LAST_NAME": "b"} for i in range(20)])
+    judged = employees.judged_additions(t, requests, NOW)
+    counts = storage.write_judged(judged, f"{tmp_path}/judged")
+    added, rejects = employees.add_employees(t, requests, NOW)
+    assert counts == {"accepted": added.count(), "refused": rejects.count()} == {"accepted": 3, "refused": 17}
+    back = spark.read.parquet(f"{tmp_path}/judged")
+    assert got(back.filter("ACCEPTED = 'true'"), "EMPLOYEE_ID", "LAST_NAME") == got(added, "EMPLOYEE_ID", "LAST_NAME")
+    changes = spark.createDataFrame([(i, str(i), 1, "02" if i % 2 else "01") for i in range(5)] + [(1, "99", 1, "02")], "n long, CHANNEL_ORDER_NO string, MARKET_ID int, SHIPPING_STATUS string")
+    after, seen = apply_counted(t.orders, changes, orders.ORDER_KEY, ["SHIPPING_STATUS"], "n")
+    after.write.parquet(f"{tmp_path}/orders")
+    assert seen.get == {"rows": 9, "matched": 5, "changed": 2}
+    assert got(spark.read.parquet(f"{tmp_path}/orders"), "CHANNEL_ORDER_NO", "SHIPPING_STATUS") == [(str(i), "02" if i in (1, 3) else "01") for i in range(9)]
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CollectMetrics") == 1 and plan.count("SHIPPING_PRICE") and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+
+
 def test_modify_employees(shop, make, got):
     t = shop(users=[{"EMPLOYEE_ID": "1", "FIRST_NAME": "a", "LAST_NAME": "b", "LAST_LOGIN_DTTM": "old"},
                     {"EMPLOYEE_ID": "2", "FIRST_NAME": "x", "LAST_LOGIN_DTTM": "old"}])
