@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots: records hash into slots, a versioned table says which shard a slot belongs to.
 
-A record's virtual slot depends on the record alone. The slots' bytes are summed, the heaviest slots are dealt first, each to
+A record's virtual slot depends on the record, and among equal records on its number. The slots' bytes are summed, the heaviest slots are dealt first, each to
 the lightest shard, and the map is stored under a version number. Rebalancing writes a new version with some slots moved; no
-record is hashed anew. Only DataFrame operations are used. The map has one row per virtual slot, a fixed number, so it may be
+record is hashed anew. Groups of equal texts are not kept together: under the law `bytes` the sizes of shards come first. Only
+DataFrame operations are used. The map has one row per virtual slot, a fixed number, so it may be
 broadcast whatever the size of the data.
 """
 
@@ -14,6 +15,8 @@ from pyspark.sql import Window as W
 
 SLOTS = 4096
 SHARDS = 16
+PARTS = 16  # of a slot, for numbering
+RUN = 1 << 16  # copies of a row that are unfolded at once
 
 SLOT, SHARD = "_virtual_slot", "_shard"
 
@@ -106,21 +109,38 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == version)
 
 
-def sharded(records: DataFrame, size: str, identity: list[str], path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def numbered_copies(records: DataFrame, into: str, run: int = RUN) -> DataFrame:
+    """The records with the number of each among those equal to it in every column, from 1.
+
+    Equal rows are counted before they meet, so they are no hot key, and a row with very many copies is unfolded in runs that many tasks share.
+    """
+    names = [F.col(f"`{c}`") for c in records.columns]
+    counted = records.groupBy(*names).agg(F.count("*").alias("_copies"))
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = counted.where(F.col("_copies") <= run).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias(into))
+    runs = counted.where(F.col("_copies") > run).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / run))))
+    many = runs.repartition(tasks, "_run").withColumn(
+        into, F.explode(F.sequence(F.col("_run") * run + 1, F.least(F.col("_copies"), (F.col("_run") + 1) * run))))
+    return few.unionByName(many.select(*names, into))
+
+
+def sharded(records: DataFrame, size: str, identity: list[str], path: str, shards: int = SHARDS, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
     """The records with `_shard` and their gapless `_position` in the shard (from 0).
 
-    `identity` names the columns that decide the virtual slot and, in this order, the position among a slot's records; rows equal
-    in all of them share a slot and take its next positions. The map is stored under `path`. Other columns pass through.
-    A null counts as a value of its own. No records: no rows.
+    The columns `identity` and the number of a row among its copies decide the virtual slot, so equal rows, of which there may be very
+    many, spread over slots and shards like others; rows that differ in other columns only share a slot. The map is stored
+    under `path`. Other columns pass through; their names must not start with `_`. A null counts as a value of its own. No records: no rows.
 
-    Positions come from the slots' row counts and a numbering inside each slot, so no task sees more than one slot's rows.
+    Positions follow from row counts of each slot's `parts` and a numbering inside a part, so no task sees more than a part's rows at a time.
     """
-    slotted = records.withColumn(SLOT, virtual_slot(*(F.col(c) for c in identity), slots=slots))
+    key = [*(F.col(c) for c in identity), F.col("_copy")]
+    slotted = numbered_copies(records, "_copy", RUN).withColumns({SLOT: virtual_slot(*key, slots=slots), "_part": F.pmod(F.xxhash64(F.lit(1), *key), F.lit(parts)).cast("int")})
     totals = slot_totals(slotted, size, slots)
     store_map(slot_map(totals, shards), path)
     placement = load_map(records.sparkSession, path)
-    first = F.sum("rows").over(W.partitionBy(SHARD).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1))
-    starts = totals.join(F.broadcast(placement), SLOT).select(SLOT, SHARD, F.coalesce(first, F.lit(0)).alias("_first"))
-    inside = F.row_number().over(W.partitionBy(SLOT).orderBy(*identity)) - 1
-    numbered = slotted.withColumn("_inside", inside)
-    return numbered.join(F.broadcast(starts), SLOT).withColumn("_position", F.col("_first") + F.col("_inside")).drop("_first", "_inside")
+    counts = slotted.groupBy(SLOT, "_part").agg(F.count("*").alias("rows"))  # a fixed number of rows at most
+    first = F.sum("rows").over(W.partitionBy(SHARD).orderBy(SLOT, "_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.join(F.broadcast(placement), SLOT).select(SLOT, "_part", SHARD, F.coalesce(first, F.lit(0)).alias("_first"))
+    inside = F.row_number().over(W.partitionBy(SLOT, "_part").orderBy(*identity, "_copy")) - 1
+    placed = slotted.withColumn("_inside", inside).join(F.broadcast(starts), [SLOT, "_part"])
+    return placed.withColumn("_position", F.col("_first") + F.col("_inside")).select(*records.columns, SLOT, "_copy", SHARD, "_position")

@@ -50,3 +50,35 @@ def test_a_new_shard_takes_few_slots_and_versions_stay(spark, table):
 def test_few_documents(spark, table, documents):
     found = placed(spark, table(SCHEMA, documents, clash=()))
     assert [(r.doc_id, r.size, r._position) for r in found] == [(None, 1, 0)] * len(documents)
+
+
+def plain_deal(sizes, shards):
+    """slot -> shard: heaviest slots first, each to the shard with the fewest bytes, ties to the lower one."""
+    loads, made = [0] * shards, {}
+    for slot, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        made[slot] = min(range(shards), key=lambda s: (loads[s], s))
+        loads[made[slot]] += size
+    return made
+
+
+@pytest.mark.parametrize("run", [7, 1 << 16])
+def test_a_third_of_the_rows_alike(spark, table, monkeypatch, run):
+    """Equal rows without an id spread over the shards; the map is a plain deal of the slots' bytes."""
+    monkeypatch.setattr(sharding, "RUN", run)
+    documents = [(None, "the same text of some length")] * 4000 + [(i, "x" * (i % 60)) for i in range(8000)] + [(5, "x" * 5)] * 3
+    found = placed(spark, table(SCHEMA, documents, clash=()))
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(documents, key=repr)
+    sums = [sum(r.size for r in found if r._shard == s) for s in range(16)]
+    assert max(sums) <= 1.01 * sum(sums) / 16
+    for s in range(16):
+        assert sorted(r._position for r in found if r._shard == s) == list(range(sum(r._shard == s for r in found)))
+    slots = dict.fromkeys(range(sharding.SLOTS), 0)
+    for r in found:
+        slots[r[sharding.SLOT]] += r.size
+    deal = plain_deal(slots, 16)
+    assert all(deal[r[sharding.SLOT]] == r._shard for r in found)
+    alike = [r for r in found if r.doc_id is None]
+    assert sorted(r._copy for r in alike) == list(range(1, 4001)) and len({r[sharding.SLOT] for r in alike}) > 2000
+    again = placed(spark, table(SCHEMA, documents, clash=()).repartition(7))
+    place = lambda rows: sorted(((r.doc_id, r.text, r._copy, r._shard, r._position) for r in rows), key=repr)
+    assert place(again) == place(found)
