@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from tests.llm.conftest import SAMPLE
+from tests.llm.hand_labelled import PAGES
 
 from tallyhouse.llm import pages
 
@@ -99,3 +100,61 @@ def test_gradients_match_differences(spark):
         low = loss()
         net.weights[name][at] = kept
         assert abs((high - low) / 2e-2 - grads[name][at]) < 1e-2 * max(1, abs(grads[name][at]))
+
+
+def test_a_stray_quote_ends_with_its_tag():
+    assert [b.text for b in pages.blocks('<p><a href="x"">alpha beta</a> gamma')] == ["alpha beta gamma"]
+    assert [b.text for b in pages.blocks("<p title='a>b' data-x=\"c>d\">one</p><p it's>two</p><p a=\"open>three</p>four")] == ["one", "two", "three", "four"]
+
+
+def test_parts_of_tables_and_lists_end_each_other():
+    cut = pages.blocks("<table><thead><tr><th>a<th>b<tbody><tr><td>c<td><div>d<tr><td>e<table><tr><td>in<td>ner</table>f</table><dl><dt>g<dd>h<dt>i</dl><ul><li><div>j<li>k<ul><li>l</ul>m</ul>")
+    cells = [(b.path[-2:], b.text) for b in cut]
+    row = lambda group, cell: (group, "tr", cell)
+    assert [b.path[-3:] for b in cut[:3]] == [row("thead", "th"), row("thead", "th"), row("tbody", "td")]
+    assert cells[3] == (("td", "div"), "d") and cut[4].path == ("table", "tbody", "tr", "td") and cut[6].path[-3:] == ("table", "tr", "td")
+    assert [b.path[-2:] for b in cut if b.text in "ghi"] == [("dl", "dt"), ("dl", "dd"), ("dl", "dt")]
+    assert [b.path for b in cut if b.text in "jklm"] == [("ul", "li", "div"), ("ul", "li"), ("ul", "li", "ul", "li"), ("ul", "li")]
+
+
+@pytest.mark.parametrize("html", ["<table>" + "<tr><td>x" * 100_000, "<div>x" * 100_000, "<b>x" * 100_000 + "<p>y" * 100, "<a x" * 100_000 + '">', '<a x="<b>' * 50_000, "<p>" + "<i>" * 50_000 + "<div>x" * 50_000,
+                                  "<dl>" + "<dt>a<dd>b" * 50_000, "</x>" * 100_000 + "<" * 100_000, "<!" * 100_000])
+def test_broken_pages_cost_linear_time(html):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    pages.blocks(html)
+    assert time.process_time() - start < 10
+    tracemalloc.start()
+    cut = pages.blocks(html)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500e6 and len(cut) in (0, 1, 2, 100_000, 100, 101, 50_000, 50_001)
+
+
+def test_long_pages_in_pieces(labeller):
+    html = "<body><nav>" + "<p><a>menu entry</a></p>" * 40 + "</nav><article>" + "<p>A sentence of the article that goes on.</p>" * 90 + "</article>"
+    page = pages.blocks(html)
+    whole = labeller.probabilities([pages.vectors(page)])[0]
+    for piece in (1, 7, 64, 1000):
+        assert np.abs(labeller.long_probabilities(page, piece) - whole).max() < 1e-5
+
+
+def test_long_pages_among_short_ones(table, labeller, monkeypatch):
+    monkeypatch.setattr(pages, "SLOTS", 50)
+    rows = [(i, "u", "<article>" + f"<p>A sentence of article {i} that goes on.</p>" * (1 + i * 7 % 120) + "</article>") for i in range(40)]
+    found = {r.page_id: r.text for r in pages.main_texts(table(SCHEMA, rows, clash=("row", "html_", "_html")), labeller, ["page_id", "row"]).collect()}
+    assert found == {i: "\n\n".join([f"A sentence of article {i} that goes on."] * (1 + i * 7 % 120)) for i in range(40)}
+
+
+def test_pages_labelled_by_hand(spark):
+    """Containers whose names the training labels do not know: precision and recall by block."""
+    labeller = pages.learned(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    found, truth = [], []
+    for parts in PAGES:
+        cut = pages.blocks("".join(html for html, _ in parts))
+        found += (labeller.probabilities([pages.vectors(cut)])[0] > 0.5).tolist()
+        truth += [x for _, x in parts if x is not None]
+    both = sum(f and t for f, t in zip(found, truth, strict=True))
+    assert both >= 0.95 * sum(found) and both >= 0.95 * sum(truth) and sum(truth) >= 30
