@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyhouse.llm.rows import beside, spread, with_row
+from tallyhouse.llm.storage import saved
+
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
@@ -26,6 +29,7 @@ PAD = 256  # stands for no byte
 TRAIN_DOCUMENTS = 400  # per language
 TRAIN_WINDOWS = 4  # per document
 EPOCHS = 8
+FEW_IDS = 1 << 16  # that may be sent to every task
 SEED = 11
 BATCH = 128  # windows that go through the network at once
 STEP = WINDOW - max(WIDTHS) + 1
@@ -146,7 +150,8 @@ def training_windows(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, per_
     for keys in (["lang", "_part"], ["lang"]):  # first within parts of a language, so that no task ranks a whole one
         order = W.partitionBy(*keys).orderBy("_at", "doc_id")
         ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= documents).drop("_n")
-    few = F.broadcast(ids.select("lang", "doc_id"))  # `documents` for each language at most
+    ids = saved(ids.select("lang", "doc_id"), "training-ids")
+    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids  # `documents` for each language, of which there are few as a rule
     found = labelled.join(few, ["lang", "doc_id"], "left_semi").where(has_letter("text"))
     chosen = found.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_least")).select("lang", F.col("_least.text").alias("text"))
 
@@ -178,12 +183,11 @@ def predicted(documents: DataFrame, network: Network | None, columns: list[str],
 
     A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned.
     """
-    told = documents.select(*columns, F.when(has_letter(text), F.col(text)).alias("_text"))
-    types = ", ".join(f"`{name}` {kind}" for name, kind in told.drop("_text").dtypes)
+    told = beside(documents, columns, text=F.when(has_letter(text), F.col(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, texts = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, batch.column(batch.num_columns - 1)
+            langs, scores, texts = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, batch.column(1)
             waiting, size = [], 0
 
             def settle(waiting: list) -> None:
@@ -208,9 +212,9 @@ def predicted(documents: DataFrame, network: Network | None, columns: list[str],
                     waiting, size = [], 0
             if waiting:
                 settle(waiting)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    return told.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return spread(told.mapInArrow(run, with_row(told, "lang_pred string, score double")))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

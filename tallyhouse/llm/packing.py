@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.rows import beside, spread, with_row
+
 CAPACITY = 2048
 PART = 512
 END = 1
@@ -33,8 +35,7 @@ def tokenized(documents: DataFrame, columns: list[str], path: str, text: str = "
     """
     from tallyhouse.llm.tokens import Encoder
 
-    told = documents.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    types = ", ".join(f"`{name}` {kind}" for name, kind in told.drop("_text").dtypes)
+    told = beside(documents, columns, text=F.coalesce(F.col(text), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = None, np.array([end], dtype="<u4").tobytes()
@@ -43,7 +44,7 @@ def tokenized(documents: DataFrame, columns: list[str], path: str, text: str = "
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
                 row, start, length, ids, total = [], [], [], [], []
-                for i, content in enumerate(batch.column(batch.num_columns - 1)):
+                for i, content in enumerate(batch.column(1)):
                     data = encoder.ids(content.as_py()) + last
                     n = len(data) // 4
                     edge = n - n % capacity
@@ -51,11 +52,10 @@ def tokenized(documents: DataFrame, columns: list[str], path: str, text: str = "
                     for a, b in zip(cuts, cuts[1:], strict=False):
                         row.append(i), start.append(a), length.append(b - a), ids.append(data[4 * a : 4 * b]), total.append(n)
                 rows = pa.array(row, pa.int64())
-                kept = [column.take(rows) for column in batch.columns[:-1]]
-                made = [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*kept, *made], [*columns, "start", "length", "ids", "doc_tokens"])
+                made = [batch.column(0).take(rows), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, ["row", "start", "length", "ids", "doc_tokens"])
 
-    return told.mapInArrow(run, f"{types}, start long, length long, ids binary, doc_tokens long")
+    return spread(told.mapInArrow(run, with_row(told, "start long, length long, ids binary, doc_tokens long")))
 
 
 def ids_crc32(ids: str = "ids") -> Column:

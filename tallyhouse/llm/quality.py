@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.language import held_out
+from tallyhouse.llm.rows import beside, spread, with_row
 
 TRAIN_DOCUMENTS = 20_000
 BLOCK = 1 << 17  # characters
@@ -145,7 +146,7 @@ def _measured(rows: DataFrame) -> DataFrame:
             found = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["row", "statistics"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, statistics array<double>")
+    return rows.mapInArrow(run, with_row(rows, "statistics array<double>"))
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, at_most: int = TRAIN_DOCUMENTS) -> DataFrame:
@@ -179,12 +180,12 @@ def scored(documents: DataFrame, forest: Forest | None, columns: list[str], text
     Null and empty texts are scored as texts without words. With nothing learned the score is 0.5. Repeated rows are scored alike. The columns
     may have any names but these two.
     """
-    rows = documents.select(F.struct(*columns).alias("row"), F.col(text).alias("text"))
+    rows = beside(documents, columns, text=F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(batch.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.scores(found) if forest else np.full(batch.num_rows, 0.5))], ["row", "score"])
 
-    told = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
-    return told.select("row.*", "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
+    told = rows.mapInArrow(run, with_row(rows, "score double"))
+    return spread(told.withColumn("predicted", (F.col("score") >= KEEP).cast("int")))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.components import roots
+from tallyhouse.llm.rows import beside, with_row
 from tallyhouse.llm.storage import saved
 
 SHINGLE = 3  # words
@@ -45,17 +46,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, columns: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The given columns of every document and `fingerprint`. A null or empty text has fingerprint 0."""
-    kept = documents.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    """`row`, the given columns of every document, and `fingerprint`. A null or empty text has fingerprint 0."""
+    kept = beside(documents, columns, text=F.coalesce(F.col(text), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-            found = pa.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*columns, "fingerprint"])
+            found = pa.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column(1).cast(pa.binary())], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row", "fingerprint"])
 
-    types = ", ".join(f"`{name}` {kind}" for name, kind in kept.drop("_text").dtypes)
-    return kept.mapInArrow(run, f"{types}, fingerprint long")
+    return kept.mapInArrow(run, with_row(kept, "fingerprint long"))
 
 
 def _signed(mask: int) -> int:
@@ -135,13 +134,13 @@ def rooted_duplicates(documents: DataFrame, columns: list[str] | None = None, sh
     """
     columns = ["doc_id", *(columns or [])]
     prints = saved(fingerprints(documents, columns, shingle=shingle), "fingerprints")
-    nodes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    nodes = saved(prints.groupBy("fingerprint").agg(F.min("row.doc_id").alias("least")), "distinct-fingerprints")
     joined = roots(links(nodes.select("fingerprint"), radius))
     placed = nodes.join(joined, nodes["fingerprint"] == joined["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     placed = saved(placed, "placed-fingerprints")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     component = placed.join(smallest, "root").select("fingerprint", "component_id", F.col("root").alias("component_root"))
-    return prints.join(component, "fingerprint").select(*columns, "fingerprint", "component_id", "component_root")
+    return prints.join(component, "fingerprint").select("row.*", "fingerprint", "component_id", "component_root")
 
 
 def near_duplicates(documents: DataFrame, columns: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

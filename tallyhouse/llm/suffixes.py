@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.rows import beside, spread, with_row
 from tallyhouse.llm.storage import saved
 
 LENGTH = 400
@@ -402,14 +403,13 @@ def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id
     content = F.coalesce(F.col(text), F.lit(""))
     keys = {"digest": F.xxhash64(content), "doc": F.xxhash64(doc, F.col(doc).isNull())}
     found = repeated_spans(documents.select(*(h.alias(name) for name, h in keys.items()), content.alias("text")), length, most)
-    told = documents.select(*columns, *(h.alias(f"_{name}") for name, h in keys.items()), content.alias("_text"))
-    joined = told.join(found, (told["_digest"] == found["digest"]) & (told["_doc"] == found["doc"]), "left").select(*columns, "_text", found["spans"])
-    types = ", ".join(f"`{name}` {kind}" for name, kind in joined.drop("_text", "spans").dtypes)
+    told = beside(documents, columns, **keys, text=content)
+    joined = told.join(found, ["digest", "doc"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, spans = [], []
-            for content, found in zip(batch.column(batch.num_columns - 2).cast(pa.binary()), batch.column(batch.num_columns - 1), strict=True):
+            for content, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 data, runs = content.as_buffer().to_pybytes(), []
                 if found.is_valid:
                     flat = found.values
@@ -423,6 +423,6 @@ def without_repeats(documents: DataFrame, columns: list[str], doc: str = "doc_id
                 spans.append([{"start": a, "end": b} for a, b in runs])
             whole = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             made = [whole, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], [*columns, "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["row", "kept", "spans"])
 
-    return joined.mapInArrow(run, f"{types}, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
+    return spread(joined.mapInArrow(run, with_row(joined, f"kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")))

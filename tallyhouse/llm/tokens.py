@@ -34,7 +34,7 @@ class Encoder:
         names = byte_names()
         ranks = {bytes(names[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
         self.fast = tiktoken.Encoding("file", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
-        self.path = path
+        self.path, self.slow = path, None
 
     def ids(self, text: str) -> bytes:
         try:
@@ -46,8 +46,9 @@ class Encoder:
         return np.array(found, dtype="<u4").tobytes()
 
     def exact(self, text: str) -> list[int]:
-        from tokenizers import Tokenizer
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer.encode(text, add_special_tokens=False).ids
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return self.slow.encode(text, add_special_tokens=False).ids
