@@ -126,15 +126,16 @@ ORACLES: dict[str, str] = {
         select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
         from pairs qualify rank <= 5""",
     "op3_chat": """
-        with turns as (
-            select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as position,
-                coalesce(role, '') as role, coalesce(text, '') as text
+        with told as (
+            select coalesce('c' || conv_id, 'row ' || row_number() over ()) as conv, conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
             from conversations
+        ), turns as (
+            select conv, conv_id, row_number() over (partition by conv order by turn nulls first, role, text) as position, role, text from told
         ), prefixes as (
-            select conv_id, position, count(*) over (partition by conv_id) as n_turns,
+            select conv, conv_id, position, count(*) over (partition by conv) as n_turns,
                 string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over so_far as prefix,
                 string_agg('<|' || role || '|>\n' || text || '<|end|>\n', '') over so_far as text
-            from turns window so_far as (partition by conv_id order by position rows between unbounded preceding and current row)
+            from turns window so_far as (partition by conv order by position rows between unbounded preceding and current row)
         ), whole as (
             select n_turns, prefix, min(conv_id) as conv_id, min(text) as text from prefixes where position = n_turns group by all
         )
