@@ -110,3 +110,22 @@ def test_roots_of_a_long_chain_and_no_links(spark):
 
 def test_no_documents(table):
     assert simhash.near_duplicates(table(SCHEMA, [])).collect() == []
+
+
+def test_a_star_with_very_many_links_is_split(spark):
+    """One node with a third of all links: the joins by node are split, and the components are whole."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    links = spark.range(1, 6001).selectExpr("if(id <= 2000, 0L, id) as a", "if(id <= 2000, id, id + 10000L) as b").repartition(8)
+    stars = components._stars(links.selectExpr("greatest(a, b) as a", "least(a, b) as b"))
+    stars.collect()
+    plan = stars._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    found = {r.node: r.root for r in components.roots(links).collect()}
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert found == {i: 0 for i in range(1, 2001)} | {i + 10000: i for i in range(2001, 6001)}
