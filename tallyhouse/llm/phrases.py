@@ -42,6 +42,7 @@ SEGMENT = 4 << 20  # bytes of text handled at once
 MASS = 1 << 24  # bytes of text for each hash partition; an n-gram takes two thirds of a byte of it at least
 ROOM = 4  # the capacity of a summary, in units of mass / threshold
 UNKNOWN = "und"
+_WITHIN = (1 << 32) - 1  # the part of a chunk's number that counts within its writing task
 
 # Fixed by the task: what ends a piece, what parts words, what is lowered.
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -312,7 +313,10 @@ def exact_counts(stored: DataFrame, answers: DataFrame, parts: int, threshold: i
     """(lang, size, phrase, f), stored: every n-gram of up to LONGEST words that occurs `threshold` times, and size 0 with all word occurrences."""
     both = stored.select("chunk", F.lit(1).alias("kind"), "lang", "repeated", "text").unionByName(
         answers.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("lang"), F.lit(0).alias("repeated"), F.col("keys").alias("text")))
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    tasks = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = (stored.agg(F.max(F.col("chunk").bitwiseAND(_WITHIN))).first()[0] or 0) + 1  # chunks of a writing task at most
+    number = F.shiftright("chunk", 32) * each + F.col("chunk").bitwiseAND(_WITHIN)  # so that tasks get chunks in equal numbers
+    dealt = both.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _chunks(batches, lambda row: row[1:]):
