@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import tempfile
 import time
@@ -19,6 +20,7 @@ from checks.queries import QUERIES
 from tallyhouse.plans import orders, packing, purchasing, sales
 from tallyhouse.sample.tables import tables
 from tallyhouse.session import session
+from tallyhouse.sources import layouts
 from tallyhouse.sources.tables import Tables
 
 HEADLINE = [
@@ -32,6 +34,8 @@ STORED = {
     "order_detail_nested": purchasing.order_detail_nested, "order_document_lines": orders.order_document_lines,
     "order_print_grid": purchasing.order_print_grid,
 }
+# Plans whose orders meet their items; timed over plain and bucketed tables, without broadcasts, as large tables would have it.
+ORDER_JOINS = {"sales_by_sku_long": sales.sales_by_sku_long, "packing_status": packing.packing_status}
 RUNS = 2
 
 
@@ -56,6 +60,25 @@ def stored(spark: SparkSession, folder: str, root: str) -> Tables:
     return Tables(load)
 
 
+def order_shuffles(frame: DataFrame) -> int:
+    return len(re.findall(r"Exchange hashpartitioning\(CHANNEL_ORDER_NO#\d+, MARKET_ID#\d+", frame._jdf.queryExecution().executedPlan().toString()))
+
+
+def order_joins(spark: SparkSession, own: Tables, cpus: int) -> dict[str, dict[str, float]]:
+    """Seconds and shuffles by order key of ORDER_JOINS, over plain tables and over buckets."""
+    buckets = layouts.Buckets(tempfile.mkdtemp(prefix="bench-buckets-"), cpus, "bench")
+    layouts.store_bucketed(own, buckets)
+    bundles = {"plain": own, "bucketed": layouts.open_bucketed(spark, buckets)}
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for setting, value in settings.items():
+        spark.conf.set(setting, value)
+    found = {f"{name}, {kind}": {"sec": best(lambda: plan(t)), "shuffles": order_shuffles(plan(t))}  # noqa: B023
+             for name, plan in ORDER_JOINS.items() for kind, t in bundles.items()}
+    for setting in settings:
+        spark.conf.unset(setting)
+    return found
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -74,9 +97,10 @@ def main() -> None:
     for plan in STORED.values():
         plan(own)  # writes the tables it needs
     over_stored = {name: best(lambda plan=plan: plan(own)) for name, plan in STORED.items() if name in names}
+    joins = order_joins(spark, own, int(cpus)) if set(ORDER_JOINS) <= set(names) else {}
     print(json.dumps({
         "metric": "total seconds over headline queries", "value": round(sum(timings.values()), 3), "unit": "sec",
-        "queries": timings, "stored": over_stored, "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
+        "queries": timings, "stored": over_stored, "order_joins": joins, "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
     }))
     spark.stop()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,13 +105,14 @@ def open_bucketed(spark: SparkSession, buckets: Buckets) -> Tables:
     """The bundle of `store_bucketed`. Its orders meet its items without a shuffle, but for the orders stored apart."""
     regular = spark.table(buckets.table("order_items"))
     apart = spark.read.schema(regular.schema).parquet(f"{buckets.root}/order_items_apart")
+    parts = [regular] if apart.isEmpty() else [regular, apart]
 
     def load(name: str) -> DataFrame:
         if name == "order_items":
-            return regular.unionByName(apart)
+            return reduce(DataFrame.unionByName, parts)
         return spark.table(buckets.table(name)) if name in BUCKETED else spark.read.parquet(f"{buckets.root}/{name}")
 
-    return Tables(load, item_parts=[regular, apart])
+    return Tables(load, item_parts=parts)
 
 
 def store_by_month(t: Tables, root: str) -> None:

@@ -115,6 +115,14 @@ def test_orders_meet_items_without_a_shuffle(spark, bucketed, no_broadcast, got,
     assert got(plan(stored)) == got(plan(t))
 
 
+def test_without_hot_orders_there_is_one_part(spark, tmp_path, no_broadcast, got):
+    t, buckets = tables(spark, SAMPLE), layouts.Buckets(f"{tmp_path}/b", 2, "none_apart")
+    layouts.store_bucketed(t, buckets)
+    stored = layouts.open_bucketed(spark, buckets)
+    assert len(stored.item_parts()) == 1 and not order_shuffles(sales.sales_by_sku_long(stored))
+    assert got(stored.order_items, *t.order_items.columns) == got(t.order_items)
+
+
 def test_hot_orders_lie_apart_and_nothing_is_lost(spark, bucketed, got):
     t, buckets, stored = bucketed
     regular, apart = stored.item_parts()
