@@ -1,12 +1,13 @@
 """Removal of repeated strings against a plain version."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tallyhouse.llm import suffixes
+from tallyhouse.llm import queries, suffixes
 
 SCHEMA = "doc_id long, text string"
 LENGTH = 48
@@ -104,3 +105,24 @@ def test_large_classes_are_not_shuffled_by_class(spark, monkeypatch):
     found = suffixes._solved(contexts, 10, 400).collect()
     assert dealt[0].groupBy("class").count().collect() == [(bytearray(b"a"), 3)]
     assert sorted(bytes(r.whole) for r in found if r["class"] is not None) == sorted(r[1] for r in rows if r[0] == b"b")
+
+
+def test_query_equals_brute_force_on_the_larger_sample(spark):
+    """Every 400-byte string of every document by its 64-bit hash, and the bytes that repeated ones cover."""
+    folder = "/root/testdata/sf0.01"
+    texts = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    hashes = [[hash(data[i : i + 400]) for i in range(len(data) - 399)] for _, data in texts]
+    counts = Counter(h for own in hashes for h in own)
+    expected = []
+    for (doc, data), own in zip(texts, hashes, strict=True):
+        gone = np.zeros(len(data) + 1, dtype=np.int64)
+        for i, h in enumerate(own):
+            if counts[h] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = bytes(np.frombuffer(data, dtype=np.uint8)[~gone])
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+        expected.append((doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    found = [tuple(r) for r in queries.op4_suffixes(spark, folder).collect()]
+    assert sorted(found) == sorted(expected) and sum(r[2] > 0 for r in found) > 50
