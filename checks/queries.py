@@ -291,6 +291,13 @@ def _status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(seen.get["rows"], seen.get["matched"], seen.get["changed"])], "ORDERS long, MATCHED long, CHANGED long")
 
 
+def _links(part: DataFrame) -> DataFrame:
+    """A row per part: formulas that link to one of its brand's or size's sheets, in two spellings, addresses that end early, and plain names."""
+    start = "if(p_partkey % 2 = 0, '=HYPERLINK(\"', ' =Hyperlink(\"')"
+    address = "concat('https://sheets.example.test/spreadsheets/d', if(p_partkey % 5 = 4, '', concat('/', if(p_partkey % 3 = 0, p_brand, concat('size ', p_size)), '/edit')))"
+    return part.selectExpr("'index' as SHEET_ID", "p_partkey as ROW_NO", f"array(if(p_partkey % 7 = 0, p_name, concat({start}, {address}, '\",\"', p_name, '\")')), p_type) as CELLS")
+
+
 def _range_in_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Sheets with a block of brands and types written into them from row 3 and column 4 on, as files and read back."""
     part, path = load(spark, folder, "part"), work_folder(spark, "ranges")
@@ -439,6 +446,7 @@ _QUERIES: dict[str, Query] = {
     "added_employee_counts": _employee_counts,
     "status_update_counts": _status_counts,
     "range_in_sheet": _range_in_sheet,
+    "linked_ids": lambda spark, folder: jobs.linked_ids(_links(load(spark, folder, "part"))),
 }
 
 QUERIES: dict[str, Query] = {name: _shared(query) for name, query in _QUERIES.items()}

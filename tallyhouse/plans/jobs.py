@@ -151,3 +151,13 @@ def harvest_skus(grids: DataFrame) -> DataFrame:
     """Cells with exactly three dash-separated parts, distinct within each sheet."""
     cells = grids.select("SHEET_ID", F.explode("CELLS").alias("SKU"))
     return cells.filter(F.size(F.split("SKU", "-")) == 3).distinct()
+
+
+def linked_ids(grids: DataFrame) -> DataFrame:
+    """Ids of the sheets that a grid's first column links to, distinct: the sixth part between slashes of the address in a link formula.
+
+    Formulas are read in any case. Cells without one, and addresses with fewer parts, give nothing.
+    """
+    address = F.regexp_extract(F.get("CELLS", F.lit(0)), r'(?i)=hyperlink\("([^"]+)"', 1)
+    ids = grids.select(F.get(F.split(address, "/"), F.lit(5)).alias("LINKED_ID"))
+    return ids.filter("LINKED_ID is not null").distinct()

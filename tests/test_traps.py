@@ -271,6 +271,12 @@ def test_add_employees(shop, make, got):
     assert got(rejects, "REQUEST_SEQ", "CODE") == [(1, 400), (2, 400), (3, 100), (4, 400), (6, 100)]
 
 
+def test_linked_ids(make, got):
+    cells = ['=HYPERLINK("https://h/spreadsheets/d/one/edit#gid=0","a")', 'x =hyperlink("https://h/a/b/one")', '=Hyperlink("https://h/a/b/two")', '=HYPERLINK("https://h/a/b")', "plain", None, '=HYPERLINK(A1,"b")']
+    grids = make(SHEET_GRID, [{"SHEET_ID": "s", "ROW_NO": i, "CELLS": [c, '=HYPERLINK("https://h/a/b/other")']} for i, c in enumerate(cells)] + [{"SHEET_ID": "s", "CELLS": []}, {"SHEET_ID": "s"}])
+    assert got(jobs.linked_ids(grids)) == [("one",), ("two",)]
+
+
 def test_keys_in_any_case(spark, shop, got, tmp_path):
     """With the option spellings of a key are one key in joins, groupings and DISTINCT; without it they are not."""
     t = shop(
