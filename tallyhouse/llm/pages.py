@@ -26,7 +26,7 @@ from tallyhouse.llm.rows import beside, spread, with_row
 TRAIN_PAGES = 300
 TRAIN_BYTES = 1 << 16  # a longer page is not trained on
 TRAIN_BLOCKS = 64  # of a page in one training step
-EPOCHS = 8
+EPOCHS = 16
 VARIANTS = 4
 SEED = 5
 PATH, WORDS, MEASURES, HIDDEN = 96, 48, 6, 16
@@ -411,7 +411,7 @@ def varied(page: list[Block], others: list[str], rng: random.Random) -> tuple[li
             at = rng.choice([0, len(made)]) if rng.random() < 0.8 or not inside else rng.choice([inside[0], inside[-1] + 1])
             root: tuple[str, ...] = ("html", "body")
         else:
-            tag = rng.choice(["div", "section", "ul", *ASIDE])
+            tag = rng.choice(["div", "section", "ul", *sorted(ASIDE)])
             name = "." + rng.choice(ASIDE_NAMES) if tag not in ASIDE or rng.random() < 0.5 else None
             leaf = rng.choice(["p", "li", "div", "h3", "span"])
             at = rng.choice([0, len(made), rng.choice(inside) if inside else 0])
