@@ -116,20 +116,25 @@ def _status_of_request():
     return F.when(F.col("COMPLETE_YN") == "Y", COMPLETE).when(F.col("HOLD_YN") == "Y", ON_HOLD)
 
 
+def accepted_requests(requests: DataFrame, now: str | Column) -> DataFrame:
+    """The accepted requests with the values they give their orders: STATUS_COLUMNS."""
+    return _judged(requests, now).filter("SHIPPING_STATUS is not null")
+
+
+def _judged(requests: DataFrame, now: str | Column) -> DataFrame:
+    day, time = (F.lit(now[:8]), F.lit(now[-6:])) if isinstance(now, str) else (F.left(now, F.lit(8)), F.right(now, F.lit(6)))
+    return requests.withColumns({
+        "SHIPPING_STATUS": _status_of_request(), "EMPLOYEE_ID": filled(F.col("EMPLOYEE_ID")), "PROC_DT": day, "PROC_TM": time,
+    })
+
+
 def packing_update(requests: DataFrame, now: str | Column) -> PackingChanges:
     """Changes asked for by a batch of packing requests, and the refused requests.
 
     `now` is the processing time as `yyyyMMddHHmmss`, a text or a column.
     """
-    day, time = (F.lit(now[:8]), F.lit(now[-6:])) if isinstance(now, str) else (F.left(now, F.lit(8)), F.right(now, F.lit(6)))
-    judged = requests.withColumn("SHIPPING_STATUS", _status_of_request())
-    accepted = judged.filter("SHIPPING_STATUS is not null")
-    order_changes = accepted.select(
-        "REQUEST_SEQ", *ORDER_KEY, "SHIPPING_STATUS",
-        filled(F.col("EMPLOYEE_ID")).alias("EMPLOYEE_ID"),
-        day.alias("PROC_DT"),
-        time.alias("PROC_TM"),
-    )
+    judged, accepted = _judged(requests, now), accepted_requests(requests, now)
+    order_changes = accepted.select("REQUEST_SEQ", *ORDER_KEY, *STATUS_COLUMNS)
     item_changes = accepted.select("REQUEST_SEQ", F.explode("ORDER_LIST").alias("i")).select(
         "REQUEST_SEQ", *[F.col(f"i.{c}") for c in (*ITEM_KEY, *FLAG_COLUMNS)]
     )

@@ -176,3 +176,15 @@ def test_punches_in_order_are_never_late(spark, shop, arriving, tmp_path):
     stream, _ = arriving(PUNCH, *[[{"EMPLOYEE_ID": "1", "PUNCH_DTTM": d}] for d in days])
     feeds.run_counts_with_late(feeds.stream_punches(t, stream, "2024-01-05"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert [r.PUNCH_DTTM for r in feeds.late_punches(spark, f"{tmp_path}/out").collect()] == ["20240118120000"]  # the second one, after March began
+
+
+def test_latest_changes_hold_no_state_but_the_table(spark, arriving, got, tmp_path):
+    """A request without items, one with a missing item, and equal orders; the executors keep nothing between micro-batches."""
+    empty, broken = packing_request(1, "1", "Y"), packing_request(2, "1", "N", "Y", items=[("L", 1, "Y", "N")])
+    empty["ORDER_LIST"], broken["ORDER_LIST"] = None, [*broken["ORDER_LIST"], None]
+    stream, _ = arriving(PACKING_REQUEST, [empty], [broken])
+    query = feeds.run_latest_changes(feeds.stream_latest_changes(stream, F.lit(NOW)), f"{tmp_path}/latest", f"{tmp_path}/state")
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"] == []
+    rows = feeds.latest_changes(spark, f"{tmp_path}/latest")
+    assert got(rows, "KIND", "LISTING_SKU", "REQUEST_SEQ") == [("order_items", "L", 2), ("order_items", None, 2), ("orders", None, 2)]
