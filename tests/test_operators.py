@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators.keyed import apply_changes, first_per_key, restrict, single_match
 from tallyhouse.operators.ordering import running_total, sorted_page
-from tallyhouse.plans import labels, orders, packing, purchasing, sales
+from tallyhouse.plans import catalog, labels, orders, packing, purchasing, sales
 from tallyhouse.sample.tables import tables
 
 ITEM_SCHEMA = "k string, v int, w string"
@@ -213,3 +213,22 @@ def test_properties(spark):
     assert split.printable.count() + split.rejects.count() == labels.label_rows(t, "P").count()
     listed = long.groupBy("LISTING_SKU", "MARKET_ID").agg(F.count_distinct("INVENTORY_YN").alias("n"))
     assert listed.filter("n > 1").isEmpty()
+
+
+def test_a_list_of_vendors_and_products_is_made_in_order(shop, got):
+    """The result, far larger than both sides, is not shuffled: the last shuffle stands below the join. Null and repeated vendors, repeated links."""
+    vendors = [None, "V1", *[f"V{i:02d}" for i in range(30)]]
+    links = [{"VENDOR_CODE": v, "BRAND_CODE": b} for i, v in enumerate(vendors) for b in (["A", "B"] if i % 2 else ["B"])] * 2
+    t = shop(
+        vendor_map=links, products=[{"PRODUCT_CODE": f"P{i:03d}", "BRAND_CODE": "AB"[i % 2]} for i in range(40)],
+        product_map=[{"PRODUCT_CODE": f"P{i:03d}", "STD_SKU": "s"} for i in range(36)],
+        manufacturing_map=[{"PRODUCT_CODE": "P002", "STD_SKU": "s", "MANUFACTURING_CODE": m} for m in ("M1", "M2")],
+    )
+    found = catalog.vendor_product_list(t)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.index("Sort [VENDOR_CODE") < plan.index("Join") < plan.index("Exchange")
+    rows = [(r.VENDOR_CODE or "", r.PRODUCT_CODE, r.MANUFACTURING_CODE) for r in found.collect()]
+    codes = lambda i: ["M1", "M2"] if i == 2 else [""]
+    expected = [(link["VENDOR_CODE"] or "", f"P{i:03d}", m) for link in links for i in range(36) if "AB"[i % 2] == link["BRAND_CODE"] for m in codes(i)]
+    assert [r[:2] for r in rows] == sorted(r[:2] for r in expected) and sorted(rows) == sorted(expected)
+    assert catalog.vendor_product_list(t, "none").isEmpty()
