@@ -7,6 +7,7 @@ from tests.conftest import SAMPLE
 
 from checks.queries import QUERIES
 from tallyhouse.plans import labels, packing, purchasing, sales
+from tallyhouse.plans.listings import sku_directory, sku_profile
 from tallyhouse.sample.tables import tables
 from tallyhouse.sources.storage import append_rows, by_month
 from tallyhouse.sources.tables import Tables
@@ -70,3 +71,10 @@ def test_label_prefix_reaches_both_scans(stored):
     text = plan(labels.label_rows(stored, "P0"))
     assert "StringStartsWith(STD_SKU,P0)" in text
     assert "StringStartsWith(SKU,P0)" in text
+
+
+def test_the_catalog_is_not_broadcast(shop):
+    """Small files hold large tables; what a marketplace SKU stands for is found by joins that spill."""
+    for found in (sku_directory(shop()), sku_profile(shop())):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
