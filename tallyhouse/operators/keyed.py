@@ -109,7 +109,7 @@ class Changed(NamedTuple):
     rows: int
 
 
-def _latest_changes(changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
+def latest_per_key(changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
     """The keys with `_new`, the values of the latest change. `order` numbers the changes; equal numbers are settled by the values, so
     that the result does not depend on row order."""
     return first_per_key(
@@ -119,10 +119,15 @@ def _latest_changes(changes: DataFrame, keys: Sequence[str], columns: Sequence[s
     ).select(*keys, F.struct(*columns).alias("_new"))
 
 
-def changed_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
-    """The rows of `base` that `apply_changes` would give other values."""
+def changed_rows(base: DataFrame, latest: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of `base` that `apply_latest` would give other values."""
     same = F.struct(*columns).eqNullSafe(F.col("_new"))
-    return base.join(splittable(_latest_changes(changes, keys, columns, order), *keys), list(keys)).filter(~same).select(*base.columns)
+    return base.join(splittable(latest, *keys), list(keys)).filter(~same).select(*base.columns)
+
+
+def apply_latest(base: DataFrame, latest: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`apply_changes` with the result of `latest_per_key`."""
+    return _taken(_with_new(base, latest, keys), base, columns)
 
 
 def _with_new(base: DataFrame, latest: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -141,12 +146,12 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: Sequence[str], colu
 
     Changes are reduced to one row per key before the join; a small batch is then broadcast by size and the base table is not shuffled.
     """
-    return _taken(_with_new(base, _latest_changes(changes, keys, columns, order), keys), base, columns)
+    return apply_latest(base, latest_per_key(changes, keys, columns, order), keys, columns)
 
 
 def apply_unique(base: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """`apply_changes` with changes that are one per key already."""
-    return _taken(_with_new(base, changes.select(*keys, F.struct(*columns).alias("_new")), keys), base, columns)
+    return apply_latest(base, changes.select(*keys, F.struct(*columns).alias("_new")), keys, columns)
 
 
 def apply_counted(
@@ -156,7 +161,7 @@ def apply_counted(
 
     The counts come with the write of the result, from the same scan; `Observation.get` has them after it.
     """
-    merged = _with_new(base, _latest_changes(changes, keys, columns, order), keys)
+    merged = _with_new(base, latest_per_key(changes, keys, columns, order), keys)
     matched = F.col("_new").isNotNull()
     seen = Observation()
     merged = merged.observe(

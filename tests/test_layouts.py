@@ -17,6 +17,7 @@ from tallyhouse.sample.tables import tables
 from tallyhouse.schemas import TABLES
 from tallyhouse.sources import layouts
 from tallyhouse.sources.tables import Tables
+from tests.test_traps import item, order
 
 NOW = "20240301123456"
 NUMBERS = [str(i) for i in range(3, 5000, 100)]
@@ -219,3 +220,32 @@ def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
     shallow = [tuple(r) for r in ordering.sorted_page(frame, "c", "desc", 5, 5, ["id"]).collect()]
     monkeypatch.setattr(ordering, "SHALLOW", 10)
     assert [tuple(r) for r in ordering.sorted_page(frame, "c", "desc", 5, 5, ["id"]).collect()] == shallow and len(shallow) == 5
+
+
+def counted(spark, rows, column):
+    """The rows, and how many of them were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(value):
+        seen.add(1)
+        return value
+
+    return rows.withColumn(column, F.udf(same, "string").asNondeterministic()(column)), seen
+
+
+def test_items_are_computed_once_for_their_buckets(spark, make, shop, tmp_path):
+    t = shop(orders=[order("1"), order("2")], order_items=[item("L", no="1"), item("M", no="1"), item("L", no="2"), item("L", no=None)])
+    items, seen = counted(spark, t.order_items, "CHANNEL_ORDER_NO")
+    buckets = layouts.Buckets(str(tmp_path / "b"), 2, f"once_{tmp_path.name}".replace("-", "_"))
+    layouts.store_bucketed(t.with_tables(order_items=items), buckets, 1)
+    assert layouts.open_bucketed(spark, buckets).order_items.count() == 4 and seen.value == 4
+
+
+def test_changes_are_computed_once_for_an_update_of_months(spark, shop, got, tmp_path):
+    t = shop(orders=[order("1"), order("2")])
+    layouts.store_by_month(t, str(tmp_path))
+    changes = spark.createDataFrame([(1, "1", 1, "02"), (2, "1", 1, "01"), (1, "9", 1, "01")], "REQUEST_SEQ long, CHANNEL_ORDER_NO string, MARKET_ID int, SHIPPING_STATUS string")
+    changes, seen = counted(spark, changes, "SHIPPING_STATUS")
+    done = layouts.update_months(spark, f"{tmp_path}/orders", changes, layouts.ORDER_KEY, ["SHIPPING_STATUS"], "REQUEST_SEQ")
+    assert done.rows == 1 and seen.value == 3
+    assert ("1", "01") in got(layouts.read_months(spark, f"{tmp_path}/orders"), "CHANNEL_ORDER_NO", "SHIPPING_STATUS")
