@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.keyed import Changed
-from tallyhouse.sources.storage import replace_partitions, work_folder
+from tallyhouse.sources.storage import replace_partitions, stored_once
 
 PART = "SUM_PART"  # the partition column: the first characters of the day; `none` for rows without a date
 _MEASURES = ["_sum", "_filled", "_rows"]  # the sum, the rows whose value is not null, all rows
@@ -28,10 +28,15 @@ class Sums:
     day: str
     grain: int = 8
 
-    def taken(self, rows: DataFrame, sign: int) -> DataFrame:
+    def taken(self, added: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
+        """Sums and counts of the added rows less those of the withdrawn ones, in one grouping."""
+        rows = added.select(*self.keys, self.value, F.lit(1).alias("_sign"))
+        if withdrawn is not None:
+            rows = rows.unionByName(withdrawn.select(*self.keys, self.value, F.lit(-1).alias("_sign")))
+        both = lambda total, value: total(F.when(F.col("_sign") > 0, value)) - total(F.when(F.col("_sign") < 0, value))
         return rows.groupBy(*self.keys).agg(
-            (sign * F.coalesce(F.sum(self.value), F.lit(0))).alias("_sum"), (sign * F.count(self.value)).alias("_filled"),
-            (sign * F.count(F.lit(1))).alias("_rows"),
+            both(lambda v: F.coalesce(F.sum(v), F.lit(0)), F.col(self.value)).alias("_sum"), both(F.count, F.col(self.value)).alias("_filled"),
+            both(F.count, F.lit(1)).alias("_rows"),
         ).withColumn(PART, F.coalesce(F.left(F.col(self.day), F.lit(self.grain)), F.lit("none")))
 
     def stored(self, spark: SparkSession) -> DataFrame:
@@ -40,7 +45,7 @@ class Sums:
 
 def store_sums(rows: DataFrame, sums: Sums) -> None:
     """The sums of the rows, for batches to come."""
-    first = sums.taken(rows, 1).withColumn("_batch", F.lit(-1).cast("long"))
+    first = sums.taken(rows).withColumn("_batch", F.lit(-1).cast("long"))
     first = first.select(*[c for c in first.columns if c != PART], PART)
     first.limit(0).write.parquet(f"{sums.path}/shape")
     first.repartition(PART).write.partitionBy(PART).parquet(f"{sums.path}/sums")
@@ -54,11 +59,7 @@ def apply_deltas(spark: SparkSession, sums: Sums, batch: int, added: DataFrame,
     added before, as they were. Returns the partitions and the number of changed sums.
     """
     merge = [F.sum(m).alias(m) for m in _MEASURES]
-    both = sums.taken(added, 1).unionByName(sums.taken(withdrawn, -1))
-    delta = both.groupBy(*sums.keys, PART).agg(*merge).filter("_sum <> 0 or _filled <> 0 or _rows <> 0")
-    aside = work_folder(spark, "deltas")
-    delta.write.parquet(f"{aside}/delta")
-    delta = spark.read.schema(delta.schema).parquet(f"{aside}/delta")
+    delta = stored_once(sums.taken(added, withdrawn).filter("_sum <> 0 or _filled <> 0 or _rows <> 0"), "deltas")
     changed = {r[PART]: r["count"] for r in delta.groupBy(PART).count().collect()}  # a row per partition
     stored = sums.stored(spark)
     done = {r[0] for r in stored.filter(F.col(PART).isin(list(changed)) & (F.col("_batch") >= batch)).select(PART).distinct().collect()}
@@ -66,10 +67,9 @@ def apply_deltas(spark: SparkSession, sums: Sums, batch: int, added: DataFrame,
     if parts:
         each = [rows.filter(F.col(PART).isin(parts)).select(*sums.keys, PART, *_MEASURES) for rows in (stored, delta)]
         # Keys whose rows are all withdrawn stay with zeros, so that a partition that loses its last one is rewritten too.
-        merged = each[0].unionByName(each[1]).groupBy(*sums.keys, PART).agg(*merge).withColumn("_batch", F.lit(batch).cast("long"))
-        merged.write.parquet(f"{aside}/merged")
-        kept = spark.read.schema(merged.schema).parquet(f"{aside}/merged").select(*stored.columns)
-        replace_partitions(kept.repartition(PART), f"{sums.path}/sums", [PART])
+        # Rows are dealt by partition once, for the sums and for the write.
+        merged = each[0].unionByName(each[1]).repartition(PART).groupBy(*sums.keys, PART).agg(*merge).withColumn("_batch", F.lit(batch).cast("long"))
+        replace_partitions(stored_once(merged.select(*stored.columns), "merged"), f"{sums.path}/sums", [PART])
     return Changed(parts, sum(changed[p] for p in parts))
 
 

@@ -75,3 +75,11 @@ def test_sums_may_start_empty(spark, tmp_path, got):
     sums.apply_deltas(spark, kept, 0, lines, lines.limit(0))
     summed = sums.read_sums(spark, kept, "ORDER_QTY", "LINES")
     assert got(purchasing.order_history(t.with_tables(product_orders=summed))) == got(purchasing.order_history(t))
+
+
+def test_a_batch_is_grouped_in_one_shuffle(spark, got):
+    kept = sums.Sums("unused", KEYS, "V", "D")
+    rows = lambda *r: spark.createDataFrame(list(r), "D string, K string, V int")
+    delta = kept.taken(rows(("20240101", "a", 5), ("20240101", "a", None), (None, "b", 2)), rows(("20240101", "a", 3)))
+    assert delta._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert got(delta, "K", "_sum", "_filled", "_rows") == [("a", 2, 0, 1), ("b", 2, 1, 1)]
