@@ -11,6 +11,7 @@ from tallyhouse.plans.listings import sku_directory, sku_profile
 from tallyhouse.sample.tables import tables
 from tallyhouse.sources.storage import append_rows, by_month
 from tallyhouse.sources.tables import Tables
+from tests.test_traps import MARKET, item, listing, order, stock, unlinked
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,21 @@ def test_the_catalog_is_not_broadcast(shop):
     for found in (sku_directory(shop()), sku_profile(shop())):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("skus", [["S1", "S2"], ["", "S2"]])
+def test_sales_are_spread_in_their_order(shop, skus):
+    """Lines are cut into ranges and sorted once; no group is made twice to sort it. An empty SKU takes its place by its listing."""
+    sold = {"A": 1, "B": 2, "C": 4, "N": 8}
+    t = shop(
+        orders=[order(str(n), n) for n in (1, 2)], markets=[{**MARKET, "MARKET_ID": n} for n in (1, 2)],
+        order_items=[item(sku, qty * n, str(n), n) for sku, qty in sold.items() for n in (1, 2)], inventory=[stock(skus[0], ""), stock(skus[1], "two")],
+        listings=[listing(sku, s, market=n) for sku, s in (("C", skus[0]), ("B", skus[0]), ("A", skus[1])) for n in (1, 2)],
+        unlinked_listings=[unlinked("N", "none", market=n) for n in (1, 2)],
+    )
+    found = sales.sales_by_sku_wide(t, markets=[2, 1])
+    text = plan(found)
+    assert "SortAggregate" not in text and text.count("rangepartitioning") == 1
+    assert [tuple(r)[1:] for r in found.collect()] == [
+        r for _, r in sorted((r[0], r) for r in (
+            (skus[0] or "B", "B", "", 18, "Y", 8, 4), (skus[1], "A", "two", 3, "Y", 2, 1), ("N", "N", "none", 24, "N", 16, 8)))]
