@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tallyhouse.sample import feeds
 from tallyhouse.sample.tables import load, tables
 from tallyhouse.schemas import KEY_TEXTS, TABLES, in_any_case
 from tallyhouse.sources import layouts
-from tallyhouse.sources.storage import SHARED_SETTINGS, read_grids, read_snapshot, stored_once, work_folder, write_grid, write_json, write_judged, write_range, write_snapshot, write_tsv
+from tallyhouse.sources.storage import SHARED_SETTINGS, read_grids, read_snapshot, side_by_side, stored_once, work_folder, write_grid, write_json, write_judged, write_range, write_snapshot, write_tsv
 from tallyhouse.sources.sums import Sums, apply_deltas, read_sums, store_sums
 from tallyhouse.sources.tables import Tables
 from tallyhouse.streaming import feeds as streams
@@ -271,11 +272,9 @@ def _sales_in_any_case(spark: SparkSession, folder: str) -> DataFrame:
     t, path = tables(spark, folder), work_folder(spark, "any-case")
     spelled = F.when(F.col("STD_SKU").like("%-C1-%"), F.lower("STD_SKU")).otherwise(F.col("STD_SKU"))
     t = t.with_tables(listings=t.listings.withColumn("STD_SKU", spelled))
-    loose = {}
-    for name in TABLES:
-        rows = getattr(t, name)
-        rows.write.parquet(f"{path}/{name}")
-        loose[name] = spark.read.schema(in_any_case(rows.schema)).parquet(f"{path}/{name}")
+    rows = {name: getattr(t, name) for name in TABLES}
+    side_by_side(spark, [partial(rows[name].write.parquet, f"{path}/{name}") for name in TABLES])
+    loose = {name: spark.read.schema(in_any_case(rows[name].schema)).parquet(f"{path}/{name}") for name in TABLES}
     found = sales.sales_by_sku_long(Tables(loose.__getitem__))
     return found.select(*[F.col(c).cast("string").alias(c) if c in KEY_TEXTS else F.col(c) for c in found.columns])
 

@@ -1,5 +1,7 @@
 """Readers and writers."""
 
+import threading
+
 import pytest
 from tests.conftest import SAMPLE
 from pyspark.sql import functions as F
@@ -104,3 +106,18 @@ def test_work_folder_uses_the_shared_setting():
 
     first, second = (storage.work_folder(Shared, "x") for _ in range(2))
     assert first.startswith("/shared/place/x-") and first != second
+
+
+def test_jobs_run_side_by_side(spark):
+    """Jobs that wait for one another end; the failure of one is raised when the others are done."""
+    meeting, done = threading.Barrier(2, timeout=60), []
+
+    def wait():
+        meeting.wait()
+        done.append(spark.range(5).count())
+
+    storage.side_by_side(spark, [wait, wait], most=2)
+    assert done == [5, 5]
+    with pytest.raises(ZeroDivisionError):
+        storage.side_by_side(spark, [lambda: 1 / 0, lambda: done.append(1)], most=1)
+    assert done == [5, 5, 1]
