@@ -170,5 +170,8 @@ def around_scans(t: Tables, tracking: DataFrame) -> Tables:
 
 
 def scanned_documents(t: Tables, tracking: DataFrame) -> DataFrame:
-    """`order_document` of scanned tracking numbers over tables stored for look-ups."""
-    return order_document(around_scans(t, tracking), tracking)
+    """`order_document` of scanned tracking numbers over tables stored for look-ups.
+
+    The looked-up orders are those of the scans, so the document is made of all of them, and the scans are not computed again in it.
+    """
+    return order_document(around_scans(t, tracking))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.keyed import Changed, apply_latest, changed_rows, distinct_keys, latest_per_key
 from tallyhouse.schemas import TABLES
-from tallyhouse.sources.storage import by_month, replace_partitions, stored_once
+from tallyhouse.sources.storage import by_month, replace_partitions, side_by_side, stored_once
 from tallyhouse.sources.tables import Tables
 
 ORDER_KEY = ["CHANNEL_ORDER_NO", "MARKET_ID"]
@@ -44,12 +44,11 @@ def write_for_lookups(rows: DataFrame, path: str, keys: Sequence[str], group_byt
 
 def store_for_lookups(t: Tables, root: str, group_bytes: int = GROUP_BYTES) -> None:
     """All tables under `<root>/<table>`, those of LOOKUP_KEYS laid out for look-ups; `tables.read_parquet` opens them."""
-    for name in TABLES:
-        rows = getattr(t, name)
-        if name in LOOKUP_KEYS:
-            write_for_lookups(rows, f"{root}/{name}", LOOKUP_KEYS[name], group_bytes)
-        else:
-            rows.write.parquet(f"{root}/{name}")
+    def writer(name: str) -> Callable[[], None]:
+        rows, path = getattr(t, name), f"{root}/{name}"
+        return partial(write_for_lookups, rows, path, LOOKUP_KEYS[name], group_bytes) if name in LOOKUP_KEYS else partial(rows.write.parquet, path)
+
+    side_by_side(t.orders.sparkSession, [writer(name) for name in TABLES])
 
 
 HOT_ITEMS = 100_000  # items of an order above which it is stored apart

@@ -84,6 +84,14 @@ def test_scanned_documents_equal_the_plan_over_whole_tables(spark, for_lookups,
     assert len(got(found)) > 20 and got(found) == got(expected)
 
 
+def test_scans_are_computed_for_the_look_up_only(spark, for_lookups, got):
+    """The document is made of the looked-up orders; it does not compute the scans once more for each of its parts."""
+    scans = spark.range(3, 5000, 100).select(F.col("id").cast("string").alias("t"))
+    found = orders.scanned_documents(for_lookups, scans)
+    assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got(found) == got(orders.order_document(for_lookups, scans))
+
+
 @pytest.fixture(scope="module")
 def bucketed(spark, tmp_path_factory):
     """The sample in four buckets; orders with more than six items are stored apart."""
