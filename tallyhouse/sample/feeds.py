@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import color_after_first
-from tallyhouse.sample.tables import BRAND_CODE, LISTING_SKU, MARKET_ID, PRODUCT_CODE, STD_SKU, load, sold_lines
+from tallyhouse.sample.tables import BRAND_CODE, LISTING_SKU, PRODUCT_CODE, STD_SKU, load, sold_lines
 from tallyhouse.sources.tables import Tables
 
 
@@ -35,12 +35,12 @@ def packing_requests(spark: SparkSession, folder: str, lineitem: DataFrame | Non
     return sold.selectExpr(
         "l_orderkey * 10 + l_linenumber as REQUEST_SEQ",
         "cast(l_orderkey as string) as CHANNEL_ORDER_NO",
-        f"{MARKET_ID} as MARKET_ID",
+        "MARKET_ID",
         "if(l_suppkey % 5 = 0, '', cast(l_suppkey as string)) as EMPLOYEE_ID",
         "if(l_linestatus = 'F', 'Y', 'N') as COMPLETE_YN",
         "if(l_returnflag = 'R', 'Y', null) as HOLD_YN",
         f"""array(named_struct(
-            'CHANNEL_ORDER_NO', cast(l_orderkey as string), 'MARKET_ID', {MARKET_ID}, 'LISTING_SKU', {LISTING_SKU},
+            'CHANNEL_ORDER_NO', cast(l_orderkey as string), 'MARKET_ID', MARKET_ID, 'LISTING_SKU', {LISTING_SKU},
             'UNIT_QTY', cast(l_quantity as int), 'NO_ITEM_YN', if(l_returnflag = 'R', 'Y', 'N'),
             'TAG_CHANGE_YN', case l_suppkey % 4 when 0 then 'Y' when 1 then 'N' end)) as ORDER_LIST""",
     )

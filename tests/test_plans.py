@@ -6,7 +6,7 @@ import pytest
 from tests.conftest import SAMPLE
 
 from checks.queries import QUERIES
-from tallyhouse.plans import labels, packing, purchasing, sales
+from tallyhouse.plans import labels, orders, packing, purchasing, sales
 from tallyhouse.plans.listings import sku_directory, sku_profile
 from tallyhouse.sample.tables import tables
 from tallyhouse.sources.storage import append_rows, by_month
@@ -97,3 +97,17 @@ def test_sales_are_spread_in_their_order(shop, skus):
     assert [tuple(r)[1:] for r in found.collect()] == [
         r for _, r in sorted((r[0], r) for r in (
             (skus[0] or "B", "B", "", 18, "Y", 8, 4), (skus[1], "A", "two", 3, "Y", 2, 1), ("N", "N", "none", 24, "N", 16, 8)))]
+
+
+def test_the_packing_report_is_shuffled_once_in_its_order(shop):
+    """Repetitions of orders, items, names and marketplaces are left out in the ranges that sort the rows; names meet the orders, which are fewer."""
+    t = shop(
+        orders=[order(str(n), 1 + n % 2, EMPLOYEE_ID=e) for n in range(6) for e in ("e1", "e2", None)] * 2, markets=[{**MARKET, "MARKET_ID": n} for n in (1, 2)],
+        order_items=[item("A", 1, str(n), 1 + n % 2) for n in range(6)] * 3, listings=[listing("A", "S1", market=n) for n in (1, 2)], inventory=[stock("S1", "one")],
+        users=[{"EMPLOYEE_ID": e, "FIRST_NAME": "Ann", "LAST_NAME": "Lee"} for e in ("e1", "e2")],
+    )
+    found = packing.packing_status(t)
+    text = plan(found)
+    assert text.count("rangepartitioning") == 1 and "hashpartitioning(ORDER_DATE" not in text and "Aggregate(keys=[ORDER_DATE" not in text
+    rows = [(r.ORDER_DATE, r.MARKET_NAME, r.LISTING_SKU, r.CHANNEL_ORDER_NO, r.EMPLOYEE_NAME) for r in found.collect()]
+    assert len(rows) == 12 == len(set(rows)) and [r[:3] for r in rows] == sorted(r[:3] for r in rows)
