@@ -61,15 +61,17 @@ def first_images(t: Tables) -> DataFrame:
 def sku_profile(t: Tables) -> DataFrame:
     """One row per marketplace SKU: its first linked listing and image, else its first unlinked listing.
 
-    Several listings of one SKU have no order of their own; the lowest LISTING_ITEM_ID is taken.
+    Several listings of one SKU have no order of their own; the lowest LISTING_ITEM_ID is taken. Images meet the inventory, which has fewer rows than
+    its listings.
     """
-    linked = linked_listings(t).drop("PRODUCT_NAME").withColumn("_kind", F.lit(0))
+    stock = valid(t.inventory).select("STD_SKU", "PRODUCT_SIZE", "PRODUCT_COLOR", "PRODUCT_DESIGN")
+    stock = stock.join(splittable(first_images(t), "SKU").hint("merge"), F.col("STD_SKU") == F.col("SKU"), "left")
+    listings = valid(t.listings).select("LISTING_ITEM_ID", "STD_SKU", "MARKET_ID", "LISTING_SKU", "LISTING_PRODUCT_NAME")
+    linked = listings.join(splittable(stock, "STD_SKU").hint("merge"), "STD_SKU").withColumn("_kind", F.lit(0))
     unlinked = valid(t.unlinked_listings).drop("VALID_YN").withColumn("_kind", F.lit(1))
     offers = linked.unionByName(unlinked, allowMissingColumns=True)
     pick = [F.col(c) for c in ("_kind", "LISTING_ITEM_ID", "STD_SKU", "LISTING_PRODUCT_NAME")]
-    first = first_per_key(offers, LISTING_KEY, pick).drop("_kind")
-    images = splittable(first_images(t), "SKU").hint("merge")
-    return splittable(first.join(images, F.col("STD_SKU") == F.col("SKU"), "left"), "LISTING_SKU")
+    return splittable(first_per_key(offers, LISTING_KEY, pick).drop("_kind"), "LISTING_SKU")
 
 
 def market_names(t: Tables, unknown: bool = False) -> DataFrame:

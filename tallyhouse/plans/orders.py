@@ -20,6 +20,7 @@ HEADER_COLUMNS = [
     "CHANNEL_ORDER_NO", "MARKET_ID", "ORDER_DATE", "ORDER_QTY", "ORDER_PRICE", "ORDER_SHIPPING_PRICE",
     "SHIPPING_PRICE", "SHIPPING_STATUS", "TRACKING_NO", "EMPLOYEE_ID", "PROC_DT", "PROC_TM",
 ]
+STORED_ITEM_COLUMNS = ["LISTING_SKU", "UNIT_PRICE", "UNIT_QTY", "PACKING_STATUS", "NO_ITEM_YN", "TAG_CHANGE_YN"]
 ITEM_COLUMNS = [
     "LISTING_SKU", "UNIT_PRICE", "UNIT_QTY", "UNIT_PRICE_SUM", "PACKING_STATUS", "NO_ITEM_YN", "TAG_CHANGE_YN",
     "LISTING_ITEM_ID", "STD_SKU", "LISTING_PRODUCT_NAME", "PRODUCT_SIZE", "PRODUCT_COLOR", "PRODUCT_DESIGN",
@@ -99,49 +100,66 @@ def images_by_sku(t: Tables, skus: Keys = None) -> DataFrame:
     return restrict(t.images, "SKU", skus).select("IMAGE_ID", "SKU", "IMAGE_PATH", "IMAGE_SOURCE")
 
 
+_HAS_KEY = " and ".join(f"{c} is not null" for c in ORDER_KEY)
+
+
 def _document_headers(t: Tables, tracking: Keys) -> DataFrame:
     """Headers that a scan can open: the tracking number belongs to exactly one order."""
     found = orders_by_tracking(t, tracking).filter("TRACKING_NO is not null")
+    # The key first, as the aggregate yields it: then both joins ask for the same columns in the same order, and read one shuffle.
+    return single_match(found.select("TRACKING_NO", *[c for c in HEADER_COLUMNS if c != "TRACKING_NO"]), ["TRACKING_NO"])
+
+
+def _with_items(t: Tables, headers: DataFrame, tracking: Keys) -> DataFrame:
+    """The headers with the stored columns of their items, which are narrow; what the items stand for comes after."""
+    items = t.order_items if tracking is None else t.order_items.join(distinct_keys(headers, ORDER_KEY), ORDER_KEY, "left_semi")
+    flags = {c: yn(F.col(c)) for c in ("NO_ITEM_YN", "TAG_CHANGE_YN")}
+    return items.select(*ORDER_KEY, *STORED_ITEM_COLUMNS).withColumns(flags).join(headers.filter(_HAS_KEY), ORDER_KEY)
+
+
+def _enriched(t: Tables, rows: DataFrame) -> DataFrame:
+    """Rows with items and what these stand for. A brand code in a SKU has two characters, so the brands that can be meant are few, and are broadcast."""
+    brands = t.brands.filter(F.length("BRAND_CODE") <= 4).select("BRAND_CODE", "BRAND_NAME")  # in any case a code of two may equal a longer one
+    brands = F.broadcast(first_per_key(brands, ["BRAND_CODE"], [F.col("BRAND_NAME")]))
+    rows = rows.join(sku_profile(t), LISTING_KEY, "left")
+    rows = rows.withColumns({"UNIT_PRICE_SUM": F.col("UNIT_PRICE") * F.col("UNIT_QTY"), "BRAND_CODE": brand_code_of(F.col("LISTING_SKU"))})
+    return rows.join(brands, "BRAND_CODE", "left").drop("BRAND_CODE")
+
+
+def _document(t: Tables, headers: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of orders with items, and the headers without, with the images of their marketplaces.
+
+    Orders with and without items are joined apart: an outer join could not split a hot order's items. Headers without a whole key have no
+    items; the others are shuffled by it once for both joins.
+    """
+    without = headers.filter(_HAS_KEY).join(distinct_keys(t.order_items, ORDER_KEY), ORDER_KEY, "left_anti").unionByName(headers.filter(f"not ({_HAS_KEY})"))
+    if "COPIES" in columns:
+        without = without.withColumn("COPIES", F.lit(0).cast("bigint"))
     images = market_names(t).select("MARKET_ID", "MARKET_IMAGE_PATH")
-    return single_match(found, ["TRACKING_NO"]).select(*HEADER_COLUMNS).join(images, "MARKET_ID", "left")
-
-
-def _document_items(t: Tables, headers: DataFrame | None) -> DataFrame:
-    brands = first_per_key(t.brands.select("BRAND_CODE", "BRAND_NAME"), ["BRAND_CODE"], [F.col("BRAND_NAME")])
-    items = order_items(t, headers).withColumn("BRAND_CODE", brand_code_of(F.col("LISTING_SKU")))
-    return (
-        items.join(sku_profile(t), LISTING_KEY, "left")
-        .join(splittable(brands, "BRAND_CODE"), "BRAND_CODE", "left")
-        .withColumn("NO_ITEM_YN", yn(F.col("NO_ITEM_YN")))
-        .withColumn("TAG_CHANGE_YN", yn(F.col("TAG_CHANGE_YN")))
-        .select(*ORDER_KEY, *ITEM_COLUMNS)
-    )
+    whole = _enriched(t, rows).unionByName(without, allowMissingColumns=True).join(images, "MARKET_ID", "left")
+    return whole.select("MARKET_ID", *[c for c in HEADER_COLUMNS if c != "MARKET_ID"], "MARKET_IMAGE_PATH", *columns)
 
 
 def order_document_lines(t: Tables, tracking: Keys = None) -> DataFrame:
     """Flat form of the order document: one row per item, null item columns for an order without items.
 
-    Orders with and without items are joined apart: an outer join could not split a hot order's items.
+    Items meet their orders first and are shuffled once more, with them, to what they stand for.
     """
     headers = _document_headers(t, tracking)
-    items = _document_items(t, None if tracking is None else headers)
-    with_items = items.join(headers, ORDER_KEY)
-    without = headers.join(distinct_keys(t.order_items, ORDER_KEY), ORDER_KEY, "left_anti")
-    return with_items.unionByName(without, allowMissingColumns=True).select(*headers.columns, *ITEM_COLUMNS)
+    return _document(t, headers, _with_items(t, headers, tracking), ITEM_COLUMNS)
 
 
 def order_document(t: Tables, tracking: Keys = None) -> DataFrame:
     """Order headers with their enriched items: a row per order and different item, with the number of its COPIES.
 
-    Equal items are counted before they meet, so an order with very many of them is no hot key. An order without items
-    has one row with null item columns and no copies.
+    Equal items are counted where they meet their order, in parts if it is hot, and before they are enriched: what an item stands for follows from
+    its SKU and marketplace. An order without items has one row with null item columns and no copies.
     """
     headers = _document_headers(t, tracking)
-    items = _document_items(t, None if tracking is None else headers)
-    counted = items.groupBy(*ORDER_KEY, *ITEM_COLUMNS).agg(F.count("*").alias("COPIES"))
-    with_items = counted.join(headers, ORDER_KEY)
-    without = headers.join(distinct_keys(t.order_items, ORDER_KEY), ORDER_KEY, "left_anti").withColumn("COPIES", F.lit(0).cast("bigint"))
-    return with_items.unionByName(without, allowMissingColumns=True).select(*headers.columns, *ITEM_COLUMNS, "COPIES")
+    # A header is named by its tracking number, so its other columns are those of any of its rows; as texts they make Spark group by a sort, which holds no table of all groups.
+    others = [F.first(c).alias(c) for c in HEADER_COLUMNS if c not in (*ORDER_KEY, "TRACKING_NO")]
+    counted = _with_items(t, headers, tracking).groupBy(*ORDER_KEY, "TRACKING_NO", *STORED_ITEM_COLUMNS).agg(F.count("*").alias("COPIES"), *others)
+    return _document(t, headers, counted, [*ITEM_COLUMNS, "COPIES"])
 
 
 def order_document_list(t: Tables, tracking: Keys) -> DataFrame:

@@ -111,3 +111,29 @@ def test_the_packing_report_is_shuffled_once_in_its_order(shop):
     assert text.count("rangepartitioning") == 1 and "hashpartitioning(ORDER_DATE" not in text and "Aggregate(keys=[ORDER_DATE" not in text
     rows = [(r.ORDER_DATE, r.MARKET_NAME, r.LISTING_SKU, r.CHANNEL_ORDER_NO, r.EMPLOYEE_NAME) for r in found.collect()]
     assert len(rows) == 12 == len(set(rows)) and [r[:3] for r in rows] == sorted(r[:3] for r in rows)
+
+
+def test_the_order_document_shuffles_narrow_items_and_its_headers_once(stored, spark):
+    """Items meet their orders before what they stand for, which is wide; both joins of the headers read one shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    texts = [plan(f(stored)) for f in (orders.order_document, orders.order_document_lines)]
+    found = orders.order_document(stored)
+    found.collect()
+    final = plan(found).split("== Initial Plan ==")[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for text in texts:
+        assert text.index("SortMergeJoin [LISTING_SKU#") < text.index("SortMergeJoin [CHANNEL_ORDER_NO#")
+    assert re.search(r"ReusedExchange \[[^]]*TRACKING_NO#[^]]*\], Exchange hashpartitioning\(CHANNEL_ORDER_NO#", final)
+
+
+def test_an_order_document_counts_what_is_equal_after_its_flags_are_filled(shop, got):
+    """Null and N flags are one item; a marketplace that is listed twice repeats the rows and not the copies; orders without a whole key have no items."""
+    t = shop(
+        orders=[order("1", TRACKING_NO="t1"), order(None, TRACKING_NO="t2"), order("3", TRACKING_NO="t3"), order("1", TRACKING_NO="t4")], markets=[MARKET, MARKET],
+        order_items=[item("A", 1, "1", NO_ITEM_YN=n) for n in (None, "", "N", "Y")] + [item("A", 1, None)],
+        listings=[listing("A", "S1", LISTING_ITEM_ID=n) for n in (2, 1)], inventory=[stock("S1")], images=[{"SKU": "S1", "IMAGE_ID": n} for n in (9, 8)],
+    )
+    rows = got(orders.order_document(t), "TRACKING_NO", "NO_ITEM_YN", "COPIES", "LISTING_ITEM_ID", "IMAGE_ID")
+    opened = [(k, n, c, 1, 8) for k in ("t1", "t4") for n, c in (("N", 3), ("Y", 1))]
+    assert rows == sorted([*opened, ("t2", None, 0, None, None), ("t3", None, 0, None, None)] * 2, key=repr)
