@@ -9,9 +9,9 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.keyed import Changed, apply_latest, changed_rows, distinct_keys, latest_per_key
+from tallyhouse.operators.keyed import Changed, apply_latest, changed_rows, latest_per_key, splittable
 from tallyhouse.schemas import TABLES
-from tallyhouse.sources.storage import by_month, replace_partitions, side_by_side, stored_once
+from tallyhouse.sources.storage import by_month, replace_partitions, side_by_side, stored_meanwhile
 from tallyhouse.sources.tables import Tables
 
 ORDER_KEY = ["CHANNEL_ORDER_NO", "MARKET_ID"]
@@ -73,22 +73,22 @@ def store_bucketed(t: Tables, buckets: Buckets, hot: int = HOT_ITEMS) -> None:
     """Orders and order items, bucketed and sorted by (CHANNEL_ORDER_NO, MARKET_ID), and the other tables as plain Parquet.
 
     A bucket is one task of the join and cannot be split when it runs, so the items of orders with more than `hot` of them are a table
-    of their own that is joined by a shuffle. One task writes a bucket, so it is one sorted file. The items are written aside first, as they
-    are read three times.
+    of their own that is joined by a shuffle that can. One task writes a bucket, so it is one sorted file. The items are written aside first, and
+    then once more with the mark of their orders, so that both tables come of one join; what is written aside is deleted.
     """
-    items = stored_once(t.order_items, "items")
-    per_order = items.groupBy(*ORDER_KEY).count().filter(F.col("count") > hot)
-    many = distinct_keys(per_order, ORDER_KEY)
-    parts = {"orders": t.orders, "order_items": items.join(many, ORDER_KEY, "left_anti")}
-    # Rows without an order number join nothing; by all their columns they are spread over the hot part.
-    parts["order_items"] = parts["order_items"].filter(F.col("CHANNEL_ORDER_NO").isNotNull() & F.col("MARKET_ID").isNotNull())
-    for which, rows in parts.items():
-        (
-            rows.repartition(buckets.count, *ORDER_KEY).write.bucketBy(buckets.count, *ORDER_KEY).sortBy(*ORDER_KEY)
-            .format("parquet").option("path", f"{buckets.root}/{which}").saveAsTable(buckets.table(which))
-        )
-    unkeyed = items.filter(F.col("CHANNEL_ORDER_NO").isNull() | F.col("MARKET_ID").isNull())
-    items.join(many, ORDER_KEY, "left_semi").unionByName(unkeyed).write.parquet(f"{buckets.root}/order_items_apart")
+    with stored_meanwhile(t.order_items, "items") as items:
+        per_order = items.groupBy(*ORDER_KEY).count().filter(F.col("count") > hot)
+        many = splittable(per_order.select(*ORDER_KEY, F.lit(True).alias("_apart")), *ORDER_KEY)
+        no_key = F.col("CHANNEL_ORDER_NO").isNull() | F.col("MARKET_ID").isNull()
+        with stored_meanwhile(items.filter(~no_key).join(many, ORDER_KEY, "left").select(*items.columns, "_apart"), "marked") as marked:
+            parts = {"orders": t.orders, "order_items": marked.filter("_apart is null").drop("_apart")}
+            for which, rows in parts.items():
+                (
+                    rows.repartition(buckets.count, *ORDER_KEY).write.bucketBy(buckets.count, *ORDER_KEY).sortBy(*ORDER_KEY)
+                    .format("parquet").option("path", f"{buckets.root}/{which}").saveAsTable(buckets.table(which))
+                )
+            # Rows without a whole key join nothing; they lie apart, as they were stored.
+            marked.filter("_apart").drop("_apart").unionByName(items.filter(no_key)).write.parquet(f"{buckets.root}/order_items_apart")
     for name in TABLES:
         if name not in BUCKETED:
             getattr(t, name).write.parquet(f"{buckets.root}/{name}")
@@ -133,14 +133,15 @@ def read_months(spark: SparkSession, path: str) -> DataFrame:
 def update_months(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str) -> Changed:
     """Applies the latest change of each key to a table stored by month, and rewrites only the months in which a value changes.
 
-    The latest changes are found and written once, for both looking and rewriting. The months'' new rows are written aside first and then put in place, so a lost job can run again, and a repeated update finds nothing to
-    change and writes nothing. Returns the rewritten months and the number of changed rows.
+    The latest changes are found and written once, for both looking and rewriting. The months' new rows are written aside first and then put in place, so a lost job can run again, and a repeated update finds nothing to
+    change and writes nothing. What is written aside is deleted when it is in place. Returns the rewritten months and the number of changed rows.
     """
     stored = read_months(spark, path)
-    latest = stored_once(latest_per_key(changes, keys, columns, order), "latest")
-    differing = changed_rows(stored, latest, keys, columns).groupBy("ORDER_MONTH").count().collect()  # a row per month
-    months = [r["ORDER_MONTH"] for r in differing]
-    if months:
-        touched = stored.filter(F.coalesce(F.col("ORDER_MONTH"), F.lit("")).isin([m or "" for m in months]))
-        replace_partitions(stored_once(apply_latest(touched, latest, keys, columns), "months").select(*stored.columns), path, ["ORDER_MONTH"])
+    with stored_meanwhile(latest_per_key(changes, keys, columns, order), "latest") as latest:
+        differing = changed_rows(stored, latest, keys, columns).groupBy("ORDER_MONTH").count().collect()  # a row per month
+        months = [r["ORDER_MONTH"] for r in differing]
+        if months:
+            touched = stored.filter(F.coalesce(F.col("ORDER_MONTH"), F.lit("")).isin([m or "" for m in months]))
+            with stored_meanwhile(apply_latest(touched, latest, keys, columns), "months") as rows:
+                replace_partitions(rows.select(*stored.columns), path, ["ORDER_MONTH"])
     return Changed(sorted(months, key=lambda m: m or ""), sum(r["count"] for r in differing))

@@ -16,6 +16,7 @@ from tallyhouse.sample import feeds
 from tallyhouse.sample.tables import tables
 from tallyhouse.schemas import TABLES
 from tallyhouse.sources import layouts
+from tallyhouse.sources.storage import stored_meanwhile
 from tallyhouse.sources.tables import Tables
 from tests.test_traps import item, order
 
@@ -257,3 +258,26 @@ def test_changes_are_computed_once_for_an_update_of_months(spark, shop, got, tmp
     done = layouts.update_months(spark, f"{tmp_path}/orders", changes, layouts.ORDER_KEY, ["SHIPPING_STATUS"], "REQUEST_SEQ")
     assert done.rows == 1 and seen.value == 3
     assert ("1", "01") in got(layouts.read_months(spark, f"{tmp_path}/orders"), "CHANNEL_ORDER_NO", "SHIPPING_STATUS")
+
+
+def aside(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_what_is_written_aside_is_deleted(spark, shop, got, tmp_path):
+    """Items and marks of their orders, latest changes and new rows of months; a failed block keeps its folder."""
+    before = aside(spark)
+    t = shop(orders=[order("1"), order("2")], order_items=[item(s, no=n) for s in "LM" for n in ("1", None)] + [item("L", no="2")])
+    buckets = layouts.Buckets(str(tmp_path / "b"), 2, f"aside_{tmp_path.name}".replace("-", "_"))
+    layouts.store_bucketed(t, buckets, 1)
+    regular, apart = layouts.open_bucketed(spark, buckets).item_parts()
+    assert got(regular, "CHANNEL_ORDER_NO", "LISTING_SKU") == [("2", "L")]
+    assert got(apart, "CHANNEL_ORDER_NO", "LISTING_SKU") == sorted([(n, s) for n in ("1", None) for s in "LM"], key=repr)
+    layouts.store_by_month(t, f"{tmp_path}/m")
+    changes = spark.createDataFrame([(1, "1", 1, "02")], "REQUEST_SEQ long, CHANNEL_ORDER_NO string, MARKET_ID int, SHIPPING_STATUS string")
+    assert layouts.update_months(spark, f"{tmp_path}/m/orders", changes, layouts.ORDER_KEY, ["SHIPPING_STATUS"], "REQUEST_SEQ").rows == 1
+    assert aside(spark) == before
+    with pytest.raises(ValueError), stored_meanwhile(changes, "failed") as rows:
+        raise ValueError
+    assert len(aside(spark) - before) == 1 and rows.count() == 1
